@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, licenses, media, tokencount, urls
+from docloom.llm import bpe, licenses, media, mixing, quality, simhash, tokencount, urls
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"))
 
@@ -29,6 +33,15 @@ def op8_url_filter(spark, sf_dir):
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.apply_rules(_table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+def op10_simhash_components(spark, sf_dir):
+    found = simhash.group(_table(spark, sf_dir, "documents"), width=4, distance=4)
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def _terms(terms, column="low"):
     return [f"regexp_matches({column}, '(^|[^a-z0-9]){t}($|[^a-z0-9])')" for t in terms]
 
@@ -54,7 +67,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {ver
 
 
 def queries():
-    return {f.__name__: f for f in (op2_bpe_round_trip, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components)}
 
 
 def oracle_sql():
