@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, licenses, media, mixing, quality, simhash, tokencount, urls
+from docloom.llm import bpe, licenses, media, mixing, pii, quality, simhash, tokencount, urls
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"))
 
 
+def op3_pii_spans(spark, sf_dir):
+    return pii.extract(_table(spark, sf_dir, "documents"))
+
+
 def op5_media_sniff(spark, sf_dir):
     return media.text_media_digests(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {ver
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_pii_spans, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components)}
 
 
 def oracle_sql():
