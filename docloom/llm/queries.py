@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, licenses, media, mixing, pii, quality, simhash, tokencount, urls
+from pyspark.sql import functions as F
+
+from docloom.llm import bpe, licenses, media, mixing, pii, quality, simhash, tokencount, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +23,13 @@ def op3_pii_spans(spark, sf_dir):
     return pii.extract(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_media_sniff(spark, sf_dir):
     return media.text_media_digests(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +80,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {ver
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_pii_spans, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_pii_spans, op4_toxicity, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components)}
 
 
 def oracle_sql():
