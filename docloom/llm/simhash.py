@@ -1,16 +1,20 @@
 """SimHash near-duplicates, found by the generalised pigeonhole principle.
 
 Fingerprints of 64 bits that differ in few bits must agree well in at least one group of bits. Correlated bits are
-grouped into partitions; each partition gets a threshold of its own, and if the thresholds add up to the distance less
-the number of partitions plus one, no pair is missed. A dynamic program over estimated candidates chooses them, and the
-number of partitions. Rows are probed by the values of each partition within its threshold, and every candidate is
-verified on the whole fingerprint.
+grouped into partitions; each partition gets a threshold of its own, and if the thresholds, each plus one, add up to the
+distance plus one, no pair is missed. A dynamic program over estimated candidates chooses the thresholds, for each number
+of partitions. Each fingerprint is filed under the values of a partition that are half the threshold away, so that two
+within the threshold meet, and every candidate is verified on the whole fingerprint.
+
+A fingerprint may go on over further words of 64 bits. The first word is probed then, and all words verify: this holds a
+wider distance, as a similarity of 0.8 needs, without linking texts that agree in the first word by chance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +26,15 @@ from docloom.llm.runtime import cut, map_texts, ship
 
 BITS = 64
 #: Fingerprints of one block of a large bucket; a bucket with more is dealt out by pairs of blocks.
-BLOCK = 4096
-#: Estimated cost of a probed row, against that of a verified candidate.
+BLOCK = 32_768
+#: Rows of a bucket up to which all its pairs are compared at once; a larger one is searched breadth first.
+SMALL = 256
+#: Estimated cost of a filed row, against that of a verified candidate.
 ROW_COST = 1500.0
-#: Most partitions and the largest threshold of one that are tried.
-PARTITIONS, THRESHOLD = 6, 2
+#: Most partitions that are tried, and most flipped bits under which a fingerprint is filed.
+PARTITIONS, FLIPS = 8, 2
+#: The finaliser of splitmix64 and its step; they make further hashes of one.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
@@ -55,14 +63,39 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 5, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Columns of ``keep`` and ``fp``, the fingerprint as a signed 64-bit integer. Null texts count as empty: 0."""
+def remix(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash."""
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(k * MIX[2] & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[0])
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[1])
+    return z ^ (z >> np.uint64(31))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def word_columns(words: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
+
+
+def fingerprints(docs: DataFrame, width: int = 5, text: str = "text", keep=("doc_id",), words: int = 1) -> DataFrame:
+    """Columns of ``keep`` and ``fp``, the fingerprint as a signed 64-bit integer, with ``fp1``.. for further words.
+
+    Null texts count as empty: 0.
+    """
 
     def run(texts):
-        found = [simhash(shingle_hashes(t, width)) for t in texts]
-        return ([f - (1 << 64) if f >> 63 else f for f in found],)
+        hashes = [shingle_hashes(t, width) for t in texts]
+        return [[_signed(simhash(remix(h, k) if k else h)) for h in hashes] for k in range(words)]
+
+    return map_texts(docs, lambda: run, [(c, "long") for c in word_columns(words)], text, keep)
 
-    return map_texts(docs, lambda: run, [("fp", "long")], text, keep)
+
+def most_bits(similarity: float, words: int) -> int:
+    """Bits that sets of shingles of a Jaccard similarity are expected to differ in."""
+    return int(BITS * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
 def bit_counts(distinct: DataFrame) -> np.ndarray:
@@ -105,52 +138,62 @@ def group_bits(counts: np.ndarray, n: int, parts: int) -> list[list[int]]:
     return groups
 
 
-def estimate(p: np.ndarray, group: list[int], n: int, most: int) -> list[float]:
-    """Expected pairs within each distance 0..most on a partition, from the bits' frequencies."""
-    distance = np.zeros(most + 1)
+def estimate(p: np.ndarray, group: list[int], n: int, flips: int) -> float:
+    """Expected times that two fingerprints meet in a partition, from the bits' frequencies.
+
+    Filed under all values within one flip, two that agree meet at every value, two within two bits at two of them.
+    """
+    distance = np.zeros(2 * flips + 1)
     distance[0] = 1
     for b in group:
         differ = 2 * p[b] * (1 - p[b])
         distance[1:] = distance[1:] * (1 - differ) + distance[:-1] * differ
         distance[0] *= 1 - differ
-    return (np.cumsum(distance) * n * n / 2).tolist()
+    w = len(group)
+    meet = [sum(comb(d, i) * comb(w - d, j) for i in range(d + 1) for j in range(flips + 1) if max(i, d - i) + j <= flips) for d in range(2 * flips + 1)]
+    return float((distance * meet).sum() * n * n / 2)
 
 
 def allot(counts: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple[list[int], int]]]:
-    """The partitions with their thresholds of least estimated cost: a dynamic program for each number of partitions."""
+    """The partitions and the flips that each is filed under, of least estimated cost.
+
+    Flips of k hold a threshold of 2k. For each number of partitions a dynamic program goes over the partitions and the
+    sum of thresholds, each plus one, so far; a partition may be left out.
+    """
     p = np.diag(counts) / max(n, 1)
-    best = (float("inf"), [])
-    for parts in range(2, min(PARTITIONS, distance + 1) + 1):
+    best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
+    for parts in range(2, PARTITIONS + 1):
         groups = group_bits(counts, n, parts)
-        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # by the sum of thresholds so far, each plus one
+        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
-            pairs = estimate(p, g, n, THRESHOLD)
             after: dict[int, tuple[float, list[int]]] = {}
             for used, (cost, chosen) in table.items():
-                for t in range(-1, THRESHOLD + 1):
-                    probes = sum(len(list(combinations(range(len(g)), k))) for k in range(1, t + 1))
-                    more = 0.0 if t < 0 else pairs[t] + ROW_COST * n * (1 + probes)
-                    if used + t + 1 not in after or cost + more < after[used + t + 1][0]:
-                        after[used + t + 1] = cost + more, [*chosen, t]
+                for flips in range(-1, FLIPS + 1):
+                    reached = min(distance + 1, used + 2 * flips + 1) if flips >= 0 else used
+                    filed = sum(comb(len(g), k) for k in range(flips + 1))
+                    total = cost + (estimate(p, g, n, flips) + ROW_COST * n * filed if flips >= 0 else 0.0)
+                    if reached not in after or total < after[reached][0]:
+                        after[reached] = total, [*chosen, flips]
             table = after
-        # a pair within the distance is found if the thresholds, each plus one, add up to the distance plus one
         if distance + 1 in table and table[distance + 1][0] < best[0]:
             cost, chosen = table[distance + 1]
-            best = cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
+            best = cost, [(g, flips) for g, flips in zip(groups, chosen, strict=True) if flips >= 0]
     return best
 
 
-def _probes(plan: list[tuple[list[int], int]]):
-    """A row for each fingerprint and value of each partition: (bucket, fp), own values first, then those nearby."""
-    masks = [np.uint64(sum(1 << (BITS - 1 - b) for b in group)) for group, _ in plan]
-    near = [[np.uint64(sum(1 << (BITS - 1 - b) for b in some)) for k in range(1, t + 1) for some in combinations(group, k)] for group, t in plan]
+def _file(plan: list[tuple[list[int], int]], words: int):
+    """A row for each fingerprint and value of each partition that it is filed under."""
+    bit = [np.uint64(1 << (BITS - 1 - b)) for b in range(BITS)]
+    masks = [np.bitwise_or.reduce([bit[b] for b in group]) for group, _ in plan]
+    flips = [[np.bitwise_or.reduce([np.uint64(0), *(bit[b] for b in some)]) for k in range(most + 1) for some in combinations(group, k)] for group, most in plan]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             for k, mask in enumerate(masks):
-                for flip in [np.uint64(0), *near[k]]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), k, np.int32)), pa.array(((fps ^ flip) & mask).view(np.int64)), pa.array(fps.view(np.int64))], names=["part", "value", "fp"])
+                part = pa.array(np.full(len(fps), k, np.int32))
+                for flip in flips[k]:
+                    yield pa.RecordBatch.from_arrays([part, pa.array(((fps ^ flip) & mask).view(np.int64)), *batch.columns], names=["part", "value", *word_columns(words)])
 
     return over
 
@@ -177,63 +220,96 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[others], nodes[root[others]]
 
 
-def _links(distance: int):
-    """Verify the candidates of sorted buckets: all pairs of a bucket are compared by sliding over the rows, whole batches at a time."""
+def _links(distance: int, most: int, words: int):
+    """Verify the candidates of sorted buckets and give a forest of their links."""
 
-    def pairs(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b, held = [], [], 0
-        alive = np.arange(len(fp))
-        step = 1
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rows that differ in few enough bits, of the first word and of all."""
+        first = np.bitwise_count(x[:, 0] ^ y[:, 0])
+        if words == 1:
+            return first <= distance
+        return (first <= distance) & (np.bitwise_count(x ^ y).sum(axis=1) <= most)
+
+    def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of many small buckets, by comparing rows one step apart, then two, and so on."""
+        found = []
+        alive, step = np.arange(len(prints)), 1
         while len(alive):
-            alive = alive[alive + step < len(fp)]
+            alive = alive[alive + step < len(prints)]
             alive = alive[bucket[alive] == bucket[alive + step]]
-            if len(alive):
-                near = alive[np.bitwise_count(fp[alive] ^ fp[alive + step]) <= distance]
-                near = near[fp[near] != fp[near + step]]
-                found_a.append(fp[near])
-                found_b.append(fp[near + step])
-                held += len(near)
-                if held > 1 << 20:  # keep a forest only, so that dense buckets stay small
-                    a, b = _forest(np.concatenate(found_a), np.concatenate(found_b))
-                    found_a, found_b, held = [a], [b], len(a)
+            at = alive[near(prints[alive], prints[alive + step])]
+            found.append((prints[at, 0], prints[at + step, 0]))
             step += 1
-        if not held:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return _forest(np.concatenate(found_a), np.concatenate(found_b))
+        return found
+
+    def search(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The classes of one large bucket. A row that is reached leaves the rest, so a dense group costs few passes."""
+        found, rest = [], prints
+        while len(rest):
+            queue, rest = [rest[:1]], rest[1:]
+            while queue and len(rest):
+                row = queue.pop()
+                if len(row) > 1:
+                    queue.append(row[1:])
+                hit = near(rest, row[:1])
+                if hit.any():
+                    reached = rest[hit]
+                    found.append((np.full(len(reached), row[0, 0]), reached[:, 0]))
+                    queue.append(reached)
+                    rest = rest[~hit]
+        return found
+
+    def made(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((prints[:, 0], bucket))
+        bucket, prints = bucket[order], prints[order]
+        twice = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (prints[1:, 0] == prints[:-1, 0])))  # met in two ways
+        bucket, prints = bucket[~twice], prints[~twice]
+        _, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
+        large = sizes > SMALL
+        found = [link for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True) for link in search(prints[s : s + n])]
+        small = np.repeat(~large, sizes)
+        found += slide(bucket[small], prints[small])
+        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
+        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.uint64)
+        a, b = _forest(a, b) if len(a) else (a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last bucket may go on in the next batch
         for batch in batches:
-            table = np.rec.fromarrays([batch.column(c).to_numpy() for c in range(4)], names="part,value,pair,fp")
-            table = table if rest is None else np.concatenate((rest, table))
-            keys = np.stack([table["part"], table["value"], table["pair"]])
-            new = np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-            last = int(np.flatnonzero(new)[-1])
-            whole, rest = slice(0, last), table[last:]  # the last bucket may go on in the next batch
-            if last:
-                yield made(np.cumsum(new)[whole], table["fp"][whole])
-        if rest is not None and len(rest):
-            yield made(np.zeros(len(rest), np.int64), rest["fp"])
-
-    def made(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = pairs(bucket, np.ascontiguousarray(fp).view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(3, 3 + words)], axis=1)
+            last = int(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))[-1])
+            if last or held and (keys[0] != held[-1][0][-1]).any():
+                held.append((keys[:last], prints[:last]))
+                yield closed(held)
+                held = []
+            held.append((keys[last:], prints[last:]))
+        if held:
+            yield closed(held)
+
+    def closed(held) -> pa.RecordBatch:
+        keys, prints = np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held])
+        return made(np.cumsum(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))), prints)
 
     return over
 
 
-def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column ``fp``) within the distance, directly or by others.
+def link(distinct: DataFrame, distance: int = 4, words: int = 1, most: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints (column ``fp``, each once) within the distance, directly or by others.
 
-    Every pair within the distance meets in some bucket and is verified there; of a bucket's links a spanning forest
-    is returned, so the rows stay in proportion to the fingerprints even where thousands lie close together.
-    Buckets of more than ``BLOCK`` are dealt out by pairs of blocks, so no task holds a whole one.
+    Every pair within ``distance`` in the first word meets in some bucket; it is a link if all words differ in at most
+    ``most`` bits. Of a bucket's links a spanning forest is returned, so the rows stay in proportion to the fingerprints
+    even where thousands lie close together. Buckets of more than ``BLOCK`` rows are dealt out by pairs of blocks.
     """
     ship(distinct.sparkSession)
-    n = distinct.count()
-    _, plan = allot(bit_counts(distinct), n, distance)
-    rows = distinct.select("fp").mapInArrow(_probes(plan), "part int, value long, fp long")
-    sizes = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    columns = word_columns(words)
+    _, plan = allot(bit_counts(distinct), distinct.count(), distance)
+    named = ", ".join(f"{c} long" for c in columns)
+    rows = distinct.select(*columns).mapInArrow(_file(plan, words), f"part int, value long, {named}")
+    sizes = distinct.select("fp").mapInArrow(_file(plan, 1), "part int, value long, fp long").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     large = cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
     if large.isEmpty():
         dealt = rows.withColumn("pair", F.lit(0).cast("long"))
@@ -242,8 +318,8 @@ def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
         met = rows.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left").withColumn("__own", F.coalesce(block, F.lit(0)))
         met = met.withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks") - 1, F.lit(0)))))
         dealt = met.withColumn("pair", F.least("__own", "__other").cast("long") * (1 << 32) + F.greatest("__own", "__other"))
-    dealt = dealt.select("part", "value", "pair", "fp").repartition("part", "value", "pair").sortWithinPartitions("part", "value", "pair")
-    return dealt.mapInArrow(_links(distance), "a long, b long").distinct()
+    dealt = dealt.select("part", "value", "pair", *columns).repartition("part", "value", "pair").sortWithinPartitions("part", "value", "pair")
+    return dealt.mapInArrow(_links(distance, distance if most is None else most, words), "a long, b long").distinct()
 
 
 def components(links: DataFrame, limit: int = 50) -> DataFrame:
@@ -271,32 +347,38 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def group(docs: DataFrame, width: int = 5, distance: int = 4, text: str = "text", id_column: str = "doc_id", keep=()) -> DataFrame:
+def group(docs: DataFrame, width: int = 5, distance: int = 4, text: str = "text", id_column: str = "doc_id", keep=(), words: int = 1, most: int | None = None) -> DataFrame:
     """Rows of (id, columns of ``keep``, fp, root, component_id), one for each document: root is the class by fingerprint.
 
     component_id is the smallest id reachable over links of at most ``distance`` differing bits, a document's own
     included. Empty and null texts have the fingerprint 0 and link like any other. Null ids never are the smallest;
     a class of null ids only has a null component_id. An empty table gives an empty one.
     """
-    found = cut(fingerprints(docs, width, text, (id_column, *keep)))
-    distinct = cut(found.groupBy("fp").agg(F.min(id_column).alias("__least")))
-    roots = components(link(distinct, distance))
+    columns = word_columns(words)
+    found = cut(fingerprints(docs, width, text, (id_column, *keep), words))
+    further = [F.min(F.struct(*columns[1:])).alias("__further")] if words > 1 else []
+    distinct = found.groupBy("fp").agg(F.min(id_column).alias("__least"), *further)
+    distinct = cut(distinct.select("fp", "__least", *[f"__further.{c}" for c in columns[1:]]))
+    roots = components(link(distinct, distance, words, most))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
     whole = placed.groupBy("root").agg(F.min("__least").alias("component_id"))
     classes = placed.join(whole, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
-    return found.join(classes, F.col("fp") == F.col("__fp")).drop("__fp")
+    return found.join(classes, F.col("fp") == F.col("__fp")).drop("__fp", *columns[1:])
 
 
 def hexadecimal(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def representatives(docs: DataFrame, width: int = 5, distance: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The columns of ``docs``, with one document of each class: that of the smallest id, and of several texts under
-    that id the one of the least hash. A row that is repeated stays once. A null id stays only in a class without others.
+def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 10, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The columns of ``docs``, with one document of each class of texts of the given similarity of shingles or more.
+
+    Fingerprints of ``words`` words estimate the similarity; those within ``distance`` bits in their first word are
+    compared. The document of the smallest id stays, and of several texts under that id the one of the least hash.
+    A row that is repeated stays once. A null id stays only in a class without others.
     """
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text)))
-    grouped = group(keyed, width, distance, text, id_column, ("__key",)).filter(F.col(id_column).eqNullSafe(F.col("component_id")))
+    grouped = group(keyed, width, distance, text, id_column, ("__key",), words, most_bits(similarity, words)).filter(F.col(id_column).eqNullSafe(F.col("component_id")))
     kept = cut(grouped.groupBy("root").agg(F.min(F.struct(F.col(id_column).alias("id"), "__key")).alias("k"), F.count(F.lit(1)).alias("n")).select(F.col("k.id").alias("__id"), F.col("k.__key").alias("__h"), "n"))
     chosen = kept.select("__id", "__h").distinct()
     rows = keyed.join(chosen, keyed[id_column].eqNullSafe(chosen["__id"]) & (keyed["__key"] == chosen["__h"]), "left_semi")
