@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut
+from docloom.llm.runtime import cut, staged
 
 #: White space that parts words, and characters that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
@@ -153,8 +153,8 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
     columns = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(columns)])
     at = {c: f"__d{i}" for i, c in enumerate(columns)}
-    measured = counts(inner, at[text])
-    sketched = cut(measured.select(at[lang], at[source], "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"))
-    table = cut(thresholds(cut(sketches(sketched, (at[lang], at[source]))), (at[lang], at[source])))
-    kept = _within(measured, table, (at[lang], at[source])).filter("kept")
+    # written out: a filter on the counts would else be pushed into the expressions that make them
+    measured = staged(counts(inner, at[text]))
+    keys = (at[lang], at[source])
+    kept = _within(measured, cut(thresholds(cut(sketches(measured, keys)), keys)), keys).filter("kept")
     return kept.select(*[F.col(at[c]).alias(c) for c in columns])

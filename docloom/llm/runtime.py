@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,18 +40,30 @@ def ship(spark: SparkSession) -> None:
     sc._docloom_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder (``spark.checkpoint.dir``): lost executors don't undo it.
-
-    Only where that setting is missing, as in tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); only where it isn't set, as in tests, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: lost executors don't undo it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: for rows with texts, which a checkpoint wouldn't compress.
+
+    The table stays, as results that are still to be read depend on it; the folder's owner clears it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def slices(texts: pa.Array, rows: int = SLICE_ROWS, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Runs of a text column, null as empty, each with its first row: few rows and few bytes, or one long text."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()

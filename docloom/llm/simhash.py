@@ -94,8 +94,9 @@ def fingerprints(docs: DataFrame, width: int = 5, text: str = "text", keep=("doc
 
 
 def most_bits(similarity: float, words: int) -> int:
-    """Bits that sets of shingles of a Jaccard similarity are expected to differ in."""
-    return int(BITS * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits that sets of shingles of a Jaccard similarity differ in, with one standard error above what is expected."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(BITS * words * share + np.sqrt(BITS * words * share * (1 - share)))
 
 
 def bit_counts(distinct: DataFrame) -> np.ndarray:
@@ -370,7 +371,7 @@ def hexadecimal(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 10, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 13, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The columns of ``docs``, with one document of each class of texts of the given similarity of shingles or more.
 
     Fingerprints of ``words`` words estimate the similarity; those within ``distance`` bits in their first word are
