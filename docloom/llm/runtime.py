@@ -1,12 +1,9 @@
-"""What the operators of this package share: shipping code, cutting lineage, Arrow maps over texts."""
+"""What the operators of this package share: cutting lineage, Arrow maps over texts."""
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -14,32 +11,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.shipping import ship
+
 #: Texts that one call of a text function sees at most; bounds what a Python worker holds.
 SLICE_ROWS = 256
 #: Bytes of text that one call sees at most, unless a single text is longer.
 SLICE_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_docloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    path = os.path.join(tempfile.mkdtemp(prefix="docloom-"), "docloom.zip")
-    with open(path, "wb") as out:
-        out.write(buffer.getvalue())
-    sc.addPyFile(path)
-    sc._docloom_shipped = True
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); only where it isn't set, as in tests, a temporary one."""
     sc = spark.sparkContext
