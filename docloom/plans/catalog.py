@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import ranking_queries, text_queries  # noqa: F401
+from docloom.plans import ranking_queries, table_queries, text_queries  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 
@@ -16,3 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query: BM25 top 10 for each question."""
+    return QUERIES["rnk_01_bm25"](spark, sf_dir)
