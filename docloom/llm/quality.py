@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 #: A text fails outright with fewer words than this, or with more than this share of its words in repeated windows.
 LEAST_WORDS, MOST_REPEATS = 50, 50
 #: Rate, its parts in one, and what it may lie beyond the quartiles besides FENCE times their distance.
-RATES = {"word_length": 100, "symbols": 100, "dup_lines": 500, "repeats": 250}
+RATES = {"word_length": 100, "symbols": 100, "dup_lines": 500, "repeats": 430}
 FENCE = 3
 #: Documents that a group needs for thresholds of its own.
 LEAST_GROUP = 200
