@@ -32,7 +32,7 @@ def allocate(sizes: DataFrame, cap: int = CAP, source: str = "source", size: str
     Weights are 1, 2, 3, repeating over sources by code point with null last, or come from a table (source, weight).
     Targets share all words by weight, none above ``cap`` times its source's words. The share that a source
     cannot take goes to the others by weight: with sources in the order of cap by weight, those that are full come
-    first, and the level of the others is the largest that any prefix leaves.
+    first, and the level of the others is the largest that any prefix leaves. One task sorts the sources, a row for each.
     """
     if weights is None:
         place = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1
@@ -145,7 +145,10 @@ def materialise(docs: DataFrame, text: str = "text", source: str = "source", id_
     """
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text)))
     chosen = mix(keyed, text, source, (id_column, "__key", source) if source != "source" else (id_column, "__key"), **options)
-    copies = chosen.groupBy(F.col(id_column).alias("__id"), F.col("__key").alias("__h"), F.col("source").alias("__src")).agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
-    one = keyed.dropDuplicates([id_column, "__key", source])
-    same = one[id_column].eqNullSafe(copies["__id"]) & (one["__key"] == copies["__h"]) & one[source].eqNullSafe(copies["__src"])
-    return one.join(copies, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    per = chosen.groupBy(F.col(id_column).alias("__id"), F.col("__key").alias("__h"), F.col("source").alias("__src")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    copies = cut(per.filter("__copies > 0"))
+    same = keyed[id_column].eqNullSafe(copies["__id"]) & (keyed["__key"] == copies["__h"]) & keyed[source].eqNullSafe(copies["__src"])
+    taken = keyed.join(copies, same)
+    if not copies.filter("__rows > 1").isEmpty():
+        taken = taken.dropDuplicates(["__id", "__h", "__src"])
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
