@@ -10,7 +10,6 @@ from docloom.operators import evaluation, fusion, graph, integrity, ranking, rel
 from docloom.plans.registry import query
 from docloom.streaming.audit import windowed_events
 
-N = F.count(F.lit(1))
 
 
 # joins
@@ -75,7 +74,7 @@ def _(t):
 @query("joi_11_two_hops", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def _(t):
     met = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return met.groupBy("r_name").agg(N.alias("n"))
+    return met.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # aggregations
