@@ -100,3 +100,14 @@ def rank_matrix(hits_: DataFrame, row: str, column: str, values: list[str], rank
 def parent_tree(children: DataFrame, parent: str = "parent_id", child: str = "child_id", rank: str = "rank") -> DataFrame:
     """Parents with their ranked children."""
     return children.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(rank, child))).alias("children"))
+
+
+def lexical_proxy(answer: Column, context: Column, truth: Column) -> Column:
+    """Shares of shared words in place of a model's judgement: a proxy, and named one.
+
+    faithfulness: answer words that the context holds; recall: truth words that the context holds; precision: context
+    words that the truth holds; relevancy: truth words that the answer holds.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    share = lambda a, b: F.when(F.size(words(a)) > 0, F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))).otherwise(0.0)
+    return F.struct(share(answer, context).alias("faithfulness"), share(truth, context).alias("recall"), share(context, truth).alias("precision"), share(truth, answer).alias("relevancy"))

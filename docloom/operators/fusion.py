@@ -181,3 +181,21 @@ def status(n_evidence: Column, n_accepted: Column, reranker: Column, generated:
         .when(~citations_ok, "citation_validation_failed")
         .otherwise("answered")
     )
+
+
+def run_queries(queries: list[str], search, first: str = "Q0") -> tuple[DataFrame | None, dict[str, str]]:
+    """The hits of every query, and what went wrong: a variant that fails is left out, a failure of the first ends the run.
+
+    ``search(query_id)`` builds and checks a plan; nothing is collected here.
+    """
+    hits, failed = None, {}
+    for q in queries:
+        try:
+            found = search(q)
+        except Exception as e:
+            if q == first:
+                raise
+            failed[q] = str(e)
+            continue
+        hits = found if hits is None else hits.unionByName(found)
+    return hits, failed

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import ranking_queries, table_queries, text_queries  # noqa: F401
+from docloom.plans import io_queries, ranking_queries, table_queries, text_queries  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 

@@ -10,15 +10,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of a table reader; ``t("orders")`` reads that table."""
+def query(name: str, sql: str | None = None, session: bool = False):
+    """Register a function of a table reader; ``t("orders")`` reads that table. With ``session`` it gets the session too."""
 
     def put(f):
         if name in QUERIES:
             raise ValueError(f"registered twice: {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            t = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            return f(t, spark) if session else f(t)
 
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run
