@@ -94,9 +94,12 @@ def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
 
 AUDIT = "timestamp timestamp, request_id string, user_role string, action string, query string, returned_ids array<string>, filtered_count long, status string, metadata map<string,string>"
 
+#: Times with or without parts of a second.
+AUDIT_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
+
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).json(path)
+    return spark.read.schema(AUDIT).option("timestampFormat", AUDIT_TIME).json(path)
 
 
 #: What holds where no policy file is given.

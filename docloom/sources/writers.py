@@ -38,7 +38,7 @@ def vector_table(df: DataFrame, path: str, properties: dict) -> None:
 
 
 def append_audit(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
 def config_digest(config: dict) -> str:
