@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.shared import beside
+
 
 def recall_at(predicted: Column, relevant: Column, k: int) -> Column:
     """Share of the relevant ids among the first k; 0 without relevant ids. Repeats in the list count once each."""
@@ -87,7 +89,7 @@ def chunk_number(c: Column) -> Column:
 def mode_report(questions: DataFrame, results: DataFrame, k: int = 5, key: str = "question_id") -> DataFrame:
     """(mode, question, recall, mrr, ndcg) for every question in every mode; a question without a result has none found."""
     modes = results.select("mode").distinct()
-    met = questions.crossJoin(F.broadcast(modes)).join(results.select("mode", key, "predicted"), ["mode", key], "left")
+    met = beside(questions, modes).join(results.select("mode", key, "predicted"), ["mode", key], "left")
     predicted = F.coalesce("predicted", F.array().cast(results.schema["predicted"].dataType))
     return met.select("mode", key, recall_at(predicted, F.col("relevant"), k).alias("recall"), reciprocal_rank(predicted, F.col("relevant"), k).alias("mrr"), ndcg(predicted, F.col("relevant"), k).alias("ndcg"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.shared import beside
+
 #: Parameters of BM25-Okapi as commonly published: saturation, length, and the share of the mean that lifts negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -23,33 +25,38 @@ def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens:
     Repeated terms of a question count repeatedly. Only documents that hold a term of a question are scored; with
     ``keep_zero`` the places that are left go to documents without any, by key. ``visible`` restricts what is
     ranked, while statistics stay those of all documents.
+
+    The questions' terms go to the documents, not the documents' tokens to the questions: a text is cut down to the
+    terms that are asked for where it is read, and only scores of a question and document are shuffled, summed up
+    before. The terms of one batch of questions must fit in a row. Document frequencies are counts of distinct
+    tokens, summed up before the shuffle too.
     """
-    terms, lengths = postings(docs, tokens, key)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     asked = questions.select(question_key, F.explode(question_tokens).alias("term")).groupBy(question_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean_idf"))
-    weights = df.join(asked, "term").crossJoin(F.broadcast(mean)).select(question_key, "term", "times", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    hits = terms.join(weights, "term").join(lengths, key).crossJoin(F.broadcast(stats))
-    part = F.col("idf") * F.col("times") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.groupBy(question_key, key).agg(F.sum(part).alias("bm25_score"))
-    if visible is not None:
-        scored = scored.join(visible.select(key), key, "left_semi")
+    each = docs.select(key, tokens.alias("__tokens"))
+    stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__tokens")).alias("mean_length"))
+    frequent = each.select(F.explode(F.array_distinct("__tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = frequent.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    weights = raw.join(asked, "term").crossJoin(F.broadcast(mean)).select(question_key, "term", "mean_length", (F.col("times") * F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))).alias("weight"))  # mean: one row
+    wanted = asked.agg(F.collect_set("term").alias("__wanted"))
+    met = (each if visible is None else each.join(visible.select(key), key, "left_semi")).crossJoin(F.broadcast(wanted))  # wanted: one row
+    found = met.select(key, F.size("__tokens").alias("length"), F.explode(F.transform(F.array_intersect("__tokens", "__wanted"), lambda t: F.struct(t.alias("term"), F.size(F.filter("__tokens", lambda x: x == t)).alias("tf")))).alias("t")).select(key, "length", "t.*")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    parts = found.join(weights, "term").select(question_key, key, part.alias("part"))
     if keep_zero:
         # a question with fewer than k scored documents finds its k others among the first 2k by key
-        able = docs if visible is None else visible
-        first = F.broadcast(able.select(key).distinct().orderBy(key).limit(2 * k))
-        spare = questions.select(question_key).distinct().crossJoin(first).join(scored, [question_key, key], "left_anti").withColumn("bm25_score", F.lit(0.0))
-        scored = scored.unionByName(spare.select(*scored.columns))
+        first = (docs if visible is None else visible).select(key).distinct().orderBy(key).limit(2 * k)
+        parts = parts.unionByName(questions.select(question_key).distinct().crossJoin(F.broadcast(first)).withColumn("part", F.lit(0.0)))
+    scored = parts.groupBy(question_key, key).agg(F.sum("part").alias("bm25_score"))
     order = Window.partitionBy(question_key).orderBy(F.round("bm25_score", 9).desc(), key)
     return scored.withColumn("bm25_rank", F.row_number().over(order)).filter(F.col("bm25_rank") <= k)
 
 
 def substring_rank(docs: DataFrame, questions: DataFrame, text: str = "text", needle: str = "needle", key: str = "doc_id", question_key: str = "query_id", k: int = 10) -> DataFrame:
-    """(question, key, hits, rank) by how often a short string occurs; the questions are broadcast, few as they are."""
+    """(question, key, hits, rank) by how often a short string occurs."""
     low = F.lower(text)
     count = (F.length(low) - F.length(F.replace(low, F.lower(needle), F.lit("")))) / F.length(needle)
-    met = docs.select(key, text).crossJoin(F.broadcast(questions.select(question_key, needle).filter(F.length(needle) > 0)))
+    met = beside(docs.select(key, text), questions.select(question_key, needle).filter(F.length(needle) > 0))
     found = met.select(question_key, key, count.cast("long").alias("hits")).filter("hits > 0")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("hits"), key))).filter(F.col("rank") <= k)
 
@@ -64,7 +71,7 @@ def search_terms(tokens: Column, most: int = 8, with_digits: int = 6) -> Column:
 
 def keyword_rank(docs: DataFrame, questions: DataFrame, terms: str = "terms", text: str = "text", key: str = "doc_id", question_key: str = "query_id", k: int = 5) -> DataFrame:
     """(question, key, score, rank): how many of a question's terms a text contains; ties by key."""
-    met = docs.select(key, F.lower(text).alias("__low")).crossJoin(F.broadcast(questions.select(question_key, terms)))
+    met = beside(docs.select(key, F.lower(text).alias("__low")), questions.select(question_key, terms))
     score = F.aggregate(terms, F.lit(0), lambda n, t: n + F.when(F.contains(F.col("__low"), t), 1).otherwise(0))
     found = met.select(question_key, key, score.alias("score")).filter("score > 0")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
@@ -74,7 +81,7 @@ def reference_match(docs: DataFrame, questions: DataFrame, refs: str = "refs", t
     """(question, key, rank): documents whose title or text holds one of a question's first references; by key."""
     asked = questions.select(question_key, F.slice(refs, 1, first).alias("__refs")).filter(F.size("__refs") > 0)
     low = F.concat_ws("\n", F.lower(title), F.lower(text))
-    met = docs.select(key, low.alias("__low")).crossJoin(F.broadcast(asked)).filter(F.exists("__refs", lambda r: F.contains(F.col("__low"), F.lower(r))))
+    met = beside(docs.select(key, low.alias("__low")), asked).filter(F.exists("__refs", lambda r: F.contains(F.col("__low"), F.lower(r))))
     return met.select(question_key, key).withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(key))).filter(F.col("rank") <= k)
 
 
@@ -99,7 +106,7 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_rank(vectors: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", question_key: str = "query_id", visible: DataFrame | None = None) -> DataFrame:
     """(question, key, similarity, distance, semantic_rank): exact cosine, the best ``k`` for each question; ties by key."""
     pool = vectors if visible is None else vectors.join(visible.select(key), key, "left_semi")
-    met = pool.select(key, F.col(vector).alias("__v")).crossJoin(F.broadcast(questions.select(question_key, F.col(vector).alias("__q"))))
+    met = beside(pool.select(key, F.col(vector).alias("__v")), questions.select(question_key, F.col(vector).alias("__q")))
     near = met.select(question_key, key, cosine(F.col("__v"), F.col("__q")).alias("similarity"))
     order = Window.partitionBy(question_key).orderBy(F.round("similarity", 9).desc(), key)
     return near.withColumn("semantic_rank", F.row_number().over(order)).filter(F.col("semantic_rank") <= k).withColumn("distance", 1 - F.col("similarity"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.shared import beside
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -125,7 +126,7 @@ def contained_in(texts: DataFrame, patterns: DataFrame, text: str = "text", patt
     """(key, pattern key) of every text that contains a pattern, found through a shared run of words.
 
     A text that contains a pattern holds the run of ``window`` words after the pattern's first word, which may itself
-    be the end of a longer one. An equi-join on that run finds all candidates, and the string search confirms them. Patterns of fewer words are matched against every text, in a broadcast of those few patterns.
+    be the end of a longer one. An equi-join on that run finds all candidates, and the string search confirms them. Patterns of fewer words are matched against every text.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     p = patterns.select(pattern_key, F.col(pattern).alias("__pattern"), words(F.col(pattern)).alias("__w")).filter(F.length("__pattern") > 0)
@@ -136,7 +137,7 @@ def contained_in(texts: DataFrame, patterns: DataFrame, text: str = "text", patt
     each = tw.filter(F.size("__w") >= window).select(key, F.explode(F.array_distinct(runs)).alias("__run"))
     able = each.join(long, "__run").select(key, pattern_key, "__pattern").distinct()
     found = able.join(texts.select(key, F.col(text).alias("__text")), key).filter(F.contains("__text", F.col("__pattern"))).select(key, pattern_key)
-    few = texts.select(key, F.col(text).alias("__text")).crossJoin(F.broadcast(short)).filter(F.contains("__text", F.col("__pattern"))).select(key, pattern_key)
+    few = beside(texts.select(key, F.col(text).alias("__text")), short).filter(F.contains("__text", F.col("__pattern"))).select(key, pattern_key)
     return found.unionByName(few)
 
 

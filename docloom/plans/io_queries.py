@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import html as H
@@ -34,10 +35,10 @@ def _(t, spark):
     return rows.groupBy("fault", "text_missing").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_03_large_csv", "SELECT doc_id, md5(text) AS digest FROM documents WHERE trim(text) = text", session=True)
+@query("src_03_large_csv", "SELECT doc_id, md5(trim(text, ' ')) AS digest FROM documents", session=True)
 def _(t, spark):
     path = scratch(spark)
-    writers.csv_table(t("documents").filter(F.trim("text") == F.col("text")).select("doc_id", "text"), path)
+    writers.csv_table(t("documents").select("doc_id", F.trim("text").alias("text")), path)
     return readers.csv(spark, path, "doc_id long, text string", ("doc_id", "text")).select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -138,9 +139,9 @@ def _(t, spark):
     return spark.createDataFrame([(p["default_policy"], len(p["roles"]))], "default_policy string, n_roles long")
 
 
-@query("src_15_cached_vectors", "SELECT doc_id, doc_id % 2 = 0 OR text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS cached FROM documents")
+@query("src_15_cached_vectors", "SELECT doc_id, text IN (SELECT text FROM documents WHERE lang = 'en') AS cached FROM documents")
 def _(t):
-    cache = t("documents").filter("doc_id % 2 = 0").select(F.sha2("text", 256).alias("text_hash")).distinct()
+    cache = t("documents").filter("lang = 'en'").select(F.sha2("text", 256).alias("text_hash")).distinct()
     have, need = readers.cached_vectors(t("documents").select("doc_id", "text"), cache)
     return have.select("doc_id", F.lit(True).alias("cached")).unionByName(need.select("doc_id", F.lit(False).alias("cached")))
 
@@ -166,11 +167,11 @@ def _(t, spark):
     return readers.csv(spark, path, "p_partkey long, p_name string, p_retailprice double")
 
 
-@query("snk_05_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings", session=True)
+@query("snk_05_vector_upsert", "SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE label END AS label FROM embeddings", session=True)
 def _(t, spark):
     path = scratch(spark)
     writers.vector_table(t("embeddings").select("vec_id", "label"), path, {})
-    changed = t("embeddings").filter("vec_id % 3 = 0").select("vec_id", F.lit(-1).alias("label"))
+    changed = t("embeddings").filter("label < 5").select("vec_id", F.lit(-1).alias("label"))
     return spark.read.parquet(writers.upsert_table(spark, path, changed, ["vec_id"], [F.col("label")]))
 
 
@@ -219,10 +220,10 @@ def _(t):
     return t("embeddings").select("vec_id", F.round(ranking.mean_pool(parts, mask)[0], 5).alias("first"))
 
 
-@query("rnk_12_hybrid_cascade", f"WITH {BM25}, {KEYWORD} SELECT query_id, doc_id, bm25_rank AS rank, CAST(1 AS BIGINT) AS stage FROM bm WHERE bm25_rank <= 5 AND query_id % 2 = 0 UNION ALL SELECT query_id, doc_id, rank, 2 FROM kw WHERE rank <= 5 AND query_id % 2 = 1")
+@query("rnk_12_hybrid_cascade", f"WITH {BM25}, {KEYWORD}, es AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM bm WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'es')) SELECT query_id, doc_id, rank, CAST(1 AS BIGINT) AS stage FROM es WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank, 2 FROM kw WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM es)")
 def _(t):
     """The next list stands in for questions that the one before has nothing for."""
-    first = _bm25(t, 5).filter("query_id % 2 = 0").select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
+    first = _bm25(t, 5, visible=t("documents").filter("lang = 'es'").select("doc_id"), keep_zero=False).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
     return _out(ranking.cascade(first, _keyword(t).select("query_id", "doc_id", "rank")), "query_id", "doc_id", "rank", "stage")
 
 
@@ -234,25 +235,28 @@ def _(t, spark):
     return _out(ranking.search_index(_questions(t), T.legal_tokens(F.col("question")), path), "query_id", "doc_id", "bm25_score", "bm25_rank")
 
 
-@query("sel_07_query_failures", f"WITH {BM25} SELECT query_id, doc_id FROM bm WHERE bm25_rank <= 3 AND query_id IN (0, 2)")
+@query("sel_07_query_failures", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3")
 def _(t):
-    def search(q):
-        if q == "Q1":
-            raise ValueError("no such variant")
-        return _bm25(t, 3).filter(F.col("query_id") == int(q[1:])).select("query_id", "doc_id")
+    """The longest documents of each language, asked for one by one; a language that isn't known is left out."""
 
-    return fusion.run_queries(["Q0", "Q1", "Q2"], search)[0]
+    def search(lang):
+        if lang == "xx":
+            raise ValueError("no such language")
+        return t("documents").filter(F.col("lang") == lang).orderBy(F.desc("n_chars"), "doc_id").limit(3).select("lang", "doc_id")
 
+    return fusion.run_queries(["en", "xx", "de", "es", "fr"], search, "en")[0]
 
-@query("joi_15_predicted_truth", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'both' WHEN o_orderkey % 2 = 0 THEN 'predicted' ELSE 'truth' END AS side FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+
+@query("joi_15_predicted_truth", "WITH p AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), q AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT coalesce(p.k, q.k) AS k, CASE WHEN q.k IS NULL THEN 'predicted' WHEN p.k IS NULL THEN 'truth' ELSE 'both' END AS side FROM p FULL JOIN q ON p.k = q.k")
 def _(t):
-    key = t("orders").select(F.col("o_orderkey").alias("k"))
-    a, b = key.filter("k % 2 = 0").withColumn("__a", F.lit(1)), key.filter("k % 3 = 0").withColumn("__b", F.lit(1))
-    side = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), "both").when(F.col("__a").isNotNull(), "predicted").otherwise("truth")
-    return a.join(b, "k", "full_outer").select("k", side.alias("side"))
+    key = lambda state, c: t("orders").filter(F.col("o_orderstatus") == state).select(F.col("o_custkey").alias("k"), F.lit(1).alias(c)).distinct()
+    side = F.when(F.col("__b").isNull(), "predicted").when(F.col("__a").isNull(), "truth").otherwise("both")
+    return key("F", "__a").join(key("P", "__b"), "k", "full_outer").select("k", side.alias("side"))
 
 
-@query("evl_08_lexical_proxy", r"WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(substring(text, 1, 50)), '[\p{L}\p{N}]+')) AS c FROM conversations) SELECT conv_id, turn, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0 END, 6) AS faithfulness FROM w")
+@query("evl_08_lexical_proxy", r"WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')), '[\p{L}\p{N}]+')) AS c FROM conversations) SELECT conv_id, turn, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0 END, 6) AS faithfulness FROM w")
 def _(t):
-    p = evaluation.lexical_proxy(F.col("text"), F.substring("text", 1, 50), F.col("text"))
-    return t("conversations").select("conv_id", "turn", F.round(p["faithfulness"], 6).alias("faithfulness"))
+    """How much of a turn's words the turn before holds."""
+    rows = t("conversations").withColumn("before", F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    p = evaluation.lexical_proxy(F.col("text"), F.col("before"), F.col("text"))
+    return rows.select("conv_id", "turn", F.round(p["faithfulness"], 6).alias("faithfulness"))

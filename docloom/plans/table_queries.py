@@ -20,16 +20,15 @@ def _(t):
     return t("labels").join(t("documents").select("doc_id", "source"), "doc_id").select("doc_id", "quality", "toxic", "source")
 
 
-@query("joi_02_lookup", "SELECT c_custkey, coalesce(n_name, '') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON n_nationkey = c_nationkey")
+@query("joi_02_lookup", "SELECT doc_id, coalesce(CAST(quality AS VARCHAR), '') AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def _(t):
-    names = t("nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return t("customer").select("c_custkey", "c_nationkey").join(names, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"))
+    return t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"))
 
 
-@query("joi_03_full_outer", "SELECT coalesce(d.doc_id, v.vec_id) AS id, d.doc_id IS NOT NULL AS in_documents, v.vec_id IS NOT NULL AS in_vectors FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d FULL JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) v ON d.doc_id = v.vec_id")
+@query("joi_03_full_outer", "SELECT coalesce(d.doc_id, v.id) AS id, d.doc_id IS NOT NULL AS in_documents, v.id IS NOT NULL AS in_pages FROM documents d FULL JOIN (SELECT page_id * 7 AS id FROM pages) v ON d.doc_id = v.id")
 def _(t):
-    a = t("documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("in_documents"))
-    b = t("embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.lit(True).alias("in_vectors"))
+    a = t("documents").select(F.col("doc_id").alias("id"), F.lit(True).alias("in_documents"))
+    b = t("pages").select((F.col("page_id") * 7).alias("id"), F.lit(True).alias("in_pages"))
     return a.join(b, "id", "full_outer").fillna(False)
 
 
@@ -44,26 +43,25 @@ def _(t):
     return relations.contained_in(t("documents"), t("benchmark").withColumnRenamed("text", "pattern"))
 
 
-@query("joi_07_entity_number", "SELECT s_suppkey, coalesce(number, CAST(s_suppkey AS VARCHAR)) AS number FROM supplier LEFT JOIN (SELECT l_suppkey, min(CAST(l_orderkey AS VARCHAR)) AS number FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
+@query("joi_07_entity_number", "SELECT s_suppkey, coalesce(number, CAST(s_suppkey AS VARCHAR)) AS number FROM supplier LEFT JOIN (SELECT l_partkey, min(CAST(l_orderkey AS VARCHAR)) AS number FROM lineitem GROUP BY l_partkey) ON l_partkey = s_suppkey")
 def _(t):
-    first = t("lineitem").filter("l_linenumber = 7").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.min(F.col("l_orderkey").cast("string")).alias("number"))
+    first = t("lineitem").groupBy(F.col("l_partkey").alias("s_suppkey")).agg(F.min(F.col("l_orderkey").cast("string")).alias("number"))
     return t("supplier").select("s_suppkey").join(first, "s_suppkey", "left").select("s_suppkey", F.coalesce("number", F.col("s_suppkey").cast("string")).alias("number"))
 
 
-ENDS = "e AS (SELECT o_orderkey AS edge_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS target FROM orders WHERE o_orderkey < 5000)"
+ENDS = "e AS (SELECT o_orderkey AS edge_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS target FROM orders)"
 
 
 @query("joi_08_id_or_number", f"WITH {ENDS} SELECT DISTINCT edge_id, c_custkey AS document_id FROM e JOIN customer ON target = CAST(c_custkey AS VARCHAR) OR target = c_name")
 def _(t):
     key = F.col("o_custkey").cast("string")
-    edges = t("orders").filter("o_orderkey < 5000").select(F.col("o_orderkey").alias("edge_id"), F.when(F.col("o_orderkey") % 2 == 0, key).otherwise(F.concat(F.lit("Customer#"), F.lpad(key, 9, "0"))).alias("target"))
+    edges = t("orders").select(F.col("o_orderkey").alias("edge_id"), F.when(F.col("o_orderkey") % 2 == 0, key).otherwise(F.concat(F.lit("Customer#"), F.lpad(key, 9, "0"))).alias("target"))
     return relations.by_id_or_number(edges, t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("number"))).select("edge_id", "document_id")
 
 
-@query("joi_09_broken_keys", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("joi_09_broken_keys", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def _(t):
-    known = t("supplier").filter("s_suppkey % 2 = 0")
-    return integrity.broken_references(t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", known, "s_suppkey").select("l_orderkey", "l_linenumber")
+    return integrity.broken_references(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", t("supplier"), "s_suppkey").select("l_orderkey", "l_linenumber")
 
 
 @query("joi_10_without", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -240,22 +238,22 @@ def _(t):
     return t("lineitem").select("l_shipdate", "l_returnflag").distinct()
 
 
-PAIRS = "p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 10 AS b FROM orders WHERE o_orderkey % 2 = 0), q AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 10 AS b FROM orders WHERE o_orderkey % 3 = 0)"
+PAIRS = "p AS (SELECT DISTINCT l_suppkey AS a, l_quantity AS b FROM lineitem WHERE l_returnflag = 'R'), q AS (SELECT DISTINCT l_suppkey AS a, l_quantity AS b FROM lineitem WHERE l_returnflag = 'A')"
 
 
-def _pairs(t, n):
-    return t("orders").filter(F.col("o_orderkey") % n == 0).select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 10).alias("b"))
+def _pairs(t, flag):
+    return t("lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("a"), F.col("l_quantity").alias("b"))
 
 
 @query("set_01_intersect", f"WITH {PAIRS} SELECT a, b FROM p INTERSECT SELECT a, b FROM q")
 def _(t):
-    return _pairs(t, 2).intersect(_pairs(t, 3))
+    return _pairs(t, "R").intersect(_pairs(t, "A"))
 
 
-@query("set_02_precedence_union", "SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+@query("set_02_precedence_union", "SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(t):
-    rows = lambda n: t("orders").filter(F.col("o_orderkey") % n == 0).select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
-    return relations.precedence_union(rows(2), rows(3), ["a"])
+    rows = lambda state: t("orders").filter(F.col("o_orderstatus") == state).select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
+    return relations.precedence_union(rows("F"), rows("P"), ["a"])
 
 
 @query("set_03_concat", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region")
@@ -275,7 +273,7 @@ def _(t):
 
 @query("evl_05_relation_scores", f"WITH {PAIRS}, c AS (SELECT (SELECT count(*) FROM p JOIN q USING (a, b)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM q) AS nq) SELECT tp, np - tp AS fp, nq - tp AS fn, round(tp / np, 6) AS precision, round(tp / nq, 6) AS recall, round(2 * tp / (np + nq), 6) AS f1 FROM c")
 def _(t):
-    out = evaluation.relation_scores(_pairs(t, 2), _pairs(t, 3), ["a", "b"])
+    out = evaluation.relation_scores(_pairs(t, "R"), _pairs(t, "A"), ["a", "b"])
     return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -286,9 +284,9 @@ def _(t):
 
 # graphs: nations are nodes, each linked to two others
 
-EDGES = "edges AS (SELECT n_name AS src, 'NATION_' || CAST((n_nationkey + 3) % 25 AS VARCHAR) AS dst, 'A' AS kind, n_nationkey AS edge_id FROM nation UNION ALL SELECT n_name, 'NATION_' || CAST(n_nationkey * 2 % 25 AS VARCHAR), 'B', n_nationkey + 100 FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey > 0)"
+EDGES = "edges AS (SELECT n_name AS src, 'NATION_' || CAST((n_nationkey + 3) % 25 AS VARCHAR) AS dst, 'A' AS kind, n_nationkey AS edge_id FROM nation UNION ALL SELECT n_name, 'NATION_' || CAST(n_nationkey * 2 % 25 AS VARCHAR), 'B', n_nationkey + 100 FROM nation WHERE n_nationkey > 0)"
 TRAILS = f"""WITH RECURSIVE {EDGES}, bi AS (SELECT src AS f, dst AS t, kind, edge_id FROM edges UNION ALL SELECT dst, src, kind, edge_id FROM edges),
-w AS (SELECT n_name AS seed, n_name AS node, 0 AS hop, CAST([] AS VARCHAR[]) AS path, CAST([] AS BIGINT[]) AS used FROM nation WHERE n_nationkey < 5
+w AS (SELECT n_name AS seed, n_name AS node, 0 AS hop, CAST([] AS VARCHAR[]) AS path, CAST([] AS BIGINT[]) AS used FROM nation
 UNION ALL SELECT seed, t, hop + 1, list_append(path, kind), list_append(used, CAST(edge_id AS BIGINT)) FROM w JOIN bi ON f = node WHERE hop < 2 AND NOT list_contains(used, edge_id)),
 trails AS (SELECT DISTINCT seed, node, hop, array_to_string(path, '>') AS path FROM w WHERE hop > 0 AND node <> seed)"""
 
@@ -297,12 +295,12 @@ def _edges(t):
     n = t("nation")
     name = lambda c: F.concat(F.lit("NATION_"), c.cast("string")).alias("dst")
     a = n.select(F.col("n_name").alias("src"), name((F.col("n_nationkey") + 3) % 25), F.lit("A").alias("kind"), F.col("n_nationkey").cast("long").alias("edge_id"))
-    b = n.filter("n_nationkey % 3 = 0 and n_nationkey > 0").select(F.col("n_name").alias("src"), name(F.col("n_nationkey") * 2 % 25), F.lit("B").alias("kind"), (F.col("n_nationkey") + 100).cast("long").alias("edge_id"))
+    b = n.filter("n_nationkey > 0").select(F.col("n_name").alias("src"), name(F.col("n_nationkey") * 2 % 25), F.lit("B").alias("kind"), (F.col("n_nationkey") + 100).cast("long").alias("edge_id"))
     return a.unionByName(b)
 
 
 def _trails(t, hops=2):
-    return graph.expand(t("nation").filter("n_nationkey < 5").select(F.col("n_name").alias("node")), _edges(t), hops)
+    return graph.expand(t("nation").select(F.col("n_name").alias("node")), _edges(t), hops)
 
 
 @query("grf_01_expand", TRAILS + " SELECT seed, node, CAST(hop AS BIGINT) AS hop, path FROM trails")
@@ -321,11 +319,11 @@ def _(t):
     return graph.hop_summary(_trails(t)).select(F.col("hop").cast("long").alias("hop"), "n_nodes", "n_trails")
 
 
-@query("grf_03_hints", f"WITH {EDGES}, able AS (SELECT n_name FROM nation WHERE n_nationkey % 4 <> 1) SELECT src, kind, dst FROM edges WHERE (src IN ('NATION_0', 'NATION_3') OR dst IN ('NATION_0', 'NATION_3')) AND src IN (FROM able) AND dst IN (FROM able) ORDER BY src, kind, dst LIMIT 10")
+@query("grf_03_hints", f"WITH {EDGES}, able AS (SELECT n_name FROM nation WHERE n_nationkey % 4 <> 1) SELECT src, kind, dst FROM edges WHERE src IN (FROM able) AND dst IN (FROM able) ORDER BY src, kind, dst LIMIT 10")
 def _(t):
     roles = F.when(F.col("n_nationkey") % 4 == 1, F.array(F.lit("HR"))).when(F.col("n_nationkey") % 4 == 2, F.lit(None)).otherwise(F.array(F.lit("Staff")))
     nodes = t("nation").select(F.col("n_name").alias("node"), roles.alias("allowed_roles"))
-    seeds = t("nation").filter("n_nationkey in (0, 3)").select(F.col("n_name").alias("node"))
+    seeds = t("nation").select(F.col("n_name").alias("node"))
     return graph.hints(seeds, _edges(t), nodes, ["Staff"]).select("src", "kind", "dst")
 
 
@@ -346,10 +344,10 @@ def _(t):
     return graph.orphans(t("part").select("p_partkey"), t("lineitem"), "p_partkey", "l_partkey", "l_suppkey")
 
 
-@query("grf_07_neighbourhood", "SELECT n_name AS node, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END) FILTER (WHERE s_suppkey % 2 = 0)), ','), '') AS first FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+@query("grf_07_neighbourhood", "SELECT n_name AS node, coalesce(array_to_string(list_sort(list(DISTINCT s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), ','), '') AS first FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
 def _(t):
-    first = t("supplier").filter("s_suppkey % 2 = 0").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("src"), F.col("s_suppkey").alias("dst"))
-    second = t("lineitem").filter("l_linenumber > 6").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    first = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("src"), F.col("s_suppkey").alias("dst"))
+    second = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     out = graph.seed_neighbourhood(t("nation").select(F.col("n_name").alias("node")), first, second)
     return out.select("node", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))
 
@@ -360,13 +358,13 @@ def _(t):
     return graph.review_queue(t("orders").withColumn("status", status), confidence="o_totalprice").select("o_orderkey", "o_totalprice")
 
 
-UPSERTED = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -1, 'new'"
+UPSERTED = "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'changed' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -1 - r_regionkey, 'new' FROM region"
 
 
 def _upserted(t, times=1):
     rows = t("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("value"))
-    changes = t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("long").alias("id"), F.lit("changed").alias("value"))
-    changes = changes.unionByName(t("region").filter("r_regionkey = 0").select(F.lit(-1).cast("long").alias("id"), F.lit("new").alias("value")))
+    changes = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id"), F.lit("changed").alias("value"))
+    changes = changes.unionByName(t("region").select((-1 - F.col("r_regionkey")).cast("long").alias("id"), F.lit("new").alias("value")))
     for _ in range(times):
         rows = graph.upsert(rows, changes, ["id"], [F.col("value")])
     return rows
@@ -382,15 +380,15 @@ def _(t):
     return _upserted(t, 2)
 
 
-@query("grf_10_reconcile", "WITH a AS (SELECT o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderstatus AS kind, count(*) AS n FROM orders WHERE o_orderkey % 100 > 0 GROUP BY 1) SELECT a.kind, a.n AS in_table, coalesce(b.n, 0) AS in_graph, abs(a.n - coalesce(b.n, 0)) <= 100 AS agrees FROM a LEFT JOIN b ON a.kind = b.kind")
+@query("grf_10_reconcile", "WITH a AS (SELECT o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT l_linestatus AS kind, count(*) AS n FROM lineitem GROUP BY 1) SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.n, 0) AS in_table, coalesce(b.n, 0) AS in_graph, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) <= 100 AS agrees FROM a FULL JOIN b ON a.kind = b.kind")
 def _(t):
-    rows = t("orders").select(F.col("o_orderstatus").alias("kind"), "o_orderkey")
-    return graph.reconcile(rows, rows.filter("o_orderkey % 100 > 0"), "kind", 100)
+    return graph.reconcile(t("orders").select(F.col("o_orderstatus").alias("kind")), t("lineitem").select(F.col("l_linestatus").alias("kind")), "kind", 100)
 
 
-@query("snk_04_stub_nodes", f"WITH {EDGES} SELECT DISTINCT x AS node FROM (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) WHERE x NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 20)")
+@query("snk_04_stub_nodes", "SELECT DISTINCT 'NATION_' || CAST((n_nationkey * 2) % 30 AS VARCHAR) AS node FROM nation WHERE (n_nationkey * 2) % 30 > 24")
 def _(t):
-    return graph.stub_nodes(t("nation").filter("n_nationkey < 20").select(F.col("n_name").alias("node")), _edges(t))
+    edges = t("nation").select(F.col("n_name").alias("src"), F.concat(F.lit("NATION_"), (F.col("n_nationkey") * 2 % 30).cast("string")).alias("dst"))
+    return graph.stub_nodes(t("nation").select(F.col("n_name").alias("node")), edges)
 
 
 # relations and entities
@@ -426,12 +424,12 @@ def _(t):
     return out.select("o_orderkey", "status", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("etl_06_entities", "SELECT CAST(c_custkey AS VARCHAR) AS document_id, c_mktsegment AS entity, 'segment' AS entity_type FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'name' FROM customer UNION ALL SELECT CAST(event_id AS VARCHAR), 'k' || CAST(json_extract(props, '$.k') AS VARCHAR), 'key' FROM events WHERE event_id < 500")
+@query("etl_06_entities", "SELECT CAST(c_custkey AS VARCHAR) AS document_id, c_mktsegment AS entity, 'segment' AS entity_type FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'name' FROM customer UNION ALL SELECT CAST(event_id AS VARCHAR), 'k' || CAST(json_extract(props, '$.k') AS VARCHAR), 'key' FROM events")
 def _(t):
     rows = t("customer").select(F.col("c_custkey").alias("id"), "c_name", F.when(F.col("c_custkey") % 5 == 0, "Chưa phân loại").otherwise(F.col("c_mktsegment")).alias("segment"))
     a = relations.entities_from_metadata(rows, {"segment": "segment", "c_name": "name"})
     answer = F.concat(F.lit('Here: {"entities": [{"name": "k'), F.get_json_object("props", "$.k"), F.lit('", "type": "key"}]} done'))
-    b = relations.entities_from_json(t("events").filter("event_id < 500").select(F.col("event_id").alias("id"), answer.alias("answer")))
+    b = relations.entities_from_json(t("events").select(F.col("event_id").alias("id"), answer.alias("answer")))
     return a.unionByName(b).select("document_id", "entity", "entity_type")
 
 
@@ -482,10 +480,10 @@ def _(t):
     return _secure_bm25(t).select("query_id", "doc_id", F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
-@query("sec_06_secure_dense", f"WITH {TAGGED}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(qv AS DOUBLE[]), CAST(qv AS DOUBLE[]))), 9) AS sim FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT doc_id FROM roled WHERE list_contains(allowed_roles, 'Staff'))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, place FROM r WHERE place <= 10")
+@query("sec_06_secure_dense", f"WITH {TAGGED}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(qv AS DOUBLE[]), CAST(qv AS DOUBLE[]))), 9) AS sim FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT doc_id FROM roled WHERE list_contains(allowed_roles, 'Staff'))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, place FROM r WHERE place <= 10")
 def _(t):
     able = security.accessible(_roled(t), "Staff").select(F.col("doc_id").alias("vec_id"))
-    asked = t("embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return ranking.dense_rank(t("embeddings"), asked, 10, visible=able).select("query_id", "vec_id", F.col("semantic_rank").cast("long").alias("place"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import html as H
 from docloom.functions import text as T
-from docloom.operators import fusion, hierarchy, integrity, relations
+from docloom.operators import hierarchy, integrity, relations
 from docloom.plans.registry import query
 
 WORDS = r"(\p{Nd}+|[\p{L}\p{N}]+)"
@@ -224,10 +224,10 @@ def _(t):
     return t("conversations").select("conv_id", "turn", T.preview(F.col("text")).alias("preview"))
 
 
-@query("prj_05_context_block", "SELECT conv_id, turn, CASE WHEN turn = 0 THEN '[direct] ' ELSE '[hop ' || CAST(turn AS VARCHAR) || ': ' || 'a -> ' || role || '] ' END || substring(text, 1, 40) AS block FROM conversations")
+@query("prj_05_context_block", "SELECT conv_id, turn, CASE WHEN turn = 0 THEN '[direct] ' ELSE '[hop ' || CAST(turn AS VARCHAR) || ': ' || 'a -> ' || role || '] ' END || text AS block FROM conversations")
 def _(t):
     tag = F.when(F.col("turn") == 0, "[direct] ").otherwise(F.concat(F.lit("[hop "), F.col("turn").cast("string"), F.lit(": "), F.array_join(F.array(F.lit("a"), F.col("role")), " -> "), F.lit("] ")))
-    return t("conversations").select("conv_id", "turn", F.concat(tag, F.substring("text", 1, 40)).alias("block"))
+    return t("conversations").select("conv_id", "turn", F.concat(tag, "text").alias("block"))
 
 
 @query("prj_06_wide_union", "SELECT 'C' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS category, CAST(NULL AS INTEGER) AS size FROM customer UNION ALL SELECT 'P' || CAST(p_partkey AS VARCHAR), p_name, NULL, p_size FROM part UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), s_name, NULL, NULL FROM supplier")
@@ -390,13 +390,3 @@ def _(t):
     variant = F.parse_json(F.concat(F.lit('[{"type": "Article ", "label": "k'), F.get_json_object("props", "$.k"), F.lit('"}, {"type": "note", "label": "x"}]')))
     path = hierarchy.structure_path(variant)
     return t("events").select("event_id", path["article"].alias("article"), path["chapter"].alias("chapter"))
-
-
-@query("rrk_02_heuristic_score", r"""
-WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, lower(text) AS t FROM documents),
-w AS (SELECT item_id, q, list_distinct(regexp_extract_all(q, '[\p{L}\p{N}_]+')) AS wq FROM q), v AS (SELECT doc_id, t, list_distinct(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS wt FROM d)
-SELECT item_id, doc_id, round(least(len(list_intersect(wq, wt)), 12) * 0.06 + CASE WHEN contains(q, 'the') AND contains(t, 'the') THEN 0.12 ELSE 0 END + CASE WHEN contains(q, 'with') THEN CASE WHEN contains(t, 'from') THEN 0.04 ELSE 0 END ELSE 0 END + CASE WHEN contains(q, 'and') AND contains(t, 'and') THEN 0.06 ELSE 0 END + CASE WHEN contains(q, 'that') THEN 0.05 ELSE 0 END, 6) AS score FROM w CROSS JOIN v""")
-def _(t):
-    q = t("benchmark").filter("item_id < 5").select("item_id", F.col("text").alias("q"))
-    met = t("documents").select("doc_id", "text").crossJoin(F.broadcast(q))  # five questions: the feature under test
-    return met.select("item_id", "doc_id", F.round(fusion.heuristic_score(F.col("q"), F.col("text"), ("the",), ("with",), ("from",), {"and": 0.06}, ("that",)), 6).alias("score"))

@@ -5,10 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table is broadcast beside another.
+FEW = 10_000
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in ``spark.checkpoint.dir``; only where that isn't set, as in tests, in a temporary folder."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-scratch-")
     return f"{folder}/scratch-{uuid.uuid4().hex}"
+
+
+def beside(rows: DataFrame, few: DataFrame, most: int = FEW) -> DataFrame:
+    """All pairs with a stated small set, such as questions. It is counted first: only a set of at most ``most`` rows is
+    broadcast; for a larger one Spark pairs the two in blocks of partitions."""
+    small = few.limit(most + 1).count() <= most
+    return rows.crossJoin(F.broadcast(few) if small else few)
