@@ -89,7 +89,7 @@ def audit_event(rows: DataFrame, action: Column, role: Column, query: Column, re
     )
 
 
-def origin(number: Column, title: Column, internal=("nội bộ", "agribank", "quy chế")) -> Column:
+def origin(number: Column, title: Column, internal=("nội bộ", "quy chế")) -> Column:
     """Whether a document is the house's own, by its number or title."""
     has = F.array_contains(F.array(*[F.coalesce(F.lower(F.concat_ws(" ", number, title)).contains(w), F.lit(False)) for w in internal]), True)
     return F.when(has, "internal").otherwise("external")
