@@ -26,10 +26,9 @@ def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens:
     ``keep_zero`` the places that are left go to documents without any, by key. ``visible`` restricts what is
     ranked, while statistics stay those of all documents.
 
-    The questions' terms go to the documents, not the documents' tokens to the questions: a text is cut down to the
-    terms that are asked for where it is read, and only scores of a question and document are shuffled, summed up
-    before. The terms of one batch of questions must fit in a row. Document frequencies are counts of distinct
-    tokens, summed up before the shuffle too.
+    A text's tokens are cut down to the terms that are asked for before they are counted, so only those are shuffled,
+    summed up before; where the questions' terms are few, Spark sends them to the documents. Document frequencies are
+    counts of distinct tokens, summed up before the shuffle too.
     """
     asked = questions.select(question_key, F.explode(question_tokens).alias("term")).groupBy(question_key, "term").agg(F.count(F.lit(1)).alias("times"))
     each = docs.select(key, tokens.alias("__tokens"))
@@ -38,9 +37,10 @@ def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens:
     raw = frequent.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     weights = raw.join(asked, "term").crossJoin(F.broadcast(mean)).select(question_key, "term", "mean_length", (F.col("times") * F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))).alias("weight"))  # mean: one row
-    wanted = asked.agg(F.collect_set("term").alias("__wanted"))
-    met = (each if visible is None else each.join(visible.select(key), key, "left_semi")).crossJoin(F.broadcast(wanted))  # wanted: one row
-    found = met.select(key, F.size("__tokens").alias("length"), F.explode(F.transform(F.array_intersect("__tokens", "__wanted"), lambda t: F.struct(t.alias("term"), F.size(F.filter("__tokens", lambda x: x == t)).alias("tf")))).alias("t")).select(key, "length", "t.*")
+    wanted = asked.select("term").distinct()
+    met = each if visible is None else each.join(visible.select(key), key, "left_semi")
+    tokens_met = met.select(key, F.size("__tokens").alias("length"), F.explode("__tokens").alias("term")).join(wanted, "term", "left_semi")
+    found = tokens_met.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     parts = found.join(weights, "term").select(question_key, key, part.alias("part"))
     if keep_zero:
