@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction. DataFrame functions only.
 
-Patterns of known kinds (mail and network addresses, payment cards, telephone numbers) give seed entities. What stands
-beside a seed and how the seed is built induces lexical patterns. Patterns and the identifier-like words that they match
-make up a graph; round by round, a pattern is scored by the share of its words that are believed to be of a kind, and
-a word by the patterns that match it. Words of high belief become further spans of the kind.
+Patterns of known kinds (mail and network addresses, payment cards, telephone numbers) give seed entities, of one word
+or more. What stands beside a seed and how the seed is built induces lexical patterns. Patterns and the identifier-like
+words that they match make up a graph; round by round, a pattern is scored by the share of its words that are believed
+to be of a kind, and a word by the patterns that match it. Words of high belief become further spans of the kind.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,14 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-#: Words that can be identifiers of people: some digits, and of limited length.
-LEAST_DIGITS, MOST_LETTERS = 6, 64
+#: Longer words and shapes are compared by their digests, so no key grows with a text.
+MOST_LETTERS = 64
 #: Rounds of scoring; believed seeds that a pattern needs; least scores of a pattern and of an accepted word.
 ROUNDS, SUPPORT, CONFIDENT, ACCEPTED = 3, 5, 0.8, 0.95
-#: Letters of a neighbouring word that a pattern looks at.
-BESIDE = 16
+#: Letters beside a word in which a pattern looks for the neighbouring word.
+BESIDE = 32
+#: Tables of at most so many shapes are broadcast.
+FEW_SHAPES = 10_000
 
 
 def _digits(match: Column) -> Column:
@@ -68,25 +72,38 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-SPAN = "struct<start:int,end:int,word:string>"
+SPAN = "struct<start:int,end:int,word:string,left:string,right:string>"
+
+
+def _neighbour(beside: Column, pattern: str, attached: str) -> Column:
+    """The word next to a place, past punctuation that touches the place, without punctuation of its own if it has more."""
+    word = F.regexp_extract(F.regexp_replace(beside, attached, ""), pattern, 1)
+    bare = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.lower(F.when(bare == "", word).otherwise(bare))
 
 
 def _found(text: Column, matches: Column, pattern: str) -> Column:
-    """Matches with their places in code points: they and the pieces between them make up the text."""
-    pieces = F.split(text, pattern, -1)
+    """Matches with their places in code points and their neighbours: they and the pieces between them make up the text."""
+    pieces, n = F.split(text, pattern, -1), F.size(matches)
     none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("word")))).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["word"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word"), x["left"].alias("left"), x["right"].alias("right")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.when(F.size(matches) == 0, none["out"]).otherwise(F.aggregate(pairs, none, step)["out"])
+    tail, head = (lambda c: F.substring(c, -BESIDE, BESIDE)), (lambda c: F.substring(c, 1, BESIDE))
+    # a neighbour lies in the piece beside a match, or is the match beyond it
+    empty = F.array(F.lit(""))
+    before = F.zip_with(F.concat(empty, F.slice(matches, 1, n - 1)), F.slice(pieces, 1, n), lambda m, p: F.struct(F.length(p).alias("gap"), _neighbour(F.concat(tail(m), tail(p)), r"(\S+)\s*$", r"[^\s\p{L}\p{N}]+$").alias("left")))
+    after = F.zip_with(F.slice(pieces, 2, n), F.concat(F.slice(matches, 2, n - 1), empty), lambda p, m: _neighbour(F.concat(head(p), head(m)), r"^\s*(\S+)", r"^[^\s\p{L}\p{N}]+"))
+    sided = F.zip_with(before, after, lambda x, right: F.struct(x["gap"].alias("gap"), x["left"].alias("left"), right.alias("right")))
+    pairs = F.zip_with(sided, matches, lambda x, m: F.struct(x["gap"].alias("gap"), m.alias("word"), x["left"].alias("left"), x["right"].alias("right")))
+    return F.when(n == 0, none["out"]).otherwise(F.aggregate(pairs, none, step)["out"])
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a column ``spans_<kind>`` of (start, end, word) for each kind. Null texts count as empty."""
+    """Adds a column ``spans_<kind>`` of (start, end, word, left, right) for each kind. Null texts count as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     # what a text needs for any match: these plain searches spare most texts the patterns
     need = {"email": t.contains("@"), "ip": t.rlike("[0-9]"), "card": t.rlike("[0-9]"), "phone": t.contains("+")}
@@ -95,32 +112,44 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop(*[f"__match_{k}" for k in KINDS])
 
 
-#: Words with a digit, from the start of the word.
-_WORD = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
+#: Characters of identifiers. Words of them with a digit or an @, from the start of the word; and two or more groups of
+#: digits that single spaces part.
+_OF = r"A-Za-z._%+\x2D\x80-\x{10FFFF}"
+_WORD = rf"(?<![0-9@{_OF}])[{_OF}]*+[0-9@][0-9@{_OF}]*+"
+_GROUP = r"[0-9][0-9().\x2D]*+(?![A-Za-z@_%+\x80-\x{10FFFF}])"
+_GROUPS = rf"(?<![0-9@({_OF}])[+(]*+{_GROUP}(?: [(]?{_GROUP})++"
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``candidates``: identifier-like words, without punctuation at their ends, with their places and neighbours."""
+    """Adds ``candidates``: identifier-like words, and runs of digit groups as one, with their places and neighbours.
+
+    They are without punctuation at their ends. A run is listed besides its words, as either can be the identifier.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("__words", F.when(t.rlike("[0-9]"), F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__places", _found(t, F.col("__words"), _WORD)).drop("__words")
+    need = {"__words": (_WORD, t.rlike("[0-9@]")), "__groups": (_GROUPS, t.rlike("[0-9)] [(]?[0-9]"))}
+    df = docs.withColumns({c: F.when(some, F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for c, (p, some) in need.items()})
 
     def core(s: Column) -> Column:
-        front = F.length(F.regexp_extract(s["word"], r"^[^A-Za-z0-9+]*+", 0))
-        word = F.regexp_extract(s["word"], r"^[^A-Za-z0-9+]*+(.*[A-Za-z0-9])", 1)
-        start = s["start"] + front
-        left = F.substring(t, F.greatest(s["start"] - 2 * BESIDE, F.lit(0)) + 1, F.least(F.lit(2 * BESIDE), s["start"]))
-        right = F.substring(t, s["end"] + 1, F.lit(2 * BESIDE))
-        return F.struct(start.alias("start"), (start + F.length(word)).alias("end"), word.alias("word"), F.lower(F.regexp_extract(left, r"(\S+)\s*$", 1)).alias("left"), F.lower(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("right"))
+        start = s["start"] + F.length(F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+]*+", 0))
+        word = F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+]*+(.*[\p{L}\p{N}])", 1)
+        return F.struct(start.alias("start"), (start + F.length(word)).alias("end"), word.alias("word"), s["left"].alias("left"), s["right"].alias("right"))
 
-    df = df.withColumn("candidates", F.transform(F.filter("__places", lambda s: (F.length(_digits(s["word"])) >= LEAST_DIGITS) & (F.length(s["word"]) <= MOST_LETTERS)), core))
-    return df.drop("__places")
+    found = F.concat(*[_found(t, F.col(c), p) for c, (p, _) in need.items()])
+    return df.withColumn("candidates", F.filter(F.transform(found, core), lambda s: s["word"] != "")).drop(*need)
+
+
+def _short(c: Column) -> Column:
+    return F.when(F.length(c) > MOST_LETTERS, F.sha2(c, 256)).otherwise(c)
 
 
 def _shape(word: Column) -> Column:
-    """How a word is built: runs of digits, of letters, of both; other characters stay."""
-    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"[A-Za-z][0-9A-Za-z]*[0-9][0-9A-Za-z]*|[0-9]+[A-Za-z][0-9A-Za-z]*", "x"), "[A-Za-wyz]+", "a"), "[0-9]+", "9")
-    return F.concat_ws("/", runs, F.length(word).cast("string"))
+    """How a word is built: parts with a letter, runs of digits; other characters stay.
+
+    Parts of a word are what @, blanks and parentheses part. Digits alone say little, so a single run of them has its
+    order of magnitude: 6 to 11, 12 to 22, and so on.
+    """
+    runs = F.regexp_replace(F.regexp_replace(word, r"[0-9._%+\x2D]*+[A-Za-z\x80-\x{10FFFF}][^@ ()]*+", "w"), "[0-9]+", "9")
+    return _short(F.when(runs == "9", F.concat_ws("/", runs, F.round(F.log2(F.length(word))).cast("int").cast("string"))).otherwise(runs))
 
 
 def _mark(beliefs: DataFrame) -> tuple:
@@ -131,10 +160,10 @@ def _mark(beliefs: DataFrame) -> tuple:
 def discover(occurrences: DataFrame) -> DataFrame:
     """Rows (word, kind) that are believed of a kind without being seeds.
 
-    ``occurrences`` has word, left, right and kind, null where no seed covers the word. Each round costs two joins of
+    ``occurrences`` has word, shape, left, right and kind, null where the word is no seed. Each round costs two joins of
     distinct (pattern, word) pairs; these are few beside the texts, and what is counted at a pattern is a sum.
     """
-    edges = occurrences.select("word", "kind", F.explode(F.array(F.concat(F.lit("<"), F.col("left"), F.lit(" "), _shape(F.col("word"))), F.concat(F.lit(">"), F.col("right"), F.lit(" "), _shape(F.col("word"))))).alias("pattern"))
+    edges = occurrences.select("word", "kind", F.explode(F.array(F.concat(F.lit("<"), F.col("left"), F.lit(" "), F.col("shape")), F.concat(F.lit(">"), F.col("right"), F.lit(" "), F.col("shape")))).alias("pattern"))
     known = cut(edges.groupBy("pattern", "word").agg(F.max("kind").alias("kind")))
     seeds = known.filter("kind is not null").groupBy("word").agg(F.max("kind").alias("kind")).select("word", "kind", F.lit(1.0).alias("belief"))
     pairs = known.select("pattern", "word")
@@ -164,8 +193,15 @@ def further_spans(marked: DataFrame, key: str) -> DataFrame:
 
     ``marked`` has the key, the base spans and the candidates of each row.
     """
-    kind_of = F.coalesce(*[F.when(_covering(F.col(f"spans_{k}"), F.col("c")), F.lit(k)) for k in KINDS])
-    occurrences = cut(marked.select(key, *[f"spans_{k}" for k in KINDS], F.explode("candidates").alias("c")).select(key, kind_of.alias("kind"), "c.*"))
+    spans = [f"spans_{k}" for k in KINDS]
+    seed = lambda k: F.transform(f"spans_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s.alias("c")))
+    seeds = marked.select(key, F.explode(F.concat(*map(seed, KINDS))).alias("s")).select(key, "s.kind", "s.c.*").withColumn("shape", _shape(F.col("word")))
+    shapes = cut(seeds.select(F.col("shape").alias("__shape")).distinct())
+    others = F.filter("candidates", lambda c: ~functools.reduce(lambda x, y: x | y, [_covering(F.col(s), c) for s in spans]))
+    others = marked.select(key, F.explode(others).alias("c")).select(key, F.lit(None).cast("string").alias("kind"), "c.*").withColumn("shape", _shape(F.col("word")))
+    if shapes.count() <= FEW_SHAPES:  # no pattern of another shape can have a seed
+        others = others.join(F.broadcast(shapes), F.col("shape") == F.col("__shape"), "left_semi")
+    occurrences = cut(seeds.unionByName(others).withColumn("word", _short(F.col("word"))))
     new = discover(occurrences)
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     hits = occurrences.filter("kind is null").drop("kind").join(new, "word").select(key, F.struct(place.alias("kind"), "start", "end").alias("s"))

@@ -171,6 +171,26 @@ def test_discovers_what_stands_where_seeds_stand(spark, docs):
     assert clean[100] == "please charge [CARD] today and go" and clean[0] == "please charge [CARD] today and thank you 0" and clean[102] == "nothing here"
 
 
+@pytest.mark.parametrize(
+    ("kind", "seed", "unseen", "other"),
+    [
+        ("email", "die.{i}@mail{i}.example.com", "anna.lee@localhost", "anna.lee"),
+        ("ip", "10.0.{i}.1", "10.0.7.999", "10.0.7"),
+        ("card", "4111 1111 1111 {c}", "4111 1111 1111 1112", "4111 1112"),
+        ("phone", "+1 (0{i}) 555-77{i}", "+1 (17) 55-13", "17 55-13"),
+    ],
+)
+def test_discovers_every_kind(spark, docs, kind, seed, unseen, other):
+    valid = [f"{c:04}" for c in range(400) if "card:0:19" in plain_spans(f"4111 1111 1111 {c:04}")]
+    rows = [(i, f"please take ({seed.format(i=i + 10, c=valid[i])}), today and go", "en", "a", 0) for i in range(25)]
+    rows += [(100, f"please take ({unseen}), today and go", "en", "a", 0), (101, f"we saw {unseen} there", "en", "a", 0), (102, f"please take ({other}), today and go", "en", "a", 0)]
+    assert not plain_spans(rows[25][1]) and all(plain_spans(r[1]) for r in rows[:25])
+    got = {r.doc_id: r.spans for r in pii.extract(docs(rows)).collect()}
+    assert got[100] == f"{kind}:13:{13 + len(unseen)}" and got[101] == f"{kind}:7:{7 + len(unseen)}" and got[102] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(docs(rows)).collect()}
+    assert clean[100] == f"please take ([{kind.upper()}]), today and go" and clean[102] == rows[27][1]
+
+
 def test_redaction_of_overlapping_kinds(spark, docs):
     text = "write to a@b.co or +1 (234) 567-8901, host 10.0.0.1."
     assert pii.redact(docs([(1, text, "en", "a", 0)])).first().text == "write to [EMAIL] or [PHONE], host [IP]."
