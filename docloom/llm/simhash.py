@@ -6,8 +6,9 @@ distance plus one, no pair is missed. A dynamic program over estimated candidate
 of partitions. Each fingerprint is filed under the values of a partition that are half the threshold away, so that two
 within the threshold meet, and every candidate is verified on the whole fingerprint.
 
-A fingerprint may go on over further words of 64 bits. The first word is probed then, and all words verify: this holds a
-wider distance, as a similarity of 0.8 needs, without linking texts that agree in the first word by chance.
+A fingerprint may go on over further words of 64 bits. Single words are probed then, and all words choose candidates:
+this holds a wider distance, as a similarity of 0.8 needs, without meeting texts that agree in one word by chance. What
+decides on candidates is the exact similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut, map_texts, ship
+from docloom.llm.runtime import cut, map_texts, ship, staged
 
 BITS = 64
 #: Fingerprints of one block of a large bucket; a bucket with more is dealt out by pairs of blocks.
@@ -33,6 +34,10 @@ SMALL = 256
 ROW_COST = 1500.0
 #: Most partitions that are tried, and most flipped bits under which a fingerprint is filed.
 PARTITIONS, FLIPS = 8, 2
+#: Words of a longer fingerprint that are probed, one after the other; standard errors that all words may lie beyond what is expected.
+PROBES, ERRORS = 2, 3
+#: Texts that have links are found by a broadcast of their keys, up to so many.
+FEW_LINKED = 1_000_000
 #: The finaliser of splitmix64 and its step; they make further hashes of one.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -93,10 +98,10 @@ def fingerprints(docs: DataFrame, width: int = 5, text: str = "text", keep=("doc
     return map_texts(docs, lambda: run, [(c, "long") for c in word_columns(words)], text, keep)
 
 
-def most_bits(similarity: float, words: int) -> int:
-    """Bits that sets of shingles of a Jaccard similarity differ in, with one standard error above what is expected."""
+def most_bits(similarity: float, words: int, errors: float = 1) -> int:
+    """Bits that sets of shingles of a Jaccard similarity differ in, with some standard errors above what is expected."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(BITS * words * share + np.sqrt(BITS * words * share * (1 - share)))
+    return int(BITS * words * share + errors * np.sqrt(BITS * words * share * (1 - share)))
 
 
 def bit_counts(distinct: DataFrame) -> np.ndarray:
@@ -182,7 +187,7 @@ def allot(counts: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple[
     return best
 
 
-def _file(plan: list[tuple[list[int], int]], words: int):
+def _file(plan: list[tuple[list[int], int]], columns: list[str]):
     """A row for each fingerprint and value of each partition that it is filed under."""
     bit = [np.uint64(1 << (BITS - 1 - b)) for b in range(BITS)]
     masks = [np.bitwise_or.reduce([bit[b] for b in group]) for group, _ in plan]
@@ -194,7 +199,7 @@ def _file(plan: list[tuple[list[int], int]], words: int):
             for k, mask in enumerate(masks):
                 part = pa.array(np.full(len(fps), k, np.int32))
                 for flip in flips[k]:
-                    yield pa.RecordBatch.from_arrays([part, pa.array(((fps ^ flip) & mask).view(np.int64)), *batch.columns], names=["part", "value", *word_columns(words)])
+                    yield pa.RecordBatch.from_arrays([part, pa.array(((fps ^ flip) & mask).view(np.int64)), *batch.columns], names=["part", "value", *columns])
 
     return over
 
@@ -221,15 +226,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[others], nodes[root[others]]
 
 
-def _links(distance: int, most: int, words: int):
-    """Verify the candidates of sorted buckets and give a forest of their links."""
+def _links(distance: int, most: int, words: int, more: int = 0):
+    """Verify the candidates of sorted buckets and give a forest of their links.
+
+    Fingerprints are named by their first word, or by a further column. With a second one, their label, all links
+    between different labels are given instead.
+    """
+    name, labelled = words if more else 0, more == 2
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Rows that differ in few enough bits, of the first word and of all."""
         first = np.bitwise_count(x[:, 0] ^ y[:, 0])
         if words == 1:
             return first <= distance
-        return (first <= distance) & (np.bitwise_count(x ^ y).sum(axis=1) <= most)
+        return (first <= distance) & (np.bitwise_count(x[:, :words] ^ y[:, :words]).sum(axis=1) <= most)
 
     def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """All pairs of many small buckets, by comparing rows one step apart, then two, and so on."""
@@ -238,8 +248,9 @@ def _links(distance: int, most: int, words: int):
         while len(alive):
             alive = alive[alive + step < len(prints)]
             alive = alive[bucket[alive] == bucket[alive + step]]
-            at = alive[near(prints[alive], prints[alive + step])]
-            found.append((prints[at, 0], prints[at + step, 0]))
+            met = near(prints[alive], prints[alive + step])
+            at = alive[met & (prints[alive, -1] != prints[alive + step, -1]) if labelled else met]
+            found.append((prints[at, name], prints[at + step, name]))
             step += 1
         return found
 
@@ -255,24 +266,33 @@ def _links(distance: int, most: int, words: int):
                 hit = near(rest, row[:1])
                 if hit.any():
                     reached = rest[hit]
-                    found.append((np.full(len(reached), row[0, 0]), reached[:, 0]))
+                    found.append((np.full(len(reached), row[0, name]), reached[:, name]))
                     queue.append(reached)
                     rest = rest[~hit]
         return found
 
+    def across(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The links of one large bucket between labels: rows of all labels but the commonest against the others."""
+        labels, at, n = np.unique(prints[:, -1], return_inverse=True, return_counts=True)
+        found = []
+        for row in prints[at != n.argmax()] if len(labels) > 1 else []:
+            hit = near(prints, row[None]) & (prints[:, -1] != row[-1])
+            found.append((np.full(hit.sum(), row[name]), prints[hit, name]))
+        return found
+
     def made(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((prints[:, 0], bucket))
+        order = np.lexsort((prints[:, name], bucket))
         bucket, prints = bucket[order], prints[order]
-        twice = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (prints[1:, 0] == prints[:-1, 0])))  # met in two ways
+        twice = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (prints[1:, name] == prints[:-1, name])))  # met in two ways
         bucket, prints = bucket[~twice], prints[~twice]
         _, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
         large = sizes > SMALL
-        found = [link for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True) for link in search(prints[s : s + n])]
+        found = [link for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True) for link in (across if labelled else search)(prints[s : s + n])]
         small = np.repeat(~large, sizes)
         found += slide(bucket[small], prints[small])
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.uint64)
-        a, b = _forest(a, b) if len(a) else (a, b)
+        a, b = (np.minimum(a, b), np.maximum(a, b)) if labelled or not len(a) else _forest(a, b)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +301,7 @@ def _links(distance: int, most: int, words: int):
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
-            prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(3, 3 + words)], axis=1)
+            prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(3, 3 + words + more)], axis=1)
             last = int(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))[-1])
             if last or held and (keys[0] != held[-1][0][-1]).any():
                 held.append((keys[:last], prints[:last]))
@@ -298,29 +318,31 @@ def _links(distance: int, most: int, words: int):
     return over
 
 
-def link(distinct: DataFrame, distance: int = 4, words: int = 1, most: int | None = None) -> DataFrame:
+def link(distinct: DataFrame, distance: int = 4, words: int = 1, most: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Links (a, b) that connect all fingerprints (column ``fp``, each once) within the distance, directly or by others.
 
     Every pair within ``distance`` in the first word meets in some bucket; it is a link if all words differ in at most
     ``most`` bits. Of a bucket's links a spanning forest is returned, so the rows stay in proportion to the fingerprints
     even where thousands lie close together. Buckets of more than ``BLOCK`` rows are dealt out by pairs of blocks.
+    ``more`` has the column that names a fingerprint, if it isn't the first word, and that of its label: then the links
+    are all those between different labels.
     """
     ship(distinct.sparkSession)
-    columns = word_columns(words)
+    columns = [*word_columns(words), *more]
     _, plan = allot(bit_counts(distinct), distinct.count(), distance)
     named = ", ".join(f"{c} long" for c in columns)
-    rows = distinct.select(*columns).mapInArrow(_file(plan, words), f"part int, value long, {named}")
-    sizes = distinct.select("fp").mapInArrow(_file(plan, 1), "part int, value long, fp long").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    rows = distinct.select(*columns).mapInArrow(_file(plan, columns), f"part int, value long, {named}")
+    sizes = distinct.select("fp").mapInArrow(_file(plan, ["fp"]), "part int, value long, fp long").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     large = cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
     if large.isEmpty():
         dealt = rows.withColumn("pair", F.lit(0).cast("long"))
     else:
-        block = F.pmod(F.xxhash64("fp"), F.col("__blocks")).cast("int")
+        block = F.pmod(F.xxhash64(more[0] if more else "fp"), F.col("__blocks")).cast("int")
         met = rows.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left").withColumn("__own", F.coalesce(block, F.lit(0)))
         met = met.withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks") - 1, F.lit(0)))))
         dealt = met.withColumn("pair", F.least("__own", "__other").cast("long") * (1 << 32) + F.greatest("__own", "__other"))
     dealt = dealt.select("part", "value", "pair", *columns).repartition("part", "value", "pair").sortWithinPartitions("part", "value", "pair")
-    return dealt.mapInArrow(_links(distance, distance if most is None else most, words), "a long, b long").distinct()
+    return dealt.mapInArrow(_links(distance, distance if most is None else most, words, len(more)), "a long, b long").distinct()
 
 
 def components(links: DataFrame, limit: int = 50) -> DataFrame:
@@ -348,41 +370,90 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def group(docs: DataFrame, width: int = 5, distance: int = 4, text: str = "text", id_column: str = "doc_id", keep=(), words: int = 1, most: int | None = None) -> DataFrame:
+def group(docs: DataFrame, width: int = 5, distance: int = 4, text: str = "text", id_column: str = "doc_id", keep=()) -> DataFrame:
     """Rows of (id, columns of ``keep``, fp, root, component_id), one for each document: root is the class by fingerprint.
 
     component_id is the smallest id reachable over links of at most ``distance`` differing bits, a document's own
     included. Empty and null texts have the fingerprint 0 and link like any other. Null ids never are the smallest;
     a class of null ids only has a null component_id. An empty table gives an empty one.
     """
-    columns = word_columns(words)
-    found = cut(fingerprints(docs, width, text, (id_column, *keep), words))
-    further = [F.min(F.struct(*columns[1:])).alias("__further")] if words > 1 else []
-    distinct = found.groupBy("fp").agg(F.min(id_column).alias("__least"), *further)
-    distinct = cut(distinct.select("fp", "__least", *[f"__further.{c}" for c in columns[1:]]))
-    roots = components(link(distinct, distance, words, most))
+    found = cut(fingerprints(docs, width, text, (id_column, *keep)))
+    distinct = cut(found.groupBy("fp").agg(F.min(id_column).alias("__least")))
+    roots = components(link(distinct, distance))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
     whole = placed.groupBy("root").agg(F.min("__least").alias("component_id"))
     classes = placed.join(whole, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
-    return found.join(classes, F.col("fp") == F.col("__fp")).drop("__fp", *columns[1:])
+    return found.join(classes, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
 def hexadecimal(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+def shingle_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
+    """The key and ``shingles``, the distinct hashes of a text's shingles."""
+    run = lambda texts: ([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts],)
+    return map_texts(docs, lambda: run, [("shingles", "array<long>")], text, (key,))
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between sets (node, shingles) of at least a Jaccard similarity, in thousandths. Two empty sets are alike."""
+    sides = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"__{c}")) for c in ("a", "b")]
+    both = F.size(F.array_intersect("__a", "__b")).cast("long")
+    least = round(1000 * similarity)
+    return links.join(sides[0], "a").join(sides[1], "b").filter(both * (1000 + least) >= least * (F.size("__a") + F.size("__b"))).select("a", "b")
+
+
+def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, distance: int, words: int, text: str, key: str) -> DataFrame:
+    """Rows (node, root) for texts with links: a link is a candidate pair whose exact similarity holds.
+
+    ``distinct`` has a node and its fingerprint, once for each text; ``docs`` the texts by ``key``. Most links show in a
+    forest of candidates. Candidates may still link classes that fall apart when the forest is verified; of such groups
+    all candidates between different classes are verified, so none is missed.
+    """
+    named, most = word_columns(words), most_bits(similarity, words, ERRORS)
+
+    def candidates(rows: DataFrame, *more: str) -> DataFrame:
+        out = None
+        for k in range(min(PROBES, words)):
+            turned = rows.select(*[F.col(named[(k + i) % words]).alias(c) for i, c in enumerate(named)], *more)
+            found = cut(link(turned, distance, words, most, more))
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    forest = candidates(distinct, "node")
+    loose = components(forest)
+    linked = cut(loose.select("node").distinct().withColumnRenamed("node", key))
+    linked = F.broadcast(linked) if linked.count() <= FEW_LINKED else linked
+    sets = shingle_sets(docs.join(linked, key, "left_semi"), width, text, key).groupBy(F.col(key).alias("node")).agg(F.first("shingles").alias("shingles"))
+    sets = staged(sets)
+    firm = cut(verified(forest.distinct(), sets, similarity))
+    tight = components(firm).select(F.col("node").alias("__n"), F.col("root").alias("label"))
+    labelled = cut(loose.join(tight, F.col("node") == F.col("__n"), "left").select("node", "root", F.coalesce("label", "node").alias("label")))
+    apart = labelled.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("root")
+    open_ = cut(distinct.select("node", *named).join(labelled.join(apart, "root", "left_semi").select("node", "label"), "node"))
+    if not open_.isEmpty():
+        firm = cut(firm.unionByName(verified(candidates(open_, "node", "label").distinct(), sets, similarity)))
+    return components(firm)
+
+
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 13, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The columns of ``docs``, with one document of each class of texts of the given similarity of shingles or more.
 
-    Fingerprints of ``words`` words estimate the similarity; those within ``distance`` bits in their first word are
-    compared. The document of the smallest id stays, and of several texts under that id the one of the least hash.
-    A row that is repeated stays once. A null id stays only in a class without others.
+    Fingerprints of ``words`` words choose candidates, those within ``distance`` bits in a probed word and near enough in
+    all words; the exact similarity links them. The document of the smallest id stays, and of several texts under that
+    id the one of the least hash. A row that is repeated stays once. A null id stays only in a class without others.
     """
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text)))
-    grouped = group(keyed, width, distance, text, id_column, ("__key",), words, most_bits(similarity, words)).filter(F.col(id_column).eqNullSafe(F.col("component_id")))
-    kept = cut(grouped.groupBy("root").agg(F.min(F.struct(F.col(id_column).alias("id"), "__key")).alias("k"), F.count(F.lit(1)).alias("n")).select(F.col("k.id").alias("__id"), F.col("k.__key").alias("__h"), "n"))
-    chosen = kept.select("__id", "__h").distinct()
-    rows = keyed.join(chosen, keyed[id_column].eqNullSafe(chosen["__id"]) & (keyed["__key"] == chosen["__h"]), "left_semi")
+    found = fingerprints(keyed, width, text, (id_column, "__key"), words).withColumnRenamed(id_column, "__id")
+    named = word_columns(words)
+    rows = found.groupBy("__key", "__id").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in named])
+    least = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("h"), "n")).alias("least")
+    distinct = cut(rows.groupBy(F.col("__key").alias("node")).agg(least, *[F.first(c).alias(c) for c in named]))
+    roots = classes(keyed.select("__key", text), distinct, width, similarity, distance, words, text, "__key")
+    placed = distinct.select(F.col("node").alias("__n"), "least").join(roots, F.col("__n") == F.col("node"), "left")
+    kept = cut(placed.groupBy(F.coalesce("root", "__n").alias("root")).agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"), "k.n"))
+    rows = keyed.join(kept.select("__id", "__h"), keyed[id_column].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__h"]), "left_semi")
     if not kept.filter("n > 1").isEmpty():
         rows = rows.dropDuplicates([id_column, "__key"])
     return rows.drop("__key")

@@ -441,3 +441,24 @@ def test_thresholds_add_up():
             assert cost < float("inf") and sum(2 * flips + 1 for _, flips in plan) >= distance + 1
             used = [b for g, _ in plan for b in g]
             assert len(used) == len(set(used))
+
+
+def test_representatives_by_exact_similarity(spark, docs):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(60):  # pairs that differ in a run of words, with similarities about 0.8
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        n = rng.randint(10, 30)
+        texts += [" ".join(words), " ".join([*words[: 200 - n], *(f"v{rng.randrange(10**6)}" for _ in range(n + 4))])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 10 < sum(alike) < 50
+    kept = {r.doc_id for r in simhash.representatives(docs([(i, t, "en", "a", 0) for i, t in enumerate(texts)])).collect()}
+    assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i, x in enumerate(alike) if not x}
+
+
+def test_equal_first_words_are_verified(spark):
+    ones = (1 << 64) - 1
+    rows = [(5, 0, 0, 0, 1), (5, 0, 0, 1, 2), (5, simhash._signed(ones), simhash._signed(ones), 0, 3)]
+    df = spark.createDataFrame(rows, "fp long, fp1 long, fp2 long, fp3 long, node long")
+    assert [tuple(r) for r in simhash.link(df, 13, 4, 56, ("node",)).collect()] == [(2, 1)]
