@@ -43,6 +43,20 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def inner(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names by position, which nothing an operator adds can clash with, and the new name of each column.
+
+    Names may hold dots or backticks, or differ in case only.
+    """
+    names = [f"__d{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def outer(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that ``inner`` made of those of ``docs``, under their own names and in their order."""
+    return rows.select(*[f"__d{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def slices(texts: pa.Array, rows: int = SLICE_ROWS, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Runs of a text column, null as empty, each with its first row: few rows and few bytes, or one long text."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()

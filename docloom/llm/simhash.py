@@ -6,16 +6,17 @@ distance plus one, no pair is missed. A dynamic program over estimated candidate
 of partitions. Each fingerprint is filed under the values of a partition that are half the threshold away, so that two
 within the threshold meet, and every candidate is verified on the whole fingerprint.
 
-A fingerprint may go on over further words of 64 bits. Single words are probed then, and all words choose candidates:
-this holds a wider distance, as a similarity of 0.8 needs, without meeting texts that agree in one word by chance. What
-decides on candidates is the exact similarity of their shingles.
+For a similarity of shingle sets a fingerprint goes on over further words of 64 bits. The distance that a similarity of
+0.8 allows is too wide for a sum of thresholds to be of use, so the dynamic program spends thresholds, over several
+partitionings of all bits, until a pair of that similarity meets with a stated probability; partitions become wider as
+the number of texts grows, so candidates stay few. What decides on candidates is the exact similarity of their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut, map_texts, ship, staged
+from docloom.llm.runtime import cut, inner, map_texts, outer, ship, staged
 
 BITS = 64
-#: Fingerprints of one block of a large bucket; a bucket with more is dealt out by pairs of blocks.
+#: Fingerprints of one block of a large bucket.
 BLOCK = 32_768
 #: Rows of a bucket up to which all its pairs are compared at once; a larger one is searched breadth first.
 SMALL = 256
-#: Estimated cost of a filed row, against that of a verified candidate.
-ROW_COST = 1500.0
+#: Estimated cost of a filed row, against that of a verified candidate, of one word and of several.
+ROW_COST, WIDE_ROW_COST = 1500.0, 200.0
 #: Most partitions that are tried, and most flipped bits under which a fingerprint is filed.
 PARTITIONS, FLIPS = 8, 2
-#: Words of a longer fingerprint that are probed, one after the other; standard errors that all words may lie beyond what is expected.
-PROBES, ERRORS = 2, 3
+#: A pair whose fingerprints lie one standard error further apart than its similarity makes expect meets with this
+#: probability; candidates may lie so many standard errors further apart, in the first word and in all.
+RECALL, ERRORS, FIRST_ERRORS = 0.95, 2.5, 4
+#: Bits of a partition of a fingerprint of several words, and steps in which probabilities are added up.
+WIDTHS, STEPS = range(5, 33), 256
 #: Texts that have links are found by a broadcast of their keys, up to so many.
 FEW_LINKED = 1_000_000
 #: The finaliser of splitmix64 and its step; they make further hashes of one.
@@ -63,8 +67,11 @@ def simhash(hashes: np.ndarray) -> int:
     if not n:
         return 0
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, n, 255 << 8):
+        bits = np.unpackbits(hashes[at : at + (255 << 8)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        # eight bits, a byte each, are added up as one number, at most 255 times
+        sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
+        ones += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -104,42 +111,51 @@ def most_bits(similarity: float, words: int, errors: float = 1) -> int:
     return int(BITS * words * share + errors * np.sqrt(BITS * words * share * (1 - share)))
 
 
-def bit_counts(distinct: DataFrame) -> np.ndarray:
+def bit_counts(distinct: DataFrame, words: int = 1) -> np.ndarray:
     """How often two bits are set together, over all fingerprints: a matrix, summed up in Spark."""
+    size = BITS * words
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BITS, BITS))
+        total = np.zeros((size, size))
         for batch in batches:
-            bits = _bits(batch.column(0).to_numpy()).astype(np.float32)
+            bits = np.concatenate([_bits(c.to_numpy()) for c in batch.columns], axis=1).astype(np.float32)
             total += bits.T @ bits
         i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((i * BITS + j).astype(np.int64)), pa.array(total[i, j].astype(np.int64))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((i * size + j).astype(np.int64)), pa.array(total[i, j].astype(np.int64))], names=["cell", "n"])
 
-    out = np.zeros(BITS * BITS)
-    for cell, n in distinct.select("fp").mapInArrow(over, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most 4,096 rows
+    out = np.zeros(size * size)
+    cells = distinct.select(*word_columns(words)).mapInArrow(over, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for cell, n in cells.collect():  # at most a row for each pair of bits: 4,096, or 65,536 for four words
         out[cell] = n
-    return out.reshape(BITS, BITS)
+    return out.reshape(size, size)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fps).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
 
 
-def group_bits(counts: np.ndarray, n: int, parts: int) -> list[list[int]]:
-    """Bits dealt to partitions of about equal width, each next bit the one most correlated with its partition."""
+def correlations(counts: np.ndarray, n: int) -> np.ndarray:
     p = np.diag(counts) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
-    correlated = np.abs(counts / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
-    np.fill_diagonal(correlated, 0)
-    free, groups = set(range(BITS)), []
+    found = np.abs(counts / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
+    np.fill_diagonal(found, 0)
+    return found
+
+
+def group_bits(near: np.ndarray, parts: int) -> list[list[int]]:
+    """Bits dealt to partitions of about equal width, each next bit the one nearest to its partition."""
+    size = len(near)
+    free, groups = np.ones(size, bool), []
     for k in range(parts):
-        width = BITS // parts + (k < BITS % parts)
-        group = [max(sorted(free), key=lambda b: correlated[b, sorted(free)].sum())]
-        free.discard(group[0])
+        width = size // parts + (k < size % parts)
+        group = [int(np.argmax(np.where(free, near @ free, -np.inf)))]
+        free[group[0]] = False
+        sums = near[:, group[0]].copy()
         while len(group) < width:
-            best = max(sorted(free), key=lambda b: correlated[b, group].sum())
+            best = int(np.argmax(np.where(free, sums, -np.inf)))
             group.append(best)
-            free.discard(best)
+            free[best] = False
+            sums += near[:, best]
         groups.append(sorted(group))
     return groups
 
@@ -166,10 +182,10 @@ def allot(counts: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple[
     Flips of k hold a threshold of 2k. For each number of partitions a dynamic program goes over the partitions and the
     sum of thresholds, each plus one, so far; a partition may be left out.
     """
-    p = np.diag(counts) / max(n, 1)
+    p, near = np.diag(counts) / max(n, 1), correlations(counts, n)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for parts in range(2, PARTITIONS + 1):
-        groups = group_bits(counts, n, parts)
+        groups = group_bits(near, parts)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
             after: dict[int, tuple[float, list[int]]] = {}
@@ -187,19 +203,76 @@ def allot(counts: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple[
     return best
 
 
-def _file(plan: list[tuple[list[int], int]], columns: list[str]):
-    """A row for each fingerprint and value of each partition that it is filed under."""
+def meets(bits: int, differ: int, width: int, threshold: int) -> float:
+    """Probability that of two fingerprints of so many bits, of which some differ, a partition holds at most ``threshold`` of these."""
+    return sum(comb(differ, k) * comb(bits - differ, width - k) for k in range(threshold + 1) if k <= width) / comb(bits, width)
+
+
+def allot_probable(counts: np.ndarray, n: int, differ: int, recall: float) -> tuple[float, list[tuple[list[int], int]]]:
+    """As ``allot``, for pairs that differ in so many bits and are to meet with a probability of ``recall``.
+
+    All bits are partitioned again and again, each time with bits together that were not before. The dynamic program
+    goes over these partitions and the probability so far, in steps of logarithms; a partition may be left out, get a
+    threshold of 0, or be filed under one flip for a threshold of 2.
+    """
+    size = len(counts)
+    p, near = np.diag(counts) / max(n, 1), correlations(counts, n)
+    wanted = -log(1 - recall)
+    best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
+    for width in WIDTHS:
+        gain = -log(1 - meets(size, differ, width, 0))
+        tables = int(wanted / gain) + 1
+        if WIDE_ROW_COST * n * tables >= best[0]:
+            break  # wider ones need still more rows
+        together, groups = np.zeros_like(near), []
+        while len(groups) < tables:
+            for g in group_bits(near - together, size // width):
+                groups.append(g)
+                together[np.ix_(g, g)] += 1
+        value, cost = np.full((len(groups) + 1, STEPS + 1), np.inf), np.zeros(STEPS + 1, int)
+        value[0, 0] = 0
+        choice = np.full((len(groups) + 1, STEPS + 1), -1)
+        for i, g in enumerate(groups):
+            value[i + 1] = value[i]
+            for flips in (0, 1):
+                step = int(STEPS * -log(max(1 - meets(size, differ, len(g), 2 * flips), 1e-12)) / wanted)
+                price = estimate(p, g, n, flips) + WIDE_ROW_COST * n * (1 + flips * len(g))
+                for used in np.flatnonzero(np.isfinite(value[i])):
+                    reached = min(STEPS, used + step)
+                    if value[i, used] + price < value[i + 1, reached]:
+                        value[i + 1, reached], choice[i + 1, reached] = value[i, used] + price, used * 2 + flips
+        if value[-1, STEPS] < best[0]:
+            at, plan = STEPS, []
+            for i in range(len(groups), 0, -1):
+                if choice[i, at] >= 0 and value[i, at] < value[i - 1, at]:
+                    plan.append((groups[i - 1], int(choice[i, at] % 2)))
+                    at = int(choice[i, at] // 2)
+            best = float(value[-1, STEPS]), plan[::-1]
+    return best
+
+
+def _file(plan: list[tuple[list[int], int]], words: int, columns: list[str]):
+    """A row for each fingerprint and value of each partition that it is filed under. ``columns`` begin with the words."""
     bit = [np.uint64(1 << (BITS - 1 - b)) for b in range(BITS)]
-    masks = [np.bitwise_or.reduce([bit[b] for b in group]) for group, _ in plan]
-    flips = [[np.bitwise_or.reduce([np.uint64(0), *(bit[b] for b in some)]) for k in range(most + 1) for some in combinations(group, k)] for group, most in plan]
+    zero = np.uint64(0)
+
+    def mask(bits) -> list[np.uint64]:
+        return [np.bitwise_or.reduce([zero, *(bit[b % BITS] for b in bits if b // BITS == k)]) for k in range(words)]
+
+    masks = [mask(group) for group, _ in plan]
+    flips = [[mask(some) for k in range(most + 1) for some in combinations(group, k)] for group, most in plan]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for k, mask in enumerate(masks):
-                part = pa.array(np.full(len(fps), k, np.int32))
+            fps = [batch.column(k).to_numpy().view(np.uint64) for k in range(words)]
+            for k, own in enumerate(masks):
+                part = pa.array(np.full(len(fps[0]), k, np.int32))
                 for flip in flips[k]:
-                    yield pa.RecordBatch.from_arrays([part, pa.array(((fps ^ flip) & mask).view(np.int64)), *batch.columns], names=["part", "value", *columns])
+                    if words == 1:
+                        value = (fps[0] ^ flip[0]) & own[0]
+                    else:  # the bits of several words, as one hash
+                        value = np.bitwise_xor.reduce([remix((f ^ x) & m, i + 1) for i, (f, x, m) in enumerate(zip(fps, flip, own, strict=True)) if m])
+                    yield pa.RecordBatch.from_arrays([part, pa.array(value.view(np.int64)), *batch.columns], names=["part", "value", *columns])
 
     return over
 
@@ -226,35 +299,71 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[others], nodes[root[others]]
 
 
-def _links(distance: int, most: int, words: int, more: int = 0):
-    """Verify the candidates of sorted buckets and give a forest of their links.
+def _spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links of a forest that connects what the links do, nearest links first."""
+    order = np.lexsort((b, a, d))
+    nodes, ends = np.unique(np.concatenate((a[order], b[order])), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root, taken, open_ = np.arange(len(nodes)), [], np.arange(len(order))
+    while True:
+        open_ = open_[root[x[open_]] != root[y[open_]]]
+        if not len(open_):
+            break
+        first = np.full(len(nodes), len(order))  # the first link, by distance, that leaves each class
+        np.minimum.at(first, root[x[open_]], open_)
+        np.minimum.at(first, root[y[open_]], open_)
+        chosen = np.unique(first[first < len(order)])
+        taken.append(chosen)
+        while True:  # join the classes
+            low = np.minimum(root[x[chosen]], root[y[chosen]])
+            after = root.copy()
+            np.minimum.at(after, root[x[chosen]], low)
+            np.minimum.at(after, root[y[chosen]], low)
+            while (jumped := after[after]).tolist() != after.tolist():
+                after = jumped
+            after = after[root]
+            if (after == root).all():
+                break
+            root = after
+    return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
 
-    Fingerprints are named by their first word, or by a further column. With a second one, their label, all links
-    between different labels are given instead.
+
+def _links(first_most: int, most: int, words: int, named: bool, labelled: bool):
+    """Verify the candidates of sorted buckets. Rows (a, b, bits) of pairs near enough in the first word and in all.
+
+    Fingerprints are named by their first word, or by the column after the words. A forest of the pairs of each bucket
+    is given, of the nearest ones; with labels, which follow the name, all pairs between different labels.
     """
-    name, labelled = words if more else 0, more == 2
+    name = words if named else 0
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Rows that differ in few enough bits, of the first word and of all."""
-        first = np.bitwise_count(x[:, 0] ^ y[:, 0])
+    def bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits, or more than ``most`` where the first words already differ too much."""
+        first = np.bitwise_count(x[:, 0] ^ y[:, 0]).astype(np.int64)
         if words == 1:
-            return first <= distance
-        return (first <= distance) & (np.bitwise_count(x[:, :words] ^ y[:, :words]).sum(axis=1) <= most)
+            return np.where(first <= first_most, first, most + 1)
+        out = np.full(len(first), most + 1)
+        at = np.flatnonzero(first <= first_most)
+        other = y[at] if len(y) == len(x) else y
+        out[at] = first[at] + np.bitwise_count(x[at, 1:words] ^ other[:, 1:words]).sum(axis=1)
+        return out
 
-    def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """All pairs of many small buckets, by comparing rows one step apart, then two, and so on."""
         found = []
         alive, step = np.arange(len(prints)), 1
         while len(alive):
             alive = alive[alive + step < len(prints)]
             alive = alive[bucket[alive] == bucket[alive + step]]
-            met = near(prints[alive], prints[alive + step])
-            at = alive[met & (prints[alive, -1] != prints[alive + step, -1]) if labelled else met]
-            found.append((prints[at, name], prints[at + step, name]))
+            d = bits(prints[alive], prints[alive + step])
+            met = d <= most
+            if labelled:
+                met &= prints[alive, -1] != prints[alive + step, -1]
+            at = alive[met]
+            found.append((prints[at, name], prints[at + step, name], d[met]))
             step += 1
         return found
 
-    def search(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The classes of one large bucket. A row that is reached leaves the rest, so a dense group costs few passes."""
         found, rest = [], prints
         while len(rest):
@@ -263,21 +372,23 @@ def _links(distance: int, most: int, words: int, more: int = 0):
                 row = queue.pop()
                 if len(row) > 1:
                     queue.append(row[1:])
-                hit = near(rest, row[:1])
+                d = bits(rest, row[:1])
+                hit = d <= most
                 if hit.any():
                     reached = rest[hit]
-                    found.append((np.full(len(reached), row[0, name]), reached[:, name]))
+                    found.append((np.full(len(reached), row[0, name]), reached[:, name], d[hit]))
                     queue.append(reached)
                     rest = rest[~hit]
         return found
 
-    def across(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The links of one large bucket between labels: rows of all labels but the commonest against the others."""
+    def across(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of one large bucket between labels: rows of all labels but the commonest against the others."""
         labels, at, n = np.unique(prints[:, -1], return_inverse=True, return_counts=True)
         found = []
         for row in prints[at != n.argmax()] if len(labels) > 1 else []:
-            hit = near(prints, row[None]) & (prints[:, -1] != row[-1])
-            found.append((np.full(hit.sum(), row[name]), prints[hit, name]))
+            d = bits(prints, row[None])
+            hit = (d <= most) & (prints[:, -1] != row[-1])
+            found.append((np.full(hit.sum(), row[name]), prints[hit, name], d[hit]))
         return found
 
     def made(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
@@ -290,18 +401,25 @@ def _links(distance: int, most: int, words: int, more: int = 0):
         found = [link for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True) for link in (across if labelled else search)(prints[s : s + n])]
         small = np.repeat(~large, sizes)
         found += slide(bucket[small], prints[small])
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.uint64)
-        a, b = (np.minimum(a, b), np.maximum(a, b)) if labelled or not len(a) else _forest(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        a, b, d = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in range(3))
+        if len(a) and not labelled:
+            if words == 1:
+                a, b = _forest(a, b)
+                d = np.zeros(len(a), np.int64)
+            else:
+                at = _spanning(a, b, d)
+                a, b, d = a[at], b[at], d[at]
+        a, b = a.view(np.int64), b.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int64))], names=["a", "b", "bits"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the last bucket may go on in the next batch
+        width = words + named + labelled
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
-            prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(3, 3 + words + more)], axis=1)
+            prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(3, 3 + width)], axis=1)
             last = int(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))[-1])
             if last or held and (keys[0] != held[-1][0][-1]).any():
                 held.append((keys[:last], prints[:last]))
@@ -318,34 +436,84 @@ def _links(distance: int, most: int, words: int, more: int = 0):
     return over
 
 
-def link(distinct: DataFrame, distance: int = 4, words: int = 1, most: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+class Index:
+    """Fingerprints filed by a plan: ``distinct`` has the words, each combination once, or a column that names them."""
+
+    def __init__(self, distinct: DataFrame, plan, first_most: int, most: int, words: int = 1, name: str | None = None):
+        ship(distinct.sparkSession)
+        self.distinct, self.plan, self.words, self.name = distinct, plan, words, name
+        self.first_most, self.most = first_most, most
+        self.columns = [*word_columns(words), *([name] if name else [])]
+        self.key = name or "fp"
+
+    def _filed(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        named = ", ".join(f"{c} long" for c in columns)
+        return rows.select(*columns).mapInArrow(_file(self.plan, self.words, columns), f"part int, value long, {named}")
+
+    def _large(self, filed: DataFrame) -> DataFrame:
+        """Buckets of more than ``BLOCK`` rows, with their number of blocks."""
+        sizes = filed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+        return cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
+
+    def _verified(self, dealt: DataFrame, columns: list[str], labelled: bool) -> DataFrame:
+        rows = dealt.select("part", "value", "block", *columns).repartition("part", "value", "block").sortWithinPartitions("part", "value", "block")
+        found = rows.mapInArrow(_links(self.first_most, self.most, self.words, self.name is not None, labelled), "a long, b long, bits long")
+        return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+    def forest(self) -> tuple[DataFrame, DataFrame | None]:
+        """Links (a, b, bits) of a forest in each bucket, and the fingerprints of buckets that are too large for one task.
+
+        Those are dealt into blocks, each time by another hash; what lies in different blocks is left to ``between``.
+        """
+        filed = self._filed(self.distinct, self.columns)
+        large = self._large(self._filed(self.distinct, self.columns[: self.words]))
+        if large.isEmpty():
+            return cut(self._verified(filed.withColumn("block", F.lit(0)), self.columns, False)), None
+        met = filed.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left")
+        dealt = met.withColumn("block", F.coalesce(F.pmod(F.xxhash64(self.key, "part"), F.col("__blocks")).cast("int"), F.lit(0)))
+        crowded = met.filter("__blocks is not null").select(F.col(self.key).alias("node")).distinct()
+        return cut(self._verified(dealt, self.columns, False)), cut(crowded)
+
+    def between(self, labelled: DataFrame) -> DataFrame:
+        """All links (a, b, bits) between rows (node, label) of different labels.
+
+        In a bucket that is too large for one task, rows of the commonest label stay in a block each, and the others
+        go to every block: the work follows the rows of other labels, not the square of the bucket.
+        """
+        columns = [*self.columns, "label"]
+        rows = self.distinct.select(*self.columns, F.col(self.key).alias("__node")).join(labelled.select(F.col("node").alias("__node"), "label"), "__node")
+        rows = cut(rows.select(*columns))
+        filed = self._filed(rows, columns)
+        large = self._large(self._filed(rows, self.columns[: self.words]))
+        if large.isEmpty():
+            return self._verified(filed.withColumn("block", F.lit(0)), columns, True)
+        met = filed.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left")
+        counted = met.filter("__blocks is not null").groupBy("part", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+        common = cut(counted.groupBy(F.col("part").alias("__p2"), F.col("value").alias("__v2")).agg(F.max_by("label", F.struct("n", "label")).alias("__common")))
+        own = F.pmod(F.xxhash64(self.key), F.col("__blocks")).cast("int")
+        every = F.sequence(F.lit(0), F.col("__blocks") - 1)
+        blocks = F.when(F.col("__blocks").isNull(), F.array(F.lit(0))).when(F.col("label") == F.col("__common"), F.array(own)).otherwise(every)
+        met = met.join(common, (F.col("part") == F.col("__p2")) & (F.col("value") == F.col("__v2")), "left")
+        return self._verified(met.withColumn("block", F.explode(blocks)), columns, True)
+
+
+def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) that connect all fingerprints (column ``fp``, each once) within the distance, directly or by others.
 
-    Every pair within ``distance`` in the first word meets in some bucket; it is a link if all words differ in at most
-    ``most`` bits. Of a bucket's links a spanning forest is returned, so the rows stay in proportion to the fingerprints
-    even where thousands lie close together. Buckets of more than ``BLOCK`` rows are dealt out by pairs of blocks.
-    ``more`` has the column that names a fingerprint, if it isn't the first word, and that of its label: then the links
-    are all those between different labels.
+    Every pair within ``distance`` meets in some bucket. Of a bucket's links a spanning forest is returned, so the rows
+    stay in proportion to the fingerprints even where thousands lie close together.
     """
-    ship(distinct.sparkSession)
-    columns = [*word_columns(words), *more]
     _, plan = allot(bit_counts(distinct), distinct.count(), distance)
-    named = ", ".join(f"{c} long" for c in columns)
-    rows = distinct.select(*columns).mapInArrow(_file(plan, columns), f"part int, value long, {named}")
-    sizes = distinct.select("fp").mapInArrow(_file(plan, ["fp"]), "part int, value long, fp long").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    large = cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
-    if large.isEmpty():
-        dealt = rows.withColumn("pair", F.lit(0).cast("long"))
-    else:
-        block = F.pmod(F.xxhash64(more[0] if more else "fp"), F.col("__blocks")).cast("int")
-        met = rows.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left").withColumn("__own", F.coalesce(block, F.lit(0)))
-        met = met.withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks") - 1, F.lit(0)))))
-        dealt = met.withColumn("pair", F.least("__own", "__other").cast("long") * (1 << 32) + F.greatest("__own", "__other"))
-    dealt = dealt.select("part", "value", "pair", *columns).repartition("part", "value", "pair").sortWithinPartitions("part", "value", "pair")
-    return dealt.mapInArrow(_links(distance, distance if most is None else most, words, len(more)), "a long, b long").distinct()
-
-
-def components(links: DataFrame, limit: int = 50) -> DataFrame:
+    index = Index(distinct, plan, distance, distance)
+    found, crowded = index.forest()
+    if crowded is None:
+        return found.select("a", "b")
+    roots = components(found.select("a", "b")).select(F.col("node").alias("__n"), "root")
+    labelled = crowded.join(roots, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("root", "node").alias("label"))
+    return found.select("a", "b").union(index.between(labelled).select("a", "b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """Rows (node, root) for every linked node: the least node that it reaches. Alternating large and small stars.
 
     Each round replaces links by shorter ones towards smaller nodes, without joining a node's neighbours to each
@@ -353,7 +521,7 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
-    for _ in range(limit):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -361,12 +529,10 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.filter("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == mark:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == mark:
             break
-        mark = tuple(now)
-    else:
-        raise RuntimeError(f"components not settled after {limit} rounds")
+        mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -404,56 +570,69 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return links.join(sides[0], "a").join(sides[1], "b").filter(both * (1000 + least) >= least * (F.size("__a") + F.size("__b"))).select("a", "b")
 
 
-def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, distance: int, words: int, text: str, key: str) -> DataFrame:
+def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, words: int, text: str, key: str) -> DataFrame:
     """Rows (node, root) for texts with links: a link is a candidate pair whose exact similarity holds.
 
-    ``distinct`` has a node and its fingerprint, once for each text; ``docs`` the texts by ``key``. Most links show in a
-    forest of candidates. Candidates may still link classes that fall apart when the forest is verified; of such groups
-    all candidates between different classes are verified, so none is missed.
+    ``distinct`` has a node and its fingerprint, once for each text; ``docs`` the texts by ``key``. Of the candidates of
+    each bucket a forest of the nearest ones comes first: of these, the nearest of each text are verified, then those
+    between the classes so found. Where candidates link classes that the verified ones don't, all candidates between
+    these classes are verified, so none is missed.
     """
-    named, most = word_columns(words), most_bits(similarity, words, ERRORS)
-
-    def candidates(rows: DataFrame, *more: str) -> DataFrame:
-        out = None
-        for k in range(min(PROBES, words)):
-            turned = rows.select(*[F.col(named[(k + i) % words]).alias(c) for i, c in enumerate(named)], *more)
-            found = cut(link(turned, distance, words, most, more))
-            out = found if out is None else out.unionByName(found)
-        return out
-
-    forest = candidates(distinct, "node")
-    loose = components(forest)
-    linked = cut(loose.select("node").distinct().withColumnRenamed("node", key))
-    linked = F.broadcast(linked) if linked.count() <= FEW_LINKED else linked
-    sets = shingle_sets(docs.join(linked, key, "left_semi"), width, text, key).groupBy(F.col(key).alias("node")).agg(F.first("shingles").alias("shingles"))
+    differ = most_bits(similarity, words)
+    _, plan = allot_probable(bit_counts(distinct, words), distinct.count(), differ, RECALL)
+    index = Index(distinct, plan, most_bits(similarity, 1, FIRST_ERRORS), most_bits(similarity, words, ERRORS), words, "node")
+    forest, crowded = index.forest()
+    loose = components(forest.select("a", "b"))
+    members = loose.select("node") if crowded is None else loose.select("node").union(crowded)
+    linked = cut(members.distinct().withColumnRenamed("node", key))
+    few = F.broadcast(linked) if linked.count() <= FEW_LINKED else linked
+    sets = shingle_sets(docs.join(few, key, "left_semi"), width, text, key).groupBy(F.col(key).alias("node")).agg(F.first("shingles").alias("shingles"))
     sets = staged(sets)
-    firm = cut(verified(forest.distinct(), sets, similarity))
-    tight = components(firm).select(F.col("node").alias("__n"), F.col("root").alias("label"))
-    labelled = cut(loose.join(tight, F.col("node") == F.col("__n"), "left").select("node", "root", F.coalesce("label", "node").alias("label")))
+
+    def labels(firm: DataFrame) -> DataFrame:
+        return components(firm).select(F.col("node").alias("__n"), F.col("root").alias("label"))
+
+    ends = forest.select(F.col("a").alias("__end"), "a", "b", "bits").union(forest.select(F.col("b").alias("__end"), "a", "b", "bits"))
+    nearest = ends.groupBy("__end").agg(F.min(F.struct("bits", "a", "b")).alias("l")).select("l.a", "l.b").distinct()
+    firm = cut(verified(nearest, sets, similarity))
+    tight = labels(firm)
+    sides = [tight.select(F.col("__n").alias(f"__{c}"), F.col("label").alias(f"__label_{c}")) for c in ("a", "b")]
+    met = forest.select("a", "b").join(sides[0], F.col("a") == F.col("__a"), "left").join(sides[1], F.col("b") == F.col("__b"), "left")
+    rest = met.filter(F.coalesce("__label_a", "a") != F.coalesce("__label_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    firm = cut(firm.unionByName(verified(rest, sets, similarity)))
+    tight = labels(firm)
+    every = loose if crowded is None else loose.unionByName(crowded.join(loose, "node", "left_anti").select("node", F.col("node").alias("root")))
+    labelled = cut(every.join(tight, F.col("node") == F.col("__n"), "left").select("node", "root", F.coalesce("label", "node").alias("label")))
     apart = labelled.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("root")
-    open_ = cut(distinct.select("node", *named).join(labelled.join(apart, "root", "left_semi").select("node", "label"), "node"))
+    open_ = labelled.join(apart, "root", "left_semi").select("node", "label")
+    if crowded is not None:
+        open_ = open_.unionByName(labelled.join(crowded, "node", "left_semi").select("node", "label")).distinct()
+    open_ = cut(open_)
     if not open_.isEmpty():
-        firm = cut(firm.unionByName(verified(candidates(open_, "node", "label").distinct(), sets, similarity)))
+        firm = cut(firm.unionByName(verified(index.between(open_).select("a", "b"), sets, similarity)))
     return components(firm)
 
 
-def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 13, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The columns of ``docs``, with one document of each class of texts of the given similarity of shingles or more.
 
-    Fingerprints of ``words`` words choose candidates, those within ``distance`` bits in a probed word and near enough in
-    all words; the exact similarity links them. The document of the smallest id stays, and of several texts under that
-    id the one of the least hash. A row that is repeated stays once. A null id stays only in a class without others.
+    Fingerprints of ``words`` words choose candidates; the exact similarity links them, and classes are chains of links.
+    The document of the smallest id stays, and of several texts under that id the one of the least hash. A row that is
+    repeated stays once. A null id stays only in a class without others. Null and empty texts are alike. Columns may
+    have any names; an empty table gives an empty one.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text)))
+    rows, at = inner(docs)
+    id_column, text = at[id_column], at[text]
+    keyed = rows.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = fingerprints(keyed, width, text, (id_column, "__key"), words).withColumnRenamed(id_column, "__id")
     named = word_columns(words)
     rows = found.groupBy("__key", "__id").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in named])
     least = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("h"), "n")).alias("least")
     distinct = cut(rows.groupBy(F.col("__key").alias("node")).agg(least, *[F.first(c).alias(c) for c in named]))
-    roots = classes(keyed.select("__key", text), distinct, width, similarity, distance, words, text, "__key")
+    roots = classes(keyed.select("__key", text), distinct, width, similarity, words, text, "__key")
     placed = distinct.select(F.col("node").alias("__n"), "least").join(roots, F.col("__n") == F.col("node"), "left")
     kept = cut(placed.groupBy(F.coalesce("root", "__n").alias("root")).agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"), "k.n"))
     rows = keyed.join(kept.select("__id", "__h"), keyed[id_column].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__h"]), "left_semi")
     if not kept.filter("n > 1").isEmpty():
         rows = rows.dropDuplicates([id_column, "__key"])
-    return rows.drop("__key")
+    return outer(rows.drop("__key"), docs)
