@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.arrays import bound, running_sum
 from docloom.shipping import arrow_function
 
 #: What stands for "no value" in imported tables.
@@ -66,17 +67,13 @@ def references_allowed(found: Column, allowed: Column) -> Column:
 
 def matches(c: Column, pattern: str) -> Column:
     """Structs (start, end, word) of all matches, in characters: matches and the pieces between make up the text."""
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(c, pattern, -1), 1, F.size(found))
-    pairs = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,word:string>>").alias("out"))
+    pieces = F.transform(F.split(c, pattern, -1), lambda p: F.length(p))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("word")))).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = running_sum(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda gap, m: gap + F.length(m)))
+        return F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("word")))
 
-    return F.aggregate(pairs, none, step)["out"]
+    return bound(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), placed)
 
 
 #: What a relation's surroundings say, in order of precedence, and its name.
