@@ -8,12 +8,11 @@ to be of a kind, and a word by the patterns that match it. Words of high belief
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut
+from docloom.functions.arrays import bound, running_sum, scan
+from docloom.llm.runtime import cut, inner, outer
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -30,10 +29,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 MOST_LETTERS = 64
 #: Rounds of scoring; believed seeds that a pattern needs; least scores of a pattern and of an accepted word.
 ROUNDS, SUPPORT, CONFIDENT, ACCEPTED = 3, 5, 0.8, 0.95
-#: Letters beside a word in which a pattern looks for the neighbouring word.
-BESIDE = 32
-#: Tables of at most so many shapes are broadcast.
-FEW_SHAPES = 10_000
+#: Tables of at most so many shapes, or of so many rows with discovered spans, are broadcast.
+FEW_SHAPES, FEW_ROWS = 10_000, 100_000
 
 
 def _digits(match: Column) -> Column:
@@ -63,47 +60,60 @@ def _stays(kind: str):
     return lambda span: _holds(kind, span["word"])
 
 
-def _places(spans: Column, label: str | None = None) -> Column:
-    """Start and end of each span, and a label."""
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *([] if label is None else [F.lit(label).alias("kind")])))
+#: Places in characters and in bytes, the word, and the words beside it.
+SPAN = "struct<start:int,end:int,at:int,to:int,word:string,left:string,right:string>"
 
 
-def _of_kind(spans: Column, kind: int) -> Column:
-    return F.filter(spans, lambda s: s["kind"] == kind)
+def _span(start: Column, end: Column, at: Column, to: Column, word: Column, left: Column, right: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), at.cast("int").alias("at"), to.cast("int").alias("to"), word.alias("word"), left.alias("left"), right.alias("right"))
 
 
-SPAN = "struct<start:int,end:int,word:string,left:string,right:string>"
+def _none(kind: str = SPAN) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def _neighbour(beside: Column, pattern: str, attached: str) -> Column:
-    """The word next to a place, past punctuation that touches the place, without punctuation of its own if it has more."""
-    word = F.regexp_extract(F.regexp_replace(beside, attached, ""), pattern, 1)
-    bare = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.lower(F.when(bare == "", word).otherwise(bare))
+def _short(c: Column) -> Column:
+    return F.when(F.length(c) > MOST_LETTERS, F.sha2(c, 256)).otherwise(c)
 
 
-def _found(text: Column, matches: Column, pattern: str) -> Column:
-    """Matches with their places in code points and their neighbours: they and the pieces between them make up the text."""
-    pieces, n = F.split(text, pattern, -1), F.size(matches)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def _beside(after: Column) -> Column:
+    """The first word of what follows a place, past punctuation that touches the place."""
+    return F.regexp_extract(after, r"^[^\s\p{L}\p{N}]*+\s*+(\S++)", 1)
+
+
+def _plain(word: Column) -> Column:
+    """A word without case, and without punctuation at its ends if it has anything else."""
+    bare = F.regexp_replace(word, r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    return _short(F.lower(F.when(bare == "", word).otherwise(bare)))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["word"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word"), x["left"].alias("left"), x["right"].alias("right")))).alias("out"))
+def _lengths(c: Column) -> Column:
+    """Characters and bytes in one number, so that one sum gives both."""
+    return F.shiftleft(F.length(c).cast("long"), 32) + F.octet_length(c)
 
-    tail, head = (lambda c: F.substring(c, -BESIDE, BESIDE)), (lambda c: F.substring(c, 1, BESIDE))
-    # a neighbour lies in the piece beside a match, or is the match beyond it
+
+def _found(text: Column, matches: Column, pattern: str) -> Column:
+    """Matches with their places and neighbours: they and the pieces between them make up the text.
+
+    Ends are running sums, so time is linear in the text. A neighbour is looked for in the piece beside a match and in
+    the match beyond that.
+    """
     empty = F.array(F.lit(""))
-    before = F.zip_with(F.concat(empty, F.slice(matches, 1, n - 1)), F.slice(pieces, 1, n), lambda m, p: F.struct(F.length(p).alias("gap"), _neighbour(F.concat(tail(m), tail(p)), r"(\S+)\s*$", r"[^\s\p{L}\p{N}]+$").alias("left")))
-    after = F.zip_with(F.slice(pieces, 2, n), F.concat(F.slice(matches, 2, n - 1), empty), lambda p, m: _neighbour(F.concat(head(p), head(m)), r"^\s*(\S+)", r"^[^\s\p{L}\p{N}]+"))
-    sided = F.zip_with(before, after, lambda x, right: F.struct(x["gap"].alias("gap"), x["left"].alias("left"), right.alias("right")))
-    pairs = F.zip_with(sided, matches, lambda x, m: F.struct(x["gap"].alias("gap"), m.alias("word"), x["left"].alias("left"), x["right"].alias("right")))
-    return F.when(n == 0, none["out"]).otherwise(F.aggregate(pairs, none, step)["out"])
+
+    def placed(m: Column, pieces: Column) -> Column:
+        n = F.size(m)
+        ends = running_sum(F.zip_with(F.slice(pieces, 1, n), m, lambda gap, w: _lengths(gap) + _lengths(w)), "long")
+        left = F.zip_with(F.concat(empty, F.slice(m, 1, n - 1)), F.slice(pieces, 1, n), lambda w, gap: _plain(F.reverse(_beside(F.reverse(F.concat(w, gap))))))
+        right = F.zip_with(F.slice(pieces, 2, n), F.concat(F.slice(m, 2, n - 1), empty), lambda gap, w: _plain(_beside(F.concat(gap, w))))
+        sides = F.zip_with(left, right, lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+        words = F.zip_with(ends, m, lambda e, w: F.struct(F.shiftright(e, 32).alias("end"), e.bitwiseAND((1 << 32) - 1).alias("to"), w.alias("word")))
+        return F.zip_with(words, sides, lambda w, s: _span(w["end"] - F.length(w["word"]), w["end"], w["to"] - F.octet_length(w["word"]), w["to"], w["word"], s["left"], s["right"]))
+
+    return F.when(F.size(matches) == 0, _none()).otherwise(bound(matches, lambda m: bound(F.split(text, pattern, -1), lambda p: placed(m, p))))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a column ``spans_<kind>`` of (start, end, word, left, right) for each kind. Null texts count as empty."""
+    """Adds a column ``spans_<kind>`` of places, words and neighbours for each kind. Null texts count as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     # what a text needs for any match: these plain searches spare most texts the patterns
     need = {"email": t.contains("@"), "ip": t.rlike("[0-9]"), "card": t.rlike("[0-9]"), "phone": t.contains("+")}
@@ -130,18 +140,15 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumns({c: F.when(some, F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for c, (p, some) in need.items()})
 
     def core(s: Column) -> Column:
-        start = s["start"] + F.length(F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+]*+", 0))
-        word = F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+]*+(.*[\p{L}\p{N}])", 1)
-        return F.struct(start.alias("start"), (start + F.length(word)).alias("end"), word.alias("word"), s["left"].alias("left"), s["right"].alias("right"))
+        before = F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+]*+", 0)
+        word = F.regexp_extract(s["word"], r"(?s)^[^\p{L}\p{N}+]*+(.*[\p{L}\p{N}])", 1)
+        start, at = s["start"] + F.length(before), s["at"] + F.octet_length(before)
+        return _span(start, start + F.length(word), at, at + F.octet_length(word), word, s["left"], s["right"])
 
     found = F.concat(*[_found(t, F.col(c), p) for c, (p, _) in need.items()])
     return df.withColumn("candidates", F.filter(F.transform(found, core), lambda s: s["word"] != "")).drop(*need)
 
 
-def _short(c: Column) -> Column:
-    return F.when(F.length(c) > MOST_LETTERS, F.sha2(c, 256)).otherwise(c)
-
-
 def _shape(word: Column) -> Column:
     """How a word is built: parts with a letter, runs of digits; other characters stay.
 
@@ -184,81 +191,116 @@ def discover(occurrences: DataFrame) -> DataFrame:
     return beliefs.join(first.select("word"), "word", "left_anti").select("word", "kind")
 
 
-def _covering(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+def _uncovered(found: Column, spans: Column) -> Column:
+    """Those of the found ones that overlap no span: one pass over both in order of their starts."""
+    last = (1 << 31) - 1
+    event = lambda s, tag: F.struct(s["start"].alias("start"), F.lit(tag).alias("tag"), s["end"].alias("end"), s.alias("s"))
+    events = F.sort_array(F.concat(F.transform(spans, lambda s: event(s, 0)), F.transform(found, lambda s: event(s, 1))))
+
+    def swept(e: Column) -> Column:
+        reach = scan(e, F.lit(0), lambda far, x: F.when(x["tag"] == 0, F.greatest(far, x["end"])).otherwise(far))
+        following = F.reverse(scan(F.reverse(e), F.lit(last), lambda near, x: F.when(x["tag"] == 0, x["start"]).otherwise(near)))
+        limits = F.zip_with(reach, following, lambda r, f: F.struct(r.alias("reach"), f.alias("following")))
+        judged = F.zip_with(e, limits, lambda x, m: F.struct(((x["tag"] == 1) & (m["reach"] <= x["start"]) & (m["following"] >= x["end"])).alias("free"), x["s"].alias("s")))
+        return F.transform(F.filter(judged, lambda j: j["free"]), lambda j: j["s"])
+
+    return F.when((F.size(found) == 0) | (F.size(spans) == 0), found).otherwise(bound(events, swept))
 
 
 def further_spans(marked: DataFrame, key: str) -> DataFrame:
-    """Rows (key, further): spans (kind as its place, start, end) of discovered words, for rows that have some.
+    """Rows (key, further): spans (kind as its place, start, end, at, to) of discovered words, for rows that have some.
 
     ``marked`` has the key, the base spans and the candidates of each row.
     """
-    spans = [f"spans_{k}" for k in KINDS]
     seed = lambda k: F.transform(f"spans_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s.alias("c")))
     seeds = marked.select(key, F.explode(F.concat(*map(seed, KINDS))).alias("s")).select(key, "s.kind", "s.c.*").withColumn("shape", _shape(F.col("word")))
     shapes = cut(seeds.select(F.col("shape").alias("__shape")).distinct())
-    others = F.filter("candidates", lambda c: ~functools.reduce(lambda x, y: x | y, [_covering(F.col(s), c) for s in spans]))
+    others = _uncovered(F.col("candidates"), F.concat(*[F.col(f"spans_{k}") for k in KINDS]))
     others = marked.select(key, F.explode(others).alias("c")).select(key, F.lit(None).cast("string").alias("kind"), "c.*").withColumn("shape", _shape(F.col("word")))
     if shapes.count() <= FEW_SHAPES:  # no pattern of another shape can have a seed
         others = others.join(F.broadcast(shapes), F.col("shape") == F.col("__shape"), "left_semi")
     occurrences = cut(seeds.unionByName(others).withColumn("word", _short(F.col("word"))))
     new = discover(occurrences)
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    hits = occurrences.filter("kind is null").drop("kind").join(new, "word").select(key, F.struct(place.alias("kind"), "start", "end").alias("s"))
+    hits = occurrences.filter("kind is null").drop("kind").join(new, "word").select(key, F.struct(place.alias("kind"), "start", "end", "at", "to").alias("s"))
     return hits.groupBy(key).agg(F.array_sort(F.collect_set("s")).alias("further"))
 
 
+FURTHER = "struct<kind:int,start:int,end:int,at:int,to:int>"
+
+
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def _listed(kind: int, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(KINDS[kind]), s["start"].cast("string"), s["end"].cast("string")))
 
 
 def extract(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Columns of ``keep``, the number of base spans of each kind, the digest of their list, and ``spans``, the list of all.
+    """Columns of ``keep``, the number of base spans of each kind, the digest of their list, ``spans``, the list of all, and their number.
 
-    Null and empty texts have none. Repeated rows stay; an empty table gives an empty one.
+    Null and empty texts have none. Repeated rows stay; an empty table gives an empty one. Columns of ``keep`` that are
+    named like one of the result give way to it.
     """
-    names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans"]
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
     kept = [c for c in keep if c not in names]
-    narrow = candidates(base_spans(docs.select(*kept, F.col(text).alias("__text")), "__text"), "__text").drop("__text")
+    at = [f"__d{i}" for i in range(len(kept))]
+    narrow = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, at, strict=True)], F.col(f"`{text}`").alias("__text"))
+    narrow = candidates(base_spans(narrow, "__text"), "__text").drop("__text")
     marked = cut(narrow.withColumn("__row", F.monotonically_increasing_id()))  # written out, so the row numbers stay
     extra = further_spans(marked, "__row").withColumnRenamed("__row", "__at")
     whole = marked.join(extra, F.col("__row") == F.col("__at"), "left")
     base = F.concat(*[_listed(i, F.col(f"spans_{k}")) for i, k in enumerate(KINDS)])
-    more = F.coalesce(F.col("further"), F.array().cast("array<struct<kind:int,start:int,end:int>>"))
+    more = F.coalesce(F.col("further"), _none(FURTHER))
+    places = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     every = []
     for i, k in enumerate(KINDS):
-        own, found = _places(F.col(f"spans_{k}")), _places(_of_kind(more, i + 1))
+        own, found = places(F.col(f"spans_{k}")), places(_of_kind(more, i + 1))
         every.append(_listed(i, F.when(F.size(found) == 0, own).otherwise(F.sort_array(F.concat(own, found)))))
+    spans = F.concat(*every)
     return whole.select(
-        *kept,
+        *[F.col(a).alias(c) for c, a in zip(kept, at, strict=True)],
         *[F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*every), ",").alias("spans"),
+        F.array_join(spans, ",").alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )
 
 
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with ``[kind]`` for each span (at, to, kind), in bytes; of overlapping ones the first by place names the whole.
+
+    Bytes are cut from the text by place, so time is linear in the text and its spans.
+    """
+
+    def parts(b: Column, s: Column, reach: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        piece = lambda x, past: F.concat(F.substring(b, past + 1, x["at"] - past).cast("string"), F.lit("["), x["kind"], F.lit("]"))
+        kept = F.zip_with(s, before, lambda x, past: F.when(x["at"] >= past, piece(x, past)).otherwise(""))
+        return F.concat(F.array_join(kept, ""), F.substring(b, F.element_at(reach, -1) + 1, F.octet_length(b)).cast("string"))
+
+    reached = lambda s: scan(s, F.lit(0), lambda far, x: F.greatest(far, x["to"]))
+    return bound(text.cast("binary"), lambda b: bound(F.sort_array(spans), lambda s: bound(reached(s), lambda r: parts(b, s, r))))
+
+
 def redact(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The columns of ``docs``, with ``[KIND]`` in place of every span. Null texts stay null.
 
-    Rows that agree in id and text get the same spans, so their further spans are kept by id and text hash.
+    Rows that agree in id and text get the same spans, so their further spans are kept by id and text hash. Columns may
+    have any names; repeated rows stay; an empty table gives an empty one.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_column}`"), F.col(text)))
+    rows, at = inner(docs)
+    text, id_column = at[text], at[id_column]
+    keyed = rows.withColumn("__key", F.xxhash64(F.col(id_column), F.col(text)))
     marked = cut(candidates(base_spans(keyed.select("__key", F.col(text).alias("__text")), "__text"), "__text").drop("__text").filter(F.size("candidates") > 0))
-    extra = further_spans(marked, "__key").withColumnRenamed("__key", "__at")
+    extra = cut(further_spans(marked, "__key").withColumnRenamed("__key", "__at"))
+    extra = F.broadcast(extra) if extra.count() <= FEW_ROWS else extra
     rows = base_spans(keyed, text).join(extra, F.col("__key") == F.col("__at"), "left")
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    spans = [_places(F.col(f"spans_{k}"), k.upper()) for k in KINDS]
     upper = F.array(*[F.lit(k.upper()) for k in KINDS])
-    later = F.transform(F.col("further"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(upper, s["kind"]).alias("kind")))
-    rows = rows.withColumn("__spans", F.sort_array(F.concat(*spans, F.coalesce(later, none))))
-    t = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        free = s["start"] >= acc["at"]
-        part = F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    finish = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t)))
-    clean = F.when(F.size("__spans") == 0, t).otherwise(F.aggregate("__spans", start, step, finish))
-    return rows.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    place = lambda s, kind: F.struct(s["at"].alias("at"), s["to"].alias("to"), kind.alias("kind"))
+    own = lambda k: F.transform(f"spans_{k}", lambda s: place(s, F.lit(k.upper())))
+    later = F.transform(F.coalesce(F.col("further"), _none(FURTHER)), lambda s: place(s, F.element_at(upper, s["kind"])))
+    rows = rows.withColumn("__spans", F.concat(*map(own, KINDS), later))
+    clean = F.when(F.size("__spans") == 0, F.col(text)).otherwise(_replaced(F.col(text), F.col("__spans")))
+    return outer(rows.withColumn(text, clean), docs)
