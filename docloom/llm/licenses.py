@@ -1,49 +1,32 @@
 """License scans: matching statistics against a generalised suffix automaton of licence tokens.
 
-The automaton holds every run of words of every template. A document's words are streamed through it; at each word
-it knows the longest run ending there that some template holds. Long runs of one template are chained in order
-into spans, and a template whose covered share is large enough gives its label.
+The automaton holds every run of words of every template, and where in the templates each run ends. A document's words
+are streamed through it; at each word it knows the longest run ending there that some template holds. Long runs are
+chained for each template: in the order of the document and of the template alike, so a chain covers every word of the
+template at most once. A chain that covers a large enough share of its template is a span and gives the template's label.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from docloom.llm.license_texts import TEMPLATES
 from docloom.llm.runtime import map_texts
 
 #: Phrases and the labels that each place of them gives.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Wording of public licence notices.
-TEMPLATES = {
-    "mit": (
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    ),
-    "apache-2.0": (
-        "licensed under the apache license version 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    ),
-    "gpl": (
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
-    ),
-    "cc-by": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    ),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",),
-}
-#: Runs of fewer words don't count, unless they are a whole template.
+#: Runs of fewer words don't count.
 RUN = 4
 #: Words that may lie between two runs of one span.
 GAP = 12
 #: Share of a template's words that must be covered for its label.
 COVER = 0.8
+#: Words that the templates of one scan may have in all: they are held by the driver and by every worker.
+MOST_WORDS = 2_000_000
 
 #: Every byte that is no digit, no ASCII letter and not part of a character beyond ASCII becomes a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -54,27 +37,45 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word ids, with a bit set of templates for each state."""
+    """Generalised suffix automaton over word ids, with the ends of each state's runs in the templates."""
 
-    def __init__(self, templates: list[list[int]]):
+    def __init__(self, templates: Sequence[Sequence[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.size, self.holds = [-1], [0], [0]
-        for k, words in enumerate(templates):
+        self.link, self.size = [-1], [0]
+        for words in templates:
             last = 0
             for w in words:
                 last = self._extend(last, w)
+        # a state's runs end where those of the states below it in the tree of links do: a slice, in the order of a walk
+        below: list[list[int]] = [[] for _ in self.link]
+        for q in range(1, len(self.link)):
+            below[self.link[q]].append(q)
+        ends: list[list[tuple[int, int]]] = [[] for _ in self.link]
+        for k, words in enumerate(templates):
             at = 0
-            for w in words:  # every prefix, and with it all its suffixes
+            for i, w in enumerate(words, 1):
                 at = self.next[at][w]
-                s = at
-                while s > 0 and not self.holds[s] >> k & 1:
-                    self.holds[s] |= 1 << k
-                    s = self.link[s]
+                ends[at].append((k, i))
+        self.ends: list[tuple[int, int]] = []  # (template, words up to the end of the run)
+        self.first, self.past = [0] * len(self.link), [0] * len(self.link)
+        walk = [(0, False)]
+        while walk:
+            q, left = walk.pop()
+            if left:
+                self.past[q] = len(self.ends)
+                continue
+            self.first[q] = len(self.ends)
+            self.ends += ends[q]
+            walk.append((q, True))
+            walk += [(c, False) for c in below[q]]
+
+    def places(self, state: int) -> Iterator[tuple[int, int]]:
+        """Every (template, end) of the state's runs."""
+        return iter(self.ends[self.first[state] : self.past[state]])
 
     def _state(self, size: int, like: int | None = None) -> int:
         self.next.append(dict(self.next[like]) if like is not None else {})
         self.link.append(self.link[like] if like is not None else 0)
-        self.holds.append(self.holds[like] if like is not None else 0)
         self.size.append(size)
         return len(self.size) - 1
 
@@ -102,9 +103,11 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, run: int = RUN, gap: int = GAP, cover: float = COVER):
+    def __init__(self, templates: Mapping[str, Sequence[str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, run: int = RUN, gap: int = GAP, cover: float = COVER):
         self.run, self.gap, self.cover = run, gap, cover
         self.templates = [(label, words_of(t)) for label, texts in templates.items() for t in texts]
+        if (n := sum(len(w) for _, w in self.templates)) > MOST_WORDS:
+            raise ValueError(f"templates of {n} words; at most {MOST_WORDS} fit a scan")
         self.ids: dict[bytes, int] = {}
         coded = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in self.templates]
         self.automaton = Automaton(coded)
@@ -139,21 +142,46 @@ class Scanner:
             found.append((len(words) - length, len(words), state))
         return found
 
+    def chains(self, runs: Sequence[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """For each template (start, end, covered words) of the best chain that ends with each run in each of its places.
+
+        ``runs`` are (start, end, state) in order. A run follows another if it goes on further in the document and in
+        the template, with at most ``gap`` words of the document between; words that both would cover count once.
+        """
+        live: dict[int, list[tuple[int, int, int, int, int]]] = {}  # template: (end, end in it, covered, start, start of the last run)
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for start, end, state in runs:
+            n, after = end - start, {}
+            for k, to in self.automaton.places(state):
+                best = (n, start)
+                known = live.setdefault(k, [])
+                if known and known[0][0] < start - self.gap:
+                    known[:] = [x for x in known if x[0] >= start - self.gap]
+                for e, t, covered, first, _ in known:
+                    if e < end and t < to:
+                        fresh = n - max(0, e - start, t - (to - n))
+                        if fresh > 0 and (covered + fresh, first) > best:
+                            best = covered + fresh, first
+                after.setdefault(k, []).append((end, to, best[0], best[1], start))
+            for k, more in after.items():
+                live[k] += more
+                found.setdefault(k, []).extend((x[3], x[0], x[2]) for x in more)
+        return found
+
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, covered share) of the templates that chained runs cover well enough."""
-        long = [(s, e, self.automaton.holds[q]) for s, e, q in self.runs(words) if e - s >= self.run]
+        """(label, start, end, covered share) of the templates that chained runs cover well enough.
+
+        Of overlapping spans of one template the one that covers most stays, then the shortest, then the first.
+        """
         out = []
-        for k, (label, _) in enumerate(self.templates):
-            chain: list[list[int]] = []
-            for s, e, holds in long:
-                if holds >> k & 1:
-                    if chain and s - chain[-1][1] <= self.gap:
-                        fresh = e - max(s, chain[-1][1])
-                        chain[-1][1] = e
-                        chain[-1][2] += max(0, fresh)
-                    else:
-                        chain.append([s, e, e - s])
-            out += [(label, s, e, min(1.0, n / self.lengths[k])) for s, e, n in chain if n >= self.cover * self.lengths[k]]
+        for k, ended in sorted(self.chains([r for r in self.runs(words) if r[1] - r[0] >= self.run]).items()):
+            label, size = self.templates[k][0], self.lengths[k]
+            taken: list[tuple[int, int]] = []
+            for start, end, n in sorted((x for x in ended if x[2] >= self.cover * size), key=lambda x: (-x[2], x[1] - x[0], x[0])):
+                i = bisect_left(taken, (start, end))
+                if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end):
+                    taken.insert(i, (start, end))
+                    out.append((label, start, end, n / size))
         return out
 
     def places(self, words: list[bytes]) -> list[tuple[int, str]]:
@@ -170,21 +198,37 @@ class Scanner:
         return out
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    return Scanner()
+@lru_cache(maxsize=2)
+def scanner(templates: tuple[tuple[str, tuple[str, ...]], ...] = tuple(TEMPLATES.items())) -> Scanner:
+    return Scanner(dict(templates))
+
+
+def read_templates(rows: DataFrame, label: str = "label", text: str = "text") -> dict[str, tuple[str, ...]]:
+    """Templates from a table of licence texts, which must be small enough for a scan. Rows without label or text are left out."""
+    from pyspark.sql import functions as F
+
+    some = rows.select(F.col(label).alias("label"), F.col(text).alias("text")).dropna()
+    size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > 16 * MOST_WORDS:
+        raise ValueError(f"licence texts of {size} bytes; at most {16 * MOST_WORDS} fit a scan")
+    found: dict[str, list[str]] = {}
+    for r in sorted(set(map(tuple, some.collect()))):
+        found.setdefault(r[0], []).append(r[1])
+    return {k: tuple(v) for k, v in found.items()}
 
 
-def scan(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), templates: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
     """Columns of ``keep``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and ``spans``.
 
-    ``spans`` lists the covered templates as label:start:end by words. The score is the largest covered share of a
-    template whose label is given, 1 where a phrase stands, else 0. Null and empty texts have no words, no labels
-    and the score 0.
+    ``templates`` has the texts of each label, such as ``read_templates`` gives. ``spans`` lists the covered templates
+    as label:start:end by words. The score is the largest covered share of a template whose label is given, 1 where a
+    phrase stands, else 0. Null and empty texts have no words, no labels and the score 0. Repeated rows stay; an empty
+    table gives an empty one; a column of ``keep`` that is named like one of the result gives way to it.
     """
+    key = tuple((k, tuple(v)) for k, v in templates.items())
 
     def start():
-        s = scanner()
+        s = scanner(key)
 
         def run(texts):
             rows = []
