@@ -1,10 +1,10 @@
 """Quality rules with thresholds that adapt to each language and source. DataFrame functions only.
 
 Each document gets counts; each count gets an integer rate. The rates of a language and source are summed up in a
-mergeable sketch: counts of log-linear bins, 16 to a power of two, so a quantile is right within a sixteenth. Sketches
+mergeable sketch: counts of log-linear bins, 64 to a power of two, so a quantile is right within a sixty-fourth. Sketches
 of different tasks, sources or languages merge by adding counts, so the order of rows never matters. A rate fails where
-it lies beyond a fence around the middle half of its group. Small groups use the merged sketch of their language,
-then that of all documents.
+it lies several times as far from its group's median as the tails of the group do. Small groups use the merged sketch of
+their language, then that of all documents.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut, staged
+from docloom.llm.runtime import cut, inner, outer, staged
 
 #: White space that parts words, and characters that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: A text fails outright with fewer words than this, or with more than this share of its words in repeated windows.
 LEAST_WORDS, MOST_REPEATS = 50, 50
-#: Rate, its parts in one, and what it may lie beyond the quartiles besides FENCE times their distance.
-RATES = {"word_length": 100, "symbols": 100, "dup_lines": 500, "repeats": 430}
-FENCE = 3
+#: Rates, and the per cent of a group up to its upper tail; the lower tail is as large. Repetition comes in a few texts of any
+#: kind, so its tails are smaller.
+RATES = {"word_length": 90, "symbols": 90, "dup_lines": 99, "repeats": 99}
+#: How many times as far from the median as the tail a rate may lie, and what it may lie beyond for rounding.
+REACH, SLACK = 4, 5
+#: Columns that the rules make.
+MADE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 #: Documents that a group needs for thresholds of its own.
 LEAST_GROUP = 200
 #: Tables of at most so many groups are broadcast; more are joined by a shuffle.
@@ -75,14 +79,14 @@ def rates() -> dict[str, Column]:
 
 
 def _bin(v: Column) -> Column:
-    """Log-linear bins: whole numbers below 32, above them 16 bins to each power of two."""
-    shift = F.length(F.bin(v)) - 5
-    return F.when(v < 32, v).otherwise(16 * shift + F.call_function("shiftright", v, shift))
+    """Log-linear bins: whole numbers below 128, above them 64 bins to each power of two."""
+    shift = F.length(F.bin(v)) - 7
+    return F.when(v < 128, v).otherwise(64 * shift + F.call_function("shiftright", v, shift))
 
 
 def _least(b: Column) -> Column:
     """The smallest number of a bin."""
-    return F.when(b < 32, b).otherwise(F.call_function("shiftleft", (16 + b % 16).cast("long"), (F.floor(b / 16) - 1).cast("int")))
+    return F.when(b < 128, b).otherwise(F.call_function("shiftleft", (64 + b % 64).cast("long"), (F.floor(b / 64) - 1).cast("int")))
 
 
 def sketches(measured: DataFrame, keys=("lang", "source")) -> DataFrame:
@@ -104,12 +108,11 @@ def thresholds(sketch: DataFrame, keys=("lang", "source")) -> DataFrame:
         merged = sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
         part = Window.partitionBy(*by, "rate")
         run = merged.withColumn("__sum", F.sum("n").over(part.orderBy("bin"))).withColumn("__all", F.sum("n").over(part))
-        quartile = lambda k: F.min(F.when(4 * F.col("__sum") >= k * F.col("__all"), F.col("bin")))
-        found = run.groupBy(*by, "rate").agg(_least(quartile(1)).alias("q1"), _least(quartile(3)).alias("q3"), F.first("__all").alias("n"))
-        per_rate = [
-            F.max(F.when(F.col("rate") == r, F.struct((F.col("q1") - FENCE * (F.col("q3") - F.col("q1")) - slack).alias("low"), (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack).alias("high")))).alias(f"__{level}_{r}")
-            for r, slack in RATES.items()
-        ]
+        percent = F.element_at(F.create_map(*[F.lit(x) for pair in RATES.items() for x in pair]), F.col("rate"))
+        quantile = lambda p: _least(F.min(F.when(100 * F.col("__sum") >= p * F.col("__all"), F.col("bin"))))
+        found = run.groupBy(*by, "rate").agg(quantile(100 - percent).alias("low"), quantile(F.lit(50)).alias("mid"), quantile(percent).alias("high"), F.first("__all").alias("n"))
+        fence = F.struct((F.col("mid") - REACH * (F.col("mid") - F.col("low")) - SLACK).alias("low"), (F.col("mid") + REACH * (F.col("high") - F.col("mid")) + SLACK).alias("high"))
+        per_rate = [F.max(F.when(F.col("rate") == r, fence)).alias(f"__{level}_{r}") for r in RATES]
         table = found.groupBy(*by).agg(F.max("n").alias(f"__{level}_n"), *per_rate)
         table = table.select(*[F.col(b).alias(f"__by_{b}") for b in by], *[c for c in table.columns if c not in by])
         met = F.lit(True)
@@ -143,18 +146,25 @@ def _within(measured: DataFrame, table: DataFrame, keys) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep=("doc_id",)) -> DataFrame:
-    """Columns of ``keep``, the counts, ``base_failed`` and ``kept`` of each document."""
-    narrow = counts(docs.select(*keep, F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.col(text).alias("__text")), "__text").drop("__text")
-    return judge(cut(narrow), ("__lang", "__source")).drop("__lang", "__source")
+    """Columns of ``keep``, the counts, ``base_failed`` and ``kept`` of each document.
+
+    A column of ``keep`` that is named like one of the result gives way to it.
+    """
+    shown = [c for c in keep if c not in MADE]
+    at = [f"__d{i}" for i in range(len(shown))]
+    narrow = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(shown, at, strict=True)], F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), F.col(f"`{text}`").alias("__text"))
+    judged = judge(cut(counts(narrow, "__text").drop("__text")), ("__lang", "__source"))
+    return judged.select(*[F.col(a).alias(c) for c, a in zip(shown, at, strict=True)], *MADE)
 
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The columns of ``docs`` for the documents that are kept. The texts go through no shuffle."""
-    columns = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(columns)])
-    at = {c: f"__d{i}" for i, c in enumerate(columns)}
+    """The columns of ``docs`` for the documents that are kept. The texts go through no shuffle.
+
+    Null texts have no words and go; null languages and sources are groups too; repeated rows stay or go together;
+    columns may have any names; an empty table gives an empty one.
+    """
+    rows, at = inner(docs)
     # written out: a filter on the counts would else be pushed into the expressions that make them
-    measured = staged(counts(inner, at[text]))
+    measured = staged(counts(rows, at[text]))
     keys = (at[lang], at[source])
-    kept = _within(measured, cut(thresholds(cut(sketches(measured, keys)), keys)), keys).filter("kept")
-    return kept.select(*[F.col(at[c]).alias(c) for c in columns])
+    return outer(_within(measured, cut(thresholds(cut(sketches(measured, keys)), keys)), keys).filter("kept"), docs)
