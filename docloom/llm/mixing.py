@@ -4,18 +4,21 @@ A document of a source is wanted ``target / source size`` times. The whole part
 probability. Two documents at a time, mass (probability times words) moves at random from one to the other until one
 probability is 0 or 1; the direction is drawn so that each probability stays right in expectation, and the words that
 the two contribute stay the same. Documents are dealt into small groups inside a source, each group leaves at most one
-fractional document, and these go up a reduction tree of the same step until one is left in each source, which goes
-to its nearer side. So a source's words differ from its target by at most half of its last document's.
+fractional document, and these go up a reduction tree of the same step until one is left in each source. That one goes
+to its nearer side, not by chance: a source's words differ from its target by at most half of its last document's, and
+every other document is taken as often as wanted in expectation. Rows that agree in key and text are one weighted row on
+the way, so no group grows with how often a row is repeated.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut, ship
+from docloom.llm.runtime import cut, inner, outer, ship
+from docloom.shared import numbered
 
 #: Documents in a leaf of the reduction tree, and residuals that meet in a node above.
 LEAF, FAN = 512, 512
@@ -23,6 +26,10 @@ LEAF, FAN = 512, 512
 CAP = 3
 #: Tables of at most so many sources are broadcast; more are joined by a shuffle.
 FEW_SOURCES = 100_000
+#: Rows that are written out from one weighted row in one task.
+CHUNK = 10_000
+#: Columns of a mix besides its key.
+RESULT = ("source", "size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,23 +37,25 @@ def allocate(sizes: DataFrame, cap: int = CAP, source: str = "source", size: str
     """Columns source, source_size and target for a table of (source, size), one row for each source.
 
     Weights are 1, 2, 3, repeating over sources by code point with null last, or come from a table (source, weight).
-    Targets share all words by weight, none above ``cap`` times its source's words. The share that a source
-    cannot take goes to the others by weight: with sources in the order of cap by weight, those that are full come
-    first, and the level of the others is the largest that any prefix leaves. One task sorts the sources, a row for each.
+    Targets share all words by weight, none above ``cap`` times its source's words; the share that a source cannot take
+    goes to the others by weight. The common level of those rises by rounds of sums, until no further source is full.
     """
     if weights is None:
-        place = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1
-        weighed = sizes.withColumn("__w", (place % 3 + 1).cast("double"))
+        placed = numbered(sizes, F.col(source).asc_nulls_last(), name="__place")
+        weighed = placed.withColumn("__w", ((F.col("__place") - 1) % 3 + 1).cast("double")).drop("__place")
     else:
         weighed = sizes.join(weights.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("__w")), F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s").fillna(0.0, ["__w"])
-    order = Window.orderBy((cap * F.col(size) / F.col("__w")).asc_nulls_last(), F.col(source).asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum(size).over(everything) - F.coalesce(F.sum(cap * F.col(size)).over(before), F.lit(0))
-    weight_left = F.sum("__w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    leveled = weighed.withColumn("__level", F.when(weight_left > 0, F.greatest(left, F.lit(0)) / weight_left))
-    level = F.max("__level").over(everything)
-    return leveled.select(F.col(source), F.col(size).alias("source_size"), F.least((cap * F.col(size)).cast("double"), F.coalesce(level * F.col("__w"), F.lit(0.0))).alias("target"))
+    weighed = cut(weighed)
+    room = cap * F.col(size).cast("double")
+    total = weighed.agg(F.coalesce(F.sum(F.col(size)), F.lit(0)).cast("double")).first()[0]
+    level, full = 0.0, -1
+    while True:
+        over = room < level * F.col("__w")
+        n, taken, open_ = weighed.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, room)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("__w"))), F.lit(0.0))).first()
+        if n == full or not open_:
+            break
+        full, level = n, max(total - taken, 0.0) / open_
+    return weighed.select(F.col(source), F.col(size).alias("source_size"), F.least(room, F.lit(level) * F.col("__w")).alias("target"))
 
 
 def pivot(x: np.ndarray, words: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
@@ -82,7 +91,7 @@ def pivot(x: np.ndarray, words: np.ndarray, draw: np.ndarray) -> tuple[np.ndarra
 
 def _node(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
-    words = table["size"].to_numpy()
+    words = table["__size"].to_numpy()
     draw = table["__draw"].to_numpy()
     # ties among equal sizes are broken by the draws, so the order that rows arrive in doesn't matter
     order = np.lexsort((draw, -words))
@@ -94,36 +103,30 @@ def _node(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("__x"), "__x", pa.array(x)).set_column(table.schema.get_field_index("__open"), "__open", pa.array(still))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key=("doc_id",), cap: int = CAP, seed: int = 7, weights: DataFrame | None = None, count: str | None = None) -> DataFrame:
-    """Columns of ``key``, the source, ``size`` (words, or the column ``count``), ``source_size``, ``target``, ``copies`` and ``taken``.
-
-    Null and empty texts have no words and take none. A null source is a source of its own. Repeated rows count each.
-    An empty table gives an empty one. Draws come from hashes of key, text and level, so reruns agree.
-    Rows that agree in key and text share a draw and a group: keys are expected to tell documents apart.
-    """
+def _rounded(docs: DataFrame, text: str, source: str, key: list[str], cap: int, seed: int, weights: DataFrame | None, count: str | None) -> DataFrame:
+    """Rows (key, __source, __size, source_size, target, __m, __total): how often the ``__m`` rows of a key and text are taken in all."""
     ship(docs.sparkSession)
-    key = list(key)
     size = F.coalesce(F.col(count).cast("long"), F.lit(0)) if count else F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
-    base = cut(docs.select(*key, F.col(source).alias("source"), size.alias("size"), F.xxhash64(*key, F.lit(seed), F.length(text) if count else text).alias("__hash")))
-    per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("__n"))
-    per = cut(per)
-    targets = allocate(per.select("source", "size"), cap, weights=weights).join(per.select(F.col("source").alias("__source"), "__n"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    each = docs.select(*key, F.col(source).alias("__source"), size.alias("__size"), F.xxhash64(*key, F.lit(seed), F.length(text) if count else text).alias("__hash"))
+    base = cut(each.groupBy(*key, "__source", "__size", "__hash").agg(F.count(F.lit(1)).alias("__m")))
+    per = cut(base.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__m")).alias("size"), F.count(F.lit(1)).alias("__n")))
+    targets = allocate(per.select("__source", "size"), cap, "__source", weights=weights).join(per.select(F.col("__source").alias("__s"), "__n"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     targets = cut(targets)
     sources, most = targets.agg(F.count(F.lit(1)), F.coalesce(F.max("__n"), F.lit(0))).first()
-    t = targets.select(F.col("source").alias("__source"), "source_size", "target", F.ceil(F.col("__n") / LEAF).alias("__leaves"))
+    t = targets.select(F.col("__source").alias("__s"), "source_size", "target", F.ceil(F.col("__n") / LEAF).alias("__leaves"))
     if sources <= FEW_SOURCES:
         t = F.broadcast(t)
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = base.join(t, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__wanted", wanted)
+    wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("__m") / F.col("source_size")).otherwise(0.0)
+    rows = base.join(t, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__wanted", wanted)
     rows = rows.withColumn("__whole", F.floor("__wanted")).withColumn("__x", F.col("__wanted") - F.col("__whole"))
-    rows = rows.withColumn("__open", (F.col("size") > 0) & (F.col("__x") > 0)).withColumn("__x", F.when(F.col("__open"), F.col("__x")).otherwise(0.0))
+    rows = rows.withColumn("__open", (F.col("__size") > 0) & (F.col("__x") > 0)).withColumn("__x", F.when(F.col("__open"), F.col("__x")).otherwise(0.0))
     rows = rows.withColumn("__node", F.pmod(F.xxhash64("__hash", F.lit(-1)), F.col("__leaves"))).drop("__wanted", "__leaves")
     closed = [rows.filter(~F.col("__open"))]
     rows = rows.filter("__open")
     nodes, depth = -(-most // LEAF), 0
     while True:
         drawn = rows.withColumn("__draw", F.pmod(F.xxhash64("__hash", F.lit(depth)), F.lit(1 << 53)) / float(1 << 53))
-        level = cut(drawn.groupBy("source", "__node").applyInArrow(_node, drawn.schema))
+        level = cut(drawn.groupBy("__source", "__node").applyInArrow(_node, drawn.schema))
         closed.append(level.filter(~F.col("__open")).drop("__draw"))
         rows = level.filter("__open").drop("__draw")
         if nodes <= 1:
@@ -134,21 +137,54 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key=("doc_i
     out = closed[0]
     for part in closed[1:]:
         out = out.unionByName(part)
-    copies = (F.col("__whole") + F.col("__x")).cast("long")
-    return out.select(*key, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(*key, "__source", "__size", "source_size", "target", "__m", (F.col("__whole") + F.col("__x")).cast("long").alias("__total"))
 
 
-def materialise(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", **options) -> DataFrame:
+def _written_out(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says; what is written out often is dealt to several tasks."""
+    few, many = rows.filter(F.col(times) <= CHUNK), rows.filter(F.col(times) > CHUNK)
+    if not many.isEmpty():
+        part = many.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+        part = part.withColumn(times, F.least(F.lit(CHUNK).cast("long"), F.col(times) - F.col("__part") * CHUNK))
+        few = few.unionByName(part.repartition("__part").drop("__part"))
+    return few.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop("__copy")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key=("doc_id",), cap: int = CAP, seed: int = 7, weights: DataFrame | None = None, count: str | None = None) -> DataFrame:
+    """Columns of ``key``, the source, ``size`` (words, or the column ``count``), ``source_size``, ``target``, ``copies`` and ``taken``.
+
+    One row for each document. Null and empty texts have no words and take none. A null source is a source of its own.
+    Rows that agree in key and text share what is taken of them evenly. An empty table gives an empty one. Draws come
+    from hashes of key, text and level, so reruns agree. A column of ``key`` that is named like one of the result gives
+    way to it.
+    """
+    shown = [c for c in key if c not in RESULT]
+    at = [f"__k{i}" for i in range(len(key))]
+    named = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(key, at, strict=True)], F.col(f"`{text}`").alias("__text"), F.col(f"`{source}`").alias("__of"), *([F.col(f"`{count}`").alias("__count")] if count else []))
+    rounded = _rounded(named, "__text", "__of", at, cap, seed, weights, "__count" if count else None)
+    each, rest = F.floor(F.col("__total") / F.col("__m")), F.col("__total") % F.col("__m")
+    parts = F.filter(F.array(F.struct((each + 1).alias("copies"), rest.alias("n")), F.struct(each.alias("copies"), (F.col("__m") - rest).alias("n"))), lambda p: p["n"] > 0)
+    rows = cut(rounded.withColumn("__p", F.explode(parts)).select(*at, "__source", "__size", "source_size", "target", "__p.copies", F.col("__p.n").alias("__n")))
+    out = _written_out(rows, "__n")
+    return out.select(*[F.col(a).alias(c) for c, a in zip(key, at, strict=True) if c in shown], F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("__size")).cast("long").alias("taken"))
+
+
+def materialise(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", cap: int = CAP, seed: int = 7, weights: DataFrame | None = None, count: str | None = None) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is taken.
 
-    Rows that agree in id and text are interchangeable, so their copies are summed and dealt out from one of them.
+    Rows that agree in id and text are interchangeable, so their copies are summed and written out from one of them.
+    Columns may have any names; an empty table gives an empty one.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text)))
-    chosen = mix(keyed, text, source, (id_column, "__key", source) if source != "source" else (id_column, "__key"), **options)
-    per = chosen.groupBy(F.col(id_column).alias("__id"), F.col("__key").alias("__h"), F.col("source").alias("__src")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    copies = cut(per.filter("__copies > 0"))
+    rows, at = inner(docs)
+    text, source, id_column = at[text], at[source], at[id_column]
+    keyed = rows.withColumn("__key", F.xxhash64(F.col(text)))
+    chosen = _rounded(keyed, text, source, [id_column, "__key"], cap, seed, weights, at[count] if count else None)
+    copies = cut(chosen.filter("__total > 0").select(F.col(id_column).alias("__id"), F.col("__key").alias("__h"), F.col("__source").alias("__src"), F.col("__total").alias("__copies"), "__m"))
     same = keyed[id_column].eqNullSafe(copies["__id"]) & (keyed["__key"] == copies["__h"]) & keyed[source].eqNullSafe(copies["__src"])
     taken = keyed.join(copies, same)
-    if not copies.filter("__rows > 1").isEmpty():
+    if not copies.filter("__m > 1").isEmpty():
         taken = taken.dropDuplicates(["__id", "__h", "__src"])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    taken = taken.drop("__id", "__h", "__src", "__key", "__m")
+    if copies.filter(F.col("__copies") > CHUNK).isEmpty():
+        return outer(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))), docs)
+    return outer(_written_out(taken, "__copies"), docs)
