@@ -23,8 +23,10 @@ from docloom.llm.runtime import map_texts
 
 #: Fixed value: the published pattern that splits text before the merges of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose encoding a worker remembers; then it starts anew.
-MEMORY = 400_000
+#: Bytes of pieces and their encodings that a worker remembers before it starts anew; longer pieces aren't remembered.
+MEMORY, LONG_PIECE = 64 << 20, 1 << 10
+#: Bytes that an entry takes besides.
+ENTRY = 200
 #: Compatible pairs that a worker remembers; then it starts anew.
 PAIRS = 1_000_000
 
@@ -44,10 +46,16 @@ class _Memo(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, piece):
-        made = self[piece] = self.make(piece)
+        made = self.make(piece)
+        if len(piece) <= LONG_PIECE:
+            if self.held >= MEMORY:
+                self.clear()
+                self.held = 0
+            self[piece] = made
+            self.held += ENTRY + 4 * len(piece) + len(made)
         return made
 
 
@@ -151,8 +159,6 @@ class Codec:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMORY:
-            self.memo.clear()
         known = self.memo.__getitem__
         if self.marks and any(s in text for s in self.special):
             parts = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,6 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.shared import cut, shared_folder  # noqa: F401
 from docloom.shipping import ship
 
 #: Texts that one call of a text function sees at most; bounds what a Python worker holds.
@@ -19,30 +19,34 @@ SLICE_ROWS = 256
 SLICE_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); only where it isn't set, as in tests, a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: lost executors don't undo it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Tables that ``staged`` has written for the results of a session, until ``clear_staged``.
+_WRITTEN: list[str] = []
 
 
 def staged(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: for rows with texts, which a checkpoint wouldn't compress.
 
-    The table stays, as results that are still to be read depend on it; the folder's owner clears it.
+    The table stays, as results that are still to be read depend on it, until ``clear_staged``.
     """
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table, in whatever store it lies."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the staged tables so far; to be called when the results that read them are written."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
+
+
 def inner(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The rows under names by position, which nothing an operator adds can clash with, and the new name of each column.
 

@@ -17,8 +17,8 @@ from docloom.llm.runtime import map_texts
 
 #: Bytes of new units in one call of the library.
 BATCH_BYTES = 1 << 20
-#: Units whose count a worker remembers; then it starts anew.
-MEMORY = 500_000
+#: Bytes of units that a worker remembers before it starts anew, besides those of the texts at hand, and of an entry.
+MEMORY, ENTRY = 64 << 20, 200
 #: Fixed value: the sign that stands for a space inside such models.
 SPACE = "▁"
 
@@ -31,7 +31,7 @@ class Counter:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("pieces of this model cross spaces: texts have no safe boundaries there")
-        self.known = {"": 1}  # a single space at the end
+        self.known, self.held = {"": 1}, 0  # a single space at the end
 
     def units(self, text: str) -> list[str]:
         """The text cut before each run of spaces; a unit's first space is left out, as the model adds it."""
@@ -47,7 +47,9 @@ class Counter:
         dealt = []
         for u in new:
             dealt.append((batch, u))
-            held += len(u.encode()) + 1
+            size = len(u.encode())
+            held += size + 1
+            self.held += size + ENTRY
             if held >= BATCH_BYTES:
                 held, batch = 0, batch + 1
         for _, part in groupby(dealt, lambda x: x[0]):
@@ -55,8 +57,8 @@ class Counter:
             self.known.update(zip(part, map(len, self.model.encode(part, num_threads=1)), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) > MEMORY:
-            self.known = {"": 1}
+        if self.held > MEMORY:
+            self.known, self.held = {"": 1}, 0
         cut = [self.units(t) if t else [] for t in texts]
         new = {u for units in cut for u in units if u not in self.known}
         if new:
