@@ -2,8 +2,8 @@
 
 An Aho-Corasick automaton finds the magic bytes of all formats in one pass. At each hit a validator of the format
 walks its structure (chunks, blocks, segments, lengths, checksums) and gives the length of the file, or refuses.
-A valid file at the start fixes the type of the column value, whatever was declared; valid files further in are
-carved out as embedded media.
+A valid file at the start fixes the type of the column value, whatever was declared; valid files further in, inside
+others too, are carved out as embedded media.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from docloom.llm.runtime import map_texts, ship
+from docloom.llm.runtime import SLICE_BYTES, SLICE_ROWS, map_texts, ship
 
 #: The first bytes of each format.
 MAGIC = {
@@ -49,20 +51,33 @@ def _png(b: bytes, at: int) -> int:
     return -1
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, known: dict | None = None) -> int:
+    known = {} if known is None else known  # where walks from a place end: hits in one value share their ways
+
     def blocks(i: int) -> int:
-        while i < len(b) and b[i]:
+        way = []
+        while 0 <= i < len(b) and b[i] and i not in known:
+            way.append(i)
             i += 1 + b[i]
-        return i + 1 if i < len(b) else -1
+        end = known[i] if i in known else i + 1 if i < len(b) else -1
+        known.update(dict.fromkeys(way, end))
+        return end
 
     if at + 13 > len(b):
         return -1
     flags, i, images = b[at + 10], at + 13, 0
     i += 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    way, end = [], -1
     while 0 <= i < len(b):
+        step = ("gif", i, images > 0)
+        if step in known:
+            end = known[step]
+            break
+        way.append(step)
         kind = b[i]
         if kind == 0x3B:
-            return i + 1 if images else -1
+            end = i + 1 if images else -1
+            break
         if kind == 0x21:
             i = blocks(i + 2)
         elif kind == 0x2C and i + 10 <= len(b):
@@ -70,8 +85,9 @@ def _gif(b: bytes, at: int) -> int:
             i = blocks(i + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
             images += 1
         else:
-            return -1
-    return -1
+            break
+    known.update(dict.fromkeys(way, end))
+    return end
 
 
 def _jpeg(b: bytes, at: int) -> int:
@@ -127,16 +143,75 @@ def _riff(b: bytes, at: int) -> int:
     return end if (need <= found if kind == b"WAVE" else need & found) else -1
 
 
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    top, full, table = 1 << bits - 1, (1 << bits) - 1, []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (polynomial if x & top else 0)) & full
+        table.append(x)
+    return table
+
+
+#: Polynomials of the checksums of frame headers and of frames.
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, at: int) -> tuple[int, int] | None:
+    """Samples in a frame and the end of its header, if a frame begins here."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return None
+    size, rate, i = b[at + 2] >> 4, b[at + 2] & 15, at + 4
+    more = 0 if b[i] < 0x80 else 8 - (b[i] ^ 0xFF).bit_length()  # bytes of the coded number
+    if more == 1 or more > 7 or size == 0 or rate == 15:
+        return None
+    i += max(more, 1)
+    extra = {6: 1, 7: 2}.get(size, 0)
+    samples = int.from_bytes(b[i : i + extra], "big") + 1 if extra else 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    i += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if i >= len(b):
+        return None
+    crc = 0
+    for x in b[at:i]:
+        crc = CRC8[crc ^ x]
+    return (samples, i + 1) if crc == b[i] else None
+
+
 def _flac(b: bytes, at: int) -> int:
-    i, first = at + 4, True
-    while i + 4 <= len(b):
+    """Metadata blocks, then frames up to the number of samples that the first block states; each by its checksum.
+
+    A file that states no number of samples ends with the value, or with its last sound frame.
+    """
+    i, first, total = at + 4, True, 0
+    while True:
+        if i + 4 > len(b):
+            return -1
         head, n = b[i], int.from_bytes(b[i + 1 : i + 4], "big")
         if (first and (head & 0x7F or n != 34)) or i + 4 + n > len(b):
             return -1
+        if first:
+            total = int.from_bytes(b[i + 4 + 13 : i + 4 + 18], "big") & (1 << 36) - 1
         first, i = False, i + 4 + n
         if head & 0x80:
-            return len(b) if b[i : i + 1] == b"\xff" else -1  # frames carry no total length
-    return -1
+            break
+    done = 0
+    while (frame := _flac_frame(b, i)) is not None:
+        samples, past = frame
+        done += samples
+        last = total and done >= total
+        crc, j = 0, i
+        end = -1
+        for j in range(i, len(b)):
+            crc = (crc << 8 & 0xFF00) ^ CRC16[crc >> 8 ^ b[j]]
+            if crc == 0 and j + 1 > past + 2 and (last or j + 1 == len(b) or _flac_frame(b, j + 1) is not None):
+                end = j + 1
+                break
+        if end < 0:
+            return -1
+        i = end
+        if last or i == len(b):
+            break
+    return i if done and (not total or done >= total) else -1
 
 
 def _au(b: bytes, at: int) -> int:
@@ -160,50 +235,63 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def sniff(b: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, type) of every valid file in the bytes, leftmost first; what lies inside a found one is skipped."""
-    found, past = [], 0
+    """(start, end, type) of every valid file in the bytes, leftmost first, and of those inside found ones too."""
+    found, known = [], {}
     for last, (n, kind) in _automaton().iter(b.decode("latin-1")):
         at = last + 1 - n
-        if at < past:
-            continue
-        end = VALID[kind](b, at)
+        end = _gif(b, at, known) if kind == "gif" else VALID[kind](b, at)
         if end > 0:
             name = {b"WAVE": "wav", b"WEBP": "webp", b"AVI ": "avi"}[b[at + 8 : at + 12]] if kind == "riff" else kind
             found.append((at, end, name))
-            past = end
-    return found
+    return sorted(found)
 
 
 def sniff_media(df: DataFrame, media: str = "media", declared: str | None = None, keep=("doc_id",)) -> DataFrame:
     """Columns of ``keep``, the confirmed ``media_type`` and ``media_length`` of each binary value, whether that corrects
-    the declared type (``corrected``), and the embedded files, ``carved`` as structs of type, start and bytes.
+    the declared type (``corrected``), and the embedded files, ``carved`` as structs of type, start, bytes and whether it
+    lies inside another found file (``nested``).
 
     A null or empty value, and one that no validator confirms, has a null type and length; it corrects nothing.
+    Repeated rows stay; an empty table gives an empty one; a column of ``keep`` named like one of the result gives way to it.
     """
     ship(df.sparkSession)
     import pyarrow as pa
 
     names = ["media_type", "media_length", "corrected", "carved"]
     kept = [c for c in keep if c not in names]
-    narrow = df.selectExpr(*[f"`{c}`" for c in kept], f"`{declared}` as __declared" if declared else "cast(null as string) as __declared", f"`{media}` as __media")
+    narrow = df.select(*[F.col(f"`{c}`") for c in kept], (F.col(f"`{declared}`") if declared else F.lit(None).cast("string")).alias("__declared"), F.col(f"`{media}`").alias("__media"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(kept)])
-    struct_type = pa.struct([("type", pa.string()), ("start", pa.int64()), ("bytes", pa.binary())])
+    struct_type = pa.struct([("type", pa.string()), ("start", pa.int64()), ("bytes", pa.binary()), ("nested", pa.bool_())])
 
     def over(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                kinds, sizes, fixed, carved = [], [], [], []
-                for b, said in zip(part.column(len(kept) + 1).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
-                    found = sniff(b or b"")
-                    head = next((f for f in found if f[0] == 0), None)
-                    kinds.append(head and head[2])
-                    sizes.append(head and head[1])
-                    fixed.append(bool(head and said is not None and said != head[2]))
-                    carved.append([{"type": k, "start": s, "bytes": b[s:e]} for s, e, k in found if s])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(fixed, pa.bool_()), pa.array(carved, pa.list_(struct_type))], names=[*kept, *names])
-
-    return narrow.mapInArrow(over, (fields + ", " if fields else "") + "media_type string, media_length long, corrected boolean, carved array<struct<type: string, start: bigint, bytes: binary>>")
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(len(kept) + 1)), 0).to_pylist()
+            start = 0
+            while start < batch.num_rows:
+                end, held = start + 1, sizes[start]
+                while end < batch.num_rows and end - start < SLICE_ROWS and held + sizes[end] <= SLICE_BYTES:
+                    held, end = held + sizes[end], end + 1
+                yield made(batch.slice(start, end - start))
+                start = end
+
+    def made(part):
+        kinds, sizes, fixed, carved = [], [], [], []
+        for b, said in zip(part.column(len(kept) + 1).to_pylist(), part.column(len(kept)).to_pylist(), strict=True):
+            found = sniff(b or b"")
+            head = next((f for f in found if f[0] == 0), None)
+            kinds.append(head and head[2])
+            sizes.append(head and head[1])
+            fixed.append(bool(head and said is not None and said != head[2]))
+            reach, inside = 0, []
+            for s, e, k in found:
+                if s:
+                    inside.append({"type": k, "start": s, "bytes": b[s:e], "nested": s < reach})
+                reach = max(reach, e)
+            carved.append(inside)
+        return pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(fixed, pa.bool_()), pa.array(carved, pa.list_(struct_type))], names=[*kept, *names])
+
+    out = "media_type string, media_length long, corrected boolean, carved array<struct<type: string, start: bigint, bytes: binary, nested: boolean>>"
+    return narrow.mapInArrow(over, (fields + ", " if fields else "") + out)
 
 
 def payload(text: str) -> bytes:

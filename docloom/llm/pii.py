@@ -155,7 +155,7 @@ def _shape(word: Column) -> Column:
     Parts of a word are what @, blanks and parentheses part. Digits alone say little, so a single run of them has its
     order of magnitude: 6 to 11, 12 to 22, and so on.
     """
-    runs = F.regexp_replace(F.regexp_replace(word, r"[0-9._%+\x2D]*+[A-Za-z\x80-\x{10FFFF}][^@ ()]*+", "w"), "[0-9]+", "9")
+    runs = F.regexp_replace(F.regexp_replace(word, r"(?<![0-9._%+\x2D])[0-9._%+\x2D]*+[A-Za-z\x80-\x{10FFFF}][^@ ()]*+", "w"), "[0-9]+", "9")
     return _short(F.when(runs == "9", F.concat_ws("/", runs, F.round(F.log2(F.length(word))).cast("int").cast("string"))).otherwise(runs))
 
 

@@ -26,7 +26,7 @@ def op3_pii_spans(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    model = toxicity.fit(docs, labels.filter(~held_out))
+    model = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -43,7 +43,8 @@ def op7_token_counts(spark, sf_dir):
 
 
 def op8_url_filter(spark, sf_dir):
-    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, vocabulary=urls.read_vocabulary(urls.vocabulary_table(spark)))
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -65,18 +66,18 @@ def _op8_sql() -> str:
         for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
     )
     verdicts = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in urls.RULES)
-    score = " + ".join(
-        [f"CASE WHEN {m} THEN {w} ELSE 0 END" for (_, w), m in zip(urls.SOFT.items(), _terms(urls.SOFT), strict=True)]
-        + [f"CASE WHEN {m} THEN {urls.LIMIT} ELSE 0 END" for m in _terms(urls.STRICT)]
-    )
+    weigh = lambda hits: " + ".join(f"CASE WHEN {m} THEN {w} ELSE 0 END" for w, m in hits)
+    soft = weigh(zip(urls.SOFT.values(), _terms(urls.SOFT), strict=True))
+    n_soft = weigh((1, m) for m in _terms(urls.SOFT))
+    strict = weigh((urls.LIMIT, m) for m in _terms(urls.STRICT))
     names = sorted([*urls.SOFT, *urls.STRICT])
     listed = ", ".join(f"CASE WHEN {m} THEN '{t}' END" for t, m in zip(names, _terms(names), strict=True))
     return f"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 p AS (SELECT page_id, url, regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's') AS raw_host, regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's') AS path FROM u),
 q AS (SELECT page_id, path, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM p),
-r AS (SELECT page_id, host, path, low, CASE {rules} END AS rule, CAST({score} AS BIGINT) AS term_score, concat_ws(',', {listed}) AS terms FROM q)
-SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {verdicts} END WHEN term_score >= {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, term_score, terms FROM r"""
+r AS (SELECT page_id, host, path, low, CASE {rules} END AS rule, CAST({soft} AS BIGINT) AS soft_score, {n_soft} AS n_soft, CAST({strict} AS BIGINT) AS strict_score, concat_ws(',', {listed}) AS terms FROM q)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {verdicts} END WHEN strict_score > 0 OR n_soft >= {urls.LEAST_SOFT} AND soft_score >= {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, soft_score + strict_score AS term_score, terms FROM r"""
 
 
 def queries():
