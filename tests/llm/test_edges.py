@@ -50,6 +50,29 @@ def test_clashing_columns(spark, docs, name):
     assert OPERATORS[name](spark, wide).count() == 5
 
 
+FILTERS = {"quality": quality.filter_documents, "near duplicates": simhash.representatives, "redact": pii.redact, "mix": mixing.materialise}
+#: Names that the filters use inside, a dotted one, and one that differs in case only.
+INSIDE = (
+    "__key", "__id", "__h", "__copies", "__copy", "__spans", "__row", "__at", "__text", "__d0", "__m", "__total", "__src", "__part", "__words", "__hash",
+    "further", "spans_email", "candidates", "node", "root", "fp", "n_words", "kept", "base_failed", "size", "copies", "a.b", "TEXT",
+)
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_filters_keep_values(spark, docs, name):
+    text = "Write to anna.lee@mail.example.com or 10.0.0.1 about the {0}th of these several rather different words, and " + " ".join(f"{{0}}w{i}" for i in range(60))
+    plain = docs([(i, text.format(i), "en", "a", i) for i in range(12)] + [(99, None, "en", "a", None)])
+    names = plain.columns
+    wide = plain.toDF(*names).select("*", *[F.lit(f"mine {c}").alias(f"x{i}") for i, c in enumerate(INSIDE)])
+    wide = wide.toDF(*names, *INSIDE)
+    want = sorted(tuple(map(str, r)) for r in FILTERS[name](plain).collect())
+    out = FILTERS[name](wide)
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert want and sorted(tuple(map(str, r[: len(names)])) for r in got) == want
+    assert all(tuple(r[len(names) :]) == tuple(f"mine {c}" for c in INSIDE) for r in got)
+
+
 def test_filters_keep_columns(spark, docs):
     d = docs()
     assert quality.filter_documents(d).columns == d.columns
