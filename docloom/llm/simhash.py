@@ -40,8 +40,8 @@ PARTITIONS, FLIPS = 8, 2
 RECALL, ERRORS, FIRST_ERRORS = 0.95, 2.5, 4
 #: Bits of a partition of a fingerprint of several words, and steps in which probabilities are added up.
 WIDTHS, STEPS = range(5, 33), 256
-#: Texts that have links are found by a broadcast of their keys, up to so many.
-FEW_LINKED = 1_000_000
+#: Texts that have links are found by a broadcast of their keys, up to so many; so many links are joined by one task.
+FEW_LINKED, FEW_LINKS = 1_000_000, 1_000_000
 #: The finaliser of splitmix64 and its step; they make further hashes of one.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -513,13 +513,27 @@ def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return found.select("a", "b").union(index.between(labelled).select("a", "b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Rows (node, root) for every linked node: the least node that it reaches. Alternating large and small stars.
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, root) of all links of a partition."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in (0, 1))
+        node, root = _forest(u, v)
+        own = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node, own))), pa.array(np.concatenate((root, own)))], names=["node", "root"])
 
-    Each round replaces links by shorter ones towards smaller nodes, without joining a node's neighbours to each
-    other, until nothing changes; rounds grow with the logarithm of the longest chain.
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """Rows (node, root) for every linked node: the least node that it reaches.
+
+    At most ``few`` links, which are counted first, are joined by one task, a few tens of MB. Beyond that by alternating
+    large and small stars: each round replaces links by shorter ones towards smaller nodes, without joining a node's
+    neighbours to each other, until nothing changes; rounds grow with the logarithm of the longest chain.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if edges.count() <= few:
+        ship(links.sparkSession)
+        return cut(edges.coalesce(1).mapInArrow(_stars, "node long, root long"))
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
