@@ -71,12 +71,15 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str = "node", source: str =
     return nodes.join(edges.select(F.col(source).alias(key)), key, "left_anti").join(edges.select(F.col(target).alias(key)), key, "left_anti")
 
 
-def seed_neighbourhood(seeds: DataFrame, first: DataFrame, second: DataFrame, key: str = "node", source: str = "src", target: str = "dst") -> DataFrame:
-    """Two steps from each seed, missing ones kept: (seed, sorted first neighbours, sorted second neighbours)."""
+def seed_neighbourhood(seeds: DataFrame, first: DataFrame, second: DataFrame, key: str = "node", source: str = "src", target: str = "dst", by: list[str] | None = None) -> DataFrame:
+    """Two steps from each seed, missing ones kept: (columns of ``by``, seed, sorted first neighbours, sorted second neighbours).
+
+    Seeds may come from any ranking, such as the nearest vectors of each question.
+    """
     a = first.select(F.col(source).alias(key), F.col(target).alias("__one"))
     b = second.select(F.col(source).alias("__one"), F.col(target).alias("__two"))
     met = seeds.join(a, key, "left").join(b, "__one", "left")
-    return met.groupBy(key).agg(F.array_sort(F.collect_set("__one")).alias("first"), F.array_sort(F.collect_set("__two")).alias("second"))
+    return met.groupBy(*(by or []), key).agg(F.array_sort(F.collect_set("__one")).alias("first"), F.array_sort(F.collect_set("__two")).alias("second"))
 
 
 def review_queue(edges: DataFrame, status: str = "status", confidence: str = "confidence") -> DataFrame:

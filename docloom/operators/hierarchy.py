@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.arrays import scan
 
 #: Levels from the outside in, and how a block of each begins.
 LEVELS = {"document": 0, "chapter": 1, "section": 2, "article": 3, "clause": 4, "item": 5, "content": 6}
@@ -26,6 +27,8 @@ HEADINGS = {
 PATH = tuple(HEADINGS)
 #: Fixed value: a line that opens an article.
 ARTICLE_LINE = r"(?iu)^Điều\s+\d+"
+#: Characters of a label. On collapsed text the chapter pattern goes on to the end of the chunk.
+LONGEST_LABEL = 120
 
 
 def split_articles(docs: DataFrame, text: str = "text", key: str = "doc_id", heading: str = ARTICLE_LINE, least: int = 20) -> DataFrame:
@@ -65,10 +68,15 @@ def block_tree(blocks: DataFrame, key: str = "page_id", place: str = "place", te
     return rows.drop("__depth", "__any", *[f"__last{n}" for n in range(1, 6)])
 
 
-def headings(text: Column, patterns=None) -> Column:
-    """A struct of the headings at the start of a text."""
+def headings(text: Column, patterns=None, longest: int | None = LONGEST_LABEL) -> Column:
+    """A struct of the headings at the start of a text, cut to ``longest`` characters; None keeps whatever a pattern matches."""
     flat = T.collapse(text)
-    return F.struct(*[F.nullif(F.trim(F.regexp_extract(flat, p, 1)), F.lit("")).alias(k) for k, p in (patterns or HEADINGS).items()])
+
+    def label(p: str) -> Column:
+        found = F.regexp_extract(flat, p, 1)
+        return F.nullif(F.trim(found if longest is None else F.substring(found, 1, longest)), F.lit(""))
+
+    return F.struct(*[label(p).alias(k) for k, p in (patterns or HEADINGS).items()])
 
 
 def structure_path(structure: Column) -> Column:
@@ -79,17 +87,24 @@ def structure_path(structure: Column) -> Column:
     return F.struct(*[F.nullif(F.trim(F.coalesce(label(k), first(k))), F.lit("")).alias(k) for k in PATH])
 
 
-def resolve_paths(chunks: DataFrame, source: str = "source", key: str = "chunk_id", text: str = "text", metadata: Column | None = None, patterns=None) -> DataFrame:
+def resolve_paths(chunks: DataFrame, source: str = "source", key: str = "chunk_id", text: str = "text", metadata: Column | None = None, patterns=None, longest: int | None = LONGEST_LABEL) -> DataFrame:
     """Adds path, resolution_method, ambiguous and warnings.
 
     Labels from metadata come before those of a heading, these before labels carried on inside the source in natural
     order of the keys, and these before none. A row that carries labels on repeats them, so only own labels are carried.
+    Keys are expected to be unique in a source; only they and the labels are sorted, and texts are joined once after that.
     """
     none = F.struct(*[F.lit(None).cast("string").alias(k) for k in PATH])
-    rows = chunks.withColumn("__meta", none if metadata is None else metadata).withColumn("__head", headings(F.col(text), patterns))
+    labels = chunks.select(F.col(source).alias("__source"), F.col(key).alias("__id"), (none if metadata is None else metadata).alias("__meta"), headings(F.col(text), patterns, longest).alias("__head"))
+    found = _labels_resolved(labels.dropDuplicates(["__source", "__id"]), none)
+    met = F.col(source).eqNullSafe(F.col("__source")) & F.col(key).eqNullSafe(F.col("__id"))
+    return chunks.join(found, met).select(*chunks.columns, "resolution_method", "path", "ambiguous", "warnings")
+
+
+def _labels_resolved(rows: DataFrame, none: Column) -> DataFrame:
     some = lambda s: F.coalesce(*[F.col(f"{s}.{k}") for k in PATH]).isNotNull()
     rows = rows.withColumn("__own", F.when(some("__meta"), F.col("__meta")).when(some("__head"), F.col("__head")))
-    before = Window.partitionBy(source).orderBy(T.natural_key(F.col(key))).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__source").orderBy(T.natural_key(F.col("__id"))).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__carried", F.struct(*[F.last(F.col(f"__own.{k}"), ignorenulls=True).over(before).alias(k) for k in PATH]))
     carried = F.coalesce(F.col("__carried.article"), F.col("__carried.chapter")).isNotNull()
     method = F.when(some("__meta"), "metadata").when(some("__head"), "heading_inferred").when(carried, "carried_forward").otherwise("document_fallback")
@@ -113,19 +128,21 @@ def resolve_paths(chunks: DataFrame, source: str = "source", key: str = "chunk_i
 def pack(children: DataFrame, by: list[str], order: list[Column], size: Column, limit: int = 6000) -> DataFrame:
     """Adds ``window_index``: in order, children fill a window until the next would go beyond the limit.
 
-    The sum starts anew at each window, so it is a fold over the sorted sizes of a group and no running sum. The texts
-    stay out of it. A child that is too long by itself has a window of its own.
+    The sum starts anew at each window, so it is a fold over the sorted sizes of a group and no running sum. The fold is
+    linear, and holds two numbers for each child; the texts stay out of it. A child that is too long by itself has a window
+    of its own.
     """
     placed = children.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("__size", size.cast("long"))
     lists = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("__place").alias("place"), F.col("__size").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("window"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(-1).alias("window"), F.lit(0).cast("long").alias("used"))
 
     def step(acc: Column, r: Column) -> Column:
         new = (acc["window"] < 0) | (acc["used"] + r["size"] > limit)
-        window = acc["window"] + F.when(new, 1).otherwise(0)
-        return F.struct(window.alias("window"), (F.when(new, F.lit(0).cast("long")).otherwise(acc["used"]) + r["size"]).alias("used"), F.concat(acc["out"], F.array(window)).alias("out"))
+        used = F.when(new, F.lit(0).cast("long")).otherwise(acc["used"]) + r["size"]
+        return F.struct((acc["window"] + F.when(new, 1).otherwise(0)).alias("window"), used.alias("used"))
 
-    windows = lists.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.posexplode(F.aggregate("rows", start, step)["out"]).alias("__at", "window_index"))
+    filled = F.transform(scan(F.col("rows"), start, step), lambda a: a["window"])
+    windows = lists.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.posexplode(filled).alias("__at", "window_index"))
     met = F.col("__place") == F.col("__at") + 1
     for b in by:
         met = met & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
@@ -135,18 +152,27 @@ def pack(children: DataFrame, by: list[str], order: list[Column], size: Column,
 def build_parents(children: DataFrame, limit: int = 6000, source: str = "source", key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Parents of resolved children, and the children with their parent_id.
 
-    Children of one source and article are packed in natural order; lengths of separators don't count.
+    Children of one source and article are packed in natural order; lengths of separators don't count. A parent has the
+    least first and the greatest last page of its children, where they have pages, and warns of a child that is longer
+    than the limit by itself, and of children that nothing but the fallback places.
     """
     rows = children.withColumn("article_key", F.coalesce(F.lower(F.trim(F.col("path.article"))), F.lit("document")))
     packed = pack(rows, [source, "article_key"], [T.natural_key(F.col(key))], F.length(text), limit)
     packed = packed.withColumn("parent_id", T.stable_id(F.col(source), F.col("article_key"), F.col("window_index").cast("string")))
     item = F.struct(T.natural_key(F.col(key)).alias("order"), F.col(key).alias("id"), F.col(text).alias("text"), "path", "warnings")
-    grouped = packed.groupBy("parent_id", source, "article_key", "window_index").agg(F.array_sort(F.collect_list(item)).alias("rows"), F.sum(F.col("ambiguous").cast("int")).alias("ambiguous_child_count"))
+    page = lambda c: F.col(c) if c in children.columns else F.lit(None).cast("int")
+    fallback = (F.col("resolution_method") == "document_fallback") & (F.col("article_key") == "document")
+    grouped = packed.groupBy("parent_id", source, "article_key", "window_index").agg(
+        F.array_sort(F.collect_list(item)).alias("rows"), F.sum(F.col("ambiguous").cast("int")).alias("ambiguous_child_count"),
+        F.min(page("page_start")).alias("page_start"), F.max(page("page_end")).alias("page_end"),
+        F.bool_or(F.length(text) > limit).alias("__oversized"), F.bool_or(fallback).alias("__fallback"),
+    )
     joined = F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n")
     first = lambda k: F.get(F.filter(F.transform("rows", lambda r: r["path"][k]), lambda v: v.isNotNull()), F.lit(0))
+    own = F.array_compact(F.array(F.when(F.col("__fallback"), "document_fallback_parent"), F.when(F.col("__oversized"), "oversized_single_child")))
     parents = grouped.select(
-        "parent_id", source, "article_key", "window_index", F.transform("rows", lambda r: r["id"]).alias("child_ids"), joined.alias("text"), F.length(joined).alias("char_count"), "ambiguous_child_count",
-        F.array_distinct(F.flatten(F.transform("rows", lambda r: r["warnings"]))).alias("warnings"), F.struct(*[first(k).alias(k) for k in PATH]).alias("structural_path"),
+        "parent_id", source, "article_key", "window_index", "page_start", "page_end", F.transform("rows", lambda r: r["id"]).alias("child_ids"), joined.alias("text"), F.length(joined).alias("char_count"), "ambiguous_child_count",
+        F.array_distinct(F.concat(own, F.flatten(F.transform("rows", lambda r: r["warnings"])))).alias("warnings"), F.struct(*[first(k).alias(k) for k in PATH]).alias("structural_path"),
     )
     return parents, packed
 

@@ -9,7 +9,7 @@ from docloom.functions.text import NULL_MARKS, wikilinks
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, n_null, n_empty, n_marked, n_distinct): one pass over the table, then one row for each column."""
+    """(column, n_null, n_empty, n_marked): one pass over the table, then one row for each column."""
     columns = columns or df.columns
     text = {c: F.trim(F.col(c).cast("string")) for c in columns}
     marks = [m.lower() for m in NULL_MARKS if m]

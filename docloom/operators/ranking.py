@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.shared import beside
+from docloom.functions.arrays import bound
+from docloom.operators.relations import contained_in
+from docloom.shared import beside, cut, few
 
 #: Parameters of BM25-Okapi as commonly published: saturation, length, and the share of the mean that lifts negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows up to which runs that hold a term are broadcast.
+MANY = 200_000
 
 
 def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -19,29 +23,46 @@ def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[Data
     return terms, lengths
 
 
-def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens: Column, key: str = "doc_id", question_key: str = "query_id", k: int = 10, keep_zero: bool = True, visible: DataFrame | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def asked_terms(questions: DataFrame, question_tokens: Column, question_key: str, without: str) -> DataFrame:
+    """(question, term, times). A question without tokens ends the job, or with ``without="skip"`` has no terms."""
+    if without not in ("raise", "skip"):
+        raise ValueError(f"unknown choice: {without}")
+    rows = questions.select(question_key, question_tokens.alias("__tokens"))
+    if without == "raise":
+        none = F.coalesce(F.size("__tokens") < 1, F.lit(True))
+        fault = F.raise_error(F.concat(F.lit("a question without tokens: "), F.coalesce(F.col(question_key).cast("string"), F.lit("null"))))
+        rows = rows.filter(F.when(none, fault.cast("boolean")).otherwise(True))
+    return rows.select(question_key, F.explode("__tokens").alias("term")).groupBy(question_key, "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens: Column, key: str = "doc_id", question_key: str = "query_id", k: int = 10, keep_zero: bool = True, visible: DataFrame | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON, without: str = "raise") -> DataFrame:
     """(question, key, bm25_score, bm25_rank) of the best ``k`` for each question; ties by key.
 
-    Repeated terms of a question count repeatedly. Only documents that hold a term of a question are scored; with
-    ``keep_zero`` the places that are left go to documents without any, by key. ``visible`` restricts what is
-    ranked, while statistics stay those of all documents.
+    Repeated terms of a question count repeatedly; a question without tokens ends the job, unless ``without`` is "skip".
+    Only documents that hold a term of a question are scored; with ``keep_zero`` the places that are left go to documents
+    without any, by key. ``visible`` restricts what is ranked, while statistics stay those of all documents.
 
-    A text's tokens are cut down to the terms that are asked for before they are counted, so only those are shuffled,
-    summed up before; where the questions' terms are few, Spark sends them to the documents. Document frequencies are
-    counts of distinct tokens, summed up before the shuffle too.
+    The texts are read twice. The first time gives counts of distinct tokens, summed up before they are shuffled and
+    written, a row for each term, and with them the number and length of documents. The second time a text's tokens are
+    cut down to the terms that are asked for, so only counts of those are shuffled.
     """
-    asked = questions.select(question_key, F.explode(question_tokens).alias("term")).groupBy(question_key, "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked_terms(questions, question_tokens, question_key, without)
     each = docs.select(key, tokens.alias("__tokens"))
-    stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__tokens")).alias("mean_length"))
-    frequent = each.select(F.explode(F.array_distinct("__tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = frequent.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats: one row
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    weights = raw.join(asked, "term").crossJoin(F.broadcast(mean)).select(question_key, "term", "mean_length", (F.col("times") * F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))).alias("weight"))  # mean: one row
+    # the row of the null term counts the documents and their tokens
+    once = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(F.coalesce("__tokens", F.array().cast("array<string>"))))
+    counted = each.select(F.explode(once).alias("term"), F.size("__tokens").alias("__length"))
+    counted = cut(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.greatest("__length", F.lit(0)))).alias("length")))
+    whole = counted.filter("term is null").first()
+    n, mean_length = (whole.df, whole.length / whole.df) if whole else (0, 1.0)
+    idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
+    terms = counted.filter("term is not null").withColumn("raw", idf(F.col("df")))
+    mean_idf = terms.agg(F.avg("raw")).first()[0] or 0.0
+    weights = terms.join(asked, "term").select(question_key, "term", (F.col("times") * F.when(F.col("raw") < 0, epsilon * mean_idf).otherwise(F.col("raw"))).alias("weight"))
     wanted = asked.select("term").distinct()
     met = each if visible is None else each.join(visible.select(key), key, "left_semi")
-    tokens_met = met.select(key, F.size("__tokens").alias("length"), F.explode("__tokens").alias("term")).join(wanted, "term", "left_semi")
+    tokens_met = met.select(key, F.size("__tokens").alias("length"), F.explode("__tokens").alias("term")).join(few(wanted), "term", "left_semi")
     found = tokens_met.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean_length or 1.0)))
     parts = found.join(weights, "term").select(question_key, key, part.alias("part"))
     if keep_zero:
         # a question with fewer than k scored documents finds its k others among the first 2k by key
@@ -52,12 +73,49 @@ def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens:
     return scored.withColumn("bm25_rank", F.row_number().over(order)).filter(F.col("bm25_rank") <= k)
 
 
+#: Runs of letters and digits; a term of such characters can only stand inside one.
+RUNS = r"[\p{L}\p{N}]+"
+#: Runs of more characters are searched for terms one by one.
+LONG_RUN = 64
+
+
+def containing(docs: DataFrame, terms: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, term): which lower-cased texts contain which terms, for a table ``term``.
+
+    A term of letters and digits is looked for in the distinct runs of the corpus, not in its texts: the parts of a run
+    that are as long as some term are joined with the terms, and the runs that hold one are joined with the texts' runs.
+    Other terms are searched for in the texts.
+    """
+    terms = terms.select("term").filter(F.length("term") > 0).distinct()
+    plain, other = terms.filter(F.col("term").rlike(f"^{RUNS}$")), terms.filter(~F.col("term").rlike(f"^{RUNS}$"))
+    runs = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0)))).alias("__run"))
+    vocabulary = runs.select("__run").distinct()
+    lengths = [r[0] for r in plain.select(F.length("term").alias("n")).filter(F.col("n") <= LONG_RUN).distinct().collect()]  # at most LONG_RUN rows
+    sizes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("__run"))
+    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("__run") - n + 1), lambda i: F.substring(F.col("__run"), i, n))))
+    short = vocabulary.filter(F.length("__run") <= LONG_RUN).select("__run", F.explode(F.array_distinct(parts)).alias("term")).join(few(plain), "term", "left_semi")
+    long = beside(vocabulary.filter(F.length("__run") > LONG_RUN), plain).filter(F.contains("__run", F.col("term")))
+    holds = cut(short.select("__run", "term").unionByName(long.select("__run", "term")))
+    found = runs.join(few(holds, MANY), "__run").select(key, "term").distinct()
+    if other.isEmpty():
+        return found
+    return found.unionByName(beside(docs.select(key, F.lower(text).alias("__low")), other).filter(F.contains("__low", F.col("term"))).select(key, "term").distinct())
+
+
 def substring_rank(docs: DataFrame, questions: DataFrame, text: str = "text", needle: str = "needle", key: str = "doc_id", question_key: str = "query_id", k: int = 10) -> DataFrame:
-    """(question, key, hits, rank) by how often a short string occurs."""
-    low = F.lower(text)
-    count = (F.length(low) - F.length(F.replace(low, F.lower(needle), F.lit("")))) / F.length(needle)
-    met = beside(docs.select(key, text), questions.select(question_key, needle).filter(F.length(needle) > 0))
-    found = met.select(question_key, key, count.cast("long").alias("hits")).filter("hits > 0")
+    """(question, key, hits, rank) by how often a string occurs, without case and overlaps.
+
+    Texts that hold the string come from a join of runs of words, or of letters for a single word.
+    """
+    asked = questions.select(question_key, F.lower(needle).alias("__needle")).filter(F.length("__needle") > 0)
+    low = docs.select(key, F.lower(text).alias("__low"))
+    single = asked.filter(F.col("__needle").rlike(f"^{RUNS}$"))
+    words = containing(low, single.select(F.col("__needle").alias("term")), "__low", key).withColumnRenamed("term", "__needle")
+    longer = asked.join(single.select(question_key), question_key, "left_anti").select("__needle").distinct()
+    rest = contained_in(low, longer.select(F.col("__needle").alias("pattern"), F.col("__needle").alias("__id")), "__low", "pattern", key, "__id").select(key, F.col("__id").alias("__needle"))
+    met = words.select(key, "__needle").unionByName(rest).join(low, key)
+    count = (F.length("__low") - F.length(F.replace("__low", "__needle", F.lit("")))) / F.length("__needle")
+    found = asked.join(met.select(key, "__needle", count.cast("long").alias("hits")), "__needle").select(question_key, key, "hits")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("hits"), key))).filter(F.col("rank") <= k)
 
 
@@ -71,18 +129,19 @@ def search_terms(tokens: Column, most: int = 8, with_digits: int = 6) -> Column:
 
 def keyword_rank(docs: DataFrame, questions: DataFrame, terms: str = "terms", text: str = "text", key: str = "doc_id", question_key: str = "query_id", k: int = 5) -> DataFrame:
     """(question, key, score, rank): how many of a question's terms a text contains; ties by key."""
-    met = beside(docs.select(key, F.lower(text).alias("__low")), questions.select(question_key, terms))
-    score = F.aggregate(terms, F.lit(0), lambda n, t: n + F.when(F.contains(F.col("__low"), t), 1).otherwise(0))
-    found = met.select(question_key, key, score.alias("score")).filter("score > 0")
+    asked = questions.select(question_key, F.explode(terms).alias("term"))
+    met = containing(docs, asked.select("term"), text, key).join(few(asked), "term")
+    found = met.groupBy(question_key, key).agg(F.count(F.lit(1)).cast("int").alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
 
 
 def reference_match(docs: DataFrame, questions: DataFrame, refs: str = "refs", title: str = "title", text: str = "text", key: str = "doc_id", question_key: str = "query_id", first: int = 3, k: int = 5) -> DataFrame:
     """(question, key, rank): documents whose title or text holds one of a question's first references; by key."""
-    asked = questions.select(question_key, F.slice(refs, 1, first).alias("__refs")).filter(F.size("__refs") > 0)
-    low = F.concat_ws("\n", F.lower(title), F.lower(text))
-    met = beside(docs.select(key, low.alias("__low")), asked).filter(F.exists("__refs", lambda r: F.contains(F.col("__low"), F.lower(r))))
-    return met.select(question_key, key).withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(key))).filter(F.col("rank") <= k)
+    asked = questions.select(question_key, F.explode(F.slice(refs, 1, first)).alias("__ref")).select(question_key, F.lower("__ref").alias("__ref"))
+    low = docs.select(key, F.concat_ws("\n", F.lower(title), F.lower(text)).alias("__low"))
+    patterns = asked.select(F.col("__ref").alias("pattern"), F.col("__ref").alias("__id")).distinct()
+    met = contained_in(low, patterns, "__low", "pattern", key, "__id").join(few(asked), F.col("__id") == F.col("__ref")).select(question_key, key).distinct()
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(key))).filter(F.col("rank") <= k)
 
 
 def cascade(*stages: DataFrame, question_key: str = "query_id") -> DataFrame:
@@ -95,6 +154,20 @@ def cascade(*stages: DataFrame, question_key: str = "query_id") -> DataFrame:
     return every.withColumn("__first", first).filter(F.col("stage") == F.col("__first")).drop("__first")
 
 
+def hybrid_cascade(semantic: DataFrame, lexical: DataFrame, scan: DataFrame, key: str = "doc_id", question_key: str = "query_id", rank: str = "rank", k: int = 60) -> DataFrame:
+    """(question, key, rank, stage): both lists fused where a question has both, else the one it has, else a plain scan.
+
+    The semantic list comes before the lexical one. A stage without rows for a question leaves it to the next.
+    """
+    from docloom.operators.fusion import fuse
+
+    both = semantic.select(question_key).intersect(lexical.select(question_key))
+    a, b = semantic.withColumnRenamed(rank, "__a"), lexical.withColumnRenamed(rank, "__b")
+    fused = fuse(b, a, key, question_key, ("__b", "__a"), k=k).join(both, question_key, "left_semi")
+    stages = [fused.withColumnRenamed("fused_rank", rank), semantic, lexical, scan]
+    return cascade(*[s.select(question_key, key, rank) for s in stages], question_key=question_key)
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -103,11 +176,19 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
 
 
+def unit(v: Column) -> Column:
+    """The vector with length 1; null if it is zero."""
+    return bound(F.sqrt(_dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
+
+
 def dense_rank(vectors: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", question_key: str = "query_id", visible: DataFrame | None = None) -> DataFrame:
-    """(question, key, similarity, distance, semantic_rank): exact cosine, the best ``k`` for each question; ties by key."""
+    """(question, key, similarity, distance, semantic_rank): exact cosine, the best ``k`` for each question; ties by key.
+
+    Vectors are brought to length 1 once each, before they are paired.
+    """
     pool = vectors if visible is None else vectors.join(visible.select(key), key, "left_semi")
-    met = beside(pool.select(key, F.col(vector).alias("__v")), questions.select(question_key, F.col(vector).alias("__q")))
-    near = met.select(question_key, key, cosine(F.col("__v"), F.col("__q")).alias("similarity"))
+    met = beside(pool.select(key, unit(F.col(vector)).alias("__v")), questions.select(question_key, unit(F.col(vector)).alias("__q")))
+    near = met.select(question_key, key, _dot(F.col("__v"), F.col("__q")).alias("similarity"))
     order = Window.partitionBy(question_key).orderBy(F.round("similarity", 9).desc(), key)
     return near.withColumn("semantic_rank", F.row_number().over(order)).filter(F.col("semantic_rank") <= k).withColumn("distance", 1 - F.col("similarity"))
 
@@ -144,14 +225,14 @@ def write_index(docs: DataFrame, tokens: Column, path: str, key: str = "doc_id",
     spark.read.parquet(f"{path}/terms").agg(F.avg("raw").alias("mean_idf"), F.first("n").alias("n"), F.first("mean_length").alias("mean_length")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def search_index(questions: DataFrame, question_tokens: Column, path: str, key: str = "doc_id", question_key: str = "query_id", k: int = 10, most_terms: int = 500, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def search_index(questions: DataFrame, question_tokens: Column, path: str, key: str = "doc_id", question_key: str = "query_id", k: int = 10, most_terms: int = 500, k1: float = K1, b: float = B, epsilon: float = EPSILON, without: str = "raise") -> DataFrame:
     """As ``bm25`` without zero scores, from a written index.
 
     Up to ``most_terms`` terms of the questions, counted first, become a filter that reaches the postings' scan; more
     of them are joined.
     """
     spark = questions.sparkSession
-    asked = questions.select(question_key, F.explode(question_tokens).alias("term")).groupBy(question_key, "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked_terms(questions, question_tokens, question_key, without)
     names = [r.term for r in asked.select("term").distinct().limit(most_terms + 1).collect()]
     postings_, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
     if len(names) <= most_terms:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from docloom.functions import html as H
 from docloom.functions import text as T
 from docloom.operators import evaluation, fusion, hierarchy, ranking
-from docloom.plans.ranking_queries import BM25, KEYWORD, _bm25, _keyword, _out, _questions
+from docloom.plans.ranking_queries import BM25, _bm25, _out, _questions
 from docloom.plans.registry import query
-from docloom.shared import scratch
+from docloom.shared import cut, scratch
 from docloom.sources import readers, writers
 
 
@@ -42,11 +42,13 @@ def _(t, spark):
     return readers.csv(spark, path, "doc_id long, text string", ("doc_id", "text")).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("src_04_metadata", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS title FROM customer", session=True)
+@query("src_04_metadata", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS title FROM customer", session=True)
 def _(t, spark):
+    """A third of the keys stand in the file twice: the later row counts."""
     path = scratch(spark)
-    rows = t("customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"))
-    writers.csv_table(rows.unionByName(rows.filter("doc_id < 10")), path)
+    rows = t("customer").select(F.format_string(" %d ", F.col("c_custkey")).alias("doc_id"), F.col("c_name").alias("title"), F.lit(0).alias("place"))
+    later = t("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_mktsegment").alias("title"), F.lit(1).alias("place"))
+    writers.csv_table(rows.unionByName(later).repartitionByRange(1, "place").sortWithinPartitions("place").drop("place"), path)
     return readers.metadata(spark, path, "doc_id string, title string").select("id", "title")
 
 
@@ -78,11 +80,12 @@ def _(t, spark):
     return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_10_vectors", "SELECT vec_id, len(embedding) AS size FROM embeddings", session=True)
+@query("src_10_vectors", "SELECT vec_id, len(embedding) AS size, CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(round(x * 1000) AS BIGINT))) AS BIGINT) AS total FROM embeddings", session=True)
 def _(t, spark):
     path = scratch(spark)
     writers.vector_table(t("embeddings"), path, {"metric": "cosine", "size": 64})
-    return readers.vectors(spark, path, {"metric": "cosine"}).select("vec_id", F.size("embedding").cast("long").alias("size"))
+    total = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 1000).cast("long"))
+    return readers.vectors(spark, path, {"metric": "cosine"}).select("vec_id", F.size("embedding").cast("long").alias("size"), total.alias("total"))
 
 
 @query("src_11_questions", "SELECT CAST(item_id AS VARCHAR) AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN 'c' || CAST(item_id AS VARCHAR) ELSE '' END AS relevant FROM benchmark", session=True)
@@ -133,10 +136,14 @@ def _(t, spark):
     return readers.audit_log(spark, path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("request_id").alias("n_requests"), F.max("timestamp").alias("latest"))
 
 
-@query("src_14_policy", "SELECT 'DENY' AS default_policy, CAST(5 AS BIGINT) AS n_roles", session=True)
+@query("src_14_policy", "SELECT r_name AS role, CAST(r_regionkey AS BIGINT) AS level, 'ALLOW' AS default_policy FROM region UNION ALL SELECT role, level, 'DENY' FROM (VALUES ('Admin', 5), ('Risk_Manager', 4), ('HR', 3), ('Staff', 2), ('Guest', 1)) AS v(role, level)", session=True)
 def _(t, spark):
-    p = readers.policy(spark)
-    return spark.createDataFrame([(p["default_policy"], len(p["roles"]))], "default_policy string, n_roles long")
+    """A policy written from a table, and the built-in one."""
+    path = scratch(spark)
+    roles = F.map_from_entries(F.collect_list(F.struct("r_name", F.struct(F.col("r_regionkey").alias("level")))))
+    t("region").agg(F.to_json(F.struct(roles.alias("roles"), F.lit("ALLOW").alias("default_policy"))).alias("value")).coalesce(1).write.text(path)
+    rows = [(r, v["level"], p["default_policy"]) for p in (readers.policy(spark, path), readers.policy(spark)) for r, v in p["roles"].items()]
+    return spark.createDataFrame(rows, "role string, level long, default_policy string")
 
 
 @query("src_15_cached_vectors", "SELECT doc_id, text IN (SELECT text FROM documents WHERE lang = 'en') AS cached FROM documents")
@@ -167,36 +174,51 @@ def _(t, spark):
     return readers.csv(spark, path, "p_partkey long, p_name string, p_retailprice double")
 
 
-@query("snk_05_vector_upsert", "SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE label END AS label FROM embeddings", session=True)
+@query("snk_05_vector_upsert", "SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE label END AS label, CASE WHEN label > 7 THEN -2 WHEN label < 5 THEN -1 ELSE label END AS later FROM embeddings", session=True)
 def _(t, spark):
+    """Two upserts one after the other; the reader of the first isn't disturbed by the second."""
     path = scratch(spark)
     writers.vector_table(t("embeddings").select("vec_id", "label"), path, {})
-    changed = t("embeddings").filter("label < 5").select("vec_id", F.lit(-1).alias("label"))
-    return spark.read.parquet(writers.upsert_table(spark, path, changed, ["vec_id"], [F.col("label")]))
+    changed = lambda some, to: t("embeddings").filter(some).select("vec_id", F.lit(to).alias("label"))
+    first = writers.upsert_table(spark, path, changed("label < 5", -1), ["vec_id"], [F.col("label")])
+    before = spark.read.parquet(first)
+    second = writers.upsert_table(spark, first, changed("label > 7", -2), ["vec_id"], [F.col("label")])
+    return before.join(spark.read.parquet(second).withColumnRenamed("label", "later"), "vec_id")
 
 
-@query("snk_09_manifest", "SELECT count(*) AS n_files, true AS hashed FROM (SELECT 1)", session=True)
+@query("snk_09_manifest", "SELECT sha256(r_name || chr(10)) AS sha256, CAST(length(r_name) + 1 AS BIGINT) AS bytes, 'flat' AS strategy, CAST(3 AS BIGINT) AS schema_version FROM region", session=True)
 def _(t, spark):
+    """The hashes of files that hold a name each."""
     path = scratch(spark)
-    t("region").coalesce(1).write.parquet(path)
-    rows = writers.manifest(spark, f"{path}/part-*.parquet", {"k": 60})
-    return rows.agg(F.count(F.lit(1)).alias("n_files"), F.min(F.length("sha256") == 64).alias("hashed"))
+    t("region").select(F.col("r_regionkey").alias("part"), F.col("r_name").alias("value")).repartition("part").write.partitionBy("part").text(path)
+    rows = writers.manifest(spark, f"{path}/part=*/part-*", {"k": 60}, 3, "flat")
+    return rows.select("sha256", "bytes", "strategy", F.col("schema_version").cast("long").alias("schema_version"))
 
 
-@query("snk_10_staleness", "SELECT * FROM (VALUES ('fresh', 1), ('config_mismatch', 2), ('missing', 3)) AS v(state, step)", session=True)
+@query("snk_10_staleness", "SELECT * FROM (VALUES ('fresh', 1), ('config_mismatch', 2), ('missing', 3), ('strategy_mismatch', 4), ('invalid', 5), ('incomplete', 6), ('file_count_mismatch', 7), ('file_hash_mismatch', 8)) AS v(state, step)", session=True)
 def _(t, spark):
-    path, store = scratch(spark), scratch(spark)
-    t("region").coalesce(1).write.parquet(path)
-    files = f"{path}/part-*.parquet"
-    writers.manifest(spark, files, {"k": 60}).write.parquet(store)
-    built, now = spark.read.parquet(store), writers.file_hashes(spark, files)
-    return spark.createDataFrame([(writers.staleness(built, now, {"k": 60}), 1), (writers.staleness(built, now, {"k": 61}), 2), (writers.staleness(None, now, {}), 3)], "state string, step int")
-
-
-@query("snk_11_report", "SELECT CAST(5 AS BIGINT) AS n_rows, '| r_regionkey | r_name |' AS head", session=True)
+    """Every state that a store can be in."""
+    path, other, store = scratch(spark), scratch(spark), scratch(spark)
+    t("region").select(F.col("r_regionkey").alias("part"), F.col("r_name").alias("value")).coalesce(1).write.partitionBy("part").text(path)
+    t("nation").coalesce(1).write.parquet(other)
+    files = f"{path}/part=*/part-*"
+    # files are told apart by their names, which Spark makes from the task: one for all parts, so they are named anew
+    named = lambda df: df.withColumn("file", F.concat("file", F.lit("-"), F.substring("sha256", 1, 4)))
+    named(writers.manifest(spark, files, {"k": 60})).write.parquet(store)
+    built, now = spark.read.parquet(store), named(writers.file_hashes(spark, files))
+    changed = now.withColumn("sha256", F.reverse("sha256"))
+    fewer = now.join(now.agg(F.min("file").alias("file")), "file", "left_anti")
+    states = [
+        writers.staleness(built, now, {"k": 60}), writers.staleness(built, now, {"k": 61}), writers.staleness(None, now, {}), writers.staleness(built, now, {"k": 61}, strategy="flat"),
+        writers.staleness(built, now, {"k": 60}, 2), writers.staleness(built.limit(0), now, {"k": 60}), writers.staleness(built, fewer, {"k": 60}), writers.staleness(built, changed, {"k": 60}),
+    ]
+    return spark.createDataFrame([(s, i) for i, s in enumerate(states, 1)], "state string, step int")
+
+
+@query("snk_11_report", "SELECT '| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' |' AS line FROM nation UNION ALL SELECT * FROM (VALUES ('# Nations'), (''), ('| n_nationkey | n_name |'), ('|---|---|')) AS v(line)", session=True)
 def _(t, spark):
-    lines = writers.report(t("region"), "Regions").splitlines()
-    return spark.createDataFrame([(len(lines) - 4, lines[2])], "n_rows long, head string")
+    lines = writers.report(t("nation").select("n_nationkey", "n_name"), "Nations").splitlines()
+    return spark.createDataFrame([(line,) for line in lines], "line string")
 
 
 # what is left of chunking, retrieval and evaluation
@@ -213,18 +235,37 @@ def _(t):
     return t("conversations").select("conv_id", "turn", hierarchy.block_level(F.col("text"), {"chapter": "^The", "section": "^Er"}).alias("level"))
 
 
-@query("chk_16_mean_pool", "SELECT vec_id, round((embedding[1] + embedding[3]) / 2, 5) AS first FROM embeddings")
+@query("chk_16_mean_pool", "SELECT vec_id, array_to_string(list_transform(range(1, 33), lambda i: CAST(CAST(round((CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 32] AS DOUBLE)) / 2 * 10000) AS BIGINT) AS VARCHAR)), ',') AS pooled FROM embeddings")
 def _(t):
-    parts = F.array(F.slice("embedding", 1, 2), F.slice("embedding", 2, 2), F.slice("embedding", 3, 2))
-    mask = F.array(F.lit(1), F.lit(0), F.lit(1))
-    return t("embeddings").select("vec_id", F.round(ranking.mean_pool(parts, mask)[0], 5).alias("first"))
-
-
-@query("rnk_12_hybrid_cascade", f"WITH {BM25}, {KEYWORD}, es AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM bm WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'es')) SELECT query_id, doc_id, rank, CAST(1 AS BIGINT) AS stage FROM es WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank, 2 FROM kw WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM es)")
+    """The halves of a vector as token vectors, with a masked one between them: all dimensions of the mean."""
+    parts = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 17, 32), F.slice("embedding", 33, 32))
+    pooled = ranking.mean_pool(parts, F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return t("embeddings").select("vec_id", F.array_join(F.transform(pooled, lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("pooled"))
+
+
+#: The four stages of a cascade: documents in Spanish stand in for a semantic list, those in French for a BM25 list.
+STAGES = f"""WITH {BM25},
+es AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM bm WHERE bm25_score > 4 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'es')),
+fr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM bm WHERE bm25_score > 4 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr')),
+both_ AS (SELECT query_id FROM es INTERSECT SELECT query_id FROM fr),
+fu AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, rank, sr NULLS LAST, br NULLS LAST, doc_id) AS rank FROM
+  (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS s, min(rank) AS rank, min(sr) AS sr, min(br) AS br FROM (SELECT query_id, doc_id, rank, rank AS sr, NULL AS br FROM es UNION ALL SELECT query_id, doc_id, rank, NULL, rank FROM fr) GROUP BY query_id, doc_id) WHERE query_id IN (SELECT query_id FROM both_)),
+su AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (length(lower(d.text)) - length(replace(lower(d.text), lower(b.text), ''))) // length(b.text) DESC, doc_id) AS rank FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))
+SELECT query_id, doc_id, rank, CAST(1 AS BIGINT) AS stage FROM fu WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank, 2 FROM es WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM both_)
+UNION ALL SELECT query_id, doc_id, rank, 3 FROM fr WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM es)
+UNION ALL SELECT query_id, doc_id, rank, 4 FROM su WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM es) AND query_id NOT IN (SELECT query_id FROM fr)"""
+
+
+@query("rnk_12_hybrid_cascade", STAGES)
 def _(t):
-    """The next list stands in for questions that the one before has nothing for."""
-    first = _bm25(t, 5, visible=t("documents").filter("lang = 'es'").select("doc_id"), keep_zero=False).select("query_id", "doc_id", F.col("bm25_rank").alias("rank"))
-    return _out(ranking.cascade(first, _keyword(t).select("query_id", "doc_id", "rank")), "query_id", "doc_id", "rank", "stage")
+    """Fused lists, else the semantic one, else BM25, else a search for the whole question."""
+    every = _bm25(t, 1 << 30, keep_zero=False).filter("bm25_score > 4").join(t("documents").select("doc_id", "lang"), "doc_id")
+    order = Window.partitionBy("query_id", "lang").orderBy(F.round("bm25_score", 9).desc(), "doc_id")
+    ranked = cut(every.filter("lang in ('es', 'fr')").withColumn("rank", F.row_number().over(order)))
+    es, fr = (ranked.filter(F.col("lang") == x).select("query_id", "doc_id", "rank") for x in ("es", "fr"))
+    asked = _questions(t).select("query_id", F.col("question").alias("needle"))
+    out = ranking.hybrid_cascade(es, fr, ranking.substring_rank(t("documents"), asked, k=5))
+    return _out(out.filter("rank <= 5"), "query_id", "doc_id", "rank", "stage")
 
 
 @query("rnk_13_indexed_bm25", f"WITH {BM25} SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bm WHERE bm25_rank <= 10", session=True)

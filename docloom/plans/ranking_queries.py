@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import evaluation, fusion, ranking, relations
 from docloom.plans.registry import query
+from docloom.shared import cut
 
 #: Every benchmark text is a question.
 ASKED = "SELECT item_id AS query_id, text AS question FROM benchmark"
@@ -56,12 +57,14 @@ def _(t):
     return _out(_bm25(t, keep_zero=False).filter("bm25_score > 0").withColumn("semantic_rank", F.col("bm25_rank")), "query_id", "doc_id", "bm25_rank", "semantic_rank")
 
 
-NEEDLES = "SELECT item_id AS query_id, lower(string_split(text, ' ')[2]) AS needle FROM benchmark"
+NEEDLES = "SELECT item_id AS query_id, lower(text) AS needle FROM benchmark UNION ALL SELECT 1000000 + item_id, lower(string_split(text, ' ')[1]) FROM benchmark"
 
 
 @query("rnk_04_substring_count", f"WITH n AS (SELECT * FROM ({NEEDLES}) WHERE length(needle) > 0), h AS (SELECT query_id, doc_id, CAST((length(lower(text)) - length(replace(lower(text), needle, ''))) // length(needle) AS BIGINT) AS hits FROM documents CROSS JOIN n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM h WHERE hits > 0) SELECT * FROM r WHERE rank <= 10")
 def _(t):
-    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.split("text", " ")[1]).alias("needle"))
+    """Whole questions, and the first word of each."""
+    b = t("benchmark")
+    asked = b.select(F.col("item_id").alias("query_id"), F.lower("text").alias("needle")).unionByName(b.select((F.col("item_id") + 1_000_000).alias("query_id"), F.lower(F.split("text", " ")[0]).alias("needle")))
     return _out(ranking.substring_rank(t("documents"), asked))
 
 
@@ -162,8 +165,7 @@ MERGED = f"WITH {BM25}, h AS (SELECT CASE query_id WHEN 0 THEN 'Q0' ELSE 'Q' ||
 
 
 def _merged(t):
-    hits = _bm25(t, 12).select(F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("query_id"), F.col("doc_id").alias("child_id"), F.col("bm25_rank").alias("rank"))
-    return fusion.fuse_queries(hits)
+    return fusion.fuse_queries(_hits(t))
 
 
 @query("fus_03_cross_query_rrf", MERGED + " SELECT child_id, round(score, 6) AS score, support, best_query_rank, merged_rank FROM mq")
@@ -176,14 +178,14 @@ def _(t):
     return fusion.support_counts(_merged(t))
 
 
-PARENTS = MERGED + ", pc AS (SELECT mq.*, source AS parent_id, row_number() OVER (PARTITION BY source ORDER BY merged_rank, child_id) AS place FROM mq JOIN documents ON doc_id = child_id), pa AS (SELECT parent_id, round(sum(1.0 / (60 + merged_rank)), 8) AS score, count(*) AS n_children, min(merged_rank) AS best_child_rank, min_by(child_id, merged_rank) AS anchor FROM pc WHERE place <= 3 GROUP BY parent_id), pr AS (SELECT *, row_number() OVER (ORDER BY score DESC, best_child_rank, parent_id) AS parent_rank FROM pa)"
+PARENTS = MERGED + ", pc AS (SELECT mq.*, source AS parent_id, row_number() OVER (PARTITION BY source ORDER BY merged_rank, child_id) AS place FROM mq JOIN documents ON doc_id = child_id), pq AS (SELECT source AS parent_id, count(DISTINCT query_id) AS n_queries FROM h JOIN documents ON doc_id = child_id GROUP BY source), pa AS (SELECT parent_id, round(sum(CASE WHEN place <= 3 THEN 1.0 / (60 + merged_rank) END), 8) AS score, count(*) AS n_children, min(merged_rank) AS best_child_rank, min_by(child_id, merged_rank) AS anchor FROM pc GROUP BY parent_id), pr AS (SELECT pa.*, n_queries, row_number() OVER (ORDER BY score DESC, n_queries DESC, best_child_rank, pa.parent_id) AS parent_rank FROM pa JOIN pq ON pq.parent_id = pa.parent_id)"
 
 
 def _parents(t):
     return fusion.aggregate_parents(_merged(t), t("documents").select(F.col("doc_id").alias("child_id"), F.col("source").alias("parent_id")))
 
 
-@query("fus_05_parents", PARENTS + " SELECT parent_id, round(score, 6) AS score, n_children, best_child_rank, anchor, parent_rank FROM pr")
+@query("fus_05_parents", PARENTS + " SELECT parent_id, round(score, 6) AS score, n_children, n_queries, best_child_rank, anchor, parent_rank FROM pr")
 def _(t):
     return _out(_parents(t))
 
@@ -216,8 +218,9 @@ rs AS (SELECT *, 1 / (1 + exp(-raw)) AS s FROM rr), rf AS (SELECT *, row_number(
 
 
 def _reranked(t, k=None):
-    met = _fused(t).join(_questions(t), "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
-    return fusion.rerank(met, fusion.heuristic_score(F.col("question"), F.col("text")), k=k)
+    met = fusion.with_texts(_fused(t), _questions(t), t("documents"))
+    shared = F.size(F.array_intersect("question_words", "text_words"))
+    return fusion.rerank(met, fusion.heuristic_score(F.col("question"), F.col("text"), shared=shared), k=k)
 
 
 @query("rrk_01_rerank", RERANKED + " SELECT query_id, doc_id, round(s, 6) AS rerank_score, final_rank, fused_rank - final_rank AS rank_change FROM rf")
@@ -236,8 +239,9 @@ SELECT query_id, doc_id, round(least(len(list_intersect(wq, wt)), 12) * 0.06 + C
 
 @query("rrk_02_heuristic_score", HEURISTIC)
 def _(t):
-    met = _fused(t).join(_questions(t), "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
-    return met.select("query_id", "doc_id", F.round(fusion.heuristic_score(F.col("question"), F.col("text"), ("the",), ("with",), ("from",), {"and": 0.06}, ("that",)), 6).alias("score"))
+    met = fusion.with_texts(_fused(t), _questions(t), t("documents"))
+    shared = F.size(F.array_intersect("question_words", "text_words"))
+    return met.select("query_id", "doc_id", F.round(fusion.heuristic_score(F.col("question"), F.col("text"), ("the",), ("with",), ("from",), {"and": 0.06}, ("that",), shared), 6).alias("score"))
 
 
 @query("rrk_03_rerank_cut", RERANKED + " SELECT query_id, doc_id, final_rank FROM rf WHERE final_rank <= 5")
@@ -245,9 +249,15 @@ def _(t):
     return _out(_reranked(t, 5), "query_id", "doc_id", "final_rank")
 
 
-@query("rrk_04_rounded", RERANKED + " SELECT query_id, doc_id, round(s, 4) AS rerank_score FROM rf WHERE final_rank <= 5")
+CUT = RERANKED.replace(r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')", r"regexp_extract_all(lower(text[1:1000]), '[\p{L}\p{N}_]+')").replace("SELECT *, 1 / (1 + exp(-raw)) AS s FROM rr", "SELECT *, round(1 / (1 + exp(-raw)), 4) AS s FROM rr")
+
+
+@query("rrk_04_rounded", CUT + " SELECT query_id, doc_id, s AS rerank_score, final_rank FROM rf WHERE final_rank <= 5")
 def _(t):
-    return _reranked(t, 5).select("query_id", "doc_id", F.round("rerank_score", 4).alias("rerank_score"))
+    """A model with short inputs sees the first 1,000 characters; its score is rounded before it is sorted."""
+    met = _fused(t).join(_questions(t), "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    out = fusion.rerank(met, lambda text: fusion.heuristic_score(F.col("question"), text), k=5, most_chars=1000, digits=4)
+    return _out(out, "query_id", "doc_id", "rerank_score", "final_rank")
 
 
 @query("win_02_rank_change", RERANKED + " SELECT query_id, sum(abs(fused_rank - final_rank)) AS moved FROM rf GROUP BY query_id")
@@ -274,17 +284,40 @@ def _(t):
     return fusion.cut_stages(_parents(t), 10, 3).select("parent_id", "stage")
 
 
-@query("sel_03_modes", FUSED + " SELECT 'bm25' AS mode, query_id, doc_id FROM bm WHERE bm25_rank <= 5 UNION ALL SELECT 'semantic', query_id, doc_id FROM k2 WHERE semantic_rank <= 5 UNION ALL SELECT 'hybrid', query_id, doc_id FROM g WHERE fused_rank <= 5")
+@query("sel_03_modes", RERANKED + " SELECT 'bm25' AS mode, query_id, doc_id, bm25_rank AS rank FROM bm WHERE bm25_rank <= 5 UNION ALL SELECT 'semantic', query_id, doc_id, semantic_rank FROM k2 WHERE semantic_rank <= 5 UNION ALL SELECT 'hybrid', query_id, doc_id, fused_rank FROM g WHERE fused_rank <= 5 UNION ALL SELECT 'hybrid_rerank', query_id, doc_id, final_rank FROM rf WHERE final_rank <= 5")
 def _(t):
-    a, b = _lists(t)
-    row = lambda df, mode, rank: df.filter(F.col(rank) <= 5).select(F.lit(mode).alias("mode"), "query_id", "doc_id")
-    return row(a, "bm25", "bm25_rank").unionByName(row(b, "semantic", "semantic_rank")).unionByName(row(_fused(t), "hybrid", "fused_rank"))
+    def rerank_with(fused):
+        met = fusion.with_texts(fused, _questions(t), t("documents"))
+        return fusion.rerank(met, fusion.heuristic_score(F.col("question"), F.col("text"), shared=F.size(F.array_intersect("question_words", "text_words"))))
+
+    a, b = (cut(x) for x in _lists(t))
+    out = None
+    for mode in fusion.MODES:
+        rows = fusion.run_query(mode, lambda: a, lambda: b, rerank_with)
+        out = rows if out is None else out.unionByName(rows)
+    return _out(out)
+
+
+SINGLE = ", ".join(f"{n} AS (SELECT * FROM ({q}))" for n, q in (("f", "SELECT child_id, rank AS r FROM h WHERE query_id = 'Q0'"), ("sp", "SELECT source AS parent_id, child_id, r, row_number() OVER (PARTITION BY source ORDER BY r, child_id) AS place FROM f JOIN documents ON doc_id = child_id")))
+MODE_ROWS = (
+    f"{PARENTS}, {SINGLE}, so AS (SELECT parent_id, row_number() OVER (ORDER BY round(sum(CASE WHEN place <= 3 THEN 1.0 / (60 + r) END), 8) DESC, min(r), parent_id) AS rank FROM sp GROUP BY parent_id)"
+    " SELECT 'single_flat' AS mode, CAST(child_id AS VARCHAR) AS id, r AS rank FROM f WHERE r <= 5 UNION ALL SELECT 'multi_flat', CAST(child_id AS VARCHAR), merged_rank FROM mq WHERE merged_rank <= 5"
+    " UNION ALL SELECT 'single_parent', parent_id, rank FROM so WHERE rank <= 5 UNION ALL SELECT 'multi_parent', parent_id, parent_rank FROM pr WHERE parent_rank <= 5"
+)
+
+
+def _hits(t):
+    return _bm25(t, 12).select(F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("query_id"), F.col("doc_id").alias("child_id"), F.col("bm25_rank").alias("rank"))
 
 
-@query("sel_04_parent_modes", PARENTS + " SELECT 'multi_flat' AS mode, CAST(child_id AS VARCHAR) AS id FROM mq WHERE merged_rank <= 5 UNION ALL SELECT 'multi_parent', parent_id FROM pr WHERE parent_rank <= 3")
+@query("sel_04_parent_modes", MODE_ROWS)
 def _(t):
-    flat = _merged(t).filter("merged_rank <= 5").select(F.lit("multi_flat").alias("mode"), F.col("child_id").cast("string").alias("id"))
-    return flat.unionByName(_parents(t).filter("parent_rank <= 3").select(F.lit("multi_parent").alias("mode"), F.col("parent_id").alias("id")))
+    hits, parents = cut(_hits(t)), t("documents").select(F.col("doc_id").alias("child_id"), F.col("source").alias("parent_id"))
+    out = None
+    for mode in fusion.PARENT_MODES:
+        rows = fusion.run_parent_query(mode, hits, parents)
+        out = rows if out is None else out.unionByName(rows)
+    return _out(out)
 
 
 @query(
@@ -301,15 +334,23 @@ def _(t):
     return out.select("conv_id", "turn", "reason", "kept")
 
 
-@query("sel_06_query_cache", "SELECT substring(sha256(lower(text)), 1, 16) AS query_key, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1")
+@query("sel_06_query_cache", "WITH u AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || '|v1' AS key FROM conversations WHERE role = 'user') SELECT conv_id, turn, key IN (SELECT key FROM u WHERE turn = 0) AS hit FROM u")
 def _(t):
-    return t("conversations").filter("role = 'user'").groupBy(T.stable_id(F.lower("text")).alias("query_key")).agg(F.count(F.lit(1)).alias("n"))
+    """What users ask against a cache of what was asked in first turns."""
+    asked = t("conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    cache = asked.filter("turn = 0").select(fusion.query_key(F.col("text"), "v1").alias("query_key"), F.array("text").alias("variants"))
+    hit, miss = fusion.cached_variants(asked, cache, "text", "v1")
+    return hit.select("conv_id", "turn", F.lit(True).alias("hit")).unionByName(miss.select("conv_id", "turn", F.lit(False).alias("hit")))
 
 
-@query("sel_08_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'reranker_unavailable' WHEN o_orderkey % 5 = 0 THEN 'insufficient_evidence' WHEN o_orderkey % 3 = 0 THEN 'retrieval_only' WHEN o_orderkey % 2 = 0 THEN 'citation_validation_failed' ELSE 'answered' END AS status FROM orders")
+@query("sel_08_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'reranker_unavailable' WHEN o_orderkey % 5 = 0 THEN 'insufficient_evidence' WHEN o_orderkey % 3 = 0 THEN 'retrieval_only' WHEN o_orderkey % 2 = 0 THEN 'citation_validation_failed' ELSE 'answered' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'insufficient_evidence' WHEN o_orderkey % 7 = 0 THEN 'multi_flat_partial' ELSE 'multi_flat_ready' END AS flat_status, CASE WHEN o_orderkey % 5 = 0 THEN 'insufficient_evidence' WHEN o_orderkey % 2 = 0 THEN 'citation_validation_failed' WHEN o_orderkey % 7 = 0 THEN 'parent_partial' ELSE 'parent_ready' END AS parent_status FROM orders")
 def _(t):
     k = F.col("o_orderkey")
-    return t("orders").select("o_orderkey", fusion.status(k % 5, F.lit(1), k % 11 != 0, k % 3 != 0, k % 2 != 0).alias("status"))
+    failed = F.when(k % 7 == 0, 1).otherwise(0)
+    return t("orders").select(
+        "o_orderkey", fusion.status(k % 5, F.lit(1), k % 11 != 0, k % 3 != 0, k % 2 != 0).alias("status"),
+        fusion.mode_status("multi_flat", k % 5, failed).alias("flat_status"), fusion.mode_status("multi_parent", k % 5, failed, k % 2 != 0).alias("parent_status"),
+    )
 
 
 @query("top_01_topk", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
@@ -380,10 +421,13 @@ def _(t):
     return evaluation.mode_report(gold.select("question_id", "relevant"), results.unionByName(none)).select("mode", "question_id", F.round("recall", 6).alias("recall"))
 
 
-@query("evl_09_rank_matrix", MERGED.replace(", c AS", ", unused AS", 1).split(", unused AS")[0] + " SELECT child_id, min(CASE WHEN query_id = 'Q0' THEN rank END) AS \"Q0\", min(CASE WHEN query_id = 'Q1' THEN rank END) AS \"Q1\" FROM h GROUP BY child_id")
+@query("evl_09_rank_matrix", MERGED.split(", c AS")[0] + " SELECT child_id, string_agg(query_id || ':' || CAST(rank AS VARCHAR), ',' ORDER BY query_id) AS ranks FROM h GROUP BY child_id")
 def _(t):
-    hits = _bm25(t, 12).select(F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("query_id"), F.col("doc_id").alias("child_id"), F.col("bm25_rank").alias("rank"))
-    return _out(evaluation.rank_matrix(hits, "child_id", "query_id", ["Q0", "Q1"]))
+    """All questions as columns, and their ranks in one text."""
+    names = sorted(f"Q{r.item_id}" for r in t("benchmark").select("item_id").distinct().collect())  # a column for each question
+    wide = evaluation.rank_matrix(_hits(t), "child_id", "query_id", names)
+    cells = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in names]))
+    return wide.select("child_id", F.array_join(cells, ",").alias("ranks"))
 
 
 @query("joi_14_mode_pivot", FUSED + " SELECT query_id, doc_id, min(CASE WHEN fused_rank <= 10 THEN fused_rank END) AS hybrid, min(CASE WHEN bm25_rank <= 10 THEN bm25_rank END) AS bm25 FROM g GROUP BY query_id, doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import evaluation, fusion, graph, integrity, ranking, relations, security
 from docloom.plans.registry import query
+from docloom.shared import few, numbered
 from docloom.streaming.audit import windowed_events
 
 
@@ -207,14 +208,14 @@ def _(t):
 @query("srt_01_nulls_last", "SELECT doc_id, row_number() OVER (ORDER BY quality NULLS LAST, doc_id) AS place FROM (SELECT doc_id, CASE WHEN toxic = 0 THEN quality END AS quality FROM labels)")
 def _(t):
     rows = t("labels").select("doc_id", F.when(F.col("toxic") == 0, F.col("quality")).alias("quality"))
-    return rows.select("doc_id", F.row_number().over(Window.orderBy(F.col("quality").asc_nulls_last(), "doc_id")).cast("long").alias("place"))
+    return numbered(rows, F.col("quality").asc_nulls_last(), F.col("doc_id")).select("doc_id", "place")
 
 
 @query("srt_03_query_ids", "SELECT query_id, row_number() OVER (ORDER BY CASE WHEN regexp_matches(query_id, '^Q[0-9]+$') THEN CAST(substr(query_id, 2) AS BIGINT) ELSE 1000000 END, query_id) AS place FROM (SELECT CASE WHEN n_nationkey % 7 = 0 THEN n_name ELSE 'Q' || CAST(n_nationkey AS VARCHAR) END AS query_id FROM nation)")
 def _(t):
     key = F.when(F.col("n_nationkey") % 7 == 0, F.col("n_name")).otherwise(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")))
     number = F.when(F.col("query_id").rlike("^Q[0-9]+$"), F.substring("query_id", 2, 20).cast("long")).otherwise(1000000)
-    return t("nation").select(key.alias("query_id")).select("query_id", F.row_number().over(Window.orderBy(number, "query_id")).cast("long").alias("place"))
+    return numbered(t("nation").select(key.alias("query_id")), number, F.col("query_id")).select("query_id", "place")
 
 
 @query("top_02_limit_ordered", "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 25")
@@ -336,7 +337,7 @@ def _(t):
 
 @query("grf_05_containment", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey")
 def _(t):
-    return t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")  # five regions
+    return t("nation").join(few(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
 
 
 @query("grf_06_orphans", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
@@ -344,12 +345,21 @@ def _(t):
     return graph.orphans(t("part").select("p_partkey"), t("lineitem"), "p_partkey", "l_partkey", "l_suppkey")
 
 
-@query("grf_07_neighbourhood", "SELECT n_name AS node, coalesce(array_to_string(list_sort(list(DISTINCT s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), ','), '') AS first FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+@query("grf_07_neighbourhood", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(qv AS DOUBLE[]), CAST(qv AS DOUBLE[]))), 9) AS sim FROM embeddings CROSS JOIN q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s),
+n AS (SELECT query_id, vec_id % 25 AS node FROM r WHERE place <= 5)
+SELECT query_id, node, coalesce(array_to_string(list_sort(list(DISTINCT s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), ','), '') AS first, coalesce(array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_partkey IS NOT NULL)), ','), '') AS second
+FROM (SELECT DISTINCT query_id, node FROM n) LEFT JOIN supplier ON s_nationkey = node LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'A' AND l_quantity > 49 GROUP BY query_id, node""")
 def _(t):
-    first = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("src"), F.col("s_suppkey").alias("dst"))
-    second = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    out = graph.seed_neighbourhood(t("nation").select(F.col("n_name").alias("node")), first, second)
-    return out.select("node", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))
+    """Nations that stand for the nearest vectors of each question, their suppliers, and what these have delivered."""
+    asked = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    seeds = ranking.dense_rank(t("embeddings"), asked, 5).select("query_id", (F.col("vec_id") % 25).alias("node")).distinct()
+    first = t("supplier").select(F.col("s_nationkey").cast("long").alias("src"), F.col("s_suppkey").alias("dst"))
+    second = t("lineitem").filter("l_returnflag = 'A' and l_quantity > 49").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    out = graph.seed_neighbourhood(seeds, first, second, by=["query_id"])
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("query_id", "node", listed("first"), listed("second"))
 
 
 @query("grf_08_review_queue", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'")

@@ -9,6 +9,7 @@ from docloom.functions import html as H
 from docloom.functions import text as T
 from docloom.operators import hierarchy, integrity, relations
 from docloom.plans.registry import query
+from docloom.shared import numbered
 
 WORDS = r"(\p{Nd}+|[\p{L}\p{N}]+)"
 
@@ -134,7 +135,7 @@ NATURAL = r"list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'), lambda r:
 
 @query("txt_15_natural_order", f"SELECT page_id, row_number() OVER (ORDER BY {NATURAL}, page_id) AS place FROM pages")
 def _(t):
-    return t("pages").select("page_id", F.row_number().over(Window.orderBy(T.natural_key(F.col("url")), "page_id")).cast("long").alias("place"))
+    return numbered(t("pages").select("page_id", "url"), T.natural_key(F.col("url")), F.col("page_id")).select("page_id", "place")
 
 
 @query("srt_02_natural_sort", f"SELECT host, min(page_id) AS page_id FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY {NATURAL}, page_id) AS n FROM pages) WHERE n = 1 GROUP BY host")
@@ -180,10 +181,13 @@ def _(t):
     return t("nation").select("n_nationkey", F.array_join(T.wikilinks(body), ",").alias("links"))
 
 
-@query("txt_22_redact", "SELECT c_custkey, '***' AS secret, c_mktsegment AS plain FROM customer")
+@query("txt_22_redact", "SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 2) THEN '***' ELSE c_name END AS first, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN c_mktsegment ELSE '***' END AS second FROM customer")
 def _(t):
-    m = T.redact(F.create_map(F.lit("API_Key"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")))
-    return t("customer").select("c_custkey", m["API_Key"].alias("secret"), m["segment"].alias("plain"))
+    """Two values under names that differ from row to row; some names tell of a secret."""
+    first = F.element_at(F.array(*[F.lit(n) for n in ("API_Key", "name", "Token_of_customer", "id")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    second = F.concat(F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "plain_").otherwise("PassWord_"), F.col("c_mktsegment"))
+    m = T.redact(F.create_map(first, F.col("c_name"), second, F.col("c_mktsegment")))
+    return t("customer").select("c_custkey", F.map_values(m)[0].alias("first"), F.map_values(m)[1].alias("second"))
 
 
 @query("txt_23_stable_id", "SELECT doc_id, substring(sha256(concat_ws('|', source, lang, CAST(doc_id AS VARCHAR))), 1, 16) AS id FROM documents")
@@ -193,7 +197,8 @@ def _(t):
 
 @query("txt_24_sequential_id", "SELECT s_suppkey, printf('ENT_SUP_%04d', row_number() OVER (ORDER BY s_name, s_suppkey)) AS id FROM supplier")
 def _(t):
-    return t("supplier").select("s_suppkey", F.format_string("ENT_SUP_%04d", F.row_number().over(Window.orderBy("s_name", "s_suppkey"))).alias("id"))
+    rows = numbered(t("supplier").select("s_suppkey", "s_name"), F.col("s_name"), F.col("s_suppkey"))
+    return rows.select("s_suppkey", F.format_string("ENT_SUP_%04d", "place").alias("id"))
 
 
 @query("txt_25_content_id", "SELECT doc_id, substring(sha256(text), 1, 12) AS id FROM documents")
@@ -310,9 +315,11 @@ def _(t):
     return t("pages").select("page_id", (H.html_title("html") != "Document").alias("has_title"))
 
 
-@query("dq_04_block_chain", "SELECT CAST(0 AS BIGINT) AS n_dangling")
+@query("dq_04_block_chain", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) WHERE role = 'user' AND after <> 'user'")
 def _(t):
-    return integrity.dangling_next(hierarchy.block_tree(H.html_blocks(t("pages")))).agg(F.count(F.lit(1)).alias("n_dangling"))
+    """Turns as blocks, chained; those of other speakers are taken out, so what pointed to them dangles."""
+    tree = hierarchy.block_tree(t("conversations").filter("conv_id is not null"), "conv_id", "turn", beginnings={"chapter": "^$"})
+    return integrity.dangling_next(tree.filter("role = 'user'")).select("conv_id", "turn")
 
 
 #: Capitalised words at the start of a text stand in for headings.
@@ -364,15 +371,21 @@ def _(t):
     return packed.select("doc_id", "article_key", F.col("window_index").cast("long").alias("window_index"))
 
 
-@query("chk_13_parents", PACKED.replace("WITH h AS", "WITH RECURSIVE h AS", 1) + " SELECT substring(sha256(concat_ws('|', source, article_key, CAST(win AS VARCHAR))), 1, 16) AS parent_id, count(*) AS n_children, CAST(sum(size) + 2 * (count(*) - 1) AS BIGINT) AS char_count, min(doc_id) AS first_child FROM f GROUP BY source, article_key, win")
+@query("chk_13_parents", PACKED.replace("WITH h AS", "WITH RECURSIVE h AS", 1) + " SELECT substring(sha256(concat_ws('|', source, article_key, CAST(win AS VARCHAR))), 1, 16) AS parent_id, count(*) AS n_children, CAST(sum(size) + 2 * (count(*) - 1) AS BIGINT) AS char_count, min(doc_id) AS first_child, min(doc_id % 7) AS page_start, max(doc_id % 7 + doc_id % 3) AS page_end, max(size) > 6000 AS oversized FROM f GROUP BY source, article_key, win")
 def _(t):
-    parents, _ = hierarchy.build_parents(_resolved(t))
-    return parents.select("parent_id", F.size("child_ids").cast("long").alias("n_children"), F.col("char_count").cast("long").alias("char_count"), F.col("child_ids")[0].cast("long").alias("first_child"))
+    """With made pages: from the id's remainder by 7, up to two further on."""
+    parents, _ = hierarchy.build_parents(_resolved(t).withColumns({"page_start": F.col("doc_id") % 7, "page_end": F.col("doc_id") % 7 + F.col("doc_id") % 3}))
+    return parents.select(
+        "parent_id", F.size("child_ids").cast("long").alias("n_children"), F.col("char_count").cast("long").alias("char_count"), F.col("child_ids")[0].cast("long").alias("first_child"),
+        "page_start", "page_end", F.array_contains("warnings", "oversized_single_child").alias("oversized"),
+    )
 
 
-@query("chk_14_single_assignment", "SELECT CAST(0 AS BIGINT) AS n_twice")
+@query("chk_14_single_assignment", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(2 AS BIGINT) AS n FROM documents WHERE lang = 'es'")
 def _(t):
-    return hierarchy.twice_assigned(hierarchy.build_parents(_resolved(t))[1]).agg(F.count(F.lit(1)).alias("n_twice"))
+    """The packing assigns each child once; with those of one language assigned again, just these are found."""
+    packed = hierarchy.build_parents(_resolved(t))[1].select("chunk_id", "lang", "parent_id")
+    return hierarchy.twice_assigned(packed.unionByName(packed.filter("lang = 'es'").withColumn("parent_id", F.lit("another"))))
 
 
 @query("chk_15_summary", PACKED.replace("WITH h AS", "WITH RECURSIVE h AS", 1) + ", p AS (SELECT sum(size) + 2 * (count(*) - 1) AS n FROM f GROUP BY source, article_key, win) SELECT (SELECT count(*) FROM p) AS n_parents, CAST((SELECT max(n) FROM p) AS BIGINT) AS longest_parent, (SELECT count(*) FROM r) AS n_children, (SELECT count(*) FROM r WHERE method = 'document_fallback') AS n_fallback")

@@ -60,10 +60,16 @@ def csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] =
 
 
 def metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Document metadata with one key column ``id``, from ``id`` or ``doc_id``; of repeated keys one row."""
-    rows = csv(spark, path, schema)
-    key = F.coalesce(*[F.col(c).cast("string") for c in ("id", "doc_id") if c in rows.columns])
-    return rows.withColumn("id", key).filter("id is not null").dropDuplicates(["id"])
+    """Document metadata with one key column ``id``, from ``id`` or ``doc_id``, trimmed; of repeated keys the last row.
+
+    The last is that of the last file by path, and in a file the last one: a file over several lines is read by one task.
+    """
+    rows = csv(spark, path, schema).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__place"))
+    key = F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("id", "doc_id") if c in rows.columns])
+    keyed = rows.withColumn("id", key).filter("id is not null")
+    columns = [c for c in keyed.columns if not c.startswith("__")]
+    last = keyed.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("__file", "__place")).alias("r"))
+    return last.select("r.*")
 
 
 def relationships(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +86,10 @@ def secure_chunks(rows: DataFrame, column: str = "allowed_roles") -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """(question_id, question, relevant): a JSON array of questions."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("q"))
+    """(question_id, question, relevant): a JSON array of questions. A file that holds anything else ends the job."""
+    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    fault = F.raise_error(F.concat(F.lit("questions must be a JSON array: "), F.col("_metadata.file_name")))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.when(items.isNotNull(), items).otherwise(fault.cast("array<variant>"))).alias("q"))
     get = lambda n, t: F.try_variant_get("q", f"$.{n}", t)
     return raw.select(F.coalesce(get("question_id", "string"), get("id", "string")).alias("question_id"), get("question", "string").alias("question"), F.coalesce(get("relevant_child_ids", "array<string>"), get("relevant_chunk_ids", "array<string>"), F.array().cast("array<string>")).alias("relevant"))
 

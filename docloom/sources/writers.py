@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.graph import upsert
+from docloom.shared import scratch
 
 
 def json_table(df: DataFrame, path: str) -> None:
@@ -22,11 +24,10 @@ def csv_table(df: DataFrame, path: str) -> None:
 
 
 def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: list[str], order: list[Column]) -> str:
-    """Write the upserted table beside the old one, and give its path: readers of the old one aren't disturbed."""
-    current = spark.read.parquet(path) if path else changes.limit(0)
-    merged = upsert(current, changes, key, order)
-    target = f"{path or 'table'}.{hashlib.sha256(json.dumps(key).encode()).hexdigest()[:8]}"
-    merged.write.mode("overwrite").parquet(target)
+    """Write the upserted table beside the old one, under a name of its own, and give its path: readers of older ones aren't disturbed."""
+    merged = upsert(spark.read.parquet(path), changes, key, order) if path else upsert(changes.limit(0), changes, key, order)
+    target = f"{path.split('.version-')[0]}.version-{uuid.uuid4().hex}" if path else scratch(spark)
+    merged.write.parquet(target)
     return target
 
 
@@ -50,21 +51,22 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def manifest(spark: SparkSession, path: str, config: dict, version: int = 1) -> DataFrame:
-    """File hashes with the version and the digest of the configuration."""
-    return file_hashes(spark, path).withColumn("schema_version", F.lit(version)).withColumn("config_sha256", F.lit(config_digest(config)))
+def manifest(spark: SparkSession, path: str, config: dict, version: int = 1, strategy: str = "hierarchical") -> DataFrame:
+    """File hashes with the version, the strategy and the digest of the configuration."""
+    return file_hashes(spark, path).withColumns({"schema_version": F.lit(version), "strategy": F.lit(strategy), "config_sha256": F.lit(config_digest(config))})
 
 
-def staleness(built: DataFrame | None, current: DataFrame, config: dict, version: int = 1) -> str:
-    """Why a built store no longer holds, the first of: missing, incomplete, invalid, config, file count, file hash; or fresh."""
+def staleness(built: DataFrame | None, current: DataFrame, config: dict, version: int = 1, strategy: str = "hierarchical") -> str:
+    """Why a built store no longer holds, the first of: missing, incomplete, invalid, strategy, config, file count, file hash; or fresh."""
     if built is None:
         return "missing"
-    b, c = built.select("file", F.col("sha256").alias("__b"), "schema_version", "config_sha256"), current.select("file", F.col("sha256").alias("__c"))
+    b, c = built.select("file", F.col("sha256").alias("__b"), "schema_version", "strategy", "config_sha256"), current.select("file", F.col("sha256").alias("__c"))
     row = (
         b.join(c, "file", "full_outer")
         .agg(
             F.count("schema_version").alias("n"),
             F.sum((F.col("schema_version") != version).cast("int")).alias("version"),
+            F.sum((F.col("strategy") != strategy).cast("int")).alias("strategy"),
             F.sum((F.col("config_sha256") != config_digest(config)).cast("int")).alias("config"),
             F.sum((F.col("__b").isNull() | F.col("__c").isNull()).cast("int")).alias("files"),
             F.sum((F.col("__b") != F.col("__c")).cast("int")).alias("hashes"),
@@ -73,9 +75,9 @@ def staleness(built: DataFrame | None, current: DataFrame, config: dict, version
     )
     if not row["n"]:
         return "incomplete"
-    for why in ("version", "config", "files", "hashes"):
+    for why in ("version", "strategy", "config", "files", "hashes"):
         if row[why]:
-            return {"version": "invalid", "config": "config_mismatch", "files": "file_count_mismatch", "hashes": "file_hash_mismatch"}[why]
+            return {"version": "invalid", "strategy": "strategy_mismatch", "config": "config_mismatch", "files": "file_count_mismatch", "hashes": "file_hash_mismatch"}[why]
     return "fresh"
 
 
