@@ -21,7 +21,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.runtime import cut, inner, map_texts, outer, ship, staged
@@ -38,6 +38,8 @@ PARTITIONS, FLIPS = 8, 2
 #: A pair whose fingerprints lie one standard error further apart than its similarity makes expect meets with this
 #: probability; candidates may lie so many standard errors further apart, in the first word and in all.
 RECALL, ERRORS, FIRST_ERRORS = 0.95, 2.5, 4
+#: Words of the finer fingerprints that sort the candidates of dense groups; candidates of a text that are verified first.
+FINE, FIRST = 64, 3
 #: Bits of a partition of a fingerprint of several words, and steps in which probabilities are added up.
 WIDTHS, STEPS = range(5, 33), 256
 #: Texts that have links are found by a broadcast of their keys, up to so many; so many links are joined by one task.
@@ -328,24 +330,29 @@ def _spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
 
 
-def _links(first_most: int, most: int, words: int, named: bool, labelled: bool):
+def _links(first_most: int, most: int, words: int, named: bool, labelled: bool, fine: int = 0, fine_most: int = 0):
     """Verify the candidates of sorted buckets. Rows (a, b, bits) of pairs near enough in the first word and in all.
 
     Fingerprints are named by their first word, or by the column after the words. A forest of the pairs of each bucket
-    is given, of the nearest ones; with labels, which follow the name, all pairs between different labels.
+    is given, of the nearest ones; with labels, which follow the name, all pairs between different labels. A finer
+    fingerprint of ``fine`` words, after the label, decides in the end and gives the bits.
     """
-    name = words if named else 0
-
-    def bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Differing bits, or more than ``most`` where the first words already differ too much."""
-        first = np.bitwise_count(x[:, 0] ^ y[:, 0]).astype(np.int64)
-        if words == 1:
-            return np.where(first <= first_most, first, most + 1)
-        out = np.full(len(first), most + 1)
+    name = words + fine if named else 0
+
+    def near(p: np.ndarray, i: np.ndarray, j) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows ``i`` are near row or rows ``j``, as places in ``i``, and the bits between them."""
+        other = lambda at: j[at] if isinstance(j, np.ndarray) else j
+        apart = lambda at, a, b: np.bitwise_count(p[i[at], a:b] ^ p[other(at), a:b]).sum(axis=1, dtype=np.int64)
+        first = np.bitwise_count(p[i, 0] ^ p[j, 0]).astype(np.int64)
         at = np.flatnonzero(first <= first_most)
-        other = y[at] if len(y) == len(x) else y
-        out[at] = first[at] + np.bitwise_count(x[at, 1:words] ^ other[:, 1:words]).sum(axis=1)
-        return out
+        d = first[at]
+        if words > 1:
+            d = d + apart(at, 1, words)
+            at, d = at[d <= most], d[d <= most]
+        if fine:
+            d = apart(at, words, words + fine)
+            at, d = at[d <= fine_most], d[d <= fine_most]
+        return at, d
 
     def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """All pairs of many small buckets, by comparing rows one step apart, then two, and so on."""
@@ -354,41 +361,35 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool):
         while len(alive):
             alive = alive[alive + step < len(prints)]
             alive = alive[bucket[alive] == bucket[alive + step]]
-            d = bits(prints[alive], prints[alive + step])
-            met = d <= most
-            if labelled:
-                met &= prints[alive, -1] != prints[alive + step, -1]
-            at = alive[met]
-            found.append((prints[at, name], prints[at + step, name], d[met]))
+            some = alive[prints[alive, -1] != prints[alive + step, -1]] if labelled else alive
+            at, d = near(prints, some, some + step)
+            found.append((prints[some[at], name], prints[some[at] + step, name], d))
             step += 1
         return found
 
     def search(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The classes of one large bucket. A row that is reached leaves the rest, so a dense group costs few passes."""
-        found, rest = [], prints
+        found, rest = [], np.arange(len(prints))
         while len(rest):
-            queue, rest = [rest[:1]], rest[1:]
+            queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 row = queue.pop()
-                if len(row) > 1:
-                    queue.append(row[1:])
-                d = bits(rest, row[:1])
-                hit = d <= most
-                if hit.any():
-                    reached = rest[hit]
-                    found.append((np.full(len(reached), row[0, name]), reached[:, name], d[hit]))
-                    queue.append(reached)
-                    rest = rest[~hit]
+                at, d = near(prints, rest, row)
+                if len(at):
+                    reached = rest[at]
+                    found.append((np.full(len(reached), prints[row, name]), prints[reached, name], d))
+                    queue += reached[np.argsort(-d, kind="stable")].tolist()
+                    rest = np.delete(rest, at)
         return found
 
     def across(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The pairs of one large bucket between labels: rows of all labels but the commonest against the others."""
-        labels, at, n = np.unique(prints[:, -1], return_inverse=True, return_counts=True)
+        labels, of, n = np.unique(prints[:, -1], return_inverse=True, return_counts=True)
         found = []
-        for row in prints[at != n.argmax()] if len(labels) > 1 else []:
-            d = bits(prints, row[None])
-            hit = (d <= most) & (prints[:, -1] != row[-1])
-            found.append((np.full(hit.sum(), row[name]), prints[hit, name], d[hit]))
+        for row in np.flatnonzero(of != n.argmax()) if len(labels) > 1 else []:
+            others = np.flatnonzero(of != of[row])
+            at, d = near(prints, others, int(row))
+            found.append((np.full(len(at), prints[row, name]), prints[others[at], name], d))
         return found
 
     def made(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
@@ -420,6 +421,9 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool):
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
             prints = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(3, 3 + width)], axis=1)
+            if fine:
+                more = np.frombuffer(b"".join(batch.column(3 + width).to_pylist()), np.uint64).reshape(-1, fine)
+                prints = np.concatenate((prints[:, :words], more, prints[:, words:]), axis=1)
             last = int(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))[-1])
             if last or held and (keys[0] != held[-1][0][-1]).any():
                 held.append((keys[:last], prints[:last]))
@@ -447,7 +451,7 @@ class Index:
         self.key = name or "fp"
 
     def _filed(self, rows: DataFrame, columns: list[str]) -> DataFrame:
-        named = ", ".join(f"{c} long" for c in columns)
+        named = ", ".join(f"{c} {'binary' if c == 'fine' else 'long'}" for c in columns)
         return rows.select(*columns).mapInArrow(_file(self.plan, self.words, columns), f"part int, value long, {named}")
 
     def _large(self, filed: DataFrame) -> DataFrame:
@@ -455,9 +459,10 @@ class Index:
         sizes = filed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
         return cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
 
-    def _verified(self, dealt: DataFrame, columns: list[str], labelled: bool) -> DataFrame:
+    def _verified(self, dealt: DataFrame, columns: list[str], labelled: bool, fine_most: int = 0) -> DataFrame:
+        fine = FINE if "fine" in columns else 0
         rows = dealt.select("part", "value", "block", *columns).repartition("part", "value", "block").sortWithinPartitions("part", "value", "block")
-        found = rows.mapInArrow(_links(self.first_most, self.most, self.words, self.name is not None, labelled), "a long, b long, bits long")
+        found = rows.mapInArrow(_links(self.first_most, self.most, self.words, self.name is not None, labelled, fine, fine_most), "a long, b long, bits long")
         return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
     def forest(self) -> tuple[DataFrame, DataFrame | None]:
@@ -474,19 +479,22 @@ class Index:
         crowded = met.filter("__blocks is not null").select(F.col(self.key).alias("node")).distinct()
         return cut(self._verified(dealt, self.columns, False)), cut(crowded)
 
-    def between(self, labelled: DataFrame) -> DataFrame:
+    def between(self, labelled: DataFrame, fine: DataFrame | None = None, fine_most: int = 0) -> DataFrame:
         """All links (a, b, bits) between rows (node, label) of different labels.
 
         In a bucket that is too large for one task, rows of the commonest label stay in a block each, and the others
-        go to every block: the work follows the rows of other labels, not the square of the bucket.
+        go to every block: the work follows the rows of other labels, not the square of the bucket. Finer fingerprints
+        (node, fine), where given, are compared too, so fewer links go on.
         """
-        columns = [*self.columns, "label"]
+        columns = [*self.columns, "label", *(["fine"] if fine is not None else [])]
         rows = self.distinct.select(*self.columns, F.col(self.key).alias("__node")).join(labelled.select(F.col("node").alias("__node"), "label"), "__node")
+        if fine is not None:
+            rows = rows.join(fine.select(F.col("node").alias("__node"), "fine"), "__node")
         rows = cut(rows.select(*columns))
         filed = self._filed(rows, columns)
         large = self._large(self._filed(rows, self.columns[: self.words]))
         if large.isEmpty():
-            return self._verified(filed.withColumn("block", F.lit(0)), columns, True)
+            return self._verified(filed.withColumn("block", F.lit(0)), columns, True, fine_most)
         met = filed.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left")
         counted = met.filter("__blocks is not null").groupBy("part", "value", "label").agg(F.count(F.lit(1)).alias("n"))
         common = cut(counted.groupBy(F.col("part").alias("__p2"), F.col("value").alias("__v2")).agg(F.max_by("label", F.struct("n", "label")).alias("__common")))
@@ -494,7 +502,7 @@ class Index:
         every = F.sequence(F.lit(0), F.col("__blocks") - 1)
         blocks = F.when(F.col("__blocks").isNull(), F.array(F.lit(0))).when(F.col("label") == F.col("__common"), F.array(own)).otherwise(every)
         met = met.join(common, (F.col("part") == F.col("__p2")) & (F.col("value") == F.col("__v2")), "left")
-        return self._verified(met.withColumn("block", F.explode(blocks)), columns, True)
+        return self._verified(met.withColumn("block", F.explode(blocks)), columns, True, fine_most)
 
 
 def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
@@ -576,6 +584,21 @@ def shingle_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     return map_texts(docs, lambda: run, [("shingles", "array<long>")], text, (key,))
 
 
+def finer(sets: DataFrame) -> DataFrame:
+    """The node of each set, and ``fine``, a fingerprint of ``FINE`` words over its distinct shingles."""
+    ship(sets.sparkSession)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
+            made = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                made.append(np.array([simhash(remix(flat[a:b], 1000 + k)) for k in range(FINE)], np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "fine"])
+
+    return sets.select("node", "shingles").mapInArrow(over, "node long, fine binary")
+
+
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) between sets (node, shingles) of at least a Jaccard similarity, in thousandths. Two empty sets are alike."""
     sides = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"__{c}")) for c in ("a", "b")]
@@ -584,6 +607,13 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return links.join(sides[0], "a").join(sides[1], "b").filter(both * (1000 + least) >= least * (F.size("__a") + F.size("__b"))).select("a", "b")
 
 
+def between_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links (a, b) whose ends have different labels (__n, label); a node without one is its own."""
+    sides = [labels.select(F.col("__n").alias(f"__{c}"), F.col("label").alias(f"__label_{c}")) for c in ("a", "b")]
+    met = links.select("a", "b").join(sides[0], F.col("a") == F.col("__a"), "left").join(sides[1], F.col("b") == F.col("__b"), "left")
+    return met.filter(F.coalesce("__label_a", "a") != F.coalesce("__label_b", "b")).select("a", "b")
+
+
 def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, words: int, text: str, key: str) -> DataFrame:
     """Rows (node, root) for texts with links: a link is a candidate pair whose exact similarity holds.
 
@@ -610,9 +640,7 @@ def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float,
     nearest = ends.groupBy("__end").agg(F.min(F.struct("bits", "a", "b")).alias("l")).select("l.a", "l.b").distinct()
     firm = cut(verified(nearest, sets, similarity))
     tight = labels(firm)
-    sides = [tight.select(F.col("__n").alias(f"__{c}"), F.col("label").alias(f"__label_{c}")) for c in ("a", "b")]
-    met = forest.select("a", "b").join(sides[0], F.col("a") == F.col("__a"), "left").join(sides[1], F.col("b") == F.col("__b"), "left")
-    rest = met.filter(F.coalesce("__label_a", "a") != F.coalesce("__label_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    rest = between_labels(forest, tight).join(nearest, ["a", "b"], "left_anti")
     firm = cut(firm.unionByName(verified(rest, sets, similarity)))
     tight = labels(firm)
     every = loose if crowded is None else loose.unionByName(crowded.join(loose, "node", "left_anti").select("node", F.col("node").alias("root")))
@@ -622,9 +650,16 @@ def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float,
     if crowded is not None:
         open_ = open_.unionByName(labelled.join(crowded, "node", "left_semi").select("node", "label")).distinct()
     open_ = cut(open_)
-    if not open_.isEmpty():
-        firm = cut(firm.unionByName(verified(index.between(open_).select("a", "b"), sets, similarity)))
-    return components(firm)
+    if open_.isEmpty():
+        return components(firm)
+    # finer fingerprints leave few candidates; of these, the nearest of each text come first again
+    fine = finer(sets.join(open_, "node", "left_semi"))
+    pairs = cut(index.between(open_, fine, most_bits(similarity, FINE, ERRORS)))
+    ends = pairs.select(F.col("a").alias("__end"), "a", "b", "bits").union(pairs.select(F.col("b").alias("__end"), "a", "b", "bits"))
+    place = F.row_number().over(Window.partitionBy("__end").orderBy("bits", "a", "b"))
+    nearest = cut(ends.withColumn("__place", place).filter(F.col("__place") <= FIRST).select("a", "b").distinct())
+    firm = cut(firm.unionByName(verified(nearest, sets, similarity)))
+    return components(firm.unionByName(verified(between_labels(pairs, labels(firm)).join(nearest, ["a", "b"], "left_anti"), sets, similarity)))
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
