@@ -65,9 +65,9 @@ def _(t):
     return integrity.broken_references(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", t("supplier"), "s_suppkey").select("l_orderkey", "l_linenumber")
 
 
-@query("joi_10_without", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("joi_10_without", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
-    return integrity.without(t("customer").select("c_custkey"), "c_custkey", t("orders"), "o_custkey")
+    return integrity.without(t("documents").select("doc_id"), "doc_id", t("labels"), "doc_id")
 
 
 @query("joi_11_two_hops", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -340,9 +340,15 @@ def _(t):
     return t("nation").join(few(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
 
 
-@query("grf_06_orphans", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
+@query("grf_06_orphans", """WITH e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderpriority = '1-URGENT'),
+n AS (SELECT 'c' || c_custkey AS node FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders)
+SELECT node FROM n WHERE node NOT IN (SELECT src FROM e) AND node NOT IN (SELECT dst FROM e)""")
 def _(t):
-    return graph.orphans(t("part").select("p_partkey"), t("lineitem"), "p_partkey", "l_partkey", "l_suppkey")
+    """Customers without an urgent order, and orders that aren't urgent."""
+    named = lambda c: F.concat(F.lit(c[0]), F.col(c).cast("string"))
+    nodes = t("customer").select(named("c_custkey").alias("node")).union(t("orders").select(named("o_orderkey")))
+    edges = t("orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), named("o_orderkey").alias("dst"))
+    return graph.orphans(nodes, edges)
 
 
 @query("grf_07_neighbourhood", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
@@ -462,9 +468,11 @@ def _(t):
     return security.accessible(_roled(t), "nobody", fallback="Guest").select("doc_id")
 
 
-@query("sec_03_deny", "SELECT doc_id FROM documents WHERE false")
+@query("sec_03_deny", f"WITH {TAGGED} SELECT 'Staff' AS asked, doc_id FROM roled WHERE list_contains(allowed_roles, 'Staff')")
 def _(t):
-    return security.accessible(_roled(t), "nobody").select("doc_id")
+    """An unknown role sees nothing, where a known one sees its documents."""
+    rows = _roled(t)
+    return security.accessible(rows, "nobody").select(F.lit("nobody").alias("asked"), "doc_id").union(security.accessible(rows, "staff").select(F.lit("Staff").alias("asked"), "doc_id"))
 
 
 @query("sec_04_mask", f"WITH {TAGGED} SELECT doc_id FROM roled WHERE list_contains(allowed_roles, 'Staff') OR list_contains(allowed_roles, 'HR')")
