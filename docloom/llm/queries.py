@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, licenses, media, mixing, pii, quality, simhash, tokencount, toxicity, urls
+from docloom.functions.arrays import bound
+from docloom.llm import bpe, licenses, media, merkle, mixing, periods, pii, quality, sentencepieces, simhash, tokencount, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -56,6 +57,42 @@ def op10_simhash_components(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op11_sentencepiece_round_trip(spark, sf_dir):
+    return sentencepieces.round_trip(_table(spark, sf_dir, "documents"), bpe.vocabulary("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=("text", even, F.translate("text", "\n", "")))
+
+
+def planted_repeats(text, doc_id):
+    """The text of some documents with its words from a place on made periodic, as the contract of op13 has it."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        a = g % F.size(w)
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return bound(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda x: F.array_join(F.transform(w, lambda word, i: F.when(i < x["a"], word).otherwise(F.get(w, x["a"] + (i - x["a"]) % x["p"]))), " "))
+
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, bound(words, lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(text)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periods.periodic_runs(docs)
+    # by length / period, exactly; then by start and period
+    first = lambda x, y: F.when(x["length"] * y["period"] != y["length"] * x["period"], F.signum(y["length"] * x["period"] - x["length"] * y["period"]).cast("int")).otherwise(F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int")).otherwise(F.signum(x["period"] - y["period"]).cast("int")))
+    rows = found.select("doc_id", "collapsed", "runs", F.get(F.array_sort("runs", first), F.lit(0)).alias("top"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _terms(terms, column="low"):
     return [f"regexp_matches({column}, '(^|[^a-z0-9]){t}($|[^a-z0-9])')" for t in terms]
 
@@ -81,7 +118,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {ver
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_pii_spans, op4_toxicity, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_pii_spans, op4_toxicity, op5_media_sniff, op6_license_scan, op7_token_counts, op8_url_filter, op9_quality_rules, op10_simhash_components, op11_sentencepiece_round_trip, op12_merkle_manifest, op13_periodic_runs)}
 
 
 def oracle_sql():

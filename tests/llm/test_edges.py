@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, licenses, media, mixing, pii, quality, simhash, tokencount, toxicity, urls
+from docloom.llm import bpe, licenses, media, merkle, mixing, periods, pii, quality, sentencepieces, simhash, tokencount, toxicity, urls
 
 BYTE = bpe.vocabulary("byte_bpe_50k.json")
 PIECE = bpe.vocabulary("piece_bpe_32k.model")
@@ -26,6 +26,10 @@ OPERATORS = {
     "urls": lambda s, d: urls.filter_urls(d, url="text", keep=("doc_id",)),
     "quality": lambda s, d: quality.apply_rules(d),
     "simhash": lambda s, d: simhash.group(d, 4, 4),
+    "pieces": lambda s, d: sentencepieces.round_trip(d, PIECE),
+    "piece ids": lambda s, d: sentencepieces.encode_texts(d, PIECE),
+    "manifest": lambda s, d: merkle.manifest(d),
+    "runs": lambda s, d: periods.periodic_runs(d),
 }
 
 
