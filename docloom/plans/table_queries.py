@@ -356,13 +356,14 @@ s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s),
 n AS (SELECT query_id, vec_id % 25 AS node FROM r WHERE place <= 5)
 SELECT query_id, node, coalesce(array_to_string(list_sort(list(DISTINCT s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), ','), '') AS first, coalesce(array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_partkey IS NOT NULL)), ','), '') AS second
-FROM (SELECT DISTINCT query_id, node FROM n) LEFT JOIN supplier ON s_nationkey = node LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'A' AND l_quantity > 49 GROUP BY query_id, node""")
+FROM (SELECT DISTINCT query_id, node FROM n) LEFT JOIN supplier ON s_nationkey = node LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY query_id, node""")
 def _(t):
     """Nations that stand for the nearest vectors of each question, their suppliers, and what these have delivered."""
-    asked = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    seeds = ranking.dense_rank(t("embeddings"), asked, 5).select("query_id", (F.col("vec_id") % 25).alias("node")).distinct()
+    from docloom.plans.ranking_queries import vector_search
+
+    seeds = vector_search(t, 5).select("query_id", (F.col("vec_id") % 25).alias("node")).distinct()
     first = t("supplier").select(F.col("s_nationkey").cast("long").alias("src"), F.col("s_suppkey").alias("dst"))
-    second = t("lineitem").filter("l_returnflag = 'A' and l_quantity > 49").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    second = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     out = graph.seed_neighbourhood(seeds, first, second, by=["query_id"])
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("query_id", "node", listed("first"), listed("second"))
@@ -501,8 +502,9 @@ def _(t):
 @query("sec_06_secure_dense", f"WITH {TAGGED}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(qv AS DOUBLE[]), CAST(qv AS DOUBLE[]))), 9) AS sim FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT doc_id FROM roled WHERE list_contains(allowed_roles, 'Staff'))), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, place FROM r WHERE place <= 10")
 def _(t):
     able = security.accessible(_roled(t), "Staff").select(F.col("doc_id").alias("vec_id"))
-    asked = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ranking.dense_rank(t("embeddings"), asked, 10, visible=able).select("query_id", "vec_id", F.col("semantic_rank").cast("long").alias("place"))
+    from docloom.plans.ranking_queries import vector_search
+
+    return vector_search(t, 10, visible=able).select("query_id", "vec_id", F.col("semantic_rank").cast("long").alias("place"))
 
 
 @query("sec_07_secure_hybrid", _secure_sql(", x AS (SELECT query_id, doc_id, 1.0 / (60 + bm25_rank) AS s FROM sb WHERE bm25_rank <= 20) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS fused_rank FROM x"))
