@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.arrays import bound
+from docloom.operators.patterns import find_patterns
 from docloom.operators.relations import contained_in
 from docloom.shared import beside, cut, few
 
 #: Parameters of BM25-Okapi as commonly published: saturation, length, and the share of the mean that lifts negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Rows up to which runs that hold a term are broadcast.
-MANY = 200_000
 
 
 def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -73,49 +72,17 @@ def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens:
     return scored.withColumn("bm25_rank", F.row_number().over(order)).filter(F.col("bm25_rank") <= k)
 
 
-#: Runs of letters and digits; a term of such characters can only stand inside one.
-RUNS = r"[\p{L}\p{N}]+"
-#: Runs of more characters are searched for terms one by one.
-LONG_RUN = 64
-
-
 def containing(docs: DataFrame, terms: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, term): which lower-cased texts contain which terms, for a table ``term``.
-
-    A term of letters and digits is looked for in the distinct runs of the corpus, not in its texts: the parts of a run
-    that are as long as some term are joined with the terms, and the runs that hold one are joined with the texts' runs.
-    Other terms are searched for in the texts.
-    """
-    terms = terms.select("term").filter(F.length("term") > 0).distinct()
-    plain, other = terms.filter(F.col("term").rlike(f"^{RUNS}$")), terms.filter(~F.col("term").rlike(f"^{RUNS}$"))
-    runs = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0)))).alias("__run"))
-    vocabulary = runs.select("__run").distinct()
-    lengths = [r[0] for r in plain.select(F.length("term").alias("n")).filter(F.col("n") <= LONG_RUN).distinct().collect()]  # at most LONG_RUN rows
-    sizes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("__run"))
-    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("__run") - n + 1), lambda i: F.substring(F.col("__run"), i, n))))
-    short = vocabulary.filter(F.length("__run") <= LONG_RUN).select("__run", F.explode(F.array_distinct(parts)).alias("term")).join(few(plain), "term", "left_semi")
-    long = beside(vocabulary.filter(F.length("__run") > LONG_RUN), plain).filter(F.contains("__run", F.col("term")))
-    holds = cut(short.select("__run", "term").unionByName(long.select("__run", "term")))
-    found = runs.join(few(holds, MANY), "__run").select(key, "term").distinct()
-    if other.isEmpty():
-        return found
-    return found.unionByName(beside(docs.select(key, F.lower(text).alias("__low")), other).filter(F.contains("__low", F.col("term"))).select(key, "term").distinct())
+    """(key, term): which lower-cased texts contain which terms, for a table ``term``; in one pass over the texts."""
+    low = docs.select(key, F.lower(text).alias("__low"))
+    return find_patterns(low, terms, "__low", "term", key).withColumnRenamed("pattern", "term").distinct()
 
 
 def substring_rank(docs: DataFrame, questions: DataFrame, text: str = "text", needle: str = "needle", key: str = "doc_id", question_key: str = "query_id", k: int = 10) -> DataFrame:
-    """(question, key, hits, rank) by how often a string occurs, without case and overlaps.
-
-    Texts that hold the string come from a join of runs of words, or of letters for a single word.
-    """
-    asked = questions.select(question_key, F.lower(needle).alias("__needle")).filter(F.length("__needle") > 0)
-    low = docs.select(key, F.lower(text).alias("__low"))
-    single = asked.filter(F.col("__needle").rlike(f"^{RUNS}$"))
-    words = containing(low, single.select(F.col("__needle").alias("term")), "__low", key).withColumnRenamed("term", "__needle")
-    longer = asked.join(single.select(question_key), question_key, "left_anti").select("__needle").distinct()
-    rest = contained_in(low, longer.select(F.col("__needle").alias("pattern"), F.col("__needle").alias("__id")), "__low", "pattern", key, "__id").select(key, F.col("__id").alias("__needle"))
-    met = words.select(key, "__needle").unionByName(rest).join(low, key)
-    count = (F.length("__low") - F.length(F.replace("__low", "__needle", F.lit("")))) / F.length("__needle")
-    found = asked.join(met.select(key, "__needle", count.cast("long").alias("hits")), "__needle").select(question_key, key, "hits")
+    """(question, key, hits, rank) by how often a string occurs, without case and overlaps; in one pass over the texts."""
+    asked = questions.select(question_key, F.lower(needle).alias("pattern"))
+    met = find_patterns(docs.select(key, F.lower(text).alias("__low")), asked, "__low", key=key, hits=True)
+    found = met.join(few(asked), "pattern").select(question_key, key, "hits")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("hits"), key))).filter(F.col("rank") <= k)
 
 

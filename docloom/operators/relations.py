@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.shared import beside, few
+from docloom.operators.patterns import find_patterns
+from docloom.shared import few
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -122,25 +123,10 @@ def precedence_union(truth: DataFrame, predicted: DataFrame, key: list[str]) ->
     return truth.unionByName(predicted.join(truth.select(*key), key, "left_anti"))
 
 
-def contained_in(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern", key: str = "doc_id", pattern_key: str = "item_id", window: int = 3) -> DataFrame:
-    """(key, pattern key) of every text that contains a pattern, found through a shared run of words.
-
-    A text that contains a pattern holds the run of ``window`` words after the pattern's first word, which may itself
-    be the end of a longer one. An equi-join on that run's hash finds all candidates, and the string search confirms them;
-    few patterns are broadcast, so the runs of texts aren't shuffled. Patterns of fewer words are matched against every text.
-    """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    p = patterns.select(pattern_key, F.col(pattern).alias("__pattern"), words(F.col(pattern)).alias("__w")).filter(F.length("__pattern") > 0)
-    run = lambda at: F.xxhash64(*[F.get("__w", at + i) for i in range(window)])
-    long = p.filter(F.size("__w") >= window + 2).select(pattern_key, "__pattern", run(F.lit(1)).alias("__run"))
-    short = p.filter(F.size("__w") < window + 2).select(pattern_key, "__pattern")
-    tw = texts.select(key, words(F.col(text)).alias("__w")).filter(F.size("__w") >= window)
-    runs = F.transform(F.sequence(F.lit(0), F.size("__w") - window), run)
-    able = tw.select(key, F.explode(F.array_distinct(runs)).alias("__run")).join(few(long.select(pattern_key, "__run")), "__run").select(key, pattern_key).distinct()
-    whole = long.select(F.col(pattern_key).alias("__p"), "__pattern")
-    found = able.join(texts.select(key, F.col(text).alias("__text")), key).join(few(whole), F.col(pattern_key) == F.col("__p")).filter(F.contains("__text", F.col("__pattern"))).select(key, pattern_key).distinct()
-    rest = beside(texts.select(key, F.col(text).alias("__text")), short).filter(F.contains("__text", F.col("__pattern"))).select(key, pattern_key)
-    return found.unionByName(rest)
+def contained_in(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern", key: str = "doc_id", pattern_key: str = "item_id") -> DataFrame:
+    """(key, pattern key) of every text and every pattern that it contains, in one pass over the texts."""
+    named = patterns.select(F.col(pattern).alias("pattern"), pattern_key)
+    return find_patterns(texts, named, text, "pattern", key).join(few(named), "pattern").select(key, pattern_key)
 
 
 def by_id_or_number(edges: DataFrame, documents: DataFrame, end: str = "target") -> DataFrame:
