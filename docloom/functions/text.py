@@ -5,11 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.arrays import bound, running_sum
-from docloom.shipping import arrow_function
+from docloom.shipping import arrow_function, ship
 
 #: What stands for "no value" in imported tables.
 NULL_MARKS = ("", "nan", "none", "Chưa phân loại")
@@ -35,9 +37,24 @@ def tidy_lines(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
 
 
+#: Fixed value: a run of decimal digits, or of letters and numbers.
+WORD = r"\p{Nd}+|[\p{L}\p{N}]+"
+
+
+def _folded(t: str) -> str:
+    return unicodedata.normalize("NFC", t).casefold()
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    found = regex.compile(WORD).findall
+    return pa.array([None if t is None else found(_folded(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
 def legal_tokens(c: Column) -> Column:
-    """Runs of letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\p{Nd}+|[\p{L}\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits of the composed text, case-folded; null for null. An Arrow function: the JVM's SQL has
+    neither composition nor folding, and a text in parts, its marks apart from their letters, would give other words."""
+    ship(SparkSession.active())
+    return F.arrow_udf(_words, "array<string>")(c)
 
 
 def number_tokens(c: Column) -> Column:
@@ -50,9 +67,19 @@ def plain_tokens(c: Column) -> Column:
     return F.filter(F.split(collapse(c), " "), lambda x: x != "")
 
 
+def _each_folded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _folded(t) for t in texts.to_pylist()], pa.string())
+
+
+def fold(c: Column) -> Column:
+    """The composed text, case-folded."""
+    ship(SparkSession.active())
+    return F.arrow_udf(_each_folded, "string")(c)
+
+
 def dedup_key(c: Column) -> Column:
-    """What two wordings of one question share: no punctuation, one case, single spaces."""
-    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(collapse(c), r"[.,;:!?\-–—]+", ""), r"\s+", " ")))
+    """What two wordings of one question share: composed letters, no punctuation, one case, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(collapse(fold(c)), r"[.,;:!?\-–—]+", ""), r"\s+", " "))
 
 
 def references(c: Column, pattern: str = REFERENCE) -> Column:

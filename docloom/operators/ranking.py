@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +13,12 @@ from docloom.functions.arrays import bound
 from docloom.operators.patterns import find_patterns
 from docloom.operators.relations import contained_in
 from docloom.shared import beside, cut, few
+from docloom.shipping import ship
 
 #: Parameters of BM25-Okapi as commonly published: saturation, length, and the share of the mean that lifts negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Asked terms that a worker holds at most; of more, every term is counted. Distinct terms that a task counts at a time.
+MOST_ASKED, COUNTED = 200_000, 200_000
 
 
 def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -22,6 +29,52 @@ def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[Data
     return terms, lengths
 
 
+def count_terms(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, length, df) of documents (key, list of tokens), in one pass and without a shuffle.
+
+    Rows with ``tf`` have a document's count of a term and its length: for all terms, or for those of ``wanted`` (term).
+    Rows with ``df`` have in how many documents of some part of a task a term occurs; where their term is null, ``df`` counts
+    the documents and ``length`` their tokens.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    some = None
+    if wanted is not None:
+        names = [r.term for r in wanted.distinct().limit(MOST_ASKED + 1).collect()]
+        some = spark.sparkContext.broadcast(frozenset(names)) if len(names) <= MOST_ASKED else None
+    kind = docs.schema.fields[0].dataType.simpleString()
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if some is None else some.value
+        seen: Counter = Counter()
+        keys = None
+
+        def rows(term, key, tf, length, df) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), key, pa.array(tf, pa.int64()), pa.array(length, pa.int64()), pa.array(df, pa.int64())], names=["term", "key", "tf", "length", "df"])
+
+        for batch in batches:
+            keys, at, terms, tf, lengths, total = batch.column(0), [], [], [], [], 0
+            for i, tokens in enumerate(batch.column(1).to_pylist()):
+                tokens = tokens or ()
+                times = Counter(tokens)
+                seen.update(times.keys())
+                total += len(tokens)
+                met = times if asked is None else times.keys() & asked
+                terms += met
+                tf += [times[t] for t in met]
+                at += [i] * len(met)
+                lengths += [len(tokens)] * len(met)
+            yield rows(terms, keys.take(pa.array(at, pa.int64())), tf, lengths, [None] * len(at))
+            yield rows([None], pa.nulls(1, keys.type), [None], [total], [batch.num_rows])
+            if len(seen) >= COUNTED:
+                yield rows(list(seen), pa.nulls(len(seen), keys.type), [None] * len(seen), [None] * len(seen), list(seen.values()))
+                seen.clear()
+        if seen:
+            yield rows(list(seen), pa.nulls(len(seen), keys.type), [None] * len(seen), [None] * len(seen), list(seen.values()))
+
+    return docs.mapInArrow(over, f"term string, key {kind}, tf long, length long, df long")
+
+
 def asked_terms(questions: DataFrame, question_tokens: Column, question_key: str, without: str) -> DataFrame:
     """(question, term, times). A question without tokens ends the job, or with ``without="skip"`` has no terms."""
     if without not in ("raise", "skip"):
@@ -41,28 +94,23 @@ def bm25(docs: DataFrame, questions: DataFrame, tokens: Column, question_tokens:
     Only documents that hold a term of a question are scored; with ``keep_zero`` the places that are left go to documents
     without any, by key. ``visible`` restricts what is ranked, while statistics stay those of all documents.
 
-    The texts are read twice. The first time gives counts of distinct tokens, summed up before they are shuffled and
-    written, a row for each term, and with them the number and length of documents. The second time a text's tokens are
-    cut down to the terms that are asked for, so only counts of those are shuffled.
+    The texts are read and taken apart once: each task counts in how many of its documents a term occurs, and keeps the
+    counts of asked terms by document. Both are written; only they are shuffled, and ``visible`` meets keys alone.
     """
     asked = asked_terms(questions, question_tokens, question_key, without)
-    each = docs.select(key, tokens.alias("__tokens"))
-    # the row of the null term counts the documents and their tokens
-    once = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(F.coalesce("__tokens", F.array().cast("array<string>"))))
-    counted = each.select(F.explode(once).alias("term"), F.size("__tokens").alias("__length"))
-    counted = cut(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.greatest("__length", F.lit(0)))).alias("length")))
-    whole = counted.filter("term is null").first()
-    n, mean_length = (whole.df, whole.length / whole.df) if whole else (0, 1.0)
+    counted = cut(count_terms(docs.select(key, tokens.alias("__tokens")), asked.select("term")))
+    whole = counted.filter("term is null").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).first()
+    n, mean_length = (whole.df, whole.length / whole.df) if whole.df else (0, 1.0)
     idf = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    terms = counted.filter("term is not null").withColumn("raw", idf(F.col("df")))
+    terms = counted.filter("df is not null and term is not null").groupBy("term").agg(F.sum("df").alias("df")).withColumn("raw", idf(F.col("df")))
+    terms = cut(terms)
     mean_idf = terms.agg(F.avg("raw")).first()[0] or 0.0
     weights = terms.join(asked, "term").select(question_key, "term", (F.col("times") * F.when(F.col("raw") < 0, epsilon * mean_idf).otherwise(F.col("raw"))).alias("weight"))
-    wanted = asked.select("term").distinct()
-    met = each if visible is None else each.join(visible.select(key), key, "left_semi")
-    tokens_met = met.select(key, F.size("__tokens").alias("length"), F.explode("__tokens").alias("term")).join(few(wanted), "term", "left_semi")
-    found = tokens_met.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = counted.filter("tf is not null").select(F.col("key").alias(key), "length", "term", "tf")
+    if visible is not None:
+        found = found.join(visible.select(key), key, "left_semi")
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (mean_length or 1.0)))
-    parts = found.join(weights, "term").select(question_key, key, part.alias("part"))
+    parts = found.join(few(weights), "term").select(question_key, key, part.alias("part"))
     if keep_zero:
         # a question with fewer than k scored documents finds its k others among the first 2k by key
         first = (docs if visible is None else visible).select(key).distinct().orderBy(key).limit(2 * k)

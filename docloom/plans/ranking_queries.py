@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import evaluation, fusion, ranking, relations, vectors
-from docloom.plans.registry import query
+from docloom.plans.registry import folded, query
 from docloom.shared import cut, scratch
 
 #: Every benchmark text is a question.
@@ -20,13 +20,13 @@ def _questions(t):
 
 WORDS = r"(\p{Nd}+|[\p{L}\p{N}]+)"
 BM25 = rf"""
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}', 1) AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all({folded('text')}, '{WORDS}', 1) AS w FROM documents),
 l AS (SELECT doc_id, len(w) AS length FROM d),
 s AS (SELECT count(*) AS n, avg(length) AS mean_length FROM l),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY term, doc_id),
 df AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf CROSS JOIN s GROUP BY term, n),
 m AS (SELECT avg(raw) AS mean_idf FROM df),
-a AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '{WORDS}', 1)) AS term FROM ({ASKED})) GROUP BY query_id, term),
+a AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all({folded('question')}, '{WORDS}', 1)) AS term FROM ({ASKED})) GROUP BY query_id, term),
 b AS (SELECT query_id, tf.doc_id, sum(CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS score
   FROM a JOIN df ON df.term = a.term CROSS JOIN m JOIN tf ON tf.term = a.term JOIN l ON l.doc_id = tf.doc_id CROSS JOIN s GROUP BY query_id, tf.doc_id),
 bm AS (SELECT query_id, doc_id, score AS bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS bm25_rank FROM b)"""
@@ -107,7 +107,7 @@ def _(t):
 
 
 KEYWORD = rf"""
-k AS (SELECT query_id, list_distinct(regexp_extract_all(lower(question), '{WORDS}', 1)) AS w FROM ({ASKED})),
+k AS (SELECT query_id, list_distinct(regexp_extract_all({folded('question')}, '{WORDS}', 1)) AS w FROM ({ASKED})),
 o AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS place FROM (SELECT query_id, unnest(w) AS term FROM k)),
 h AS (SELECT query_id, doc_id, sum(CASE WHEN contains(lower(text), term) THEN 1 ELSE 0 END) AS score FROM o CROSS JOIN documents WHERE place <= 8 GROUP BY query_id, doc_id),
 kw AS (SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0)"""

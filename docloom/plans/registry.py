@@ -10,6 +10,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def folded(column: str) -> str:
+    """The composed, case-folded text in DuckDB, which has no folding: of one letter of ours it differs from lower case."""
+    return f"replace(lower(nfc_normalize({column})), 'ß', 'ss')"
+
+
 def query(name: str, sql: str | None = None, session: bool = False):
     """Register a function of a table reader; ``t("orders")`` reads that table. With ``session`` it gets the session too."""
 

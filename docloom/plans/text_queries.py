@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import html as H
 from docloom.functions import text as T
 from docloom.operators import hierarchy, integrity, relations
-from docloom.plans.registry import query
+from docloom.plans.registry import folded, query
 from docloom.shared import numbered
 
 WORDS = r"(\p{Nd}+|[\p{L}\p{N}]+)"
@@ -19,7 +19,7 @@ def _(t):
     return t("documents").select("doc_id", F.md5(T.collapse(F.col("text"))).alias("digest"))
 
 
-@query("txt_02_legal_tokens", rf"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}', 1) AS w FROM documents)")
+@query("txt_02_legal_tokens", rf"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all({folded('text')}, '{WORDS}', 1) AS w FROM documents)")
 def _(t):
     w = T.legal_tokens(F.col("text"))
     return t("documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.md5(F.array_join(w, " ")).alias("digest"))
@@ -36,7 +36,7 @@ def _(t):
     return t("documents").select("doc_id", F.size(T.plain_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("txt_05_dedup_key", r"SELECT doc_id, md5(trim(lower(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[.,;:!?\-–—]+', '', 'g'), '\s+', ' ', 'g')))) AS digest FROM documents")
+@query("txt_05_dedup_key", rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace({folded('text')}, '\s+', ' ', 'g')), '[.,;:!?\-–—]+', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.md5(T.dedup_key(F.col("text"))).alias("digest"))
 
@@ -60,9 +60,10 @@ def _(t):
     return t("orders").select("o_orderkey", T.references_allowed(found, allowed).alias("allowed"))
 
 
-@query("txt_08_numbers_in_questions", "SELECT item_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')[1:1]), '|') AS first_ref FROM benchmark")
+@query("txt_08_numbers_in_questions", "SELECT item_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), '|') AS refs FROM (SELECT item_id, regexp_extract_all(text, '[A-Z][a-z]+') AS m FROM benchmark)")
 def _(t):
-    return t("benchmark").select("item_id", F.array_join(F.slice(T.references(F.col("text"), "[A-Z][a-z]+"), 1, 1), "|").alias("first_ref"))
+    """All references, each once, in the order of their first places."""
+    return t("benchmark").select("item_id", F.array_join(T.references(F.col("text"), "[A-Z][a-z]+"), "|").alias("refs"))
 
 
 #: A capitalised word before a full stop stands in for a document number.

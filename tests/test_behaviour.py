@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import time
+import unicodedata
 
 import pytest
 import xxhash
@@ -75,6 +76,31 @@ def test_strings_by_how_often_they_occur(spark):
     assert got == {(q, i): t.lower().count(n) for q, n in enumerate(needles) for i, t in docs if n in t.lower()}
 
 
+def test_composed_and_decomposed_questions_find_the_same(spark):
+    texts = ["Điều kiện vay vốn của khách hàng", "Hồ sơ vay vốn", "lãi suất cho vay", "một hai ba", "bốn năm sáu", "bảy tám chín", "mười"]
+    docs = spark.createDataFrame([(i, unicodedata.normalize("NFD" if i % 2 else "NFC", t)) for i, t in enumerate(texts)], "doc_id int, text string")
+    asked = spark.createDataFrame([("composed", "điều kiện vay vốn"), ("decomposed", unicodedata.normalize("NFD", "ĐIỀU KIỆN vay vốn"))], "query_id string, question string")
+    found = {}
+    for r in ranking.bm25(docs, asked, T.legal_tokens(F.col("text")), T.legal_tokens(F.col("question")), keep_zero=False).collect():
+        found.setdefault(r.query_id, {})[r.doc_id] = round(r.bm25_score, 9)
+    assert found["composed"] == found["decomposed"] and set(found["composed"]) == {0, 1, 2}
+
+
+def test_counts_of_terms_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "COUNTED", 2)
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, []), (4, None), (None, ["c"])], "doc_id int, tokens array<string>").repartition(2)
+    for wanted, want in ((None, {(1, "a", 2, 3), (1, "b", 1, 3), (2, "b", 1, 1), (None, "c", 1, 1)}), (spark.createDataFrame([("b",), ("z",)], "term string"), {(1, "b", 1, 3), (2, "b", 1, 1)})):
+        rows = ranking.count_terms(docs, wanted).collect()
+        assert {(r.key, r.term, r.tf, r.length) for r in rows if r.tf is not None} == want
+        df = {}
+        for r in rows:
+            if r.df is not None:
+                df[r.term] = df.get(r.term, 0) + r.df
+        assert df == {"a": 1, "b": 2, "c": 1, None: 5}
+        assert sum(r.length or 0 for r in rows if r.term is None) == 5
+    assert [r for r in ranking.count_terms(docs.limit(0)).collect() if r.df] == []
+
+
 def test_a_question_without_tokens(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id int, text string")
     asked = spark.createDataFrame([("q", "a"), ("none", "?!")], "query_id string, question string")

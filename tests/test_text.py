@@ -1,3 +1,5 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from docloom.functions import html as H
@@ -11,6 +13,9 @@ def one(spark, column, value="", kind="string"):
 def test_tokens(spark):
     assert one(spark, T.legal_tokens(F.col("c")), "Điều 7, Khoản 2: quy định rõ.") == ["điều", "7", "khoản", "2", "quy", "định", "rõ"]
     assert one(spark, T.number_tokens(F.col("c")), "Theo 73/2016/NĐ-CP a 5") == ["theo", "73/2016/nđ-cp", "5"]
+    assert one(spark, T.legal_tokens(F.col("c")), unicodedata.normalize("NFD", "Điều kiện vay vốn")) == ["điều", "kiện", "vay", "vốn"]
+    assert one(spark, T.legal_tokens(F.col("c")), "STRASSE straße İz x_y ٣٤a") == ["strasse", "strasse", "i", "z", "x", "y", "٣٤", "a"]
+    assert one(spark, T.legal_tokens(F.col("c")), None) is None
     assert one(spark, T.plain_tokens(F.col("c")), " A  b\n") == ["A", "b"]
 
 
@@ -18,6 +23,7 @@ def test_cleaning(spark):
     assert one(spark, T.collapse(F.col("c")), " a \t\n b c ") == "a b c"
     assert one(spark, T.tidy_lines(F.col("c")), "a  b\n \n\nc ") == "a b\nc"
     assert one(spark, T.dedup_key(F.col("c")), " What?  Is, it! ") == "what is it"
+    assert one(spark, T.dedup_key(F.col("c")), unicodedata.normalize("NFD", "Điều kiện  STRASSE?")) == one(spark, T.dedup_key(F.col("c")), "điều KIỆN straße") == "điều kiện strasse"
     for mark in ("", " ", "nan", "None", "Chưa phân loại"):
         assert one(spark, T.clean_null(F.col("c")), mark) is None
     assert one(spark, T.nfc(F.col("c")), "é") == "é"
