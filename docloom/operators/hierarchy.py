@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.arrays import scan
+from docloom.operators.segments import carry_forward, pack_windows
 
 #: Levels from the outside in, and how a block of each begins.
 LEVELS = {"document": 0, "chapter": 1, "section": 2, "article": 3, "clause": 4, "item": 5, "content": 6}
@@ -92,7 +92,8 @@ def resolve_paths(chunks: DataFrame, source: str = "source", key: str = "chunk_i
 
     Labels from metadata come before those of a heading, these before labels carried on inside the source in natural
     order of the keys, and these before none. A row that carries labels on repeats them, so only own labels are carried.
-    Keys are expected to be unique in a source; only they and the labels are sorted, and texts are joined once after that.
+    Keys are expected to be unique in a source; only they and the labels are sorted, by ranges, so that a source of any size
+    is no task's alone, and texts are joined once after that.
     """
     none = F.struct(*[F.lit(None).cast("string").alias(k) for k in PATH])
     labels = chunks.select(F.col(source).alias("__source"), F.col(key).alias("__id"), (none if metadata is None else metadata).alias("__meta"), headings(F.col(text), patterns, longest).alias("__head"))
@@ -104,8 +105,8 @@ def resolve_paths(chunks: DataFrame, source: str = "source", key: str = "chunk_i
 def _labels_resolved(rows: DataFrame, none: Column) -> DataFrame:
     some = lambda s: F.coalesce(*[F.col(f"{s}.{k}") for k in PATH]).isNotNull()
     rows = rows.withColumn("__own", F.when(some("__meta"), F.col("__meta")).when(some("__head"), F.col("__head")))
-    before = Window.partitionBy("__source").orderBy(T.natural_key(F.col("__id"))).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__carried", F.struct(*[F.last(F.col(f"__own.{k}"), ignorenulls=True).over(before).alias(k) for k in PATH]))
+    rows = carry_forward(rows.withColumns({f"__own_{k}": F.col(f"__own.{k}") for k in PATH}), ["__source"], [T.natural_key(F.col("__id")), F.col("__id")], {f"__own_{k}": f"__last_{k}" for k in PATH})
+    rows = rows.withColumn("__carried", F.struct(*[F.col(f"__last_{k}").alias(k) for k in PATH])).drop(*[f"__{n}_{k}" for n in ("own", "last") for k in PATH])
     carried = F.coalesce(F.col("__carried.article"), F.col("__carried.chapter")).isNotNull()
     method = F.when(some("__meta"), "metadata").when(some("__head"), "heading_inferred").when(carried, "carried_forward").otherwise("document_fallback")
     rows = rows.withColumn("resolution_method", method).withColumn("path", F.when(F.col("__own").isNotNull(), F.col("__own")).when(carried, F.col("__carried")).otherwise(none))
@@ -125,28 +126,21 @@ def _labels_resolved(rows: DataFrame, none: Column) -> DataFrame:
     return rows.withColumn("ambiguous", ambiguous).withColumn("warnings", warnings).drop("__meta", "__head", "__own", "__carried")
 
 
-def pack(children: DataFrame, by: list[str], order: list[Column], size: Column, limit: int = 6000) -> DataFrame:
+def pack(children: DataFrame, by: list[str], order: list[Column], size: Column, limit: int = 6000, key: str = "chunk_id") -> DataFrame:
     """Adds ``window_index``: in order, children fill a window until the next would go beyond the limit.
 
-    The sum starts anew at each window, so it is a fold over the sorted sizes of a group and no running sum. The fold is
-    linear, and holds two numbers for each child; the texts stay out of it. A child that is too long by itself has a window
-    of its own.
+    Only groups, keys, orders and sizes are sorted, by ranges, so that a group of any size is no task's alone; the children are
+    joined once after that. A child that is too long by itself has a window of its own. Rows that repeat a key of their group
+    share the window of one of them.
     """
-    placed = children.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("__size", size.cast("long"))
-    lists = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("__place").alias("place"), F.col("__size").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("window"), F.lit(0).cast("long").alias("used"))
-
-    def step(acc: Column, r: Column) -> Column:
-        new = (acc["window"] < 0) | (acc["used"] + r["size"] > limit)
-        used = F.when(new, F.lit(0).cast("long")).otherwise(acc["used"]) + r["size"]
-        return F.struct((acc["window"] + F.when(new, 1).otherwise(0)).alias("window"), used.alias("used"))
-
-    filled = F.transform(scan(F.col("rows"), start, step), lambda a: a["window"])
-    windows = lists.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.posexplode(filled).alias("__at", "window_index"))
-    met = F.col("__place") == F.col("__at") + 1
-    for b in by:
-        met = met & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
-    return placed.join(windows, met).drop("__place", "__size", "__at", *[f"__by_{b}" for b in by])
+    names = [f"__by{i}" for i in range(len(by))]
+    narrow = children.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col(key).alias("__id"), size.cast("long").alias("__size"), *[c.alias(f"__o{i}") for i, c in enumerate(order)])
+    once = narrow.groupBy(*names, "__id").agg(F.min(F.struct(*[f"__o{i}" for i in range(len(order))], "__size")).alias("__first")).select(*names, "__id", "__first.*")
+    windows = pack_windows(once, names, [*[F.col(f"__o{i}") for i in range(len(order))], F.col("__id")], "__size", limit)
+    met = F.col(key).eqNullSafe(F.col("__id"))
+    for b, n in zip(by, names, strict=True):
+        met = met & F.col(b).eqNullSafe(F.col(n))
+    return children.join(windows.select(*names, "__id", "window_index"), met).drop(*names, "__id")
 
 
 def build_parents(children: DataFrame, limit: int = 6000, source: str = "source", key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -157,7 +151,7 @@ def build_parents(children: DataFrame, limit: int = 6000, source: str = "source"
     than the limit by itself, and of children that nothing but the fallback places.
     """
     rows = children.withColumn("article_key", F.coalesce(F.lower(F.trim(F.col("path.article"))), F.lit("document")))
-    packed = pack(rows, [source, "article_key"], [T.natural_key(F.col(key))], F.length(text), limit)
+    packed = pack(rows, [source, "article_key"], [T.natural_key(F.col(key))], F.length(text), limit, key)
     packed = packed.withColumn("parent_id", T.stable_id(F.col(source), F.col("article_key"), F.col("window_index").cast("string")))
     item = F.struct(T.natural_key(F.col(key)).alias("order"), F.col(key).alias("id"), F.col(text).alias("text"), "path", "warnings")
     page = lambda c: F.col(c) if c in children.columns else F.lit(None).cast("int")

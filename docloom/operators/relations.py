@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.patterns import find_patterns
+from docloom.operators.segments import number_within
 from docloom.shared import few
 
 
@@ -109,13 +110,14 @@ def entities_from_json(rows: DataFrame, json: str = "answer", key: str = "id", c
 def dedup_entities(entities: DataFrame, canonical: Column, prefix: str = "ENT") -> DataFrame:
     """One row for each document, type and canonical name, with an id numbered within the type.
 
-    Ids run over the sorted canonical names of a type, so they don't depend on the order of rows.
+    Ids run over the sorted canonical names of a type, so they don't depend on the order of rows. They are numbered by ranges:
+    a type of any size is no task's alone.
     """
     rows = entities.withColumn("canonical_name", canonical).filter(F.coalesce(F.col("canonical_name"), F.lit("")) != "")
     once = first_rows(rows, ["document_id", "entity_type", "canonical_name"], [F.desc("confidence"), F.col("entity")])
-    order = Window.partitionBy("entity_type").orderBy("canonical_name", "document_id")
-    number = F.format_string("%s_%s_%04d", F.lit(prefix), F.upper(F.substring("entity_type", 1, 3)), F.row_number().over(order))
-    return once.withColumn("entity_id", number)
+    placed = number_within(once, ["entity_type"], [F.col("canonical_name"), F.col("document_id")], "__place")
+    number = F.format_string("%s_%s_%04d", F.lit(prefix), F.upper(F.substring("entity_type", 1, 3)), F.col("__place"))
+    return placed.withColumn("entity_id", number).drop("__place")
 
 
 def precedence_union(truth: DataFrame, predicted: DataFrame, key: list[str]) -> DataFrame:

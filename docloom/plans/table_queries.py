@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import evaluation, fusion, graph, integrity, ranking, relations, security
+from docloom.operators import evaluation, fusion, graph, integrity, ranking, relations, security, segments
 from docloom.plans.registry import query
 from docloom.shared import few, numbered
 from docloom.streaming.audit import windowed_events
@@ -190,8 +190,8 @@ def _(t):
 
 @query("win_04_carry", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return t("events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("last_purchase"))
+    rows = t("events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("bought"))
+    return segments.carry_forward(rows, ["user_id"], [F.col("ts"), F.col("event_id")], {"bought": "last_purchase"}).select("event_id", "last_purchase")
 
 
 @query("win_06_top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
