@@ -3,8 +3,9 @@
 Pieces of these models begin with their spaces and hold none after another character, and none holds a line feed beside
 another character, so merges cross neither. Texts are cut there into chunks (marked words). Spark counts the distinct
 chunks of all texts and each is segmented once. The ids come back by position: the most frequent chunks, up to a number
-of bytes, lie in every worker and fill a text's ids in place; for the others a text keeps gaps, their chunks are joined
-with the table, and the ids that a text has got are put into its gaps in order.
+of bytes, lie in every worker and fill a text's ids in place. Where that holds all that occur twice or more, what is
+missing occurs just once, and is segmented where it stands. Where it doesn't, a text keeps gaps for what is missing, those
+chunks are joined with the rest of the table, and the ids that a text has got are put into its gaps in order.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from docloom.llm.runtime import slices, staged
 from docloom.llm.tokencount import SPACE
 from docloom.shipping import ship
 
-#: Bytes of the frequent chunks with their ids in each worker, and what an entry takes besides its characters.
-HEAD_BYTES, ENTRY = 192 << 20, 160
+#: Bytes of the frequent chunks with their ids in each worker, and what an entry takes besides.
+HEAD_BYTES, ENTRY = 128 << 20, 24
+#: The most frequent of these, in a dictionary.
+FIRST = 100_000
 #: Characters of a chunk; longer ones hardly recur and are segmented where they stand, or they would swell the table.
 LONG_CHUNK = 256
 #: Distinct chunks that a task counts before it hands them on.
-COUNTED = 200_000
+COUNTED = 500_000
 #: A gap among the ids.
 GAP = 0xFFFFFFFF
 _CHUNKS = re.compile(" +[^ \n]*|\n|[^ \n]+")
@@ -125,9 +128,9 @@ def _texts(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
 
-def chunk_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(chunk, n, ids): every distinct chunk of up to ``LONG_CHUNK`` characters, how often it occurs, and its ids as
-    little-endian unsigned 32-bit integers. Tasks sum up before the shuffle; the table is written to the shared folder."""
+def count_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(chunk, n): every distinct chunk of up to ``LONG_CHUNK`` characters and how often it occurs. Tasks sum up before the
+    shuffle; the table is written to the shared folder."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,83 +142,143 @@ def chunk_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 for t in part:
-                    seen.update(c for c in chunks(t) if len(c) <= LONG_CHUNK)
+                    parts = chunks(t)
+                    seen.update(parts if not parts or max(map(len, parts)) <= LONG_CHUNK else [c for c in parts if len(c) <= LONG_CHUNK])
                     if len(seen) >= COUNTED:
                         yield handed()
                         seen.clear()
         yield handed()
 
+    found = _texts(docs, text, ()).mapInArrow(count, "chunk string, n long")
+    return staged(found.groupBy("chunk").agg(F.sum("n").alias("n")))
+
+
+def segmented(table: DataFrame, path: str) -> DataFrame:
+    """(chunk, n, ids): with the ids of each chunk as little-endian unsigned 32-bit integers."""
+    ship(table.sparkSession)
+
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             ids = m.segment(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([i.tobytes() for i in ids], pa.binary())], names=["chunk", "n", "ids"])
 
-    found = _texts(docs, text, ()).mapInArrow(count, "chunk string, n long")
-    return staged(found.groupBy("chunk").agg(F.sum("n").alias("n")).mapInArrow(segment, "chunk string, n long, ids binary"))
+    return table.select("chunk", "n").mapInArrow(segment, "chunk string, n long, ids binary")
 
 
 class _Head:
-    """The frequent chunks of a table: read once, at most ``limit`` bytes, and given to every worker."""
+    """The frequent chunks of a table, at most about ``limit`` bytes: segmented once and given to every worker.
 
-    def __init__(self, table: DataFrame, limit: int):
+    Counts are taken in steps of a quarter of a doubling, and a step goes in whole or not at all. ``least`` is the count from
+    which chunks are at hand; ``whole`` says that these are all that occur twice or more.
+    """
+
+    def __init__(self, table: DataFrame, path: str, limit: int):
         self.name = uuid.uuid4().hex
-        weight = F.length("chunk") * 4 + F.length("ids") + ENTRY
-        step = F.floor(4 * F.log2("n")).cast("int")
-        self.least, held = 0, 0
-        rows = table.groupBy(step.alias("step")).agg(F.sum(weight).alias("bytes"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()  # 4 rows for each doubling
-        self.whole = True
-        for r in rows:
+        steps = table.filter("n > 1").groupBy(F.floor(4 * F.log2("n")).alias("step")).agg(F.sum(F.octet_length("chunk") * 2.5 + ENTRY).alias("bytes"), F.min("n").alias("n"))
+        self.whole, self.least, held = True, 1 << 62, 0.0
+        for r in steps.orderBy(F.desc("step")).collect():  # four rows for each doubling
             held += r.bytes
             if held > limit:
                 self.whole = False
                 break
             self.least = r.n
-        else:
-            self.least = 0
-        self.some = held <= limit or self.least > 0
-        found = table.filter(F.col("n") >= self.least).select("chunk", "ids").toArrow() if self.some else pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
+        found = segmented(table.filter(F.col("n") >= self.least), path).orderBy(F.desc("n")).toArrow()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, found.schema) as out:
-            out.write_table(found)
+            for batch in found.to_batches(50_000):
+                out.write_batch(batch)
         self.sent = table.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
-    def tail(self, table: DataFrame) -> DataFrame:
-        return table.filter(F.col("n") < self.least) if self.some else table
-
-
-_AT_HAND: dict[str, dict[str, bytes]] = {}
-
 
-def _at_hand(name: str, sent) -> dict[str, bytes]:
-    """A worker's dictionary of the frequent chunks; the last one stays for its next tasks."""
-    if name not in _AT_HAND:
-        _AT_HAND.clear()
-        found = pa.ipc.open_stream(sent.value).read_all()
-        _AT_HAND[name] = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-    return _AT_HAND[name]
+class _AtHand:
+    """A worker's frequent chunks: the first in a dictionary, the others by sorted hashes, compared in full where one meets."""
+
+    def __init__(self, sent: bytes):
+        self.first: dict[str, bytes] = {}
+        hashes, chunks_, ids = [], [], []
+        for batch in pa.ipc.open_stream(sent):
+            names, made = batch.column(0), batch.column(2)
+            if len(self.first) < FIRST:
+                self.first.update(zip(names.to_pylist(), made.to_pylist(), strict=True))
+            else:
+                hashes.append(np.fromiter(map(hash, names.to_pylist()), np.int64, len(names)))
+                chunks_.append(names)
+                ids.append(made)
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.order = self.hashes[order], order.astype(np.int32)
+        strung = lambda parts: _Strung([p.cast(pa.large_binary()) for p in parts])
+        self.chunks, self.ids = strung(chunks_), strung(ids)
+
+    def others(self, wanted: list[str]) -> list[bytes | None]:
+        """The ids of chunks that aren't among the first; None for those that aren't at hand."""
+        if not len(self.hashes):
+            return [None] * len(wanted)
+        asked = np.fromiter(map(hash, wanted), np.int64, len(wanted))
+        at = np.searchsorted(self.hashes, asked)
+        last, out = len(self.hashes), []
+        for chunk, h, k in zip(wanted, asked.tolist(), at.tolist(), strict=True):
+            raw, found = chunk.encode(), None
+            while k < last and self.hashes[k] == h:
+                i = self.order[k]
+                if self.chunks[i] == raw:
+                    found = self.ids[i]
+                    break
+                k += 1
+            out.append(found)
+        return out
+
+
+class _Strung:
+    """Byte strings end to end."""
+
+    def __init__(self, parts: list[pa.Array]):
+        sizes = [pa.compute.binary_length(p).to_numpy() for p in parts]
+        self.ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0, np.int64)
+        self.blob = b"".join(b"".join(p.to_pylist()) for p in parts)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.blob[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+
+_LAST: dict[str, _AtHand] = {}
+
+
+def _at_hand(name: str, sent) -> _AtHand:
+    """The last one stays in a worker for its next tasks."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = _AtHand(sent.value)
+    return _LAST[name]
 
 
 class _Filler:
-    """Ids of texts by the frequent chunks, with gaps for the others."""
+    """Ids of texts by the frequent chunks. Others are segmented in place if they occur once, or else leave gaps."""
 
-    def __init__(self, path: str, known: dict[str, bytes]):
-        self.model, self.known, self.gap = model(path), known, np.array([GAP], "<u4").tobytes()
+    def __init__(self, path: str, known: _AtHand, whole: bool):
+        self.model, self.known, self.whole, self.gap = model(path), known, whole, np.array([GAP], "<u4").tobytes()
 
     def fill(self, text: str) -> tuple[bytes, list[str], list[int]]:
         """The ids, the distinct chunks that are missing, and which of them stands in each gap."""
         parts = chunks(text)
-        found = list(map(self.known.get, parts))
+        found = list(map(self.known.first.get, parts))
         missing: dict[str, int] = {}
         gaps: list[int] = []
         if None in found:
-            for at, (chunk, ids) in enumerate(zip(parts, found, strict=True)):
-                if ids is None:
-                    if len(chunk) > LONG_CHUNK:
-                        found[at] = self.model.segment([chunk])[0].tobytes()
-                    else:
-                        gaps.append(missing.setdefault(chunk, len(missing)))
-                        found[at] = self.gap
+            empty = [i for i, ids in enumerate(found) if ids is None]
+            single = []
+            for i, ids in zip(empty, self.known.others([parts[i] for i in empty]), strict=True):
+                if ids is not None:
+                    found[i] = ids
+                elif self.whole or len(parts[i]) > LONG_CHUNK:
+                    single.append(i)
+                else:
+                    gaps.append(missing.setdefault(parts[i], len(missing)))
+                    found[i] = self.gap
+            if single:
+                for i, ids in zip(single, self.model.segment([parts[i] for i in single]), strict=True):
+                    found[i] = ids.tobytes()
         return b"".join(found), list(missing), gaps
 
 
@@ -227,9 +290,9 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
     """Columns of ``keep`` and of ``out``, which ``made(model)`` gives for a list of id arrays."""
     ship(docs.sparkSession)
     keep = [c for c in keep if c not in {n for n, _ in out}]
-    table = chunk_table(docs, path, text)
-    head = _Head(table, HEAD_BYTES)
-    name, sent = head.name, head.sent
+    table = count_chunks(docs, text)
+    head = _Head(table, path, HEAD_BYTES)
+    name, sent, all_at_hand = head.name, head.sent, head.whole
     narrow = _texts(docs, text, keep)
     types = [{"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}[t] for _, t in out]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
@@ -240,7 +303,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
         return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(make(ids), types, strict=True))], names=names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filler, make = _Filler(path, _at_hand(name, sent)), made(model(path))
+        filler, make = _Filler(path, _at_hand(name, sent), all_at_hand), made(model(path))
         for batch in batches:
             for start, part in slices(batch.column(batch.num_columns - 1)):
                 yield results(batch.slice(start, len(part)), [np.frombuffer(filler.fill(t)[0], "<u4") for t in part], make)
@@ -249,7 +312,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
         return narrow.mapInArrow(whole, fields)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filler = _Filler(path, _at_hand(name, sent))
+        filler = _Filler(path, _at_hand(name, sent), all_at_hand)
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 keys, places, missing = [], [], []
@@ -261,7 +324,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(missing, pa.string())], names=["key", "place", "chunk"])
 
     def with_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filler, n = _Filler(path, _at_hand(name, sent)), 0
+        filler, n = _Filler(path, _at_hand(name, sent), all_at_hand), 0
         pack = pa.Codec("zstd", 1).compress
         for batch in batches:
             for start, part in slices(batch.column(batch.num_columns - 1)):
@@ -294,7 +357,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
                 yield results(batch.slice(start, len(ids)), ids, make)
 
     lacking = _texts(docs, text, ()).mapInArrow(asked, "key binary, place int, chunk string")
-    found = lacking.join(head.tail(table), "chunk").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("__got"))
+    found = lacking.join(segmented(table.filter(F.col("n") < head.least), path).drop("n"), "chunk").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("__got"))
     found = found.select(F.col("key").alias("__got_key"), F.transform("__got", lambda g: g["ids"]).alias("__got"))
     held = narrow.mapInArrow(with_gaps, ", ".join(x for x in (kept, "__key binary, __ids binary, __gaps binary") if x))
     met = held.join(found, F.col("__key") == F.col("__got_key"), "left")

@@ -55,7 +55,7 @@ def test_decoding_of_any_ids(library):
         assert m.decode(ids) == library.decode(ids.tolist())
 
 
-@pytest.mark.parametrize("limit", [192 << 20, 20_000, 1], ids=["all at hand", "some joined", "all joined"])
+@pytest.mark.parametrize("limit", [128 << 20, 1500, 1], ids=["all at hand", "some joined", "all joined"])
 def test_round_trip(spark, library, monkeypatch, limit):
     """Wherever the table's chunks come from, the ids are the library's."""
     monkeypatch.setattr(sentencepieces, "HEAD_BYTES", limit)
@@ -73,8 +73,27 @@ def test_round_trip(spark, library, monkeypatch, limit):
 
 
 def test_each_chunk_once(spark):
-    table = sentencepieces.chunk_table(spark.createDataFrame([("b a b",), ("b\nb",), (None,)], "text string"), PIECE).collect()
-    assert sorted((r.chunk, r.n) for r in table) == [("\n", 1), (" a", 1), (" b", 3), ("b", 1)]
+    table = sentencepieces.count_chunks(spark.createDataFrame([("b a b",), ("b\nb",), (None,)], "text string"))
+    assert sorted((r.chunk, r.n) for r in table.collect()) == [("\n", 1), (" a", 1), (" b", 3), ("b", 1)]
+    assert {r.chunk: r.ids for r in sentencepieces.segmented(table, PIECE).collect()}.keys() == {"\n", " a", " b", "b"}
+
+
+def test_at_hand_by_hashes(library, monkeypatch):
+    """Also where different chunks have one hash."""
+    import pyarrow as pa
+
+    names = [f" w{i}" for i in range(3000)]
+    table = pa.table({"chunk": names, "n": list(range(3000)), "ids": pa.array([n.encode() for n in names], pa.binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        for batch in table.to_batches(100):
+            out.write_batch(batch)
+    monkeypatch.setattr(sentencepieces, "FIRST", 50)
+    for same in (hash, lambda name: int(name[2:]) % 7):
+        monkeypatch.setattr(sentencepieces, "hash", same, raising=False)
+        known = sentencepieces._AtHand(sink.getvalue().to_pybytes())
+        assert len(known.first) == 100
+        assert known.others([" w7", " w2999", " w3000", " w100"]) == [None, b" w2999", None, b" w100"]
 
 
 # --- manifest
