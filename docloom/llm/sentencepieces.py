@@ -217,29 +217,39 @@ class _AtHand:
             return [None] * len(wanted)
         asked = np.fromiter(map(hash, wanted), np.int64, len(wanted))
         at = np.searchsorted(self.hashes, asked)
-        last, out = len(self.hashes), []
-        for chunk, h, k in zip(wanted, asked.tolist(), at.tolist(), strict=True):
-            raw, found = chunk.encode(), None
-            while k < last and self.hashes[k] == h:
-                i = self.order[k]
-                if self.chunks[i] == raw:
-                    found = self.ids[i]
-                    break
-                k += 1
-            out.append(found)
+        same = self.hashes[np.minimum(at, len(self.hashes) - 1)] == asked
+        out: list[bytes | None] = [None] * len(wanted)
+        met = np.flatnonzero(same)
+        rows = self.order[at[met]]
+        names, ids = self.chunks.cut(rows), self.ids.cut(rows)
+        for i, name, found, k in zip(met.tolist(), names, ids, at[met].tolist(), strict=True):
+            raw = wanted[i].encode()
+            out[i] = found if name == raw else self.next(raw, k)
         return out
 
+    def next(self, raw: bytes, k: int) -> bytes | None:
+        """Among the further chunks of the same hash."""
+        h = self.hashes[k]
+        while (k := k + 1) < len(self.hashes) and self.hashes[k] == h:
+            if self.chunks[self.order[k]] == raw:
+                return self.ids[self.order[k]]
+        return None
+
 
 class _Strung:
     """Byte strings end to end."""
 
     def __init__(self, parts: list[pa.Array]):
         sizes = [pa.compute.binary_length(p).to_numpy() for p in parts]
-        self.ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0, np.int64)
+        self.ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64)
         self.blob = b"".join(b"".join(p.to_pylist()) for p in parts)
 
     def __getitem__(self, i: int) -> bytes:
-        return self.blob[self.ends[i - 1] if i else 0 : self.ends[i]]
+        return self.blob[self.ends[i] : self.ends[i + 1]]
+
+    def cut(self, rows: np.ndarray) -> list[bytes]:
+        blob = self.blob
+        return [blob[a:b] for a, b in zip(self.ends[rows].tolist(), self.ends[rows + 1].tolist(), strict=True)]
 
 
 _LAST: dict[str, _AtHand] = {}
@@ -259,27 +269,28 @@ class _Filler:
     def __init__(self, path: str, known: _AtHand, whole: bool):
         self.model, self.known, self.whole, self.gap = model(path), known, whole, np.array([GAP], "<u4").tobytes()
 
-    def fill(self, text: str) -> tuple[bytes, list[str], list[int]]:
-        """The ids, the distinct chunks that are missing, and which of them stands in each gap."""
-        parts = chunks(text)
-        found = list(map(self.known.first.get, parts))
-        missing: dict[str, int] = {}
-        gaps: list[int] = []
-        if None in found:
-            empty = [i for i, ids in enumerate(found) if ids is None]
-            single = []
-            for i, ids in zip(empty, self.known.others([parts[i] for i in empty]), strict=True):
-                if ids is not None:
-                    found[i] = ids
-                elif self.whole or len(parts[i]) > LONG_CHUNK:
-                    single.append(i)
-                else:
-                    gaps.append(missing.setdefault(parts[i], len(missing)))
-                    found[i] = self.gap
-            if single:
-                for i, ids in zip(single, self.model.segment([parts[i] for i in single]), strict=True):
-                    found[i] = ids.tobytes()
-        return b"".join(found), list(missing), gaps
+    def fill(self, texts: Sequence[str]) -> list[tuple[bytes, list[str], list[int]]]:
+        """For each text the ids, the distinct chunks that are missing, and which of them stands in each gap."""
+        first = self.known.first.get
+        parts = [chunks(t) for t in texts]
+        found = [list(map(first, p)) for p in parts]
+        # what isn't among the first, of all texts at once
+        empty = [(k, i) for k, f in enumerate(found) if None in f for i, ids in enumerate(f) if ids is None]
+        single: list[tuple[int, int]] = []
+        missing: list[dict[str, int]] = [{} for _ in texts]
+        gaps: list[list[int]] = [[] for _ in texts]
+        for (k, i), ids in zip(empty, self.known.others([parts[k][i] for k, i in empty]), strict=True):
+            if ids is not None:
+                found[k][i] = ids
+            elif self.whole or len(parts[k][i]) > LONG_CHUNK:
+                single.append((k, i))
+            else:
+                gaps[k].append(missing[k].setdefault(parts[k][i], len(missing[k])))
+                found[k][i] = self.gap
+        if single:
+            for (k, i), ids in zip(single, self.model.segment([parts[k][i] for k, i in single]), strict=True):
+                found[k][i] = ids.tobytes()
+        return [(b"".join(f), list(m), g) for f, m, g in zip(found, missing, gaps, strict=True)]
 
 
 def _key(text: str) -> bytes:
@@ -306,7 +317,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
         filler, make = _Filler(path, _at_hand(name, sent), all_at_hand), made(model(path))
         for batch in batches:
             for start, part in slices(batch.column(batch.num_columns - 1)):
-                yield results(batch.slice(start, len(part)), [np.frombuffer(filler.fill(t)[0], "<u4") for t in part], make)
+                yield results(batch.slice(start, len(part)), [np.frombuffer(ids, "<u4") for ids, _, _ in filler.fill(part)], make)
 
     if head.whole:
         return narrow.mapInArrow(whole, fields)
@@ -316,8 +327,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 keys, places, missing = [], [], []
-                for t in part:
-                    one = filler.fill(t)[1]
+                for t, (_, one, _) in zip(part, filler.fill(part), strict=True):
                     missing += one
                     places += range(len(one))
                     keys += [_key(t)] * len(one) if one else []
@@ -329,8 +339,7 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: Sequence[str], out: Seq
         for batch in batches:
             for start, part in slices(batch.column(batch.num_columns - 1)):
                 keys, ids, gaps = [], [], []
-                for t in part:
-                    filled, missing, at = filler.fill(t)
+                for t, (filled, missing, at) in zip(part, filler.fill(part), strict=True):
                     n += 1
                     # a text without gaps meets nothing: any key that isn't a digest spreads such texts out
                     keys.append(_key(t) if missing else n.to_bytes(8, "little"))
