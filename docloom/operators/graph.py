@@ -88,9 +88,14 @@ def review_queue(edges: DataFrame, status: str = "status", confidence: str = "co
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Rows of both, the changes first; of several changes of a key the last by ``order``. Doing it twice changes nothing."""
+    """Rows of both, the changes first; of several changes of a key the first by ``order``. A null key is one like any other.
+    Doing it twice changes nothing."""
     latest = changes.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__place = 1").drop("__place")
-    return current.join(latest.select(*key), key, "left_anti").unionByName(latest, allowMissingColumns=True)
+    named = latest.select(*[F.col(k).alias(f"__new{i}") for i, k in enumerate(key)])
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__new{i}"))
+    return current.join(named, same, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
 def stub_nodes(nodes: DataFrame, edges: DataFrame, key: str = "node", source: str = "src", target: str = "dst") -> DataFrame:

@@ -21,14 +21,6 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_ASKED, COUNTED = 200_000, 200_000
 
 
-def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf) and (key, length). Term counts are summed before they are shuffled."""
-    each = docs.select(key, tokens.alias("__tokens"))
-    lengths = each.select(key, F.size("__tokens").alias("length"))
-    terms = each.select(key, F.explode("__tokens").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-    return terms, lengths
-
-
 def count_terms(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(term, key, tf, length, df) of documents (key, list of tokens), in one pass and without a shuffle.
 
@@ -220,42 +212,3 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     first = F.transform(F.get(kept, F.lit(0)), lambda y: y * 0)
     total = F.aggregate(kept, first, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     return F.when(F.size(kept) > 0, F.transform(total, lambda y: y / F.size(kept)))
-
-
-def write_index(docs: DataFrame, tokens: Column, path: str, key: str = "doc_id", files: int | None = None) -> None:
-    """Postings sorted by term, document lengths, and statistics of terms, so that a search reads only its terms.
-
-    Rows are dealt out by ranges of terms and sorted in them: the footers' bounds let a search skip most files and pages.
-    """
-    terms, lengths = postings(docs, tokens, key)
-    ranged = terms.repartitionByRange(files, "term") if files else terms.repartitionByRange("term")
-    ranged.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    spark = docs.sparkSession
-    stats = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    ranged = raw.repartitionByRange(files, "term") if files else raw.repartitionByRange("term")
-    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    spark.read.parquet(f"{path}/terms").agg(F.avg("raw").alias("mean_idf"), F.first("n").alias("n"), F.first("mean_length").alias("mean_length")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def search_index(questions: DataFrame, question_tokens: Column, path: str, key: str = "doc_id", question_key: str = "query_id", k: int = 10, most_terms: int = 500, k1: float = K1, b: float = B, epsilon: float = EPSILON, without: str = "raise") -> DataFrame:
-    """As ``bm25`` without zero scores, from a written index.
-
-    Up to ``most_terms`` terms of the questions, counted first, become a filter that reaches the postings' scan; more
-    of them are joined.
-    """
-    spark = questions.sparkSession
-    asked = asked_terms(questions, question_tokens, question_key, without)
-    names = [r.term for r in asked.select("term").distinct().limit(most_terms + 1).collect()]
-    postings_, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
-    if len(names) <= most_terms:
-        postings_, terms = postings_.filter(F.col("term").isin(names)), terms.filter(F.col("term").isin(names))
-    mean = spark.read.parquet(f"{path}/stats").select("mean_idf")
-    weights = terms.join(asked, "term").crossJoin(F.broadcast(mean)).select(question_key, "term", "times", "mean_length", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    hits = postings_.join(weights, "term").join(spark.read.parquet(f"{path}/lengths"), key)
-    part = F.col("idf") * F.col("times") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.groupBy(question_key, key).agg(F.sum(part).alias("bm25_score"))
-    order = Window.partitionBy(question_key).orderBy(F.round("bm25_score", 9).desc(), key)
-    return scored.withColumn("bm25_rank", F.row_number().over(order)).filter(F.col("bm25_rank") <= k)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import html as H
 from docloom.functions import text as T
-from docloom.operators import evaluation, fusion, hierarchy, ranking
+from docloom.operators import evaluation, fusion, hierarchy, lexical_index, ranking
 from docloom.plans.ranking_queries import BM25, _bm25, _out, _questions
 from docloom.plans.registry import query
 from docloom.shared import cut, scratch
-from docloom.sources import readers, writers
+from docloom.sources import buckets, readers, writers
 
 
 def _chunk_files(t, spark):
@@ -131,8 +131,8 @@ def _(t, spark):
 @query("snk_06_append_audit", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_requests, max(ts) AS latest FROM events", session=True)
 def _(t, spark):
     path = scratch(spark)
-    for part in (0, 1):
-        writers.append_audit(_audit_rows(t, part), path)
+    for part in (0, 1, 0):  # the first batch comes twice
+        writers.append_audit(_audit_rows(t, part), path, part)
     return readers.audit_log(spark, path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("request_id").alias("n_requests"), F.max("timestamp").alias("latest"))
 
 
@@ -176,14 +176,22 @@ def _(t, spark):
 
 @query("snk_05_vector_upsert", "SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE label END AS label, CASE WHEN label > 7 THEN -2 WHEN label < 5 THEN -1 ELSE label END AS later FROM embeddings", session=True)
 def _(t, spark):
-    """Two upserts one after the other; the reader of the first isn't disturbed by the second."""
+    """Two upserts one after the other, of a table in buckets; the reader of the first isn't disturbed by the second."""
     path = scratch(spark)
-    writers.vector_table(t("embeddings").select("vec_id", "label"), path, {})
+    buckets.create(t("embeddings").select("vec_id", "label"), path, ["vec_id"], 16)
     changed = lambda some, to: t("embeddings").filter(some).select("vec_id", F.lit(to).alias("label"))
-    first = writers.upsert_table(spark, path, changed("label < 5", -1), ["vec_id"], [F.col("label")])
-    before = spark.read.parquet(first)
-    second = writers.upsert_table(spark, first, changed("label > 7", -2), ["vec_id"], [F.col("label")])
-    return before.join(spark.read.parquet(second).withColumnRenamed("label", "later"), "vec_id")
+    first = buckets.upsert_buckets(spark, path, changed("label < 5", -1), [F.col("label")])
+    before = buckets.read(spark, path)
+    buckets.upsert_buckets(spark, path, changed("label > 7", -2), [F.col("label")])
+    assert first == 2
+    return before.join(buckets.read(spark, path).withColumnRenamed("label", "later"), "vec_id")
+
+
+@query("snk_12_changed_files", "WITH b AS (SELECT source, sum(n_chars) AS h FROM documents GROUP BY 1), c AS (SELECT source, sum(n_chars) AS h FROM documents WHERE lang <> 'es' GROUP BY 1) SELECT coalesce(b.source, 'new ' || c.source) AS file, CASE WHEN c.h IS NULL THEN 'deleted' WHEN b.h IS NULL THEN 'added' ELSE 'changed' END AS change FROM b FULL JOIN c ON b.source = c.source WHERE b.h IS DISTINCT FROM c.h")
+def _(t):
+    """Two manifests of the sources, with and without the texts of one language."""
+    told = lambda df: df.groupBy(F.col("source").alias("file")).agg(F.sum("n_chars").cast("string").alias("sha256"))
+    return lexical_index.changed_files(told(t("documents")), told(t("documents").filter("lang <> 'es'")))
 
 
 @query("snk_09_manifest", "SELECT sha256(r_name || chr(10)) AS sha256, CAST(length(r_name) + 1 AS BIGINT) AS bytes, 'flat' AS strategy, CAST(3 AS BIGINT) AS schema_version FROM region", session=True)
@@ -270,10 +278,21 @@ def _(t):
 
 @query("rnk_13_indexed_bm25", f"WITH {BM25} SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bm WHERE bm25_rank <= 10", session=True)
 def _(t, spark):
-    """BM25 from a written index: as rnk_01, without reading the texts."""
+    """BM25 from a written index: as rnk_01, without reading the texts, and only blocks that can matter."""
+    path = scratch(spark)
+    lexical_index.add_documents(t("documents"), T.legal_tokens(F.col("text")), path)
+    return _out(lexical_index.search(_questions(t), T.legal_tokens(F.col("question")), path), "query_id", "doc_id", "bm25_score", "bm25_rank")
+
+
+@query("rnk_14_index_upkeep", f"WITH documents AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' ' || source ELSE text END AS text FROM main.documents WHERE lang <> 'es'), {BM25} SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bm WHERE bm25_rank <= 10", session=True)
+def _(t, spark):
+    """All documents are indexed, those of one language are replaced by others, those of another are deleted."""
     path = scratch(spark)
-    ranking.write_index(t("documents"), T.legal_tokens(F.col("text")), path)
-    return _out(ranking.search_index(_questions(t), T.legal_tokens(F.col("question")), path), "query_id", "doc_id", "bm25_score", "bm25_rank")
+    tokens = T.legal_tokens(F.col("text"))
+    lexical_index.add_documents(t("documents"), tokens, path)
+    lexical_index.add_documents(t("documents").filter("lang = 'de'").withColumn("text", F.concat_ws(" ", "text", "source")), tokens, path)
+    lexical_index.delete_documents(t("documents").filter("lang = 'es'"), path)
+    return _out(lexical_index.search(_questions(t), T.legal_tokens(F.col("question")), path), "query_id", "doc_id", "bm25_score", "bm25_rank")
 
 
 @query("sel_07_query_failures", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import evaluation, fusion, graph, integrity, ranking, relations, security, segments
 from docloom.plans.registry import query
-from docloom.shared import few, numbered
+from docloom.shared import few, numbered, scratch
+from docloom.sources import buckets
 from docloom.streaming.audit import windowed_events
 
 
@@ -379,12 +380,16 @@ UPSERTED = "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ch
 
 
 def _upserted(t, times=1):
+    """Through a table in buckets, of which the changes rewrite those that they touch."""
     rows = t("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("value"))
     changes = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id"), F.lit("changed").alias("value"))
     changes = changes.unionByName(t("region").select((-1 - F.col("r_regionkey")).cast("long").alias("id"), F.lit("new").alias("value")))
+    spark = rows.sparkSession
+    path = scratch(spark)
+    buckets.create(rows, path, ["id"], 16)
     for _ in range(times):
-        rows = graph.upsert(rows, changes, ["id"], [F.col("value")])
-    return rows
+        buckets.upsert_buckets(spark, path, changes, [F.col("value")])
+    return buckets.read(spark, path)
 
 
 @query("snk_03_upsert", UPSERTED)

@@ -107,7 +107,7 @@ AUDIT_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).option("timestampFormat", AUDIT_TIME).json(path)
+    return spark.read.schema(AUDIT).option("timestampFormat", AUDIT_TIME).option("recursiveFileLookup", True).json(path)
 
 
 #: What holds where no policy file is given.

@@ -38,8 +38,25 @@ def vector_table(df: DataFrame, path: str, properties: dict) -> None:
     spark.createDataFrame([(json.dumps(properties, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_properties.json")
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written a folder to the end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_audit(df: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Append records. With ``batch``, a name for just these records, doing it again makes no difference: a batch has a folder of
+    its own, which is left alone once it is complete and written anew if a job broke off. For a stream: ``foreachBatch``."""
+    target = f"{path}/batch={uuid.uuid4().hex if batch is None else batch}"
+    if batch is not None and written(df.sparkSession, target):
+        return
+    df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(target)
+
+
+def audit_sink(events: DataFrame, path: str, state: str, trigger: dict | None = None):
+    """A running query that appends a stream's records, each once, also where it is started again after a failure."""
+    writer = events.writeStream.foreachBatch(lambda df, batch: append_audit(df, path, batch)).option("checkpointLocation", state)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def config_digest(config: dict) -> str:

@@ -9,7 +9,7 @@ from docloom.sources.readers import AUDIT, AUDIT_TIME
 
 
 def audit_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(AUDIT).option("timestampFormat", AUDIT_TIME).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return spark.readStream.schema(AUDIT).option("timestampFormat", AUDIT_TIME).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
 def denials(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes", time: str = "timestamp", role: str = "user_role") -> DataFrame:
