@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.shared import cut, few
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int, seed: str = "node", source: str = "src", target: str = "dst", kind: str = "kind", edge: str = "edge_id", most_hops: int = 3) -> DataFrame:
     """(seed, node, hop, path): all undirected trails of up to ``hops`` edges from each seed, with the kinds on the way.
@@ -39,6 +40,56 @@ def limited(expanded: DataFrame, items: DataFrame, hops: int, per_hop: int = 5,
     return met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_hop * hops)
 
 
+#: Edges of a node from which it is a hub, whose adjacency is dealt out in parts of about as many.
+HUB = 10_000
+
+
+def _both_ways(edges: DataFrame, source: str, target: str, kind: str, edge: str, hub: int) -> tuple[DataFrame, DataFrame]:
+    """Edges in both directions (__from, __part, __to, kind, edge), and the hubs (node, __parts). What starts at a hub is dealt
+    out by a hash of the edge."""
+    both = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to"), F.col(kind).cast("string").alias("__kind"), F.col(edge).alias("__edge")).unionByName(edges.select(F.col(target).alias("__from"), F.col(source).alias("__to"), F.col(kind).cast("string").alias("__kind"), F.col(edge).alias("__edge")))
+    hubs = cut(both.groupBy("__from").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub).select(F.col("__from").alias("__hub"), F.ceil(F.col("n") / hub).cast("int").alias("__parts")))
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("__edge", "__to"), F.col("__parts"))).cast("int")
+    dealt = both.join(few(hubs), F.col("__from") == F.col("__hub"), "left").withColumn("__part", part).drop("__hub", "__parts")
+    return cut(dealt), hubs
+
+
+def expand_to_items(seeds: DataFrame, edges: DataFrame, items: DataFrame, hops: int, per_hop: int = 5, seed: str = "node", source: str = "src", target: str = "dst", kind: str = "kind", edge: str = "edge_id", node: str = "node", key: str = "chunk_id", hub: int = HUB, most_hops: int = 3) -> DataFrame:
+    """(seed, node, hop, path, key, place): what ``limited`` keeps of ``expand``, without making every trail.
+
+    Items come by hop, key and path, so a seed that has its ``per_hop * hops`` from nearer hops isn't followed any further,
+    and the last hop goes straight to nodes that have items, the first of each task at a time. A hub's edges are joined in
+    parts, so no task holds them all.
+    """
+    if hops > most_hops:
+        raise ValueError(f"at most {most_hops} hops")
+    limit = per_hop * hops
+    both, hubs = _both_ways(edges, source, target, kind, edge, hub)
+    kept = items.select(F.col(node).alias("__at"), F.col(key).alias("__key")).filter("__at is not null")
+    counts = cut(kept.groupBy("__at").agg(F.count(F.lit(1)).alias("__items")))
+    edge_type = edges.schema[edge].dataType.simpleString()
+    at = seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node"), F.array().cast("array<string>").alias("path"), F.array().cast(f"array<{edge_type}>").alias("__used")).distinct()
+    order = Window.partitionBy("seed").orderBy("hop", "__key", F.array_join("path", ">"))
+    found, have = None, None
+    for hop in range(1, hops + 1):
+        placed = at.join(few(hubs), F.col("node") == F.col("__hub"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__hub", "__parts")
+        step = placed.join(both, (F.col("node") == F.col("__from")) & (placed["__part"] == both["__part"])).filter(~F.array_contains("__used", F.col("__edge")))
+        at = step.select("seed", F.col("__to").alias("node"), F.concat("path", F.array("__kind")).alias("path"), F.concat("__used", F.array("__edge")).alias("__used"))
+        if hop < hops:
+            at = cut(at)
+        reached = at.filter("node <> seed").select("seed", "node", "path").distinct()
+        rows = reached.join(kept, F.col("node") == F.col("__at")).select("seed", "node", F.lit(hop).alias("hop"), "path", "__key")
+        rows = cut(rows.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= limit).drop("__n"))
+        found = rows if found is None else found.unionByName(rows)
+        if hop < hops:
+            n = reached.join(counts, F.col("node") == F.col("__at")).groupBy("seed").agg(F.sum("__items").alias("__n"))
+            have = cut(n if have is None else have.unionByName(n).groupBy("seed").agg(F.sum("__n").alias("__n")))
+            at = at.join(have.filter(F.col("__n") >= limit).select("seed"), "seed", "left_anti")
+    if found is None:
+        return at.join(kept, F.lit(False)).select("seed", "node", F.lit(0).alias("hop"), "path", F.col("__key").alias(key), F.lit(0).alias("place"))
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).withColumnRenamed("__key", key)
+
+
 def hop_summary(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("hop").agg(F.countDistinct("node").alias("n_nodes"), F.count(F.lit(1)).alias("n_trails"))
 

@@ -313,7 +313,7 @@ def _(t):
 @query("joi_12_seeds_to_items", TRAILS + ", m AS (SELECT seed, hop, s_suppkey, row_number() OVER (PARTITION BY seed ORDER BY hop, s_suppkey, path) AS place FROM trails JOIN nation ON n_name = node JOIN supplier ON s_nationkey = n_nationkey) SELECT seed, s_suppkey, place FROM m WHERE place <= 10")
 def _(t):
     items = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("node"), "s_suppkey")
-    return graph.limited(_trails(t), items, 2, key="s_suppkey").select("seed", "s_suppkey", F.col("place").cast("long").alias("place"))
+    return graph.expand_to_items(t("nation").select(F.col("n_name").alias("node")), _edges(t), items, 2, key="s_suppkey").select("seed", "s_suppkey", F.col("place").cast("long").alias("place"))
 
 
 @query("grf_02_hop_summary", TRAILS + " SELECT CAST(hop AS BIGINT) AS hop, count(DISTINCT node) AS n_nodes, count(*) AS n_trails FROM trails GROUP BY hop")
