@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import collapse
 from docloom.operators.security import ROLES, parse_roles
+from docloom.sources import json_arrays
 
 CHUNK = "chunk_id string, strategy string, source string, page_start int, page_end int, text string, structure string"
 
 
+def _parsed(value: str = "value") -> Column:
+    """An element as a variant; one that is no JSON ends the job, with the name of its file."""
+    return F.coalesce(F.try_parse_json(value), F.raise_error(F.concat(F.lit("not JSON: "), F.col("input_file"))))
+
+
 def _chunk_rows(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of JSON files that hold an array, or an object with a list ``chunks``; with the file's name."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), F.col("_metadata.file_name").alias("input_file"))
-    items = F.coalesce(F.try_variant_get("v", "$.chunks", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    each = raw.select("input_file", F.posexplode(items).alias("place", "c"))
+    each = json_arrays.elements(spark, path, "chunks").select("input_file", "place", _parsed().alias("c"))
     field = lambda n, t: F.try_variant_get("c", f"$.{n}", t).alias(n)
     return each.select("input_file", "place", field("chunk_id", "string"), field("strategy", "string"), field("source", "string"), field("page_start", "int"), field("page_end", "int"), field("text", "string"), F.try_variant_get("c", "$.structure", "variant").alias("structure"))
 
@@ -86,10 +90,11 @@ def secure_chunks(rows: DataFrame, column: str = "allowed_roles") -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """(question_id, question, relevant): a JSON array of questions. A file that holds anything else ends the job."""
-    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    fault = F.raise_error(F.concat(F.lit("questions must be a JSON array: "), F.col("_metadata.file_name")))
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.when(items.isNotNull(), items).otherwise(fault.cast("array<variant>"))).alias("q"))
+    """(question_id, question, relevant): a JSON array of questions. A file that holds anything else ends the call."""
+    try:
+        raw = json_arrays.elements(spark, path).select(_parsed().alias("q"))
+    except ValueError as fault:
+        raise ValueError(f"questions must be a JSON array: {fault}") from fault
     get = lambda n, t: F.try_variant_get("q", f"$.{n}", t)
     return raw.select(F.coalesce(get("question_id", "string"), get("id", "string")).alias("question_id"), get("question", "string").alias("question"), F.coalesce(get("relevant_child_ids", "array<string>"), get("relevant_chunk_ids", "array<string>"), F.array().cast("array<string>")).alias("relevant"))
 
