@@ -5,20 +5,25 @@ probability. Two documents at a time, mass (probability times words) moves at ra
 probability is 0 or 1; the direction is drawn so that each probability stays right in expectation, and the words that
 the two contribute stay the same. Documents are dealt into small groups inside a source, each group leaves at most one
 fractional document, and these go up a reduction tree of the same step until one is left in each source. That one goes
-to its nearer side, not by chance: a source's words differ from its target by at most half of its last document's, and
-every other document is taken as often as wanted in expectation. Rows that agree in key and text are one weighted row on
+to its nearer side, not by chance. Since a large document can only be settled by as much mass, it is often the last, so
+what its source then misses is made up by documents that are smaller: one copy more, or one less, of the largest that
+fits, the next, and so on. A source's words differ from its target by at most half of the smallest document that has a
+copy to give or take, and all documents but those few are taken as often as wanted in expectation. Rows that agree in key and text are one weighted row on
 the way, so no group grows with how often a row is repeated.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut, inner, outer, ship
-from docloom.shared import numbered
+from docloom.llm.runtime import cut, inner, one_of, outer, ship
+from docloom.shared import few, numbered
 
 #: Documents in a leaf of the reduction tree, and residuals that meet in a node above.
 LEAF, FAN = 512, 512
@@ -59,9 +64,9 @@ def allocate(sizes: DataFrame, cap: int = CAP, source: str = "source", size: str
 
 
 def pivot(x: np.ndarray, words: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
-    """Round probabilities in order, keeping the sum of probability times words; gives the one left open, or -1.
+    """Round probabilities from the largest document down, keeping the sum of probability times words; gives the one left open, or -1.
 
-    The larger of two documents comes first, so what is left open is small wherever small documents are about.
+    A small document that meets a large one is emptied into it or filled from it, so the one left open is often large.
     """
     x = x.tolist()
     w, u = words.tolist(), draw.tolist()
@@ -137,7 +142,57 @@ def _rounded(docs: DataFrame, text: str, source: str, key: list[str], cap: int,
     out = closed[0]
     for part in closed[1:]:
         out = out.unionByName(part)
-    return out.select(*key, "__source", "__size", "source_size", "target", "__m", (F.col("__whole") + F.col("__x")).cast("long").alias("__total"))
+    taken = out.select(*key, "__source", "__size", "source_size", "target", "__m", "__hash", (F.col("__whole") + F.col("__x")).cast("long").alias("__total"))
+    return _made_up(cut(taken), key, cap).drop("__hash")
+
+
+def correction(miss: float, sizes: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """How many documents of each size, of those that are there, make up for a number of words: from the largest down as many as
+    fit, then the one that is nearest to what is left, if it is nearer than none."""
+    n, left = np.zeros(len(sizes), np.int64), abs(miss)
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n[i] = min(int(there[i]), int(left // sizes[i]))
+        left -= n[i] * sizes[i]
+    off = np.where(there > n, np.abs(sizes - left), np.inf)
+    if len(off) and off.min() < left:
+        n[int(off.argmin())] += 1
+    return n
+
+
+def _corrections(table: pa.Table) -> pa.Table:
+    table = table.combine_chunks().sort_by("__size")
+    n = correction(table["__miss"][0].as_py(), table["__size"].to_numpy(), table["__n"].to_numpy())
+    table = table.set_column(table.schema.get_field_index("__n"), "__n", pa.array(n, pa.int64()))
+    return table.filter(pa.array(n > 0))
+
+
+def _made_up(rows: DataFrame, key: list[str], cap: int) -> DataFrame:
+    """The rows with ``__total`` one more or less for those that make up for what their source misses.
+
+    A source is a group of its sizes, as few as its longest document has words; rows of a size are dealt by hash, first in 64
+    parts, since any number may be of one size. A row gives or takes one copy, whatever number of rows it stands for.
+    """
+    miss = cut(rows.groupBy("__source").agg((F.max("target") - F.sum(F.col("__total") * F.col("__size"))).alias("__miss")).filter(F.abs("__miss") > 0.5))
+    able = F.when(F.col("__miss") > 0, F.col("__total") < cap * F.col("__m")).otherwise(F.col("__total") > 0)
+    met = rows.join(few(miss.withColumnRenamed("__source", "__s")), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+    able_rows = met.filter((F.col("__size") > 0) & (F.col("__size") < 2 * F.abs("__miss")) & able).select(*key, "__source", "__size", "__miss", "__hash")
+    sizes = able_rows.groupBy("__source", "__size", "__miss").agg(F.count(F.lit(1)).alias("__n"))
+    wanted = cut(sizes.groupBy("__source").applyInArrow(_corrections, sizes.schema))
+    most = wanted.agg(F.max("__n")).first()[0]
+    if most is None:
+        return rows
+    asked = few(wanted.select(F.col("__source").alias("__s"), F.col("__size").alias("__z"), "__n"))
+    dealt = able_rows.join(asked, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))).drop("__s", "__z")
+    dealt = dealt.withColumn("__draw", F.xxhash64("__hash", F.lit(-2)))
+    order = ["__draw", "__hash", *key]
+    part = Window.partitionBy("__source", "__size", F.pmod("__draw", F.lit(64))).orderBy(*order)
+    dealt = dealt.withColumn("__at", F.row_number().over(part)).filter(F.col("__at") <= most)
+    dealt = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__source", "__size").orderBy(*order))).filter(F.col("__at") <= F.col("__n"))
+    named = [*key, "__source", "__size", "__hash"]
+    steps = few(cut(dealt.select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(named)], F.signum("__miss").cast("long").alias("__step"))))
+    same = [rows[c].eqNullSafe(steps[f"__of{i}"]) for i, c in enumerate(named)]
+    stepped = rows.join(steps, functools.reduce(operator.and_, same), "left")
+    return stepped.withColumn("__total", F.col("__total") + F.coalesce("__step", F.lit(0))).select(*rows.columns)
 
 
 def _written_out(rows: DataFrame, times: str) -> DataFrame:
@@ -172,7 +227,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key=("doc_i
 def materialise(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", cap: int = CAP, seed: int = 7, weights: DataFrame | None = None, count: str | None = None) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is taken.
 
-    Rows that agree in id and text are interchangeable, so their copies are summed and written out from one of them.
+    Rows that agree in id, text and source are interchangeable: their copies are summed and written out from the least of them as JSON.
     Columns may have any names; an empty table gives an empty one.
     """
     rows, at = inner(docs)
@@ -183,7 +238,7 @@ def materialise(docs: DataFrame, text: str = "text", source: str = "source", id_
     same = keyed[id_column].eqNullSafe(copies["__id"]) & (keyed["__key"] == copies["__h"]) & keyed[source].eqNullSafe(copies["__src"])
     taken = keyed.join(copies, same)
     if not copies.filter("__m > 1").isEmpty():
-        taken = taken.dropDuplicates(["__id", "__h", "__src"])
+        taken = one_of(taken.drop("__key", "__m"), ["__id", "__h", "__src"], text)
     taken = taken.drop("__id", "__h", "__src", "__key", "__m")
     if copies.filter(F.col("__copies") > CHUNK).isEmpty():
         return outer(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))), docs)

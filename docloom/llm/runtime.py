@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -19,21 +21,37 @@ SLICE_ROWS = 256
 SLICE_BYTES = 8 << 20
 
 
-#: Tables that ``staged`` has written for the results of a session, until ``clear_staged``.
-_WRITTEN: list[str] = []
+#: Tables that ``staged`` has written within the innermost ``staging``, if there is one.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def staged(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: for rows with texts, which a checkpoint wouldn't compress.
 
-    The table stays, as results that are still to be read depend on it, until ``clear_staged``.
+    Results that are still to be read depend on the table. It is deleted at the end of the ``staging`` that it was written
+    within; outside of any it stays, like a checkpoint, until the folder's owner clears it.
     """
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    written = _STAGED.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted at the end, also after a fault, and no others: what is made within is to be written there."""
+    token = _STAGED.set([])
+    try:
+        yield
+    finally:
+        written = _STAGED.get()
+        _STAGED.reset(token)
+        for path in written:
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table, in whatever store it lies."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -41,10 +59,16 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def one_of(rows: DataFrame, by: Sequence[str], text: str) -> DataFrame:
+    """One row of those that agree in ``by``, which settles the text but for null or empty: the least by its other columns
+    as JSON, a null text last. So it doesn't matter in which order rows come."""
+    others = [c for c in rows.columns if c not in by]
+    order = F.struct(F.col(text).isNull(), F.to_json(F.struct(F.lit(0), *[c for c in others if c != text])))
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("__row")).select(*by, "__row.*")
+
+
 def clear_staged(spark: SparkSession) -> None:
-    """Delete the staged tables so far; to be called when the results that read them are written."""
-    while _WRITTEN:
-        remove(spark, _WRITTEN.pop())
+    """Nothing: ``staging`` deletes what was written within."""
 
 
 def inner(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.runtime import cut, inner, map_texts, outer, ship, staged
+from docloom.llm.runtime import cut, inner, map_texts, one_of, outer, ship, staged
 
 BITS = 64
 #: Fingerprints of one block of a large bucket.
@@ -667,7 +667,7 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, wo
 
     Fingerprints of ``words`` words choose candidates; the exact similarity links them, and classes are chains of links.
     The document of the smallest id stays, and of several texts under that id the one of the least hash. A row that is
-    repeated stays once. A null id stays only in a class without others. Null and empty texts are alike. Columns may
+    repeated stays once; of rows that agree in id and text but not elsewhere the least as JSON stays. A null id stays only in a class without others. Null and empty texts are alike. Columns may
     have any names; an empty table gives an empty one.
     """
     rows, at = inner(docs)
@@ -683,5 +683,5 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, wo
     kept = cut(placed.groupBy(F.coalesce("root", "__n").alias("root")).agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"), "k.n"))
     rows = keyed.join(kept.select("__id", "__h"), keyed[id_column].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__h"]), "left_semi")
     if not kept.filter("n > 1").isEmpty():
-        rows = rows.dropDuplicates([id_column, "__key"])
+        rows = one_of(rows, [id_column, "__key"], text)
     return outer(rows.drop("__key"), docs)
