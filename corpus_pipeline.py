@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, mixing, pii, quality, simhash
-from docloom.llm.runtime import clear_staged, remove, shared_folder
+from docloom.llm.runtime import remove, shared_folder, staging
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        clear_staged(spark)
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         if before:
             remove(spark, before)
         before = f"{folder}/{name}"
