@@ -67,10 +67,6 @@ def one_of(rows: DataFrame, by: Sequence[str], text: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("__row")).select(*by, "__row.*")
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Nothing: ``staging`` deletes what was written within."""
-
-
 def inner(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The rows under names by position, which nothing an operator adds can clash with, and the new name of each column.
 
