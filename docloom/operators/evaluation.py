@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from docloom.shared import beside
 
 
-def recall_at(predicted: Column, relevant: Column, k: int) -> Column:
-    """Share of the relevant ids among the first k; 0 without relevant ids. Repeats in the list count once each."""
+def recall_at(predicted: Column, relevant: Column, k: int, n_relevant: Column | None = None) -> Column:
+    """Share of the relevant ids among the first k; 0 without relevant ids. Repeats in the list count once each.
+
+    Where there are many, ``relevant`` may have those of the predicted ids only, and ``n_relevant`` how many there are in all."""
     hits = F.size(F.filter(F.slice(predicted, 1, k), lambda p: F.array_contains(relevant, p)))
-    return F.when(F.size(relevant) == 0, 0.0).otherwise(hits / F.size(F.array_distinct(relevant)))
+    total = F.size(F.array_distinct(relevant)) if n_relevant is None else n_relevant
+    return F.when(total == 0, 0.0).otherwise(hits / total)
 
 
 def reciprocal_rank(predicted: Column, relevant: Column, k: int) -> Column:
@@ -87,11 +90,13 @@ def chunk_number(c: Column) -> Column:
 
 
 def mode_report(questions: DataFrame, results: DataFrame, k: int = 5, key: str = "question_id") -> DataFrame:
-    """(mode, question, recall, mrr, ndcg) for every question in every mode; a question without a result has none found."""
+    """(mode, question, recall, mrr, ndcg) for every question in every mode; a question without a result has none found.
+    ``questions`` may have n_relevant, as in ``recall_at``."""
+    total = F.col("n_relevant") if "n_relevant" in questions.columns else None
     modes = results.select("mode").distinct()
     met = beside(questions, modes).join(results.select("mode", key, "predicted"), ["mode", key], "left")
     predicted = F.coalesce("predicted", F.array().cast(results.schema["predicted"].dataType))
-    return met.select("mode", key, recall_at(predicted, F.col("relevant"), k).alias("recall"), reciprocal_rank(predicted, F.col("relevant"), k).alias("mrr"), ndcg(predicted, F.col("relevant"), k).alias("ndcg"))
+    return met.select("mode", key, recall_at(predicted, F.col("relevant"), k, total).alias("recall"), reciprocal_rank(predicted, F.col("relevant"), k).alias("mrr"), ndcg(predicted, F.col("relevant"), k).alias("ndcg"))
 
 
 def rank_matrix(hits_: DataFrame, row: str, column: str, values: list[str], rank: str = "rank") -> DataFrame:
