@@ -21,7 +21,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.runtime import cut, inner, map_texts, one_of, outer, ship, staged
@@ -38,8 +38,8 @@ PARTITIONS, FLIPS = 8, 2
 #: A pair whose fingerprints lie one standard error further apart than its similarity makes expect meets with this
 #: probability; candidates may lie so many standard errors further apart, in the first word and in all.
 RECALL, ERRORS, FIRST_ERRORS = 0.95, 2.5, 4
-#: Words of the finer fingerprints that sort the candidates of dense groups; candidates of a text that are verified first.
-FINE, FIRST = 64, 3
+#: Words of the finer fingerprints that choose the candidates of dense groups; shingle sets that are compared with one at a time.
+FINE, COMPARED = 64, 1024
 #: Bits of a partition of a fingerprint of several words, and steps in which probabilities are added up.
 WIDTHS, STEPS = range(5, 33), 256
 #: Texts that have links are found by a broadcast of their keys, up to so many; so many links are joined by one task.
@@ -330,12 +330,22 @@ def _spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
 
 
-def _links(first_most: int, most: int, words: int, named: bool, labelled: bool, fine: int = 0, fine_most: int = 0):
+def alike(own: np.ndarray, sizes: np.ndarray, flat: np.ndarray, least: int) -> np.ndarray:
+    """Which of some sets, of such sizes and one after the other, have a Jaccard similarity of ``least`` thousandths or more with a sorted one."""
+    both = np.zeros(len(flat) + 1, np.int64)
+    if len(own):
+        np.cumsum(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, out=both[1:])
+    ends = np.cumsum(sizes)
+    return (both[ends] - both[ends - sizes]) * (1000 + least) >= least * (len(own) + sizes)
+
+
+def _links(first_most: int, most: int, words: int, named: bool, labelled: bool, fine: int = 0, fine_most: int = 0, forest: bool = False, least: int = 0):
     """Verify the candidates of sorted buckets. Rows (a, b, bits) of pairs near enough in the first word and in all.
 
     Fingerprints are named by their first word, or by the column after the words. A forest of the pairs of each bucket
-    is given, of the nearest ones; with labels, which follow the name, all pairs between different labels. A finer
-    fingerprint of ``fine`` words, after the label, decides in the end and gives the bits.
+    is given, of the nearest ones; with labels, which follow the name, all pairs between different labels, or with ``forest``
+    as many as connect what all would. A finer fingerprint of ``fine`` words, after the label, decides in the end and gives the
+    bits; or with ``least`` the similarity, in thousandths, of the sets that follow it.
     """
     name = words + fine if named else 0
 
@@ -392,16 +402,54 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool,
             found.append((np.full(len(at), prints[row, name]), prints[others[at], name], d))
         return found
 
-    def made(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    def spanning(prints: np.ndarray, places: np.ndarray, sets: pa.Array | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Links of one bucket that connect its labels as all would. A label that is reached leaves the rest with all its rows;
+        of a row's candidates the nearest of each label that is still apart come first."""
+        labels, of = np.unique(prints[:, -1], return_inverse=True)
+        found, rest = [], np.arange(len(prints)) if len(labels) > 1 else np.zeros(0, np.int64)
+
+        def like(row: int, some: np.ndarray) -> np.ndarray:
+            if sets is None:
+                return np.ones(len(some), bool)
+            own, out = sets[int(places[row])].values.to_numpy().view(np.uint64), []
+            for at in range(0, len(some), COMPARED):
+                others = sets.take(pa.array(places[some[at : at + COMPARED]]))
+                out.append(alike(own, np.diff(others.offsets.to_numpy()).astype(np.int64), others.flatten().to_numpy().view(np.uint64), least))
+            return np.concatenate(out)
+
+        while len(rest):
+            first = of[rest] == of[rest[0]]
+            queue, rest = rest[first].tolist(), rest[~first]
+            while queue and len(rest):
+                row = queue.pop()
+                at, d = near(prints, rest, row)
+                order = np.argsort(d, kind="stable")
+                open_, d, reached = rest[at[order]], d[order], []
+                while len(open_):
+                    nearest = np.unique(of[open_], return_index=True)[1]
+                    held = nearest[like(row, open_[nearest])]
+                    found.append((np.full(len(held), prints[row, name]), prints[open_[held], name], d[held]))
+                    reached.append(of[open_[held]])
+                    left = ~np.isin(of[open_], reached[-1])
+                    left[nearest] = False
+                    open_, d = open_[left], d[left]
+                if reached:
+                    gone = np.isin(of[rest], np.concatenate(reached))
+                    queue += rest[gone].tolist()
+                    rest = rest[~gone]
+        return found
+
+    def made(bucket: np.ndarray, prints: np.ndarray, sets: pa.Array | None = None) -> pa.RecordBatch:
         order = np.lexsort((prints[:, name], bucket))
         bucket, prints = bucket[order], prints[order]
         twice = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (prints[1:, name] == prints[:-1, name])))  # met in two ways
-        bucket, prints = bucket[~twice], prints[~twice]
+        bucket, prints, order = bucket[~twice], prints[~twice], order[~twice]
         _, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
-        large = sizes > SMALL
-        found = [link for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True) for link in (across if labelled else search)(prints[s : s + n])]
+        large = sizes > (1 if forest else SMALL)
+        of_large = (lambda s, n: spanning(prints[s : s + n], order[s : s + n], sets)) if forest else (lambda s, n: (across if labelled else search)(prints[s : s + n]))
+        found = [link for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True) for link in of_large(s, n)]
         small = np.repeat(~large, sizes)
-        found += slide(bucket[small], prints[small])
+        found += [] if forest else slide(bucket[small], prints[small])
         a, b, d = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in range(3))
         if len(a) and not labelled:
             if words == 1:
@@ -414,7 +462,7 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool,
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int64))], names=["a", "b", "bits"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last bucket may go on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array | None]] = []  # the last bucket may go on in the next batch
         width = words + named + labelled
         for batch in batches:
             if not batch.num_rows:
@@ -424,18 +472,21 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool,
             if fine:
                 more = np.frombuffer(b"".join(batch.column(3 + width).to_pylist()), np.uint64).reshape(-1, fine)
                 prints = np.concatenate((prints[:, :words], more, prints[:, words:]), axis=1)
+            sets = batch.column(batch.num_columns - 1) if least else None
+            part = lambda a, b, sets=sets: None if sets is None else sets.slice(a, b - a)
             last = int(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))[-1])
             if last or held and (keys[0] != held[-1][0][-1]).any():
-                held.append((keys[:last], prints[:last]))
+                held.append((keys[:last], prints[:last], part(0, last)))
                 yield closed(held)
                 held = []
-            held.append((keys[last:], prints[last:]))
+            held.append((keys[last:], prints[last:], part(last, len(keys))))
         if held:
             yield closed(held)
 
     def closed(held) -> pa.RecordBatch:
-        keys, prints = np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held])
-        return made(np.cumsum(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))), prints)
+        keys, prints = np.concatenate([k for k, *_ in held]), np.concatenate([p for _, p, _ in held])
+        sets = pa.concat_arrays([s.cast(pa.large_list(pa.int64())) for *_, s in held]) if least else None
+        return made(np.cumsum(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))), prints, sets)
 
     return over
 
@@ -451,7 +502,7 @@ class Index:
         self.key = name or "fp"
 
     def _filed(self, rows: DataFrame, columns: list[str]) -> DataFrame:
-        named = ", ".join(f"{c} {'binary' if c == 'fine' else 'long'}" for c in columns)
+        named = ", ".join(f"{c} long" for c in columns)
         return rows.select(*columns).mapInArrow(_file(self.plan, self.words, columns), f"part int, value long, {named}")
 
     def _large(self, filed: DataFrame) -> DataFrame:
@@ -459,10 +510,10 @@ class Index:
         sizes = filed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
         return cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
 
-    def _verified(self, dealt: DataFrame, columns: list[str], labelled: bool, fine_most: int = 0) -> DataFrame:
+    def _verified(self, dealt: DataFrame, columns: list[str], labelled: bool, fine_most: int = 0, forest: bool = False, least: int = 0) -> DataFrame:
         fine = FINE if "fine" in columns else 0
         rows = dealt.select("part", "value", "block", *columns).repartition("part", "value", "block").sortWithinPartitions("part", "value", "block")
-        found = rows.mapInArrow(_links(self.first_most, self.most, self.words, self.name is not None, labelled, fine, fine_most), "a long, b long, bits long")
+        found = rows.mapInArrow(_links(self.first_most, self.most, self.words, self.name is not None, labelled, fine, fine_most, forest, least), "a long, b long, bits long")
         return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
     def forest(self) -> tuple[DataFrame, DataFrame | None]:
@@ -479,22 +530,28 @@ class Index:
         crowded = met.filter("__blocks is not null").select(F.col(self.key).alias("node")).distinct()
         return cut(self._verified(dealt, self.columns, False)), cut(crowded)
 
-    def between(self, labelled: DataFrame, fine: DataFrame | None = None, fine_most: int = 0) -> DataFrame:
-        """All links (a, b, bits) between rows (node, label) of different labels.
+    def between(self, labelled: DataFrame, fine: DataFrame | None = None, fine_most: int = 0, forest: bool = False, similarity: float = 0) -> DataFrame:
+        """All links (a, b, bits) between rows (node, label) of different labels; with ``forest`` as many of each bucket as connect
+        what all would, so they are fewer than the bucket's rows.
 
         In a bucket that is too large for one task, rows of the commonest label stay in a block each, and the others
-        go to every block: the work follows the rows of other labels, not the square of the bucket. Finer fingerprints
-        (node, fine), where given, are compared too, so fewer links go on.
+        go to every block: the work follows the rows of other labels, not the square of the bucket. Finer fingerprints and sets
+        (node, fine, shingles), where given, are compared too: these links hold a Jaccard similarity. They meet only the rows of
+        buckets with several labels.
         """
-        columns = [*self.columns, "label", *(["fine"] if fine is not None else [])]
+        columns = [*self.columns, "label"]
         rows = self.distinct.select(*self.columns, F.col(self.key).alias("__node")).join(labelled.select(F.col("node").alias("__node"), "label"), "__node")
-        if fine is not None:
-            rows = rows.join(fine.select(F.col("node").alias("__node"), "fine"), "__node")
         rows = cut(rows.select(*columns))
         filed = self._filed(rows, columns)
-        large = self._large(self._filed(rows, self.columns[: self.words]))
+        wide, more, least = lambda met: met, [], 0
+        if fine is not None:
+            mixed = filed.groupBy("part", "value").agg(F.min("label").alias("__x"), F.max("label").alias("__y")).filter("__x <> __y").select("part", "value")
+            filed = cut(filed.join(mixed, ["part", "value"], "left_semi"))
+            more, least = ["fine", "shingles"], round(1000 * similarity)
+            wide = lambda met: met.join(fine.select(F.col("node").alias("__node"), *more), F.col(self.key) == F.col("__node"))
+        large = self._large(filed if fine is not None else self._filed(rows, self.columns[: self.words]))
         if large.isEmpty():
-            return self._verified(filed.withColumn("block", F.lit(0)), columns, True, fine_most)
+            return self._verified(wide(filed.withColumn("block", F.lit(0))), [*columns, *more], True, fine_most, forest, least)
         met = filed.join(large, (F.col("part") == F.col("__p")) & (F.col("value") == F.col("__v")), "left")
         counted = met.filter("__blocks is not null").groupBy("part", "value", "label").agg(F.count(F.lit(1)).alias("n"))
         common = cut(counted.groupBy(F.col("part").alias("__p2"), F.col("value").alias("__v2")).agg(F.max_by("label", F.struct("n", "label")).alias("__common")))
@@ -502,7 +559,7 @@ class Index:
         every = F.sequence(F.lit(0), F.col("__blocks") - 1)
         blocks = F.when(F.col("__blocks").isNull(), F.array(F.lit(0))).when(F.col("label") == F.col("__common"), F.array(own)).otherwise(every)
         met = met.join(common, (F.col("part") == F.col("__p2")) & (F.col("value") == F.col("__v2")), "left")
-        return self._verified(met.withColumn("block", F.explode(blocks)), columns, True, fine_most)
+        return self._verified(wide(met.withColumn("block", F.explode(blocks))), [*columns, *more], True, fine_most, forest, least)
 
 
 def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
@@ -518,7 +575,7 @@ def link(distinct: DataFrame, distance: int = 4) -> DataFrame:
         return found.select("a", "b")
     roots = components(found.select("a", "b")).select(F.col("node").alias("__n"), "root")
     labelled = crowded.join(roots, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("root", "node").alias("label"))
-    return found.select("a", "b").union(index.between(labelled).select("a", "b")).distinct()
+    return found.select("a", "b").union(index.between(labelled, forest=True).select("a", "b")).distinct()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,7 +642,7 @@ def shingle_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
 
 
 def finer(sets: DataFrame) -> DataFrame:
-    """The node of each set, and ``fine``, a fingerprint of ``FINE`` words over its distinct shingles."""
+    """The node of each set, ``fine``, a fingerprint of ``FINE`` words over its distinct shingles, and these."""
     ship(sets.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -594,9 +651,9 @@ def finer(sets: DataFrame) -> DataFrame:
             made = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 made.append(np.array([simhash(remix(flat[a:b], 1000 + k)) for k in range(FINE)], np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1)], names=["node", "fine", "shingles"])
 
-    return sets.select("node", "shingles").mapInArrow(over, "node long, fine binary")
+    return sets.select("node", "shingles").mapInArrow(over, "node long, fine binary, shingles array<long>")
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -619,8 +676,8 @@ def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float,
 
     ``distinct`` has a node and its fingerprint, once for each text; ``docs`` the texts by ``key``. Of the candidates of
     each bucket a forest of the nearest ones comes first: of these, the nearest of each text are verified, then those
-    between the classes so found. Where candidates link classes that the verified ones don't, all candidates between
-    these classes are verified, so none is missed.
+    between the classes so found. Where candidates link classes that the verified ones don't, the candidates between
+    these classes are verified in their buckets, but for those that others connect, so none is missed.
     """
     differ = most_bits(similarity, words)
     _, plan = allot_probable(bit_counts(distinct, words), distinct.count(), differ, RECALL)
@@ -652,14 +709,10 @@ def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float,
     open_ = cut(open_)
     if open_.isEmpty():
         return components(firm)
-    # finer fingerprints leave few candidates; of these, the nearest of each text come first again
-    fine = finer(sets.join(open_, "node", "left_semi"))
-    pairs = cut(index.between(open_, fine, most_bits(similarity, FINE, ERRORS)))
-    ends = pairs.select(F.col("a").alias("__end"), "a", "b", "bits").union(pairs.select(F.col("b").alias("__end"), "a", "b", "bits"))
-    place = F.row_number().over(Window.partitionBy("__end").orderBy("bits", "a", "b"))
-    nearest = cut(ends.withColumn("__place", place).filter(F.col("__place") <= FIRST).select("a", "b").distinct())
-    firm = cut(firm.unionByName(verified(nearest, sets, similarity)))
-    return components(firm.unionByName(verified(between_labels(pairs, labels(firm)).join(nearest, ["a", "b"], "left_anti"), sets, similarity)))
+    # finer fingerprints leave few candidates; their sets are compared where they meet, and links that connect them go on
+    some = sets.join(open_, "node", "left_semi")
+    found = index.between(open_, finer(some), most_bits(similarity, FINE, ERRORS), True, similarity)
+    return components(firm.union(found.select("a", "b")))
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, text: str = "text", id_column: str = "doc_id") -> DataFrame:
