@@ -339,13 +339,15 @@ def alike(own: np.ndarray, sizes: np.ndarray, flat: np.ndarray, least: int) -> n
     return (both[ends] - both[ends - sizes]) * (1000 + least) >= least * (len(own) + sizes)
 
 
-def _links(first_most: int, most: int, words: int, named: bool, labelled: bool, fine: int = 0, fine_most: int = 0, forest: bool = False, least: int = 0):
+def _links(first_most: int, most: int, words: int, named: bool, labelled: bool, fine: int = 0, fine_most: int = 0, forest: bool = False, least: int = 0, rows: list[str] | None = None):
     """Verify the candidates of sorted buckets. Rows (a, b, bits) of pairs near enough in the first word and in all.
 
     Fingerprints are named by their first word, or by the column after the words. A forest of the pairs of each bucket
     is given, of the nearest ones; with labels, which follow the name, all pairs between different labels, or with ``forest``
     as many as connect what all would. A finer fingerprint of ``fine`` words, after the label, decides in the end and gives the
     bits; or with ``least`` the similarity, in thousandths, of the sets that follow it.
+
+    With ``rows``, the columns of words, name and label, the filed rows that have such a candidate are given in place of pairs.
     """
     name = words + fine if named else 0
 
@@ -364,18 +366,37 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool,
             at, d = at[d <= fine_most], d[d <= fine_most]
         return at, d
 
-    def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All pairs of many small buckets, by comparing rows one step apart, then two, and so on."""
-        found = []
+    def steps(bucket: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs of many small buckets, as places of rows, by comparing rows one step apart, then two, and so on."""
         alive, step = np.arange(len(prints)), 1
         while len(alive):
             alive = alive[alive + step < len(prints)]
             alive = alive[bucket[alive] == bucket[alive + step]]
             some = alive[prints[alive, -1] != prints[alive + step, -1]] if labelled else alive
             at, d = near(prints, some, some + step)
-            found.append((prints[some[at], name], prints[some[at] + step, name], d))
+            yield some[at], some[at] + step, d
             step += 1
-        return found
+
+    def slide(bucket: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [(prints[i, name], prints[j, name], d) for i, j, d in steps(bucket, prints)]
+
+    def meeting(prints: np.ndarray) -> np.ndarray:
+        """Which rows of one large bucket are near a row of another label. Of a row's candidates the nearest looks for more rows
+        that are still open, so a dense group costs few passes."""
+        of = np.unique(prints[:, -1], return_inverse=True)[1]
+        met, lone = np.zeros(len(of), bool), np.zeros(len(of), bool)
+        for row in range(len(of)):
+            if met[row]:
+                continue
+            others = np.flatnonzero(~lone & (of != of[row]))
+            at, d = near(prints, others, row)
+            lone[row] = not len(at)
+            if len(at):
+                met[row] = met[others[at]] = True
+                nearest = int(others[at[d.argmin()]])
+                open_ = np.flatnonzero(~met & ~lone & (of != of[nearest]))
+                met[open_[near(prints, open_, nearest)[0]]] = True
+        return met
 
     def search(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The classes of one large bucket. A row that is reached leaves the rest, so a dense group costs few passes."""
@@ -439,11 +460,28 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool,
                     rest = rest[~gone]
         return found
 
-    def made(bucket: np.ndarray, prints: np.ndarray, sets: pa.Array | None = None) -> pa.RecordBatch:
+    def once(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows by bucket and name, without those that met in two ways, and their places before."""
         order = np.lexsort((prints[:, name], bucket))
         bucket, prints = bucket[order], prints[order]
-        twice = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (prints[1:, name] == prints[:-1, name])))  # met in two ways
-        bucket, prints, order = bucket[~twice], prints[~twice], order[~twice]
+        twice = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (prints[1:, name] == prints[:-1, name])))
+        return bucket[~twice], prints[~twice], order[~twice]
+
+    def candidates(keys: np.ndarray, bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        bucket, prints, order = once(bucket, prints)
+        _, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
+        large, met = sizes > SMALL, np.zeros(len(bucket), bool)
+        for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+            met[s : s + n] = meeting(prints[s : s + n])
+        small = np.flatnonzero(np.repeat(~large, sizes))
+        for i, j, _ in steps(bucket[small], prints[small]):
+            met[small[i]] = met[small[j]] = True
+        keys, prints = keys[order[met]], np.delete(prints[met], np.s_[words : words + fine], axis=1).view(np.int64)
+        kinds = (np.int32, np.int64, np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(keys[:, i].astype(k)) for i, k in enumerate(kinds)), *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], names=["part", "value", "block", *rows])
+
+    def made(bucket: np.ndarray, prints: np.ndarray, sets: pa.Array | None = None) -> pa.RecordBatch:
+        bucket, prints, order = once(bucket, prints)
         _, starts, sizes = np.unique(bucket, return_index=True, return_counts=True)
         large = sizes > (1 if forest else SMALL)
         of_large = (lambda s, n: spanning(prints[s : s + n], order[s : s + n], sets)) if forest else (lambda s, n: (across if labelled else search)(prints[s : s + n]))
@@ -485,8 +523,10 @@ def _links(first_most: int, most: int, words: int, named: bool, labelled: bool,
 
     def closed(held) -> pa.RecordBatch:
         keys, prints = np.concatenate([k for k, *_ in held]), np.concatenate([p for _, p, _ in held])
-        sets = pa.concat_arrays([s.cast(pa.large_list(pa.int64())) for *_, s in held]) if least else None
-        return made(np.cumsum(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))), prints, sets)
+        bucket = np.cumsum(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        if rows is not None:
+            return candidates(keys, bucket, prints)
+        return made(bucket, prints, pa.concat_arrays([s.cast(pa.large_list(pa.int64())) for *_, s in held]) if least else None)
 
     return over
 
@@ -510,9 +550,20 @@ class Index:
         sizes = filed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
         return cut(sizes.select(F.col("part").alias("__p"), F.col("value").alias("__v"), F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")))
 
+    @staticmethod
+    def _dealt(filed: DataFrame, columns: list[str]) -> DataFrame:
+        return filed.select("part", "value", "block", *columns).repartition("part", "value", "block").sortWithinPartitions("part", "value", "block")
+
+    def _candidates(self, dealt: DataFrame, columns: list[str], fine: DataFrame, fine_most: int) -> DataFrame:
+        """The filed rows that have a candidate of another label in their bucket, by finer fingerprints too."""
+        found = _links(self.first_most, self.most, self.words, self.name is not None, True, FINE, fine_most, rows=columns)
+        named = ", ".join(f"{c} long" for c in columns)
+        met = dealt.join(fine.select(F.col("node").alias("__node"), "fine"), F.col(self.key) == F.col("__node"))
+        return cut(self._dealt(met, [*columns, "fine"]).mapInArrow(found, f"part int, value long, block int, {named}"))
+
     def _verified(self, dealt: DataFrame, columns: list[str], labelled: bool, fine_most: int = 0, forest: bool = False, least: int = 0) -> DataFrame:
         fine = FINE if "fine" in columns else 0
-        rows = dealt.select("part", "value", "block", *columns).repartition("part", "value", "block").sortWithinPartitions("part", "value", "block")
+        rows = self._dealt(dealt, columns)
         found = rows.mapInArrow(_links(self.first_most, self.most, self.words, self.name is not None, labelled, fine, fine_most, forest, least), "a long, b long, bits long")
         return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
@@ -536,19 +587,20 @@ class Index:
 
         In a bucket that is too large for one task, rows of the commonest label stay in a block each, and the others
         go to every block: the work follows the rows of other labels, not the square of the bucket. Finer fingerprints and sets
-        (node, fine, shingles), where given, are compared too: these links hold a Jaccard similarity. They meet only the rows of
-        buckets with several labels.
+        (node, fine, shingles), where given, are compared too: these links hold a Jaccard similarity. Finer fingerprints meet only
+        the rows of buckets with several labels, and sets only the rows that have a candidate by these.
         """
         columns = [*self.columns, "label"]
         rows = self.distinct.select(*self.columns, F.col(self.key).alias("__node")).join(labelled.select(F.col("node").alias("__node"), "label"), "__node")
         rows = cut(rows.select(*columns))
         filed = self._filed(rows, columns)
-        wide, more, least = lambda met: met, [], 0
+        wide, more, least = lambda dealt: dealt, [], 0
         if fine is not None:
             mixed = filed.groupBy("part", "value").agg(F.min("label").alias("__x"), F.max("label").alias("__y")).filter("__x <> __y").select("part", "value")
             filed = cut(filed.join(mixed, ["part", "value"], "left_semi"))
             more, least = ["fine", "shingles"], round(1000 * similarity)
-            wide = lambda met: met.join(fine.select(F.col("node").alias("__node"), *more), F.col(self.key) == F.col("__node"))
+            sets = fine.select(F.col("node").alias("__node"), *more)
+            wide = lambda dealt: self._candidates(dealt, columns, fine, fine_most).join(sets, F.col(self.key) == F.col("__node"))
         large = self._large(filed if fine is not None else self._filed(rows, self.columns[: self.words]))
         if large.isEmpty():
             return self._verified(wide(filed.withColumn("block", F.lit(0))), [*columns, *more], True, fine_most, forest, least)
@@ -711,7 +763,7 @@ def classes(docs: DataFrame, distinct: DataFrame, width: int, similarity: float,
         return components(firm)
     # finer fingerprints leave few candidates; their sets are compared where they meet, and links that connect them go on
     some = sets.join(open_, "node", "left_semi")
-    found = index.between(open_, finer(some), most_bits(similarity, FINE, ERRORS), True, similarity)
+    found = index.between(open_, staged(finer(some)), most_bits(similarity, FINE, ERRORS), True, similarity)
     return components(firm.union(found.select("a", "b")))
 
 

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,38 @@ def test_forest_of_fingerprints(spark):
     got = [(r.a, r.b) for r in index.between(labels, forest=True).collect()]
     assert set(got) <= set(every) and len(got) < len(prints) < len(every)
     assert classes_of(got, prints) == classes_of(every, prints)
+
+
+def test_sets_meet_candidates_only(spark, monkeypatch):
+    """Of 400 sets filed under three values each that are unlike but for ten pairs, only these pairs go to their buckets with their sets."""
+    rng = random.Random(7)
+    sets = {n: sorted(rng.getrandbits(63) for _ in range(150)) for n in range(400)}
+    for n in range(0, 100, 10):
+        sets[n + 1] = sorted([*sets[n][:145], *(rng.getrandbits(63) for _ in range(5))])
+    rows = [(7, 7, 7, 7, n) for n in sets]
+    plan = [(list(range(a, a + 64)), 0) for a in (0, 64, 128)]
+    index = simhash.Index(spark.createDataFrame(rows, "fp long, fp1 long, fp2 long, fp3 long, node long"), plan, 13, 60, 4, "node")
+    fine = simhash.finer(spark.createDataFrame(list(sets.items()), "node long, shingles array<long>"))
+    labels = spark.createDataFrame([(n, n) for n in sets], "node long, label long")
+    met = []
+    verified = simhash.Index._verified
+    monkeypatch.setattr(simhash.Index, "_verified", lambda self, dealt, *rest: met.append(dealt.select("part", "node").collect()) or verified(self, dealt, *rest))
+    got = sorted((r.a, r.b) for r in index.between(labels, fine, simhash.most_bits(0.8, simhash.FINE, simhash.ERRORS), True, 0.8).collect())
+    assert got == [(n, n + 1) for n in range(0, 100, 10)]
+    assert sorted(tuple(r) for r in met[0]) == [(p, n + i) for p in range(3) for n in range(0, 100, 10) for i in (0, 1)]
+
+
+@pytest.mark.parametrize("small", [0, 256])
+def test_rows_with_candidates(monkeypatch, small):
+    """As all pairs of different labels say, in small and in large buckets, over batches that cut a bucket."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(11)
+    made = [(0, rng.randint(0, 3), 0, sum(1 << b for b in rng.sample(range(40), rng.randint(0, 6))), n, rng.randint(0, 5)) for n in range(300)]
+    made = sorted(made, key=lambda r: r[:3])
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["part", "value", "block", "fp", "node", "label"])
+    found = simhash._links(3, 3, 1, True, True, rows=["fp", "node", "label"])(iter(table.to_batches(max_chunksize=37)))
+    got = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+    near = lambda x, y: x[1] == y[1] and x[5] != y[5] and (x[3] ^ y[3]).bit_count() <= 3
+    want = sorted(r for r in made if any(near(r, o) for o in made))
+    assert got == want and 50 < len(want) < len(made)
