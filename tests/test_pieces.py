@@ -1,5 +1,7 @@
 """Arrow functions take a batch apart in pieces, so their memory doesn't follow its rows."""
 
+from collections import Counter
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -33,3 +35,33 @@ def test_few_tokens_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(lexical_index, "TOKENS", 30)
     made = lexical_index._forward(docs, F.col("tokens"), "id", F.lit("x")).collect()
     assert {(r.key, r.length, dict(zip(r.terms, r.times, strict=True))["a"]) for r in made} == {(i, 3, 2) for i in range(500)}
+
+
+def test_counting_texts_is_counting_their_tokens(spark, monkeypatch):
+    """Texts that a task takes apart itself give the rows of their lists of tokens, a piece of a batch at a time."""
+    monkeypatch.setattr(ranking, "TAKEN", 1_000)
+    rows = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else f"Straße {i % 5} ét É, wort{i % 3} WORT{i % 3}") for i in range(300)]
+    texts = spark.createDataFrame(rows, "k long, text string").coalesce(1)
+    wanted = spark.createDataFrame([("wort1",), ("strasse",), ("ét",)], "term string")
+    lists = texts.select("k", T.legal_tokens(F.col("text")))
+    for some in (None, wanted):
+        tf = lambda found: sorted((r.term, r.key, r.tf, r.length) for r in found if r.tf is not None)
+        df = lambda found: sum((Counter({r.term: r.df}) for r in found if r.df), Counter())
+        a, b = ranking.count_terms(texts, some, T.legal_words).collect(), ranking.count_terms(lists, some).collect()
+        assert tf(a) == tf(b) and df(a) == df(b) and len(tf(a)) > 100
+        assert len([r for r in a if r.term is None]) > 5
+
+
+def test_registered_bm25_hands_on_no_tokens(spark):
+    """The texts of the queries on BM25 meet one Python function, so a task has one worker for them."""
+    from docloom.plans import ranking_queries, table_queries
+
+    calls = []
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    real = ranking.count_terms
+    ranking.count_terms = lambda docs, *rest: calls.append(docs) or real(docs, *rest)
+    try:
+        ranking_queries._bm25(t, 3).count(), table_queries._secure_bm25(t).count()
+    finally:
+        ranking.count_terms = real
+    assert [d.schema["__tokens"].dataType.simpleString() for d in calls] == ["string", "string"]
