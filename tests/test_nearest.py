@@ -74,3 +74,21 @@ def test_a_neighbourhood_is_found_once_for_a_node(spark):
     assert got[1000] == (2, [12], []) and got[1001] == (None, [], []) and got[1002] == (9, [], [])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the edges are met before, by node
+
+
+@pytest.mark.parametrize("joined", [{}, {"joined": ","}])
+def test_a_neighbourhood_is_dealt_out_by_its_size(spark, joined, monkeypatch):
+    """Of 40 rows of about 100 KB no task makes more than four; a seed without neighbours, and a null one, stay."""
+    monkeypatch.setattr(graph, "DEALT", 300_000, raising=False)
+    seeds = spark.range(42).select(F.col("id").alias("q"), F.when(F.col("id") < 40, F.col("id") % 2).when(F.col("id") == 40, 9).cast("int").alias("node"))
+    first = spark.createDataFrame([(0, 10), (1, 11), (1, 12), (1, None)], "src int, dst int")
+    second = spark.range(60000).select((F.col("id") % 3 + 10).cast("int").alias("src"), (F.col("id") * 7 % 17000 + 10000).alias("dst"))
+    out = graph.seed_neighbourhood(seeds, first, second, by=["q"], **joined)
+    assert max(sum(r.q < 40 for r in part) for part in out.select("q").rdd.glom().collect()) <= 4
+    got = {r.q: (r.node, r.first, r.second) for r in out.collect()}
+    listed = (lambda x: ",".join(map(str, x))) if joined else list
+    every = listed(range(10000, 27000))
+    assert len(got) == 42
+    assert all(got[i] == (0, listed([10]), every) for i in range(0, 40, 2))
+    assert all(got[i] == (1, listed([11, 12]), every) for i in range(1, 40, 2))
+    assert got[40] == (9, listed([]), listed([])) and got[41] == (None, listed([]), listed([]))
