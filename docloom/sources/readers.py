@@ -35,7 +35,7 @@ def chunks(spark: SparkSession, path: str, strategy: str) -> DataFrame:
 
 def strict_chunks(spark: SparkSession, path: str, strategies: tuple[str, ...] = ("fixed-size", "semantic", "hierarchical")) -> DataFrame:
     """All chunks with ``fault``: a missing id, an unknown strategy, pages out of order, an id that another row has too."""
-    rows = _chunk_rows(spark, path)
+    rows = _chunk_rows(spark, path).withColumn("text_missing", F.coalesce(F.trim("text"), F.lit("")) == "")
     repeated = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("__n"))
     met = rows.join(repeated, "chunk_id", "left")
     fault = (
@@ -44,7 +44,7 @@ def strict_chunks(spark: SparkSession, path: str, strategies: tuple[str, ...] =
         .when(F.coalesce(F.col("page_start") < 0, F.lit(True)) | F.coalesce(F.col("page_end") < F.col("page_start"), F.lit(True)), "pages")
         .when(F.col("__n") > 1, "repeated")
     )
-    return met.withColumn("fault", fault).withColumn("text_missing", F.coalesce(F.trim("text"), F.lit("")) == "").drop("__n")
+    return met.select(*[c for c in met.columns if c not in ("text_missing", "__n")], fault.alias("fault"), "text_missing")
 
 
 def sound(rows: DataFrame, fault: str = "fault") -> DataFrame:

@@ -5,18 +5,48 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.graph import upsert
-from docloom.shared import scratch
+from docloom.shared import cut, few, scratch
+from docloom.shipping import ship
 
 
 def json_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def json_arrays(df: DataFrame, path: str, by: str, element: Column, member: str, within: Column) -> None:
+    """A JSON file for each value of ``by``: an array of the elements, and an object with it under the name ``member`` where ``within``
+    holds. A task writes a file as its rows come, so a file may be of any length; no rows give one file with an empty array."""
+    spark = df.sparkSession
+    ship(spark)
+    files = cut(df.select(F.col(by).alias("__by")).distinct().withColumn("__file", F.row_number().over(Window.orderBy("__by")) - 1))
+    n = files.count()
+    if not n:
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.text(path)
+        return
+    begins, ends = ("[", f'{{{json.dumps(member)}: ['), ("]", "]}")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        object_ = None
+        for batch in batches:
+            if n := batch.num_rows:
+                first = "," if object_ is not None else begins[batch.column(0)[0].as_py()]
+                object_ = batch.column(0)[0].as_py()
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array([first] + [","] * (n - 1)), batch.column(1), "")], names=["value"])
+        if object_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([ends[object_]])], names=["value"])
+
+    rows = df.join(few(files), F.col(by).eqNullSafe(F.col("__by"))).select("__file", within.alias("__within"), F.to_json(element).alias("value"))
+    rows.repartitionById(n, "__file").select("__within", "value").mapInArrow(over, "value string").write.text(path)
+
+
 def csv_table(df: DataFrame, path: str) -> None:
     """CSV with a header; the first column's name carries a byte-order mark, as spreadsheets expect."""
     first, *rest = df.columns

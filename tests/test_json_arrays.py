@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.sources import json_arrays, readers
+from docloom.plans import io_queries
+from docloom.sources import json_arrays, readers, writers
 
 PIECES = ('}', '{', '"', '\\', ',', '[', ']', ':', 'a', 'é', '\n', ' ', '"chunks": [', '\\"', '{"a": 1}', ' ', '😀')
 
@@ -92,3 +94,30 @@ def test_a_broken_element_names_its_file(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="not JSON: bad.json"):
         readers.strict_chunks(spark, str(tmp_path)).collect()
+
+
+def test_no_row_holds_a_file(spark):
+    """A file is written as its rows come: its longest line is an element, however many there are."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 2).alias("source"), F.repeat(F.lit('a } "b'), 10).alias("text"))
+    path = io_queries._chunk_files(lambda table: docs, spark)
+    lines = spark.read.text(path)
+    assert len(lines.inputFiles()) == 2
+    assert lines.agg(F.max(F.length("value"))).first()[0] < 300
+    rows = readers.strict_chunks(spark, path, ("en",)).collect()
+    assert sorted(int(r.chunk_id[1:]) for r in rows) == list(range(4000))
+    assert all(r.text == (None if int(r.chunk_id[1:]) % 5 == 0 else 'a } "b' * 10) and r.text_missing == (r.text is None) for r in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 30])
+def test_written_arrays_are_read_back(spark, tmp_path, n):
+    """A null, an empty and other values each have a file, an array or an object with one."""
+    made = [(i, (None, "", "a", "b")[i % 4], "\n".join(PIECES[i % 7 :])) for i in range(n)]
+    df = spark.createDataFrame(made, "i int, source string, text string").repartition(3)
+    path = str(tmp_path / "files")
+    writers.json_arrays(df, path, "source", F.struct("i", "source", "text"), "chunks", F.hash("source") % 2 != 0)
+    files = [f for f in (tmp_path / "files").iterdir() if f.name.startswith("part-")]
+    content = [json.loads(f.read_text()) for f in files]
+    assert len(files) == max(1, min(n, 4))
+    assert all(len({e.get("source") for e in wanted(c)}) == min(n, 1) for c in content)
+    assert sorted((e["i"], e.get("source"), e["text"]) for c in content for e in wanted(c)) == made
+    assert sorted(e["i"] for e in read(spark, path).values()) == list(range(n))
