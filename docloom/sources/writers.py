@@ -21,30 +21,40 @@ def json_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Bytes from which a file of an array is written as several.
+FILE = 256 << 20
+
+
 def json_arrays(df: DataFrame, path: str, by: str, element: Column, member: str, within: Column) -> None:
-    """A JSON file for each value of ``by``: an array of the elements, and an object with it under the name ``member`` where ``within``
-    holds. A task writes a file as its rows come, so a file may be of any length; no rows give one file with an empty array."""
+    """A JSON file for each value of ``by``, or several of about ``FILE`` bytes for one with more: an array of the elements, or an object
+    with it under the name ``member`` where ``within`` holds. A task writes a file as its rows come, none of which holds a file; no rows
+    give one file with an empty array."""
     spark = df.sparkSession
     ship(spark)
-    files = cut(df.select(F.col(by).alias("__by")).distinct().withColumn("__file", F.row_number().over(Window.orderBy("__by")) - 1))
-    n = files.count()
+    rows = df.select(F.col(by).alias("__key"), within.alias("__within"), F.to_json(element).alias("value"))
+    parts = F.ceil(F.sum(F.octet_length("value").cast("long")) / FILE).cast("int").alias("__parts")
+    before = F.coalesce(F.sum("__parts").over(Window.orderBy("__by").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    files = cut(rows.groupBy(F.col("__key").alias("__by")).agg(parts).withColumn("__before", before))
+    n = files.agg(F.sum("__parts")).first()[0]
     if not n:
         spark.createDataFrame([("[]",)], "value string").coalesce(1).write.text(path)
         return
-    begins, ends = ("[", f'{{{json.dumps(member)}: ['), ("]", "]}")
+    begins, ends = ("[", f"{{{json.dumps(member)}: ["), ("]", "]}")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        object_ = None
+        kind = None
         for batch in batches:
-            if n := batch.num_rows:
-                first = "," if object_ is not None else begins[batch.column(0)[0].as_py()]
-                object_ = batch.column(0)[0].as_py()
-                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array([first] + [","] * (n - 1)), batch.column(1), "")], names=["value"])
-        if object_ is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([ends[object_]])], names=["value"])
-
-    rows = df.join(few(files), F.col(by).eqNullSafe(F.col("__by"))).select("__file", within.alias("__within"), F.to_json(element).alias("value"))
-    rows.repartitionById(n, "__file").select("__within", "value").mapInArrow(over, "value string").write.text(path)
+            if batch.num_rows:
+                marks = [","] * batch.num_rows
+                if kind is None:
+                    kind = batch.column(0)[0].as_py()
+                    marks[0] = begins[kind]
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(marks), batch.column(1), "")], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if kind is None else ends[kind]])], names=["value"])
+
+    file = F.col("__before") + F.pmod(F.xxhash64("value"), F.col("__parts")).cast("int")
+    dealt = rows.join(few(files), F.col("__key").eqNullSafe(F.col("__by"))).select(file.alias("__file"), "__within", "value").repartitionById(int(n), "__file")
+    dealt.select("__within", "value").mapInArrow(over, "value string").write.text(path)
 
 
 def csv_table(df: DataFrame, path: str) -> None:

@@ -121,3 +121,16 @@ def test_written_arrays_are_read_back(spark, tmp_path, n):
     assert all(len({e.get("source") for e in wanted(c)}) == min(n, 1) for c in content)
     assert sorted((e["i"], e.get("source"), e["text"]) for c in content for e in wanted(c)) == made
     assert sorted(e["i"] for e in read(spark, path).values()) == list(range(n))
+
+
+def test_a_large_array_is_dealt_out_to_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE", 20_000)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("source"))
+    path = str(tmp_path / "files")
+    writers.json_arrays(df, path, "source", F.struct("id", "source"), "chunks", F.col("source") == "many")
+    content = [json.loads(f.read_text()) for f in (tmp_path / "files").iterdir() if f.name.startswith("part-")]
+    many = [wanted(c) for c in content if isinstance(c, dict)]
+    assert len(content) - len(many) == 1 and len(many) == 4
+    assert all(500 < len(c) < 850 for c in many)
+    assert sorted(e["id"] for c in content for e in wanted(c)) == list(range(3000))
+    assert sorted(e["id"] for e in read(spark, path).values()) == list(range(3000))
